@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op1
+from tidemark.llm.packing import op3
 
 QUERIES = {
     "op1_decontaminate": op1,
+    "op3_pack": op3,
 }
 
 ORACLE_SQL: dict[str, str] = {}
