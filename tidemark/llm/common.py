@@ -134,13 +134,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def annotate(df: DataFrame, text: str, kind: T.StructType, make: Callable[[], Callable], keep: list[str] | None = None, chunk: int = CHUNK) -> tuple[DataFrame, str]:
-    """df's columns `keep` (all, if None) and one more, of struct type `kind`, whose name is returned too.
+def annotate(df: DataFrame, text: str, kind: str, make: Callable[[], Callable], keep: list[str] | None = None, chunk: int = CHUNK) -> tuple[DataFrame, str]:
+    """df's columns `keep` (all, if None) and one more, a struct of the DDL fields `kind`, whose name is returned too.
 
     `make()` is called once per task and gives f(data, offsets) -> list of Arrow
     arrays, one per field of `kind`, for a chunk of rows.  Nothing is shuffled
     and rows are neither dropped nor repeated.
     """
+    kind = T.StructType.fromDDL(kind)
     keep = list(df.columns) if keep is None else keep
     name = fresh(df, "found")
     need = list(dict.fromkeys([*keep, text]))

@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.common import annotate, fresh, rolling, words
 
@@ -169,7 +168,6 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """docs with a struct column (its name is returned too): n_words, n_hit, items (sorted ids), matches, contaminated."""
-    kind = T.StructType.fromDDL(KIND)
     out, names = docs, []
     columns = list(docs.columns) if keep is None else list(keep)
     carried = columns if text in columns else [*columns, text]
@@ -177,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     for k, rows in enumerate(all_blocks):
         last = k == len(all_blocks) - 1
         at = docs.sparkSession.sparkContext.broadcast(Index(rows, window))
-        out, name = annotate(out, text, kind, lambda at=at: search(at.value), keep=[*(columns if last else carried), *names])
+        out, name = annotate(out, text, KIND, lambda at=at: search(at.value), keep=[*(columns if last else carried), *names])
         names.append(name)
     name = fresh(docs, "found")
     if len(names) == 1:
