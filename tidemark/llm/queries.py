@@ -5,11 +5,13 @@ from __future__ import annotations
 from tidemark.llm.decontaminate import op1
 from tidemark.llm.packing import op3
 from tidemark.llm.secret_scan import op5
+from tidemark.llm.toxicity import op10
 
 QUERIES = {
     "op1_decontaminate": op1,
     "op3_pack": op3,
     "op5_secrets": op5,
+    "op10_toxicity": op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
