@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op1
+from tidemark.llm.license_scan import op4
 from tidemark.llm.packing import op3
 from tidemark.llm.secret_scan import op5
+from tidemark.llm.sharding import op2
 from tidemark.llm.toxicity import op10
 
 QUERIES = {
     "op1_decontaminate": op1,
+    "op2_shard": op2,
     "op3_pack": op3,
+    "op4_licenses": op4,
     "op5_secrets": op5,
     "op10_toxicity": op10,
 }
