@@ -7,6 +7,7 @@ from tidemark.llm.license_scan import op4
 from tidemark.llm.packing import op3
 from tidemark.llm.secret_scan import op5
 from tidemark.llm.sharding import op2
+from tidemark.llm.simhash import op7
 from tidemark.llm.toxicity import op10
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_pack": op3,
     "op4_licenses": op4,
     "op5_secrets": op5,
+    "op7_simhash": op7,
     "op10_toxicity": op10,
 }
 
