@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.decontaminate import op1
 from tidemark.llm.license_scan import op4
+from tidemark.llm.neighbours import op9
 from tidemark.llm.packing import op3
 from tidemark.llm.secret_scan import op5
 from tidemark.llm.sharding import op2
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_licenses": op4,
     "op5_secrets": op5,
     "op7_simhash": op7,
+    "op9_neighbours": op9,
     "op10_toxicity": op10,
 }
 
