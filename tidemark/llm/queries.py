@@ -10,6 +10,7 @@ from tidemark.llm.secret_scan import op5
 from tidemark.llm.sharding import op2
 from tidemark.llm.simhash import op7
 from tidemark.llm.suffix_dedup import op6
+from tidemark.llm.token_output import op8
 from tidemark.llm.toxicity import op10
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_secrets": op5,
     "op6_repeats": op6,
     "op7_simhash": op7,
+    "op8_training_order": op8,
     "op9_neighbours": op9,
     "op10_toxicity": op10,
 }
