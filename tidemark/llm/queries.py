@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
 from tidemark.llm.decontaminate import op1
 from tidemark.llm.license_scan import op4
 from tidemark.llm.neighbours import op9
@@ -14,6 +15,7 @@ from tidemark.llm.token_output import op8
 from tidemark.llm.toxicity import op10
 
 QUERIES = {
+    "pipeline": pipeline,
     "op1_decontaminate": op1,
     "op2_shard": op2,
     "op3_pack": op3,

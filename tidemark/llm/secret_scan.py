@@ -55,6 +55,7 @@ FORMS = {
     "pem": re.compile(rb"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
 }
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+MARK = "[REDACTED]"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 _HEX = np.zeros(256, bool)
@@ -162,7 +163,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
     return out.withColumn(name, spans), name
 
 
-def redact(docs: DataFrame, *, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", mark: str = MARK) -> DataFrame:
     """docs, all of them, with each stretch that spans cover replaced by `mark`."""
     out, name = scan(docs, text=text)
     t = F.col(f"`{text}`")
