@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidemark.plans import market
+
+QUERIES: dict = {**market.QUERIES}
+ORACLE_SQL: dict = {**market.ORACLE_SQL}
