@@ -11,7 +11,8 @@ shard s // per_shard, and a reader resumes anywhere with one seek.
 A record is little-endian unsigned 16-bit: how many ids count, the ids, zeros.
 
 Sequences are written once to a table in the shared folder; their number is the
-table file's offset plus the row's place in it, so nothing is sorted to count.
+table file's offset plus their place in it, so nothing is sorted to count.  Tokens
+travel in compressed blobs, one per task and shard, high bytes apart from low ones.
 Shard files are written under a name of their own and then moved, so a task that
 runs twice leaves one whole file.  Paths may be of any store that pyarrow opens.
 
@@ -27,15 +28,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import mix, shared_folder, written
 from tidemark.llm.packing import END_ID, encoder, token_ids, tokenizer_files
 
-LENGTH, PER_SHARD, KEY = 512, 4096, 0x5EED
+LENGTH, PER_SHARD, KEY = 256, 8192, 0x5EED
 ROUNDS = 6
 
 
@@ -59,29 +60,55 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def pack_ids(parts: list[np.ndarray]) -> bytes:
+    """16-bit ids as compressed bytes, all high bytes first."""
+    flat = np.concatenate(parts).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return pa.compress(np.ascontiguousarray(flat[:, ::-1].T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_ids(raw: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(raw, 2 * n, codec="zstd", asbytes=True), np.uint8).reshape(2, n)
+    return np.ascontiguousarray(flat[::-1].T).view("<u2").ravel()
+
+
+#: Ids that one row of the sequence table holds, about, and ids that a task deals out at once.
+ROW_IDS, DEAL_IDS = 1 << 18, 1 << 24
+_TABLE = "first long, n int, docs array<{doc}>, pieces array<int>, counts array<int>, ids binary"
+
+
 def sequences(docs: DataFrame, *, id_col: str, text: str, length: int, files: tuple[str, str], end_id: int) -> DataFrame:
-    """(doc, piece, n_tokens, ids) with ids as little-endian unsigned 16-bit bytes."""
+    """Rows of many sequences each: the first one's number within its task, ids, pieces, numbers of tokens, and all tokens packed."""
+    doc = docs.schema[id_col].dataType
+    arrow = to_arrow_type(doc)
 
     def run(batches):
         enc = encoder(files)
+        first = 0
+        own, piece, count, ids, size = [], [], [], [], 0
+
+        def row():
+            out = pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([own], pa.list_(arrow)), pa.array([piece], pa.list_(pa.int32())), pa.array([count], pa.list_(pa.int32())), pa.array([pack_ids(ids)], pa.binary())], names=["first", "n", "docs", "pieces", "counts", "ids"])
+            return out
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                row, piece, n, raw = [], [], [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    ids = token_ids(enc, t, end_id)
-                    if ids.max() > 0xFFFF:
-                        raise ValueError("ids do not fit 16 bits")
-                    ids = ids.astype("<u2")
-                    for k, s in enumerate(range(0, len(ids), length)):
-                        row.append(i)
-                        piece.append(k)
-                        n.append(len(ids[s : s + length]))
-                        raw.append(ids[s : s + length].tobytes())
-                yield pa.RecordBatch.from_arrays([pc.take(part.column(0), pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())], names=["doc", "piece", "n_tokens", "ids"])
-
-    kind = f"doc {docs.schema[id_col].dataType.simpleString()}, piece int, n_tokens int, ids binary"
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, kind)
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = token_ids(enc, t, end_id)
+                if got.max() > 0xFFFF:
+                    raise ValueError("ids do not fit 16 bits")
+                for k, s in enumerate(range(0, len(got), length)):
+                    own.append(d)
+                    piece.append(k)
+                    count.append(min(length, len(got) - s))
+                ids.append(got)
+                size += len(got)
+                if size >= ROW_IDS:
+                    yield row()
+                    first += len(own)
+                    own, piece, count, ids, size = [], [], [], [], 0
+        if own:
+            yield row()
+
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, _TABLE.format(doc=doc.simpleString()))
 
 
 def materialise(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, files: tuple[str, str] | None = None, end_id: int = END_ID) -> tuple[DataFrame, str]:
@@ -89,52 +116,83 @@ def materialise(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_
     spark = docs.sparkSession
     path = (path or shared_folder(spark)).rstrip("/")
     table = written(sequences(docs, id_col=id_col, text=text, length=length, files=files or tokenizer_files(), end_id=end_id))
-    place = table.select("doc", "piece", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
-    per_file = place.groupBy("file").count()
-    before = F.sum("count").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file that a task wrote
-    offsets = {r["file"]: r["before"] or 0 for r in per_file.select("file", before.alias("before")).collect()}
-    total = table.count()
+    place = table.select("*", F.col("_metadata.file_name").alias("file"))
+    per_file = sorted((r["file"], r["n"]) for r in place.groupBy("file").agg(F.sum("n").alias("n")).collect())  # a row per task that wrote
+    offsets, total = {}, 0
+    for file, n in per_file:
+        offsets[file] = total
+        total += n
     shared = spark.sparkContext.broadcast(offsets)
     stride = 2 * (length + 1)
     store, base = opened(path)
     store.create_dir(base, recursive=True)
     with store.open_output_stream(f"{base}/manifest.json") as f:
         f.write(json.dumps({"total": total, "stride": stride, "per_shard": per_shard, "length": length, "key": key}).encode())
+    doc = docs.schema[id_col].dataType
+    arrow = to_arrow_type(doc)
+    dealt_kind = f"shard int, slots binary, docs array<{doc.simpleString()}>, pieces array<int>, counts array<int>, ids binary"
+
+    def deal(batches):
+        held, size = [], 0
+
+        def flush():
+            slot = np.concatenate([h[0] for h in held])
+            docs_, piece, count = ([x for h in held for x in h[k]] for k in (1, 2, 3))
+            ids = np.concatenate([h[4] for h in held])
+            n = np.asarray(count, np.int64)
+            end = np.cumsum(n)
+            order = np.argsort(slot, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(slot[order] // per_shard)) + 1):
+                rows = own.tolist()
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(slot[own[0]]) // per_shard], pa.int32()), pa.array([slot[own].astype("<i8").tobytes()], pa.binary()), pa.array([[docs_[i] for i in rows]], pa.list_(arrow)),
+                    pa.array([[piece[i] for i in rows]], pa.list_(pa.int32())), pa.array([n[own].tolist()], pa.list_(pa.int32())), pa.array([pack_ids([ids[end[i] - n[i] : end[i]] for i in rows])], pa.binary()),
+                ], names=["shard", "slots", "docs", "pieces", "counts", "ids"])
 
-    def number(batches):
         for batch in batches:
-            file, at = batch.column(4).to_pylist(), batch.column(5).to_numpy(zero_copy_only=False)
-            index = at + np.asarray([shared.value[x] for x in file], np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(permuted(index, total, key))], names=["doc", "piece", "n_tokens", "ids", "slot"])
-
-    doc_kind = docs.schema[id_col].dataType.simpleString()
-    slots = place.mapInArrow(number, f"doc {doc_kind}, piece int, n_tokens int, ids binary, slot long").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+            for r in batch.to_pylist():
+                index = shared.value[r["file"]] + r["first"] + np.arange(r["n"])
+                held.append((permuted(index, total, key), r["docs"], r["pieces"], r["counts"], unpack_ids(r["ids"], sum(r["counts"]))))
+                size += len(held[-1][4])
+                if size >= DEAL_IDS:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
     def write(batches):
         store, base = opened(path)
-        out = name = None
-        shard, crc = -1, []
+        shard, parts = -1, []
 
         def close():
-            if out is not None:
-                out.close()
-                store.move(f"{base}/{name}", f"{base}/shard-{shard:08d}.bin")
+            slot = np.concatenate([np.frombuffer(r["slots"], "<i8") for r in parts])
+            count = np.concatenate([np.asarray(r["counts"], np.int64) for r in parts])
+            ids = np.concatenate([unpack_ids(r["ids"], sum(r["counts"])) for r in parts])
+            docs_, piece = ([x for r in parts for x in r[k]] for k in ("docs", "pieces"))
+            end = np.cumsum(count)
+            records = np.zeros((min(per_shard, total - shard * per_shard), length + 1), "<u2")
+            at = slot - shard * per_shard
+            records[at, 0] = count
+            records[np.repeat(at, count), 1 + np.arange(end[-1]) - np.repeat(end - count, count)] = ids
+            name = f"{base}/writing-{shard:08d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(name) as f:
+                f.write(records.tobytes())
+            store.move(name, f"{base}/shard-{shard:08d}.bin")
+            crc = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(end.tolist(), count.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(docs_, arrow), pa.array(piece, pa.int32()), pa.array(count.astype(np.int32)), pa.array(slot), pa.array(np.full(len(slot), shard, np.int32)), pa.array(crc, pa.int64())], names=["doc", "piece", "n_tokens", "slot", "shard", "ids_crc32"])
 
         for batch in batches:
-            shards = batch.column(5).to_pylist()
-            crc = []
-            for i, (own, raw, n) in enumerate(zip(shards, batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if own != shard:
-                    close()
-                    shard, name = own, f"writing-{own:08d}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(f"{base}/{name}")
-                out.write(n.to_bytes(2, "little") + raw.ljust(stride - 2, b"\0"))
-                crc.append(zlib.crc32(np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), batch.column(5), pa.array(crc, pa.int64())], names=["doc", "piece", "n_tokens", "slot", "shard", "ids_crc32"])
-        close()
-
-    dealt = slots.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "slot")
-    index = written(dealt.mapInArrow(write, f"doc {doc_kind}, piece int, n_tokens int, slot long, shard int, ids_crc32 long"))
+            for r in batch.to_pylist():
+                if r["shard"] != shard and parts:
+                    yield close()
+                    parts = []
+                shard = r["shard"]
+                parts.append(r)
+        if parts:
+            yield close()
+
+    dealt = place.mapInArrow(deal, dealt_kind).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard")
+    index = written(dealt.mapInArrow(write, f"doc {doc.simpleString()}, piece int, n_tokens int, slot long, shard int, ids_crc32 long"))
     byte = (F.col("slot") % per_shard * stride).alias("byte")
     return index.select(F.col("doc").alias(id_col), "piece", "n_tokens", "slot", "shard", byte, "ids_crc32"), path
 

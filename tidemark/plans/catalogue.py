@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market
+from tidemark.plans import learning, market
 
-QUERIES: dict = {**market.QUERIES}
-ORACLE_SQL: dict = {**market.ORACLE_SQL}
+QUERIES: dict = {**market.QUERIES, **learning.QUERIES}
+ORACLE_SQL: dict = {**market.ORACLE_SQL, **learning.ORACLE_SQL}
