@@ -2,13 +2,14 @@
 
 Confirmed toxic examples are the positives; the unlabelled class is text drawn
 without looking at its label.  A linear model over hashed words and word
-beginnings minimises
+beginnings, each by whether it occurs once, twice and three times, minimises
 
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]),   l(z) = log(1 + exp(-z)),
 
 and steps the other way while the bracket is negative, so that it can't overfit
 below zero risk.  The class prior is the share of toxic rows among all training
-labels.  Fitting sees at most MAX_POSITIVE + MAX_UNLABELLED documents, chosen by
+labels; at the end the bias is set so that unlabelled text scores the prior on
+average.  Fitting sees at most MAX_POSITIVE + MAX_UNLABELLED documents, chosen by
 a hash of their id; scoring reads every document whole and shuffles nothing.
 
 Rows whose crc32(id as text) mod 4 is 2 are held out of every part of the fit.
@@ -33,6 +34,8 @@ from tidemark.llm.common import _BYTE, LOWER, _powers, annotate, mix, row_chunks
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 16_000
 #: Hash buckets, and the lengths in bytes of the word beginnings that count as features.
 BUCKETS, STEMS = 1 << 20, (4, 5, 6)
+#: Bucket of "at least so many times", as the bucket of "at least once" with these bits flipped.
+TIMES = {1: 0, 2: 0x55A3C, 3: 0xA97E1}
 THRESHOLD = 0.3
 
 
@@ -54,9 +57,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(rows), bucket
 
 
-def distinct(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(row * BUCKETS + bucket)
-    return both // BUCKETS, both % BUCKETS
+def by_times(row: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of how often each feature occurs in a row, by row."""
+    both, n = np.unique(row * BUCKETS + bucket, return_counts=True)
+    row = np.concatenate([both[n >= least] // BUCKETS for least in TIMES])
+    bucket = np.concatenate([both[n >= least] % BUCKETS ^ flip for least, flip in TIMES.items()])
+    order = np.argsort(row, kind="stable")
+    return row[order], bucket[order]
 
 
 @dataclass
@@ -67,8 +74,8 @@ class Model:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         row, bucket = features(data, offsets)
-        used = np.flatnonzero(self.weights[bucket])
-        row, bucket = distinct(row[used], bucket[used])
+        used = np.flatnonzero(np.logical_or.reduce([self.weights[bucket ^ flip] != 0 for flip in TIMES.values()]))
+        row, bucket = by_times(row[used], bucket[used])
         f = self.bias + np.bincount(row, self.weights[bucket], n)
         return 1 / (1 + np.exp(-f))
 
@@ -92,7 +99,12 @@ def nnpu(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, prior: flo
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+    f = np.bincount(rows, theta[columns], n)[~positive]
+    low, high = -50.0, 50.0
+    for _ in range(60):  # the bias at which unlabelled text scores the prior on average
+        middle = (low + high) / 2
+        low, high = (middle, high) if sigmoid(f + middle).mean() < prior else (low, middle)
+    return theta[:-1], low
 
 
 def held_out(id_col: str):
@@ -114,7 +126,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text: str, max_po
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for lo, hi in row_chunks(offsets):
-                row, bucket = distinct(*features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                row, bucket = by_times(*features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
                 raw = bucket.astype("<i4")
                 packed = [raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
