@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, annotate, fresh, rolling, row_chunks, text_buffer, words
+from tidemark.llm.common import LOWER, annotate, fresh, rolling, row_chunks, text_buffer, words, written
 
 K, GAP, COVER = 3, 3, 0.75
 
@@ -133,6 +133,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
     by_text = found.groupBy(F.col("key").alias("own_key")).agg(
         F.collect_set(F.when(good, F.col("label"))).alias("own_labels"), F.collect_list(F.when(good, F.struct("label", "start", "end", "cover"))).alias("own_spans"), F.max("cover").alias("own_cover")
     )
+    by_text = written(by_text)  # an aggregate in the join's stage would keep a text with very many copies in one task
     base, name = annotate(keyed, text, BASE, lambda: phrase_counter(phrases), keep=[*keep, key])
     out = base.join(by_text, base[key] == by_text["own_key"], "left")
     b = F.col(name)
