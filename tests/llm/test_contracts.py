@@ -371,3 +371,11 @@ def test_op10_finds_what_labels_mark(spark, put):
     got = rows(queries.op10(spark, put(documents=(docs, DOCS), labels=(labels, "doc_id long, quality int, toxic int"))))
     wrong = sum(x["predicted"] != int(d % 8 == 0) for d, x in got.items() if x["held_out"])
     assert wrong <= 5
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 65536])
+def test_packed_ids_come_back(n):
+    from tidemark.llm.token_output import pack_ids, unpack_ids
+
+    ids = np.random.default_rng(n).integers(0, n, 70000) ** 2 // max(1, n)
+    assert (unpack_ids(pack_ids([ids[:100], ids[100:]]), len(ids)) == ids).all()

@@ -12,7 +12,7 @@ A record is little-endian unsigned 16-bit: how many ids count, the ids, zeros.
 
 Sequences are written once to a table in the shared folder; their number is the
 table file's offset plus their place in it, so nothing is sorted to count.  Tokens
-travel in compressed blobs, one per task and shard, high bytes apart from low ones.
+travel in compressed blobs, one per task and shard, recoded by how often they occur.
 Shard files are written under a name of their own and then moved, so a task that
 runs twice leaves one whole file.  Paths may be of any store that pyarrow opens.
 
@@ -61,14 +61,27 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def pack_ids(parts: list[np.ndarray]) -> bytes:
-    """16-bit ids as compressed bytes, all high bytes first."""
-    flat = np.concatenate(parts).astype("<u2").view(np.uint8).reshape(-1, 2)
-    return pa.compress(np.ascontiguousarray(flat[:, ::-1].T).tobytes(), codec="zstd", asbytes=True)
+    """16-bit ids as compressed bytes: ranked by how often they occur, one byte each, 255 pointing to a longer rank."""
+    ids = np.concatenate(parts).astype(np.int64)
+    counts = np.bincount(ids)
+    order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    rank = np.zeros(len(counts), np.int64)
+    rank[order] = np.arange(len(order))
+    r = rank[ids]
+    rest = (r[r >= 255] - 255).astype("<u2").view(np.uint8).reshape(-1, 2)
+    low, high = (pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) for x in (np.minimum(r, 255).astype(np.uint8), rest.T))
+    return np.asarray([len(order), len(rest), len(low)], "<u4").tobytes() + order.astype("<u2").tobytes() + low + high
 
 
 def unpack_ids(raw: bytes, n: int) -> np.ndarray:
-    flat = np.frombuffer(pa.decompress(raw, 2 * n, codec="zstd", asbytes=True), np.uint8).reshape(2, n)
-    return np.ascontiguousarray(flat[::-1].T).view("<u2").ravel()
+    distinct, longer, size = np.frombuffer(raw, "<u4", 3).tolist()
+    order = np.frombuffer(raw, "<u2", distinct, 12)
+    at = 12 + 2 * distinct
+    r = np.frombuffer(pa.decompress(raw[at : at + size], n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
+    if longer:
+        rest = np.frombuffer(pa.decompress(raw[at + size :], 2 * longer, codec="zstd", asbytes=True), np.uint8).reshape(2, longer)
+        r[r == 255] = np.ascontiguousarray(rest.T).view("<u2").ravel().astype(np.int64) + 255
+    return order[r]
 
 
 #: Ids that one row of the sequence table holds, about, and ids that a task deals out at once.
