@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import learning, market
+from tidemark.plans import flows, learning, market
 
-QUERIES: dict = {**market.QUERIES, **learning.QUERIES}
-ORACLE_SQL: dict = {**market.ORACLE_SQL, **learning.ORACLE_SQL}
+QUERIES: dict = {**market.QUERIES, **learning.QUERIES, **flows.QUERIES}
+ORACLE_SQL: dict = {**market.ORACLE_SQL, **learning.ORACLE_SQL, **flows.ORACLE_SQL}

@@ -173,9 +173,15 @@ def _(load):
     return M.one_hot(load("events").select("event_id", "event_type"), "event_type", ["view", "click", "purchase"]).drop("event_type")
 
 
-_NEAR = """q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
-d AS (SELECT query_id, vec_id AS id, label, embedding, list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE)))) AS d2 FROM embeddings, q WHERE vec_id <> query_id),
-n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS rank FROM d QUALIFY rank <= 8)"""
+def _near(suffix: str = "", dims: int = 64) -> str:
+    """The 8 nearest rows n of each query q by their first dimensions, as common table expressions."""
+    q, d, n = (x + suffix for x in "qdn")
+    return f"""{q} AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+{d} AS (SELECT query_id, vec_id AS id, label, embedding, list_sum(list_transform(range(1, {dims + 1}), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(qv[i] AS DOUBLE)))) AS d2 FROM embeddings, {q} WHERE vec_id <> query_id),
+{n} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, id) AS rank FROM {d} QUALIFY rank <= 8)"""
+
+
+_NEAR = _near()
 
 
 def near_of(load, k=8, dims=None):
@@ -200,10 +206,7 @@ def _(load):
     return near(M.idw_projection(near_of(load), ["x", "y"]))
 
 
-_FLAT = _NEAR.replace("range(1, 65)", "range(1, 3)").replace("q AS", "q2 AS").replace("d AS", "e2 AS").replace("n AS", "n2 AS").replace("embeddings, q WHERE", "embeddings, q2 WHERE").replace("FROM d QUALIFY", "FROM e2 QUALIFY")
-
-
-@query("neighbor_preservation", f"WITH {_NEAR}, {_FLAT}, p AS (SELECT query_id, count(*) AS shared FROM n JOIN n2 USING (query_id, id) GROUP BY query_id) SELECT {r('coalesce(sum(shared), 0) / 8.0 / (SELECT count(*) FROM q)', 'preservation')} FROM p")
+@query("neighbor_preservation", f"WITH {_NEAR}, {_near('2', 2)}, p AS (SELECT query_id, count(*) AS shared FROM n JOIN n2 USING (query_id, id) GROUP BY query_id) SELECT {r('coalesce(sum(shared), 0) / 8.0 / (SELECT count(*) FROM q)', 'preservation')} FROM p")
 def _(load):
     return near(M.neighbour_overlap(near_of(load), near_of(load, dims=2), 8))
 
