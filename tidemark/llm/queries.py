@@ -6,6 +6,7 @@ from corpus_pipeline import run as pipeline
 from tidemark.llm.decontaminate import op1
 from tidemark.llm.license_scan import op4
 from tidemark.llm.neighbours import op9
+from tidemark.llm.oracles import ORACLE_SQL  # noqa: F401
 from tidemark.llm.packing import op3
 from tidemark.llm.secret_scan import op5
 from tidemark.llm.sharding import op2
@@ -27,5 +28,3 @@ QUERIES = {
     "op9_neighbours": op9,
     "op10_toxicity": op10,
 }
-
-ORACLE_SQL: dict[str, str] = {}
