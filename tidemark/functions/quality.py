@@ -18,13 +18,18 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
     A column is near-constant if its distinct values are at most 1 % of its rows.
     """
-    x = long_form(df, columns)
+    # Equal values are counted first: what is shuffled and ranked is distinct values with their counts.
+    x = long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
     base = x.groupBy("feature").agg(
-        F.count("value").alias("count"), F.count(F.when(F.col("value").isNull(), 1)).alias("missing"), F.count_distinct("value").alias("unique"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stddev"),
+        F.coalesce(F.sum(known), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("unique"),
+        F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("n")) / F.nullif(F.sum(known), F.lit(0))).alias("mean"), F.percentile("value", F.lit(0.5), F.col("n")).alias("median"),
     )
-    z = (F.col("value") - F.col("mean")) / F.nullif(F.col("stddev"), F.lit(0.0))
-    moments = x.join(F.broadcast(base.select("feature", "mean", "stddev")), "feature").groupBy("feature").agg(F.avg(z**3).alias("skewness"), (F.avg(z**4) - 3).alias("kurtosis"))
+    d = F.col("value") - F.col("mean")
+    sums = x.join(F.broadcast(base.select("feature", "mean", "count")), "feature").groupBy("feature").agg(*(F.sum(d**k * F.col("n")).alias(f"s{k}") for k in (2, 3, 4)), F.max("count").alias("rows"))
+    stddev = F.sqrt(F.col("s2") / F.nullif(F.col("rows") - 1, F.lit(0)))
+    scale = F.nullif(stddev, F.lit(0.0))
+    moments = sums.select("feature", F.coalesce(stddev, F.lit(0.0)).alias("stddev"), (F.col("s3") / F.col("rows") / scale**3).alias("skewness"), (F.col("s4") / F.col("rows") / scale**4 - 3).alias("kurtosis"))
     out = base.join(moments, "feature")
     return out.withColumn("constant", F.col("unique") <= 1).withColumn("near_constant", (F.col("unique") > 1) & (F.col("unique") <= F.col("count") * 0.01))
 
