@@ -372,6 +372,24 @@ def test_op10_finds_what_labels_mark(spark, put):
     assert wrong <= 5
 
 
+def test_op10_selects_the_same_features_in_any_layout(spark):
+    """Positives lie together, as in a corpus written source by source; a neutral word is in a third of all texts."""
+    from tidemark.llm.toxicity import fit
+
+    r = random.Random(9)
+    rare = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    docs = []
+    for i in range(3000):
+        w = [r.choice(rare) for _ in range(20)] + ["neutral"] * (i % 3 == 0) + ["vile"] * (i < 300)
+        docs.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, 1, int(i < 300)) for i in range(0, 3000, 2)], "doc_id long, quality int, toxic int")
+    picked = []
+    for n in (1, 50):
+        laid = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(n, "doc_id")
+        picked.append(np.flatnonzero(fit(laid, labels).weights).tolist())
+    assert picked[0] and picked[0] == picked[1]
+
+
 @pytest.mark.parametrize("n", [1, 255, 256, 257, 65536])
 def test_packed_ids_come_back(n):
     from tidemark.llm.token_output import pack_ids, unpack_ids

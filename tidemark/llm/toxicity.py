@@ -144,14 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
         for batch in batches:
             for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[p][np.frombuffer(raw, "<i4")] += 1
-        at = np.flatnonzero(seen[True])
+        at = np.flatnonzero(seen[True] + seen[False])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[True][at]), pa.array(seen[False][at])], names=["bucket", "p", "u"])
 
     sizes = {r["positive"]: r["count"] for r in table.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
     if not n_p or not n_u or not 0 < prior < 1:
         return None
-    # Buckets that positives hold are few per task; U counts of the other buckets are not needed.
+    # Every task gives all its buckets, BUCKETS rows at most: a bucket's positives may lie in other tasks than its unlabelled rows.
     pairs = table.mapInArrow(counts, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     expected = F.col("u") / n_u * n_p
     useful = (F.col("p") >= 5) & (F.col("p") > 2 * expected) & (F.col("p") - expected > 4 * F.sqrt(expected + 1))
