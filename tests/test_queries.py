@@ -88,3 +88,24 @@ def test_viterbi_is_the_best_path(spark):
         return m["initial"][at[0]] + sum(m["moves"][x][y] for x, y in itertools.pairwise(at)) + sum(density)
 
     assert score(got) == pytest.approx(max(score(p) for p in itertools.product(m["states"], repeat=6)))
+
+
+def test_side_distances_hold_levels_until_they_are_resolved(spark):
+    import random
+
+    from tidemark.operators import lookups
+
+    r = random.Random(4)
+    bars = [("s", i, r.uniform(90, 110), 2.0) for i in range(1300)] + [("t", 0, 100.0, 1.0), ("t", 1, 100.0, 0.0)]
+    levels = [("s", "BSL", 111.0, 3, None), ("s", "SSL", 89.0, 5, 1200), ("t", "BSL", 99.0, 0, None), ("t", "SSL", 100.0, 0, 0)]
+    levels += [("s", r.choice(["BSL", "SSL"]), r.uniform(85, 115), c, c + r.randint(0, 40)) for c in range(0, 1300, 60)]
+    got = lookups.side_distances(spark.createDataFrame(bars, "series_id string, bar_idx long, close double, atr double"), spark.createDataFrame(levels, "series_id string, type string, price double, created_idx long, resolved_idx long"))
+    want = {}
+    for s, i, close, atr in bars:
+        if atr > 0:
+            live = [(t, p) for own, t, p, a, b in levels if own == s and a <= i and (b is None or i <= b)]
+            up = min(((p - close) / atr for t, p in live if t == "BSL" and p >= close), default=-1.0)
+            down = min((-((p - close) / atr) for t, p in live if t == "SSL" and p <= close), default=-1.0)
+            want[s, i] = (up, down)
+    found = got.collect()
+    assert len(found) == len(want) and {(x["series_id"], x["bar_idx"]): (x["up"], x["down"]) for x in found} == want

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +46,40 @@ def swings(pivots: DataFrame, bars_with_atr: DataFrame) -> DataFrame:
     return p.select("series_id", "pivot_idx", "confirm_idx", move.alias("move"), (F.col("pivot_idx") - F.lag("pivot_idx").over(w)).alias("bars"), (move / F.when(F.col("atr") > 0, F.col("atr"))).alias("move_atr"))
 
 
-def side_distances(bars_with_atr: DataFrame, levels: DataFrame, reach: int = 500) -> DataFrame:
+def side_distances(bars_with_atr: DataFrame, levels: DataFrame) -> DataFrame:
     """Distance in ATRs from each close up to the nearest live buy-side level and down to the nearest live sell-side one; -1 if none.
 
-    A level is live from its creation until it is resolved, for `reach` bars at most;
-    it is dealt to the bars that it lives for, so the join is on equal keys.
+    A level is live from its creation until it is resolved, both bars included, and
+    for ever if it never is.  One fold over a series holds its live levels by price.
     """
-    stop = F.least(F.coalesce("resolved_idx", F.col("created_idx") + reach), F.col("created_idx") + reach)
-    live = levels.select("series_id", "type", F.col("price").alias("level"), F.explode(F.sequence("created_idx", stop)).alias("bar_idx"))
-    b = bars_with_atr.where("atr > 0").select("series_id", "bar_idx", "close", "atr")
-    gap = (F.col("level") - F.col("close")) / F.col("atr")
-    side = b.join(live, ["series_id", "bar_idx"]).groupBy("series_id", "bar_idx").agg(F.min(F.when((F.col("type") == "BSL") & (gap >= 0), gap)).alias("up"), F.min(F.when((F.col("type") == "SSL") & (gap <= 0), -gap)).alias("down"))
-    return b.join(side, ["series_id", "bar_idx"], "left").select("series_id", "bar_idx", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("up", "down")))
+    none = {"created": "long", "resolved": "long", "buy": "boolean", "price": "double", "bar_idx": "long", "close": "double", "atr": "double"}
+    rows = lambda df, **own: df.select(F.col("series_id"), *((own[c] if c in own else F.lit(None)).cast(t).alias(c) for c, t in none.items()))
+    lv = rows(levels.where(F.col("type").isin("BSL", "SSL")), created=F.col("created_idx"), resolved=F.col("resolved_idx"), buy=F.col("type") == "BSL", price=F.col("price"))
+    b = rows(bars_with_atr.where("atr > 0"), bar_idx=F.col("bar_idx"), close=F.col("close"), atr=F.col("atr"))
+
+    def fold(table: pa.Table) -> pa.Table:
+        is_bar = pc.is_valid(table["bar_idx"])
+        bars = table.filter(is_bar).sort_by("bar_idx")
+        known = [r for r in table.filter(pc.invert(is_bar)).select(["created", "resolved", "buy", "price"]).to_pylist() if r["price"] is not None]
+        begins = sorted(((r["created"], r["buy"], r["price"]) for r in known if r["resolved"] is None or r["resolved"] >= r["created"]), key=lambda e: e[0])
+        ends = sorted(((r["resolved"], r["buy"], r["price"]) for r in known if r["resolved"] is not None and r["resolved"] >= r["created"]), key=lambda e: e[0])
+        live: dict[bool, list[float]] = {True: [], False: []}
+        up, down, i, j = [], [], 0, 0
+        for at, close, atr in zip(*(bars[c].to_pylist() for c in ("bar_idx", "close", "atr")), strict=True):
+            while i < len(begins) and begins[i][0] <= at:
+                insort(live[begins[i][1]], begins[i][2])
+                i += 1
+            while j < len(ends) and ends[j][0] < at:
+                own = live[ends[j][1]]
+                del own[bisect_left(own, ends[j][2])]
+                j += 1
+            k, n = bisect_left(live[True], close), bisect_right(live[False], close)
+            up.append((live[True][k] - close) / atr if k < len(live[True]) else -1.0)
+            down.append(-((live[False][n - 1] - close) / atr) if n else -1.0)
+        return pa.table({"series_id": bars["series_id"], "bar_idx": bars["bar_idx"], "up": pa.array(up, pa.float64()), "down": pa.array(down, pa.float64())})
+
+    kind = bars_with_atr.schema
+    return lv.unionByName(b).groupBy("series_id").applyInArrow(fold, f"series_id {kind['series_id'].dataType.simpleString()}, bar_idx long, up double, down double").withColumn("bar_idx", F.col("bar_idx").cast(kind["bar_idx"].dataType))
 
 
 def regression_channel(blocks: DataFrame, tick: float = 0.25) -> DataFrame:
