@@ -346,6 +346,21 @@ def test_op9(spark, sf):
     assert hits / total >= 0.9
 
 
+def test_op9_answers_outliers_in_full(spark, put):
+    """Dense groups settle the width; vectors far from all others still get their ten nearest."""
+    r = np.random.default_rng(8)
+    vectors = r.standard_normal((20, 8))[r.integers(0, 20, 1200)] + 0.001 * r.standard_normal((1200, 8))
+    vectors[100], vectors[200], vectors[300] = 3 * np.ones(8), 500 * np.eye(8)[0], -500 * np.eye(8)[1]
+    vectors = vectors.astype("f4")
+    by = defaultdict(list)
+    for x in queries.op9(spark, put(embeddings=([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int"))).collect():
+        by[x["query_id"]].append((x["rank"], x["vec_id"]))
+    assert set(by) == set(range(0, 1200, 100)) and all([n for n, _ in sorted(own)] == list(range(1, 11)) for own in by.values())
+    for q in (200, 300):
+        d = np.sqrt(((vectors.astype(float) - vectors[q].astype(float)) ** 2).sum(axis=1))
+        assert [i for _, i in sorted(by[q])] == [int(i) for i in np.lexsort((np.arange(1200), d)) if i != q][:10]
+
+
 def test_op10(spark, sf, corpus):
     got = rows(queries.op10(spark, sf))
     assert set(got) == {d for d, *_ in corpus}

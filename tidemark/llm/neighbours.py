@@ -11,6 +11,10 @@ The width is fitted on at most SAMPLE rows: the smallest one whose recall among
 them reaches TARGET.  Neighbours are nearer in the whole table than in a sample,
 so recall on all rows is no lower than what was asked for.
 
+A query for which its buckets hold fewer than k rows is searched again with
+buckets WIDER times as wide besides, and if that finds too few as well, among all
+rows; so each has k neighbours, or all candidates where there are fewer.
+
 Queries are a stated set that is taken in blocks of at most BLOCK rows: a block's
 probes are loaded by every task, each task looks its rows' buckets up in them and
 keeps the k best of each query, and only these are shuffled.  No bucket is ever
@@ -31,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
 NEIGHBOURS, EVERY = 10, 100
 TABLES, PROJECTIONS, PROBES = 16, 8, 64
 #: Queries of one block; rows of the sample that the width is fitted on; recall asked for there.
 BLOCK, SAMPLE, TARGET = 1024, 4000, 0.96
 WIDTHS = (0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 6.0, 10.0, 30.0)
+#: Width of the second search, as a multiple of the first one's.
+WIDER = 4
 SEED = 20240229
 
 
@@ -114,6 +122,15 @@ def best(query: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
+def closest(met: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray) -> np.ndarray:
+    """met, rows x queries, without what is surely not among a query's k nearest nor within its bound."""
+    own, asked = (x**2).sum(axis=1), (q**2).sum(axis=1)
+    square = np.where(met, own[:, None] + asked[None] - 2 * x @ q.T, np.inf)
+    kth = np.partition(square, k - 1, axis=0)[k - 1] if len(x) > k else np.full(len(q), np.inf)
+    # Far more than what the expanded square is rounded by: ties and near ties stay for the exact distance.
+    return met & (square <= np.minimum(kth, bound**2) + 1e-9 * (own.max(initial=0) + asked))
+
+
 def fit_width(x: np.ndarray, k: int, target: float) -> float:
     """The smallest width, as a multiple of the sample's spread, that reaches the target recall on the sample."""
     spread = float(np.sqrt(((x - x.mean(axis=0)) ** 2).sum(axis=1).mean())) or 1.0
@@ -150,11 +167,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     rows = rows.where(F.size(v) == widest["n"])
     flat = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("asks"))
     drawn = flat.orderBy(F.xxhash64("id", "v")).limit(sample).collect()  # at most `sample` rows
-    tables = Hash(widest["n"], fit_width(np.asarray([r["v"] for r in drawn], np.float64), k, target))
-    asked = flat.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() * 5 // (block * 4)))  # so that a block by hash keeps within its size
+    width = fit_width(np.asarray([r["v"] for r in drawn], np.float64), k, target)
+    narrow, wide = Hash(widest["n"], width), Hash(widest["n"], width * WIDER)
 
-    def look_up(at):
+    def look_up(at, hashes):
         def run(batches):
             ids, q, probes = at.value
             held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
@@ -163,9 +179,16 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
                 for lo in range(0, len(vec), 256):
                     part, own = x[lo : lo + 256], vec[lo : lo + 256]
-                    r, c = np.nonzero(candidates(tables.keys(part), probes, len(ids)))
-                    other = own[r] != ids[c]
-                    r, c = r[other], c[other]
+                    met = np.full((len(part), len(ids)), not hashes)
+                    for h, p in zip(hashes, probes, strict=True):
+                        met |= candidates(h.keys(part), p, len(ids))
+                    met &= own[:, None] != ids[None]
+                    if len(hashes) != 1:  # many rows are met: only the nearest ones are measured
+                        count = np.bincount(held[0], minlength=len(ids))
+                        worst = np.zeros(len(ids))
+                        np.maximum.at(worst, held[0], held[1])
+                        met = closest(met, part, q, k, np.where(count < k, np.inf, worst))
+                    r, c = np.nonzero(met)
                     held = [np.concatenate(p) for p in zip(held, (c, distances(part[r], q[c]), own[r]), strict=True)]
                     keep = best(*held, k)
                     held = [p[keep] for p in held]
@@ -173,19 +196,33 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
 
         return run
 
-    found = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        for lo in range(0, len(part), block):
-            some = part[lo : lo + block]
-            ids, q = np.asarray([r["id"] for r in some], np.int64), np.asarray([r["v"] for r in some], np.float64)
-            at = spark.sparkContext.broadcast((ids, q, tables.probes(q)))
-            got = flat.select("id", "v").mapInArrow(look_up(at), kind)
-            found = got if found is None else found.union(got)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def search(asked, hashes):
+        """The k nearest rows in the buckets of some of the hashes; of all rows, where there is no hash."""
+        blocks = max(1, -(-asked.count() * 5 // (block * 4)))  # so that a block by hash keeps within its size
+        found = None
+        for b in range(blocks):
+            part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+            for lo in range(0, len(part), block):
+                some = part[lo : lo + block]
+                ids, q = np.asarray([r["id"] for r in some], np.int64), np.asarray([r["v"] for r in some], np.float64)
+                at = spark.sparkContext.broadcast((ids, q, [h.probes(q) for h in hashes]))
+                got = flat.select("id", "v").mapInArrow(look_up(at, hashes), kind)
+                found = got if found is None else found.union(got)
+        if found is None:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+
+    asked = flat.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    out = search(asked, [narrow])
+    for hashes in ([narrow, wide], []):
+        full = out.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+        asked = written(asked.join(full, "id", "left_anti"))
+        if asked.isEmpty():
+            break
+        again = search(asked, hashes)
+        out = out.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").select(again.columns).unionByName(again)
+    return out
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
