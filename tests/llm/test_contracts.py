@@ -85,12 +85,33 @@ def test_op1_blocks_and_longest_matches(spark, sf):
     b = {r["doc_id"]: r["found"] for r in parts.collect()}
     for d in a:
         assert a[d]["n_hit"] == b[d]["n_hit"] and a[d]["items"] == b[d]["items"]
-        assert {tuple(m) for m in a[d]["matches"]} == {tuple(m) for m in b[d]["matches"]}
     texts = {r["doc_id"]: words(r["text"]) for r in docs.collect()}
-    for d, r in a.items():
-        for m in r["matches"]:
-            options = [words(x["text"]) for x in bench.where(f"cast(item_id as string) = '{m['item']}'").collect()]
-            assert any(texts[d][m["word"] : m["word"] + m["length"]] == o[m["item_word"] : m["item_word"] + m["length"]] for o in options)
+    items = [(str(x["item_id"]), words(x["text"])) for x in bench.where("item_id is not null").collect()]
+    for d in a:
+        w = texts[d]
+        for r in (a[d], b[d]):
+            covered = set()
+            for m in r["matches"]:
+                own = [t for i, t in items if i == m["item"]]
+                assert any(w[m["word"] : m["word"] + m["length"]] == t[m["item_word"] : m["item_word"] + m["length"]] for t in own)
+                covered |= set(range(m["word"], m["word"] + m["length"]))
+            assert len(covered) == r["n_hit"]
+        for m in a[d]["matches"]:
+            if m["length"] >= 10:  # no item has more of the document from there on
+                more = w[m["word"] : m["word"] + m["length"] + 1]
+                assert len(more) == m["length"] or not any(t[k : k + len(more)] == more for _, t in items for k in range(len(t)))
+
+
+def test_op1_texts_of_one_word_or_period(spark):
+    """Suffixes that are alike in text and item: ranges meet, not pairs."""
+    from tidemark.llm.decontaminate import decontaminate
+
+    docs = spark.createDataFrame([(1, "a " * 1_000_000), (2, "a b " * 300_000), (3, "a " * 12), (4, "b " * 12)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, "a " * 20_000) for k in range(30)] + [(99, "b a " * 10)], "item_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in decontaminate(docs, bench)[0].select("doc_id", "found").collect()}
+    assert [got[d]["n_hit"] for d in (1, 2, 3, 4)] == [1_000_000, 600_000, 12, 0]
+    assert [len(got[d]["items"]) for d in (1, 2, 3, 4)] == [30, 1, 30, 0]
+    assert got[1]["matches"][0]["length"] == 20_000 and got[2]["matches"][0]["length"] == 19
 
 
 def test_op2(spark, sf, corpus):
