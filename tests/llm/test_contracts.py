@@ -169,6 +169,17 @@ def test_ids_are_those_of_the_json_tokenizer(text):
     assert token_ids(encoder(tokenizer_files()), text).tolist() == want
 
 
+@pytest.mark.parametrize("mark", [" ", "\n", "\t"])
+def test_two_million_white_spaces(mark):
+    import public_tokenizers
+
+    from tidemark.llm.packing import encoder, token_ids, tokenizer_files
+
+    text = "a" + mark * 2_000_000 + "b <|endoftext|>"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids + [0]
+    assert token_ids(encoder(tokenizer_files()), text).tolist() == want
+
+
 def test_plan_holds_everything_and_pairs_large_ones():
     from tidemark.llm.packing import plan
 
@@ -348,6 +359,20 @@ def test_op8_slots_files_and_resumption(spark, sf, corpus):
         assert sum((by_doc[d][k] for k in sorted(by_doc[d])), []) == tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
 
 
+def test_op8_counts_on_over_several_files_of_a_task(spark):
+    from tidemark.llm.token_output import materialise, permuted
+
+    with pytest.raises(ValueError):
+        permuted(np.asarray([5]), 5, 1)
+    docs = spark.createDataFrame([(i, "some words " * (i % 50)) for i in range(500)], "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        got = [r["slot"] for r in materialise(docs, length=32, per_shard=50, row_ids=500)[0].collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(got) == list(range(len(got)))
+
+
 def test_op9(spark, sf):
     got = queries.op9(spark, sf).collect()
     known = {r["vec_id"]: np.asarray(r["embedding"], float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 400").collect()}

@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm.common import written
 
@@ -38,27 +39,46 @@ END_ID = 0
 #: Pieces that one rank window may hold before more buckets are used.
 BUCKET_ROWS = 100_000
 
-_ENCODERS: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """Ranks and split pattern of byte_bpe_50k: the same vocabulary and ids as byte_bpe_50k.json."""
+def tokenizer_files() -> tuple[str, str, str]:
+    """Ranks and split pattern of byte_bpe_50k, and the JSON file with the same vocabulary and ids."""
     import public_tokenizers as public
 
-    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
+    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN, public.path("byte_bpe_50k.json")
 
 
-def encoder(files: tuple[str, str]) -> tiktoken.Encoding:
-    if files not in _ENCODERS:
+class Encoder:
+    """The JSON file's ids, by the ranks' faster library where that can split a text, else by the JSON file itself."""
+
+    def __init__(self, files: tuple[str, str, str]):
         with open(files[0], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[files] = tiktoken.Encoding("byte_bpe", pat_str=files[1], mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=files[1], mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+        self.json = files[2]
+        self.slow: Tokenizer | None = None
+
+    def encode(self, text: str) -> list[int]:
+        """Special tokens' strings are read as such, as the JSON file's tokenizer does."""
+        try:
+            return self.fast.encode(text, allowed_special="all")
+        except ValueError:  # about a million white-space characters in a row are too many for its split pattern
+            self.slow = self.slow or Tokenizer.from_file(self.json)
+            return self.slow.encode(text, add_special_tokens=False).ids
+
+
+_ENCODERS: dict[tuple[str, str, str], Encoder] = {}
+
+
+def encoder(files: tuple[str, str, str]) -> Encoder:
+    if files not in _ENCODERS:
+        _ENCODERS[files] = Encoder(files)
     return _ENCODERS[files]
 
 
-def token_ids(enc: tiktoken.Encoding, text: str | None, end_id: int = END_ID) -> np.ndarray:
-    """Ids as little-endian unsigned 32-bit numbers, the end id last; special tokens' strings are read as such, as the JSON file's tokenizer does."""
-    ids = enc.encode(text, allowed_special="all") if text else []
+def token_ids(enc: Encoder, text: str | None, end_id: int = END_ID) -> np.ndarray:
+    """Ids as little-endian unsigned 32-bit numbers, the end id last."""
+    ids = enc.encode(text) if text else []
     return np.append(np.asarray(ids, "<u4"), np.asarray([end_id], "<u4"))
 
 
@@ -69,7 +89,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, min(head or capacity, n) if s == 0 else capacity) for s in starts]
 
 
-def pieces(docs: DataFrame, *, id_col: str, text: str, capacity: int, files: tuple[str, str], end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str, text: str, capacity: int, files: tuple[str, str, str], end_id: int = END_ID) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32."""
     kind = f"doc {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
@@ -184,7 +204,7 @@ def segments(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.nd
     return {n: np.asarray(rows, np.int64) for n, rows in out.items()}
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, files: tuple[str, str] | None = None, end_id: int = END_ID, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, files: tuple[str, str, str] | None = None, end_id: int = END_ID, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
     table = written(pieces(docs, id_col=id_col, text=text, capacity=capacity, files=files or tokenizer_files(), end_id=end_id))
     buckets = max(64, table.count() // bucket_rows)

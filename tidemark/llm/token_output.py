@@ -11,7 +11,9 @@ shard s // per_shard, and a reader resumes anywhere with one seek.
 A record is little-endian unsigned 16-bit: how many ids count, the ids, zeros.
 
 Sequences are written once to a table in the shared folder; their number is the
-table file's offset plus their place in it, so nothing is sorted to count.  Tokens
+table file's offset plus their place in it (a task that writes several files counts
+on from one to the next, so a file's own first number is taken off), and nothing is
+sorted to count.  Tokens
 travel in compressed blobs, one per task and shard, recoded by how often they occur.
 Shard files are written under a name of their own and then moved, so a task that
 runs twice leaves one whole file.  Paths may be of any store that pyarrow opens.
@@ -42,6 +44,8 @@ ROUNDS = 6
 
 def permuted(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
     """Slots of the numbers x below n: a permutation of 0 to n - 1 that the key picks."""
+    if len(x) and not 0 <= int(x.min()) <= int(x.max()) < n:
+        raise ValueError(f"sequence numbers must lie in 0 to {n - 1}")
     half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
     mask = np.uint64((1 << half) - 1)
     keys = mix(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key))
@@ -89,7 +93,7 @@ ROW_IDS, DEAL_IDS = 1 << 18, 1 << 24
 _TABLE = "first long, n int, docs array<{doc}>, pieces array<int>, counts array<int>, ids binary"
 
 
-def sequences(docs: DataFrame, *, id_col: str, text: str, length: int, files: tuple[str, str], end_id: int) -> DataFrame:
+def sequences(docs: DataFrame, *, id_col: str, text: str, length: int, files: tuple[str, str, str], end_id: int, row_ids: int = ROW_IDS) -> DataFrame:
     """Rows of many sequences each: the first one's number within its task, ids, pieces, numbers of tokens, and all tokens packed."""
     doc = docs.schema[id_col].dataType
     arrow = to_arrow_type(doc)
@@ -114,7 +118,7 @@ def sequences(docs: DataFrame, *, id_col: str, text: str, length: int, files: tu
                     count.append(min(length, len(got) - s))
                 ids.append(got)
                 size += len(got)
-                if size >= ROW_IDS:
+                if size >= row_ids:
                     yield row()
                     first += len(own)
                     own, piece, count, ids, size = [], [], [], [], 0
@@ -124,16 +128,16 @@ def sequences(docs: DataFrame, *, id_col: str, text: str, length: int, files: tu
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, _TABLE.format(doc=doc.simpleString()))
 
 
-def materialise(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, files: tuple[str, str] | None = None, end_id: int = END_ID) -> tuple[DataFrame, str]:
+def materialise(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, files: tuple[str, str, str] | None = None, end_id: int = END_ID, row_ids: int = ROW_IDS) -> tuple[DataFrame, str]:
     """Writes shards and manifest below `path`; the index (id_col, piece, n_tokens, slot, shard, byte, ids_crc32), and the path."""
     spark = docs.sparkSession
     path = (path or shared_folder(spark)).rstrip("/")
-    table = written(sequences(docs, id_col=id_col, text=text, length=length, files=files or tokenizer_files(), end_id=end_id))
+    table = written(sequences(docs, id_col=id_col, text=text, length=length, files=files or tokenizer_files(), end_id=end_id, row_ids=row_ids))
     place = table.select("*", F.col("_metadata.file_name").alias("file"))
-    per_file = sorted((r["file"], r["n"]) for r in place.groupBy("file").agg(F.sum("n").alias("n")).collect())  # a row per task that wrote
+    per_file = sorted((r["file"], r["n"], r["least"]) for r in place.groupBy("file").agg(F.sum("n").alias("n"), F.min("first").alias("least")).collect())  # a row per file
     offsets, total = {}, 0
-    for file, n in per_file:
-        offsets[file] = total
+    for file, n, least in per_file:
+        offsets[file] = total - least
         total += n
     shared = spark.sparkContext.broadcast(offsets)
     stride = 2 * (length + 1)
