@@ -240,6 +240,41 @@ def test_op5(spark, put):
     assert "iban" in got[11]["spans"] and "iban" not in got[12]["spans"] and "card" in got[13]["spans"] and "card" not in got[14]["spans"] and "pem" in got[19]["spans"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["eyJ" * 700_000, ("eyJhbGciOi" * 30_000 + ".") * 5, "token " * 300_000, "token" + " " * 2_000_000, "password=" * 200_000, "AKIA" * 500_000, "card number " * 150_000 + "4" * 1000, "token=abcdefgh1 " * 100_000],
+    ids=["jwt", "headers", "keywords", "spaces", "nested", "akia", "cards", "secrets"],
+)
+def test_op5_scans_are_linear(text):
+    import time
+
+    from tidemark.llm.secret_scan import redactor, scanner
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    began = time.time()
+    scanner()(data, np.asarray([0, len(data)]))
+    redactor("x")(data, np.asarray([0, len(data)]))
+    assert time.time() - began < 10
+
+
+def test_op5_checks_inside_tokens():
+    import base64
+
+    from tidemark.llm.secret_scan import KINDS, finder
+
+    def kinds(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [KINDS[k] for _, k, _ in finder()(data, np.asarray([0, len(data)]))]
+
+    code = lambda raw: base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+    good = code(b'{"alg":"HS256"}')
+    assert kinds(f"{good}.{good}.abc") == ["jwt"]
+    for header in (b'{"' + b"[" * 2000, b'{"a":' + b"[" * 2900, b'{"alg":1' + b" " * 4000 + b"}", b'{"a": "alg"}'):
+        assert kinds(f"{code(header)}.{good}.abc") == []
+    assert kinds(f"{good} {good}.{good}.abc") == ["jwt"] and kinds(f"{good}.x {good}.{good}.abc") == ["jwt"]
+    assert kinds("card number 1234567812345670") == [] and kinds("card number 4111111111111111") == ["card"]
+
+
 def repeats(texts):
     seen, out = {}, {}
     raw = {d: (t or "").encode() for d, t in texts.items()}

@@ -168,10 +168,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where none is set, as in tests, a folder of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's spark.checkpoint.dir; where none is set, a folder of our own in local mode and an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = spark.sparkContext.getCheckpointDir() or "/tmp/tidemark-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "/tmp/tidemark-checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
     return where

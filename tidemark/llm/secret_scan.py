@@ -9,9 +9,12 @@ Kinds `assign`, `access` and `hex` are the base; matches are leftmost and do not
 overlap within a kind, and those that are too short are dropped after matching.
 Kinds of our own are kept only when a check inside the token holds: `github` and
 `npm` (the last six base-62 digits are the CRC-32 of the body), `jwt` (the header
-decodes to a JSON object with "alg"), `card` (Luhn, 13 to 19 digits with a known
-issuer prefix and length after a card keyword), `iban` (mod 97) and `pem` (a private-key block's
-first line).
+is at most HEADER characters and decodes to a JSON object with "alg"), `card` (Luhn
+and a known issuer's prefix and length, after a card keyword) and `iban` (mod 97).
+`pem` (a private-key block's first line) holds no checksum; the whole line must match.
+
+Hits are taken as the automaton gives them, and a place that was read is not read
+again for the same kind, so a scan is linear in the text.
 
 Null texts count as empty and have no spans; every row is judged by itself.
 """
@@ -23,6 +26,7 @@ import binascii
 import json
 import re
 import zlib
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -55,7 +59,11 @@ FORMS = {
     "pem": re.compile(rb"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
 }
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Card issuers: first and last prefix, lengths.
+ISSUERS = [("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("3528", "3589", (16, 19)), ("300", "305", (14, 16, 19)), ("36", "36", (14,)), ("38", "39", (14, 16)), ("50", "50", (12, 16, 19)), ("56", "58", (16, 19)), ("62", "62", (16, 19))]
 MARK = "[REDACTED]"
+#: Characters of a token's header that are decoded; keyword hits that are held at once.
+HEADER, HITS = 4096, 1 << 16
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 _HEX = np.zeros(256, bool)
@@ -73,12 +81,21 @@ def base62_crc(token: bytes) -> bool:
 
 
 def json_header(m: re.Match) -> bool:
+    if len(m[1]) > HEADER:
+        return False
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + b"=" * (-len(m[1]) % 4)))
-    except (ValueError, binascii.Error, TypeError):
+        told = json.loads(base64.urlsafe_b64decode(m[1] + b"=" * (-len(m[1]) % 4)))
+        return isinstance(told, dict) and "alg" in told
+    except (ValueError, binascii.Error, RecursionError):
         return False
 
 
+def issued(digits: bytes) -> bool:
+    """Whether an issuer gives numbers of this beginning and length."""
+    own = "".join(chr(c) for c in digits if 48 <= c < 58)
+    return any(low <= own[: len(low)] <= high and len(own) in lengths for low, high, lengths in ISSUERS)
+
+
 def luhn(digits: bytes) -> bool:
     d = [c - 48 for c in digits if 48 <= c < 58][::-1]
     return len(set(d)) > 1 and sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d)) % 10 == 0
@@ -97,35 +114,39 @@ def holds(kind: str, m: re.Match) -> bool:
         return len(m[0]) >= MIN_ACCESS
     if kind in ("github", "npm"):
         return base62_crc(m[0])
-    return {"jwt": json_header, "card": lambda m: luhn(m[1]), "iban": lambda m: mod97(m[1]), "pem": lambda m: True}[kind](m)
+    return {"jwt": json_header, "card": lambda m: issued(m[1]) and luhn(m[1]), "iban": lambda m: mod97(m[1]), "pem": lambda m: True}[kind](m)
 
 
-def scanner():
-    """f(data, offsets) for annotate(): the spans of each row."""
+_RUN = re.compile(rb"[A-Za-z0-9_-]*")
+
+
+def finder():
+    """f(data, offsets): (first byte, kind, past the last byte) of all spans of a chunk, by start and kind."""
     automaton = ahocorasick.Automaton()
     for kind, keys in KEYWORDS.items():
         for key in keys:
             automaton.add_word(key.decode(), (KINDS.index(kind), len(key)))
     automaton.make_automaton()
-    ints = pa.list_(pa.int32())
+    jwt = KINDS.index("jwt")
 
-    def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    def run(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         raw = data.tobytes()
-        hits: list[tuple[int, int]] = []
-        for end, (kind, n) in automaton.iter(LOWER[data].tobytes().decode("latin-1")):
-            hits.append((end + 1 - n, kind))
-        hits.sort()
         spans: list[tuple[int, int, int]] = []
-        rows = np.searchsorted(offsets, [h[0] for h in hits], "right") - 1
         taken = [0] * len(KINDS)
-        for (start, kind), row in zip(hits, rows, strict=True):
-            if start < taken[kind]:
-                continue  # inside this kind's last match
-            m = FORMS[KINDS[kind]].match(raw, start, int(offsets[row + 1]))
-            if m:
-                taken[kind] = m.end()
-                if holds(KINDS[kind], m):
-                    spans.append((start, kind, m.end()))
+        found = automaton.iter(LOWER[data].tobytes().decode("latin-1"))
+        while hits := [(end + 1 - n, kind) for end, (kind, n) in islice(found, HITS)]:
+            # No keyword lies within another of its kind, so each kind's hits come by start.
+            stops = offsets[np.searchsorted(offsets, [h[0] for h in hits], "right")].tolist()
+            for (start, kind), stop in zip(hits, stops, strict=True):
+                if start < taken[kind]:
+                    continue  # inside what this kind has read
+                m = FORMS[KINDS[kind]].match(raw, start, stop)
+                if m:
+                    taken[kind] = m.end()
+                    if holds(KINDS[kind], m):
+                        spans.append((start, kind, m.end()))
+                elif kind == jwt:  # no later start in these characters can do better
+                    taken[kind] = _RUN.match(raw, start, stop).end()
         inside = np.zeros(len(data) + 2, np.int8)
         inside[1:-1] = _HEX[data]
         turn = np.flatnonzero(np.diff(inside))
@@ -136,24 +157,53 @@ def scanner():
             for a, b in zip([int(s), *edges], [*edges, int(e)], strict=True):  # a run ends where its document does
                 if b - a >= MIN_HEX:
                     spans.append((a, KINDS.index("hex"), b))
-        n = len(offsets) - 1
-        kinds, starts, ends = ([[] for _ in range(n)] for _ in range(3))
-        if spans:
-            spans.sort()
-            row = np.searchsorted(offsets, [s[0] for s in spans], "right") - 1
-            own: int | None = None
-            for (s, kind, e), r in zip(spans, row, strict=True):
-                if own != r:  # bytes to code points, for rows with spans only
-                    own = int(r)
-                    points = np.concatenate([[0], np.cumsum((data[offsets[r] : offsets[r + 1]] & 0xC0) != 0x80)])
-                kinds[r].append(kind)
-                starts[r].append(int(points[s - offsets[r]]))
-                ends[r].append(int(points[e - offsets[r]]))
+        return sorted(spans)
+
+    return run
+
+
+def by_row(spans: list[tuple[int, int, int]], offsets: np.ndarray):
+    """(row, its spans) for the rows that have some."""
+    at = np.searchsorted(offsets, [s[0] for s in spans], "right") - 1
+    for own in np.split(np.arange(len(spans)), np.flatnonzero(np.diff(at)) + 1):
+        if len(own):
+            yield int(at[own[0]]), spans[own[0] : own[-1] + 1]
+
+
+def scanner():
+    """f(data, offsets) for annotate(): the spans of each row in code points."""
+    find = finder()
+    ints = pa.list_(pa.int32())
+
+    def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        kinds, starts, ends = ([[] for _ in range(len(offsets) - 1)] for _ in range(3))
+        for r, own in by_row(find(data, offsets), offsets):
+            points = np.concatenate([[0], np.cumsum((data[offsets[r] : offsets[r + 1]] & 0xC0) != 0x80)])
+            start, kind, end = (np.asarray(x) for x in zip(*own, strict=True))
+            kinds[r], starts[r], ends[r] = kind, points[start - offsets[r]], points[end - offsets[r]]
         return [pa.array(x, ints) for x in (kinds, starts, ends)]
 
     return run
 
 
+def redactor(mark: str):
+    """f(data, offsets) for annotate(): each row's text without its spans, null where it has none."""
+    find = finder()
+
+    def run(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        clean: list[str | None] = [None] * (len(offsets) - 1)
+        for r, own in by_row(find(data, offsets), offsets):
+            parts, at = [], int(offsets[r])
+            for start, _, end in own:
+                if start >= at:
+                    parts += [data[at:start].tobytes(), mark.encode()]
+                at = max(at, end)
+            clean[r] = b"".join([*parts, data[at : offsets[r + 1]].tobytes()]).decode()
+        return [pa.array(clean, pa.string())]
+
+    return run
+
+
 def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """docs with an array column of struct(kind, start, end), by start and then as KINDS lists them; its name is returned too."""
     out, name = annotate(docs, text, KIND, scanner, keep)
@@ -163,16 +213,13 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
     return out.withColumn(name, spans), name
 
 
-def redact(docs: DataFrame, *, text: str = "text", mark: str = MARK) -> DataFrame:
-    """docs, all of them, with each stretch that spans cover replaced by `mark`."""
-    out, name = scan(docs, text=text)
-    t = F.col(f"`{text}`")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-    step = lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["done"].alias("done"))).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(a["done"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("done"))
-    )
-    clean = F.aggregate(F.col(name), start, step, lambda a: F.concat(a["done"], F.substring(t, a["at"] + 1, F.length(t) - a["at"])))
-    return out.withColumn(text, F.when(F.size(F.col(name)) > 0, clean).otherwise(t)).drop(name)
+def redact(docs: DataFrame, *, text: str = "text", mark: str = MARK, length: str | None = None) -> DataFrame:
+    """docs, all of them, with each stretch that spans cover replaced by `mark`; column `length`, if there, follows where a text changed."""
+    out, name = annotate(docs, text, "clean string", lambda: redactor(mark))
+    clean = F.col(name)["clean"]
+    if length in docs.columns:
+        out = out.withColumn(length, F.when(clean.isNotNull(), F.length(clean).cast(docs.schema[length].dataType)).otherwise(F.col(f"`{length}`")))
+    return out.withColumn(text, F.coalesce(clean, F.col(f"`{text}`"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
