@@ -15,8 +15,12 @@ CLOCK = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2})?).*$"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where none is set, as in tests, one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-checkpoints"
+    """A new folder below spark.checkpoint.dir; where none is set, one of our own in local mode and an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "/tmp/tidemark-checkpoints"
     return f"{where.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
