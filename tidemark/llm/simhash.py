@@ -10,15 +10,22 @@ one of two halves of 31 bits.  The anchors of a half are the code words of the
 perfect Hamming code [31, 26]: every value has exactly one within the covering
 radius 1 (its home).  Each fingerprint goes to all 16 anchors within radius plus
 threshold, 2 bits, of either half; the home of one of a linked pair always has
-the other one too.  Fingerprints are compared per anchor by their full distance,
-and an anchor passes on a spanning forest of its links, so output does not grow
-with the square of a dense group.
+the other one too.  As both homes would do, a fingerprint keeps its own home and the
+anchors above it only: the pair meets at the larger of its two homes.  Fingerprints
+are compared per anchor by their full distance, and an anchor passes on a spanning
+forest of its links, so output does not grow with the square of a dense group.
 
 Only different fingerprints are compared; copies fold into one beforehand.  An
 anchor with more than LIMIT members is dealt again by parts of the bits outside
 its half: of four parts at least one is equal in a linked pair, so this loses
 nothing, and a part that is still large is compared in blocks by its task.
 
+similar() links by resemblance instead: five-word shingles with a Jaccard index of 0.8
+or more.  Such texts may differ in ten of 64 bits, too many for any covering, so its
+fingerprint is longer (WORDS numbers of 62 bits, from word pairs, of which a changed
+word takes two and not five), it asks for one differing bit in one of its halves,
+and what meets is then held against the texts' own shingles.
+
 Null texts count as empty.  Null ids take no part in a minimum: a component of
 null ids only has a null id.  Repeated rows are each answered; extra columns are
 ignored.
@@ -32,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, row_chunks, text_buffer, written
+from tidemark.llm.common import _ODD, LOWER, mix, rolling, row_chunks, text_buffer, words, written
 from tidemark.llm.components import components
 
 SHINGLE, BITS = 3, 3
@@ -105,6 +112,7 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         home = np.zeros(reach.shape, bool)
         home[:, 0] = True
         homes.append(home)
+        reach[reach < reach[:, :1]] = -1  # a linked pair meets at the larger of its homes
     return np.concatenate(keys, axis=1), np.concatenate(homes, axis=1)
 
 
@@ -248,6 +256,192 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return found.join(by_fp, found["fp"] == by_fp["own"], "left").select(F.col("id").alias(id_col), "fp", F.when(F.col("own").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+#: similar(): fingerprint numbers, shingle and resemblance; bits of the number met in, and of the next one, that may differ.
+WORDS, LONG_SHINGLE, SIMILARITY = 6, 5, 0.8
+OWN_BITS, NEXT_BITS, CLOSE_BITS = 13, 19, 5
+#: Members of an anchor up to which all their pairs are looked at.
+ALL_PAIRS = 32
+#: A bit of each of four counters in a number; the bits of a number that halves cover.
+_LANES, _USED = np.uint64(0x0001000100010001), np.uint64((1 << 62) - 1)
+
+
+def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle), by row and without repeats; a row with fewer words has its whole sequence."""
+    n = np.diff(bounds)
+    rows, found = [], []
+    for k in range(1, size + 1):
+        own = n == k if k < size else n >= size
+        if own.any():
+            h = rolling(hashes, k)
+            ok = own[np.repeat(np.arange(len(n)), n)[: len(h)]] & (np.arange(len(h)) + k <= np.repeat(bounds[1:], n)[: len(h)])
+            at = np.flatnonzero(ok)
+            rows.append(np.searchsorted(bounds, at, "right") - 1)
+            found.append(h[at])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    row, h = np.concatenate(rows), np.concatenate(found)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[new], h[new]
+
+
+def long_fingerprints(row: np.ndarray, h: np.ndarray, n: int, count: int = WORDS) -> np.ndarray:
+    """n x count numbers: a bit is 1 if it is set in over half of the row's hashes, mixed anew for each number."""
+    out = np.zeros((n, count), np.uint64)
+    if not len(h):
+        return out
+    total = np.bincount(row, minlength=n)
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    cuts = np.union1d(first, np.arange(0, len(h), 1 << 15))  # a lane counts to 65,535
+    owner = row[cuts]
+    for w in range(count):
+        g = mix(h + np.uint64((w * _ODD) % (1 << 64)))
+        for s in range(16):
+            lanes = np.add.reduceat((g >> np.uint64(s)) & _LANES, cuts)
+            for k in range(4):
+                c = np.bincount(owner, (lanes >> np.uint64(16 * k)) & np.uint64(0xFFFF), n)
+                out[:, w] |= (2 * c > total).astype(np.uint64) << np.uint64(s + 16 * k)
+    return out
+
+
+def sketches(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:
+    """(id, d1, d2, fps): two digests that equal word sequences share (equal texts, where there is no word), and the fingerprint."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            for lo, hi in row_chunks(offsets):
+                at, part = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+                hashes, _, _, bounds = words(part, at)
+                d1, d2 = (folded(hashes, bounds, k) for k in (1, 2))
+                bare = np.diff(bounds) == 0
+                if bare.any():
+                    e1, e2 = (folded(part.astype(np.uint64) + np.uint64(1), at, k) for k in (3, 4))
+                    d1, d2 = np.where(bare, e1, d1), np.where(bare, e2, d2)
+                fps = long_fingerprints(*shingles(hashes, bounds, 2), hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], names=["id", "d1", "d2", "fps"])
+
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, "id long, d1 long, d2 long, fps array<long>")
+
+
+def folded(x: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    """An order-sensitive digest of each row's numbers."""
+    place = np.arange(len(x)) - np.repeat(bounds[:-1], np.diff(bounds))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(x * np.uint64(2 * salt + 1) + mix(place.astype(np.uint64) + np.uint64(salt << 40))))])
+    return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(_ODD))
+
+
+def meet(distinct: DataFrame, parts: int, *, own: int, following: int) -> DataFrame:
+    """Pairs (a, b) of ids that meet in an anchor and differ in few enough bits: all of a small anchor, two spanning forests of a large one."""
+
+    def replicate(batches):
+        for batch in batches:
+            ids, fps = batch.column(0).to_numpy(), batch.column(1)
+            every = fps.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            for w in range(every.shape[1]):
+                fp, nxt = every[:, w], every[:, (w + 1) % every.shape[1]]
+                key, home = anchors(fp)
+                used = (key >= 0).ravel()
+                key = (key + (w << 34)).ravel()[used]
+                row = np.repeat(np.arange(len(ids)), home.shape[1])[used]
+                for lo in range(0, len(row), 1 << 16):
+                    r = row[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[lo : lo + (1 << 16)], ids[r], fp[r].view(np.int64), nxt[r].view(np.int64))], names=["key", "id", "fp", "following"])
+
+    def settle(key, ids, fp, nxt):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(first, len(key)))
+        run_of = np.repeat(np.arange(len(first)), length)
+        small = np.flatnonzero((length[run_of] > 1) & (length[run_of] <= ALL_PAIRS))
+        r, i, x, y = run_of[small], ids[small], fp[small], nxt[small]
+        for s in range(1, ALL_PAIRS):
+            if len(r) <= s or not (same := r[s:] == r[:-s]).any():
+                break
+            ok = same & (np.bitwise_count((x[s:] ^ x[:-s]) & _USED) <= own) & (np.bitwise_count((y[s:] ^ y[:-s]) & _USED) <= following)
+            yield i[s:][ok], i[:-s][ok]
+        for k in np.flatnonzero(length > ALL_PAIRS):
+            at = slice(first[k], first[k] + length[k])
+            for limit in (CLOSE_BITS, own):
+                yield spanning(ids[at], fp[at] & _USED, nxt[at] & _USED, limit, following)
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            new = [c.to_numpy() for c in batch.columns]
+            new[2:] = [c.view(np.uint64) for c in new[2:]]
+            held = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
+            if whole:
+                yield from pairs([c[:whole] for c in held])
+                held = [c[whole:] for c in held]
+        if held is not None and len(held[0]):
+            yield from pairs(held)
+
+    def pairs(columns):
+        got = list(settle(*columns))
+        a, b = (np.concatenate([g[k] for g in got] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    dealt = distinct.select("id", "fps").mapInArrow(replicate, "key long, id long, fp long, following long").repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def spanning(ids: np.ndarray, fp: np.ndarray, nxt: np.ndarray, own: int, following: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join all that links of at most so many bits join."""
+    left, a, b = np.arange(len(ids)), [], []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            ok = (np.bitwise_count(fp[left] ^ fp[x]) <= own) & (np.bitwise_count(nxt[left] ^ nxt[x]) <= following)
+            new, left = left[ok], left[~ok]
+            a.append(np.full(len(new), ids[x]))
+            b.append(ids[new])
+            front.extend(new.tolist())
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+
+def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, set) of docs (id, text): the hashes of a text's shingles."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            for lo, hi in row_chunks(offsets):
+                hashes, _, _, bounds = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                row, h = shingles(hashes, bounds, size)
+                edges = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edges), pa.array(h.view(np.int64)))], names=["id", "set"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, set array<long>")
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = LONG_SHINGLE, similarity: float = SIMILARITY, own: int = OWN_BITS, following: int = NEXT_BITS) -> DataFrame:
+    """(id_col, component_id) for each row with an id: the smallest id that links reach; ids are integers.
+
+    Linked are equal word sequences, equal texts without words, and texts whose
+    shingles of `size` words have a Jaccard index of `similarity` or more.
+    """
+    spark = docs.sparkSession
+    known = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
+    found = written(sketches(known, id_col="id", text="text"))
+    different = written(found.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = written(meet(different.select(F.col("least").alias("id"), "fps"), parts, own=own, following=following))
+    asked = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(shingle_sets(known.join(asked, "id", "left_semi"), size).dropDuplicates())
+    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = met.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("every"))
+    roots = components(both.where((F.col("every") > 0) & (F.col("common") >= similarity * F.col("every"))).select("a", "b"))
+    rooted = different.select("d1", "d2", "n", "least").join(roots, F.col("least") == F.col("node"), "left")
+    moved = rooted.where("n > 1 or root is not null").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("root", "least").alias("to"))
+    return found.join(moved, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(F.col("id").alias(id_col), F.coalesce("to", "id").alias("component_id"))
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
