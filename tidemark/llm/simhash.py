@@ -256,13 +256,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     return found.join(by_fp, found["fp"] == by_fp["own"], "left").select(F.col("id").alias(id_col), "fp", F.when(F.col("own").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-#: similar(): fingerprint numbers, shingle and resemblance; bits of the number met in, and of the next one, that may differ.
+#: similar(): fingerprint numbers, shingle and resemblance; bits of the number met in, and of the lower half of the next one, that may differ.
 WORDS, LONG_SHINGLE, SIMILARITY = 6, 5, 0.8
-OWN_BITS, NEXT_BITS, CLOSE_BITS = 13, 19, 5
+OWN_BITS, NEXT_BITS, CLOSE_BITS = 13, 10, 5
 #: Members of an anchor up to which all their pairs are looked at.
-ALL_PAIRS = 32
-#: A bit of each of four counters in a number; the bits of a number that halves cover.
-_LANES, _USED = np.uint64(0x0001000100010001), np.uint64((1 << 62) - 1)
+ALL_PAIRS = 12
+#: A bit of each of four counters in a number; the bits of a number that halves cover, and that the lower half covers.
+_LANES, _USED, _HALF = np.uint64(0x0001000100010001), np.uint64((1 << 62) - 1), np.uint64((1 << 31) - 1)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -334,7 +334,7 @@ def folded(x: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
 
 
 def meet(distinct: DataFrame, parts: int, *, own: int, following: int) -> DataFrame:
-    """Pairs (a, b) of ids that meet in an anchor and differ in few enough bits: all of a small anchor, two spanning forests of a large one."""
+    """Pairs (a, b, bits) of ids that meet in an anchor and differ in few enough bits: all of a small anchor, two spanning forests of a large one."""
 
     def replicate(batches):
         for batch in batches:
@@ -348,7 +348,7 @@ def meet(distinct: DataFrame, parts: int, *, own: int, following: int) -> DataFr
                 row = np.repeat(np.arange(len(ids)), home.shape[1])[used]
                 for lo in range(0, len(row), 1 << 16):
                     r = row[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[lo : lo + (1 << 16)], ids[r], fp[r].view(np.int64), nxt[r].view(np.int64))], names=["key", "id", "fp", "following"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[lo : lo + (1 << 16)], ids[r], fp[r].view(np.int64), (nxt[r] & _HALF).astype(np.int32))], names=["key", "id", "fp", "following"])
 
     def settle(key, ids, fp, nxt):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -359,18 +359,20 @@ def meet(distinct: DataFrame, parts: int, *, own: int, following: int) -> DataFr
         for s in range(1, ALL_PAIRS):
             if len(r) <= s or not (same := r[s:] == r[:-s]).any():
                 break
-            ok = same & (np.bitwise_count((x[s:] ^ x[:-s]) & _USED) <= own) & (np.bitwise_count((y[s:] ^ y[:-s]) & _USED) <= following)
-            yield i[s:][ok], i[:-s][ok]
+            bits = np.bitwise_count(x[s:] ^ x[:-s])
+            ok = same & (bits <= own) & (np.bitwise_count(y[s:] ^ y[:-s]) <= following)
+            yield i[s:][ok], i[:-s][ok], bits[ok]
         for k in np.flatnonzero(length > ALL_PAIRS):
             at = slice(first[k], first[k] + length[k])
+            order = np.argsort(ids[at])
             for limit in (CLOSE_BITS, own):
-                yield spanning(ids[at], fp[at] & _USED, nxt[at] & _USED, limit, following)
+                yield spanning(ids[at][order], fp[at][order], nxt[at][order], limit, following)
 
     def compare(batches):
         held = None
         for batch in batches:
             new = [c.to_numpy() for c in batch.columns]
-            new[2:] = [c.view(np.uint64) for c in new[2:]]
+            new[2] = new[2].view(np.uint64) & _USED
             held = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
             whole = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
             if whole:
@@ -380,32 +382,32 @@ def meet(distinct: DataFrame, parts: int, *, own: int, following: int) -> DataFr
             yield from pairs(held)
 
     def pairs(columns):
-        got = list(settle(*columns))
-        a, b = (np.concatenate([g[k] for g in got] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        a, b, bits = (np.concatenate(p) for p in zip(none, *settle(*columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])
 
-    dealt = distinct.select("id", "fps").mapInArrow(replicate, "key long, id long, fp long, following long").repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    dealt = distinct.select("id", "fps").mapInArrow(replicate, "key long, id long, fp long, following int").repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(compare, "a long, b long, bits int").where("a <> b").groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
-def spanning(ids: np.ndarray, fp: np.ndarray, nxt: np.ndarray, own: int, following: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that join all that links of at most so many bits join."""
-    left, a, b = np.arange(len(ids)), [], []
+def spanning(ids: np.ndarray, fp: np.ndarray, nxt: np.ndarray, own: int, following: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that join all that links of at most so many bits join, and their bits; the first ids become the centres."""
+    left, out = np.arange(len(ids)), [(ids[:0], ids[:0], ids[:0])]
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
-            x = front.pop()
-            ok = (np.bitwise_count(fp[left] ^ fp[x]) <= own) & (np.bitwise_count(nxt[left] ^ nxt[x]) <= following)
+            x = front.pop(0)
+            bits = np.bitwise_count(fp[left] ^ fp[x])
+            ok = (bits <= own) & (np.bitwise_count(nxt[left] ^ nxt[x]) <= following)
             new, left = left[ok], left[~ok]
-            a.append(np.full(len(new), ids[x]))
-            b.append(ids[new])
+            out.append((np.full(len(new), ids[x]), ids[new], bits[ok]))
             front.extend(new.tolist())
-    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+    a, b, bits = (np.concatenate(p) for p in zip(*out, strict=True))
+    return a, b, bits
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, set) of docs (id, text): the hashes of a text's shingles."""
+    """(id, d1, set) of docs (id, text): a digest and the 32-bit hashes of the text's shingles, once per id and digest."""
 
     def run(batches):
         for batch in batches:
@@ -414,9 +416,36 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 hashes, _, _, bounds = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 row, h = shingles(hashes, bounds, size)
                 edges = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edges), pa.array(h.view(np.int64)))], names=["id", "set"])
+                sets = pa.ListArray.from_arrays(pa.array(edges), pa.array(h.astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(folded(hashes, bounds, 1).view(np.int64)), sets], names=["id", "d1", "set"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, set array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, d1 long, set array<int>").dropDuplicates(["id", "d1"])
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingles are alike; sets grow with the data and are never broadcast."""
+    left, right = sets.toDF("a", "da", "sa").hint("merge"), sets.toDF("b", "db", "sb").hint("merge")
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("every"))
+    return both.where((F.col("every") > 0) & (F.col("common") >= similarity * F.col("every"))).select("a", "b")
+
+
+def joined(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) by the true links among the pairs that met.
+
+    First each id is held against the id that it differs least from and the smallest
+    one that it met.  What that joins is settled; of the other pairs only those
+    between different components are held against each other.
+    """
+    both = met.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(met.select("b", "a", "bits"))
+    best = both.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("near"), F.min("y").alias("least"))
+    first = best.select("x", F.explode(F.array(F.col("near")["y"], F.col("least"))).alias("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    sure = written(alike(first, sets, similarity))
+    roots = components(sure)
+    of_a, of_b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    labelled = met.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left")
+    open_ = labelled.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    return components(sure.union(alike(written(open_), sets, similarity)))
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = LONG_SHINGLE, similarity: float = SIMILARITY, own: int = OWN_BITS, following: int = NEXT_BITS) -> DataFrame:
@@ -432,11 +461,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = written(meet(different.select(F.col("least").alias("id"), "fps"), parts, own=own, following=following))
     asked = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(shingle_sets(known.join(asked, "id", "left_semi"), size).dropDuplicates())
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = met.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("every"))
-    roots = components(both.where((F.col("every") > 0) & (F.col("common") >= similarity * F.col("every"))).select("a", "b"))
+    roots = joined(met, written(shingle_sets(known.join(asked, "id", "left_semi"), size)), similarity)
     rooted = different.select("d1", "d2", "n", "least").join(roots, F.col("least") == F.col("node"), "left")
     moved = rooted.where("n > 1 or root is not null").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("root", "least").alias("to"))
     return found.join(moved, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(F.col("id").alias(id_col), F.coalesce("to", "id").alias("component_id"))
