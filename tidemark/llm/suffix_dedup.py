@@ -9,7 +9,7 @@ are worth a suffix array, and equal strings must meet in one of them:
    windows share one, so a document has a run of windows per anchor, about one run
    for every 17 bytes.  Runs travel as (anchor, digest of the run's bytes,
    document), packed by column into blobs; no text moves.
-2. Per anchor: runs with equal digests are copies, and all but the smallest
+2. Per anchor (48 bits): runs with equal digests (64 bits) are copies, and all but the smallest
    document's are hit as a whole (FULL).  If an anchor has runs of several digests
    and documents, each digest's smallest document is asked for its bytes (ASK).
 3. The asked runs of an anchor meet in one task, which builds the suffix array of
@@ -46,7 +46,6 @@ WINDOWS = LENGTH - GRAM + 1
 BLOCK, FLUSH, POOL = 1 << 18, 1_500_000, 60_000
 #: Asked runs of one anchor beyond which its windows are aggregated.
 HOT = 20_000
-_LOW = np.uint64((1 << 48) - 1)
 
 
 def gram_hashes(x: np.ndarray, size: int) -> np.ndarray:
@@ -100,7 +99,7 @@ def block_runs(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     up, down = _powers(len(x))
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(_BYTE[x] * up[: len(x)], out=sums[1:])
-    digest = mix((sums[start + count + LENGTH - 1] - sums[start]) * down[start] + count.astype(np.uint64)) & _LOW
+    digest = mix((sums[start + count + LENGTH - 1] - sums[start]) * down[start] + count.astype(np.uint64))
     return start, count, least[start], digest
 
 
@@ -174,7 +173,7 @@ def deal(parts: int):
                 if len(p):
                     ids, at = np.unique(e, return_inverse=True)
                     width = 2 if len(ids) <= 1 << 16 else 4
-                    rows.append((int(p[0]), kind, width, ids.astype("<i8").tobytes(), planes(a, 6) if kind == 0 else b"", planes(b, 6), planes(at.astype(np.uint64), width)))
+                    rows.append((int(p[0]), kind, width, ids.astype("<i8").tobytes(), planes(a, 6) if kind == 0 else b"", planes(b, 8), planes(at.astype(np.uint64), width)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4], strict=True)], names=["part", "kind", "width", "ids", "h", "c", "at"])
 
     def run(batches):
@@ -202,7 +201,7 @@ def judge(hot: int):
         hs, cs, ds = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
-                c = unplanes(r["c"], 6)
+                c = unplanes(r["c"], 8)
                 d = np.frombuffer(r["ids"], "<i8")[unplanes(r["at"], r["width"]).astype(np.int64)]
                 if r["kind"] == 1:
                     yield told(d, c, 0)
