@@ -394,7 +394,7 @@ def cut(batches):
                     for s in answers[lo + r]:
                         bits[s["digest"]] = bits.get(s["digest"], 0) | s["bits"]
                     for k in np.flatnonzero(np.isin(c.view(np.int64), np.fromiter(bits, np.int64, len(bits)))):
-                        b = np.flatnonzero(bits[int(c[k])] >> np.arange(int(n[k])) & 1) + a[k]
+                        b = np.flatnonzero(bits[int(c.view(np.int64)[k])] >> np.arange(int(n[k])) & 1) + a[k]
                         np.add.at(edge, b, 1)
                         np.add.at(edge, b + LENGTH, -1)
                 gone[at[r] : at[r + 1]] = np.cumsum(edge[:-1]) > 0
