@@ -93,8 +93,49 @@ def round_to_tick(v: Column, tick: float) -> Column:
     return F.round(v / tick) * tick
 
 
-def nice_step(v: Column) -> Column:
-    """The smallest of 1, 2, 5 and 10 times a power of ten that is no less."""
-    power = F.pow(F.lit(10.0), F.floor(F.log10(v)))
+def nice_step(span: Column, pixels: float = 100) -> Column:
+    """The smallest of 1, 2, 5 and 10 times a power of ten that is no less than the span of 70 pixels.
+
+    The power's exponent is cut towards 0; 1 stands in where the span is not above 0.
+    """
+    v = span / F.lit((pixels if pixels > 0 else 100) / 70)
+    power = F.pow(F.lit(10.0), (F.log(v) / F.log(F.lit(10.0))).cast("long"))
     f = v / power
-    return F.when(f <= 1, 1.0).when(f <= 2, 2.0).when(f <= 5, 5.0).otherwise(10.0) * power
+    return F.when(v.isNull() | (v <= 0), 1.0).otherwise(F.when(f <= 1, 1.0).when(f <= 2, 2.0).when(f <= 5, 5.0).otherwise(10.0) * power)
+
+
+def point(bars: DataFrame, index: int) -> DataFrame:
+    """The bar at an index of each series; negative indexes count from the end."""
+    if index >= 0:
+        return bars.where(F.col("bar_idx") == index)
+    top = bars.groupBy("series_id").agg((F.max("bar_idx") + 1 + index).alias("bar_idx"))
+    return bars.join(top, ["series_id", "bar_idx"])
+
+
+def sizes(bars: DataFrame) -> DataFrame:
+    """Per series: number of bars, last index and last timestamp."""
+    return bars.groupBy("series_id").agg(F.count("*").alias("size"), F.max("bar_idx").alias("last_index"), F.max("epoch").alias("last_epoch"))
+
+
+def thousands(v: Column) -> Column:
+    """1,234 as 1.2K."""
+    return F.when(v >= 1000, F.format_string("%.1fK", v / 1000)).otherwise(F.format_string("%.0f", v))
+
+
+def day_label(epoch: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+
+
+def in_view(df: DataFrame, first: int, last: int, *, start: str, end: str) -> DataFrame:
+    """Intervals that overlap the bars first to last; a null end is open."""
+    return df.where((F.col(start) <= last) & (F.coalesce(F.col(end), F.lit(last)) >= first))
+
+
+def last_defined(df: DataFrame, column: str) -> DataFrame:
+    """The last value of each series that is not null."""
+    return df.where(F.col(column).isNotNull()).groupBy("series_id").agg(F.max_by(column, "bar_idx").alias(column), F.max("bar_idx").alias("bar_idx"))
+
+
+def value_ranges(bars: DataFrame, first: int, last: int, low: str = "low", high: str = "high") -> DataFrame:
+    """Least and greatest of the bars in view; nulls do not count."""
+    return bars.where(F.col("bar_idx").between(first, last)).groupBy("series_id").agg(F.min(low).alias("least"), F.max(high).alias("greatest"))

@@ -46,59 +46,117 @@ def swings(pivots: DataFrame, bars_with_atr: DataFrame) -> DataFrame:
     return p.select("series_id", "pivot_idx", "confirm_idx", move.alias("move"), (F.col("pivot_idx") - F.lag("pivot_idx").over(w)).alias("bars"), (move / F.when(F.col("atr") > 0, F.col("atr"))).alias("move_atr"))
 
 
+def _by_series(bars_with_atr: DataFrame, parts: DataFrame, kinds: dict[str, str], made: dict[str, str], fold) -> DataFrame:
+    """One fold per series over its bars with an ATR, by bar_idx, and its other rows: fold(bars, rows) gives a column per entry of `made`."""
+    own = {"bar_idx": "long", "close": "double", "atr": "double"}
+    rows = lambda df, have: df.select("series_id", *((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (own | kinds).items()))
+
+    def run(table: pa.Table) -> pa.Table:
+        is_bar = pc.is_valid(table["bar_idx"])
+        bars = table.filter(is_bar).sort_by("bar_idx")
+        found = fold(bars, table.filter(pc.invert(is_bar)).select(list(kinds)).to_pylist())
+        return pa.table({"series_id": bars["series_id"], "bar_idx": bars["bar_idx"]} | {c: pa.array(found[c], pa.int64() if t == "long" else pa.float64()) for c, t in made.items()})
+
+    kind = bars_with_atr.schema
+    both = rows(parts, kinds).unionByName(rows(bars_with_atr.where("atr > 0"), own))
+    out = both.groupBy("series_id").applyInArrow(run, ", ".join([f"series_id {kind['series_id'].dataType.simpleString()}, bar_idx long", *(f"{c} {t}" for c, t in made.items())]))
+    return out.withColumn("bar_idx", F.col("bar_idx").cast(kind["bar_idx"].dataType))
+
+
+def _live(rows: list[dict], at: list[int]):
+    """Yields for each bar the rows that begin by then, and those that ended before it."""
+    rows = [r for r in rows if r["ended"] is None or r["ended"] >= r["created"]]
+    begins, ends = sorted(rows, key=lambda r: r["created"]), sorted((r for r in rows if r["ended"] is not None), key=lambda r: r["ended"])
+    i = j = 0
+    for t in at:
+        p, q = i, j
+        while i < len(begins) and begins[i]["created"] <= t:
+            i += 1
+        while j < len(ends) and ends[j]["ended"] < t:
+            j += 1
+        yield begins[p:i], ends[q:j]
+
+
 def side_distances(bars_with_atr: DataFrame, levels: DataFrame) -> DataFrame:
-    """Distance in ATRs from each close up to the nearest live buy-side level and down to the nearest live sell-side one; -1 if none.
+    """Distance in ATRs from each close up to the nearest live buy-side level and down to the nearest live sell-side one, -1 if none, and how many there are.
 
-    A level is live from its creation until it is resolved, both bars included, and
-    for ever if it never is.  One fold over a series holds its live levels by price.
+    A level is live from its creation until it is resolved (swept, if it was never
+    resolved), both bars included, and for ever if neither came.  One fold over a
+    series holds its live levels by price.
     """
-    none = {"created": "long", "resolved": "long", "buy": "boolean", "price": "double", "bar_idx": "long", "close": "double", "atr": "double"}
-    rows = lambda df, **own: df.select(F.col("series_id"), *((own[c] if c in own else F.lit(None)).cast(t).alias(c) for c, t in none.items()))
-    lv = rows(levels.where(F.col("type").isin("BSL", "SSL")), created=F.col("created_idx"), resolved=F.col("resolved_idx"), buy=F.col("type") == "BSL", price=F.col("price"))
-    b = rows(bars_with_atr.where("atr > 0"), bar_idx=F.col("bar_idx"), close=F.col("close"), atr=F.col("atr"))
+    ended = F.coalesce("resolved_idx", "swept_idx") if "swept_idx" in levels.columns else F.col("resolved_idx")
+    lv = levels.where(F.col("type").isin("BSL", "SSL") & F.col("price").isNotNull()).select("series_id", F.col("created_idx").alias("created"), ended.alias("ended"), (F.col("type") == "BSL").alias("buy"), "price")
 
-    def fold(table: pa.Table) -> pa.Table:
-        is_bar = pc.is_valid(table["bar_idx"])
-        bars = table.filter(is_bar).sort_by("bar_idx")
-        known = [r for r in table.filter(pc.invert(is_bar)).select(["created", "resolved", "buy", "price"]).to_pylist() if r["price"] is not None]
-        begins = sorted(((r["created"], r["buy"], r["price"]) for r in known if r["resolved"] is None or r["resolved"] >= r["created"]), key=lambda e: e[0])
-        ends = sorted(((r["resolved"], r["buy"], r["price"]) for r in known if r["resolved"] is not None and r["resolved"] >= r["created"]), key=lambda e: e[0])
+    def fold(bars, known):
         live: dict[bool, list[float]] = {True: [], False: []}
-        up, down, i, j = [], [], 0, 0
-        for at, close, atr in zip(*(bars[c].to_pylist() for c in ("bar_idx", "close", "atr")), strict=True):
-            while i < len(begins) and begins[i][0] <= at:
-                insort(live[begins[i][1]], begins[i][2])
-                i += 1
-            while j < len(ends) and ends[j][0] < at:
-                own = live[ends[j][1]]
-                del own[bisect_left(own, ends[j][2])]
-                j += 1
+        out: dict[str, list] = {"up": [], "down": [], "up_count": [], "down_count": []}
+        for (new, old), close, atr in zip(_live(known, bars["bar_idx"].to_pylist()), bars["close"].to_pylist(), bars["atr"].to_pylist(), strict=True):
+            for r in new:
+                insort(live[r["buy"]], r["price"])
+            for r in old:
+                del live[r["buy"]][bisect_left(live[r["buy"]], r["price"])]
             k, n = bisect_left(live[True], close), bisect_right(live[False], close)
-            up.append((live[True][k] - close) / atr if k < len(live[True]) else -1.0)
-            down.append(-((live[False][n - 1] - close) / atr) if n else -1.0)
-        return pa.table({"series_id": bars["series_id"], "bar_idx": bars["bar_idx"], "up": pa.array(up, pa.float64()), "down": pa.array(down, pa.float64())})
+            out["up"].append((live[True][k] - close) / atr if k < len(live[True]) else -1.0)
+            out["down"].append(-((live[False][n - 1] - close) / atr) if n else -1.0)
+            out["up_count"].append(len(live[True]) - k)
+            out["down_count"].append(n)
+        return out
 
-    kind = bars_with_atr.schema
-    return lv.unionByName(b).groupBy("series_id").applyInArrow(fold, f"series_id {kind['series_id'].dataType.simpleString()}, bar_idx long, up double, down double").withColumn("bar_idx", F.col("bar_idx").cast(kind["bar_idx"].dataType))
+    return _by_series(bars_with_atr, lv, {"created": "long", "ended": "long", "buy": "boolean", "price": "double"}, {"up": "double", "down": "double", "up_count": "long", "down_count": "long"}, fold)
+
+
+def box_distances(bars_with_atr: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Whether each close is inside (1) a live box, and the distance in ATRs to the nearest one; 0 inside, -1 if none is live.
+
+    boxes: series_id, created, ended (null: never), top, bottom; live from created to
+    ended, both included.  One fold over a series holds the live tops and bottoms in order.
+    """
+
+    def fold(bars, known):
+        bottoms, tops = [], []
+        out: dict[str, list] = {"inside": [], "distance": []}
+        for (new, old), close, atr in zip(_live(known, bars["bar_idx"].to_pylist()), bars["close"].to_pylist(), bars["atr"].to_pylist(), strict=True):
+            for r in new:
+                insort(bottoms, min(r["bottom"], r["top"]))
+                insort(tops, max(r["bottom"], r["top"]))
+            for r in old:
+                del bottoms[bisect_left(bottoms, min(r["bottom"], r["top"]))]
+                del tops[bisect_left(tops, max(r["bottom"], r["top"]))]
+            begun, left = bisect_right(bottoms, close), bisect_left(tops, close)
+            inside = begun > left
+            above = bottoms[begun] - close if begun < len(bottoms) else None
+            below = close - tops[left - 1] if left else None
+            near = [x for x in (above, below) if x is not None]
+            out["inside"].append(int(inside))
+            out["distance"].append(0.0 if inside else min(near) / atr if near else -1.0)
+        return out
+
+    kinds = {"created": "long", "ended": "long", "top": "double", "bottom": "double"}
+    return _by_series(bars_with_atr, boxes.where("top is not null and bottom is not null").select("series_id", *kinds), kinds, {"inside": "long", "distance": "double"}, fold)
 
 
 def regression_channel(blocks: DataFrame, tick: float = 0.25) -> DataFrame:
     """Per event the line through its blocks' closes (oldest first), the spread around it, and how often lows and highs touch the band.
 
-    blocks: trailing blocks, block 0 the latest.  Three touches of 12 blocks make a channel.
+    blocks: trailing blocks, block 0 the latest.  The unit is the mean true range of
+    the last 14 blocks.  Three touches of 12 blocks make a channel; below three blocks
+    all is 0.
     """
     by = Window.partitionBy("series_id", "event_idx")
-    n = F.count("*").over(by)
-    x = (F.max("block").over(by) - F.col("block")).cast("double")
-    b = blocks.withColumn("x", x).withColumn("n", n)
-    line = b.groupBy("series_id", "event_idx").agg(F.regr_slope("close", "x").alias("slope"), F.regr_intercept("close", "x").alias("base"), F.avg(F.col("high") - F.col("low")).alias("span"))
+    before = F.lag("close").over(by.orderBy(F.desc("block")))
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    b = blocks.withColumn("tr", tr).withColumn("x", (F.max("block").over(by) - F.col("block")).cast("double")).withColumn("n", F.count("*").over(by))
+    line = b.groupBy("series_id", "event_idx").agg(F.regr_slope("close", "x").alias("slope"), F.regr_intercept("close", "x").alias("base"), F.avg(F.when(F.col("block") < 14, F.col("tr"))).alias("unit"))
     off = b.join(line, ["series_id", "event_idx"]).withColumn("fit", F.col("base") + F.col("slope") * F.col("x")).withColumn("e", F.col("close") - F.col("fit"))
-    off = off.withColumn("spread", F.greatest(F.sqrt(F.avg(F.col("e") * F.col("e")).over(by)), 0.15 * F.col("span")))
-    near = F.greatest(0.3 * F.col("span"), F.lit(tick))
+    off = off.withColumn("spread", F.greatest(F.sqrt(F.avg(F.col("e") * F.col("e")).over(by)), 0.15 * F.col("unit")))
+    near = F.greatest(0.3 * F.col("unit"), F.lit(tick))
     low = F.abs(F.col("low") - (F.col("fit") - F.col("spread"))) <= near
     high = F.abs(F.col("high") - (F.col("fit") + F.col("spread"))) <= near
-    out = off.groupBy("series_id", "event_idx").agg(F.max("slope").alias("slope"), F.max("spread").alias("spread"), F.count(F.when(low, 1)).alias("low_touches"), F.count(F.when(high, 1)).alias("high_touches"), F.max("n").alias("n"))
-    return out.where("n >= 3").withColumn("is_channel", (F.greatest("low_touches", "high_touches") >= 3) & (F.col("n") >= 12))
+    made = {"slope": F.max("slope"), "spread": F.max("spread"), "centre": F.max(F.when(F.col("block") == 0, F.col("fit")))}
+    out = off.groupBy("series_id", "event_idx").agg(*(f.alias(c) for c, f in made.items()), F.count(F.when(low, 1)).alias("low_touches"), F.count(F.when(high, 1)).alias("high_touches"), F.max("n").alias("n"))
+    out = out.withColumn("is_channel", (F.greatest("low_touches", "high_touches") >= 3) & (F.col("n") >= 12))
+    few = F.col("n") < 3
+    return out.select("series_id", "event_idx", *(F.when(few, 0.0).otherwise(F.col(c)).alias(c) for c in made), *(F.when(few, 0).otherwise(F.col(c)).alias(c) for c in ("low_touches", "high_touches")), "n", "is_channel")
 
 
 def latest_bars(bars: DataFrame, last: int = 500) -> DataFrame:

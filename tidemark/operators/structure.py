@@ -125,8 +125,9 @@ def supply_demand_zones(pivots: DataFrame, bars_with_atr: DataFrame, bars: DataF
 
 
 def state_labels(rows: DataFrame) -> DataFrame:
-    """IDLE, APPROACH, INTERACTION or EXPANSION from inside_zone, return_1, range_atr and nearest (least distance in ATRs, null if none)."""
-    label = F.when(F.col("inside_zone") == 1, "INTERACTION").when((F.abs("return_1") >= 0.0015) & (F.col("range_atr") >= 1), "EXPANSION").when(F.col("nearest") <= 1, "APPROACH").otherwise("IDLE")
+    """IDLE, APPROACH, INTERACTION or EXPANSION from inside_fvg, inside_order_block, return_1, range_atr and nearest (least distance in ATRs, null if none)."""
+    inside = (F.col("inside_fvg") == 1) | (F.col("inside_order_block") == 1)
+    label = F.when(inside, "INTERACTION").when((F.abs("return_1") >= 0.0015) & (F.col("range_atr") >= 1), "EXPANSION").when(F.col("nearest") <= 1, "APPROACH").otherwise("IDLE")
     return rows.withColumn("state_label", label)
 
 
@@ -140,7 +141,13 @@ def outcomes(bars_with_atr: DataFrame, bars: DataFrame, horizon: int = 10) -> Da
 
 
 def event_targets(bars: DataFrame, horizon: int = 10) -> DataFrame:
-    """SWEEP if both extremes of a bar are taken within the horizon, GRAB if one, NONE if none."""
+    """taken: SWEEP if both extremes of a bar are taken within the horizon, GRAB if one, NONE if none."""
     high = F.coalesce(F.max("high").over(over(1, horizon)) > F.col("high"), F.lit(False))
     low = F.coalesce(F.min("low").over(over(1, horizon)) < F.col("low"), F.lit(False))
-    return bars.select("series_id", "bar_idx", F.when(high & low, "SWEEP").when(high | low, "GRAB").otherwise("NONE").alias("event_target"))
+    return bars.select("series_id", "bar_idx", F.when(high & low, "SWEEP").when(high | low, "GRAB").otherwise("NONE").alias("taken"))
+
+
+def gated_targets(labelled: DataFrame, taken: DataFrame) -> DataFrame:
+    """event_target: what is taken, for rows in INTERACTION or within a quarter ATR of something; else NONE."""
+    near = (F.col("state_label") == "INTERACTION") | (F.col("nearest") <= 0.25)
+    return labelled.join(taken, ["series_id", "bar_idx"], "left").withColumn("event_target", F.when(near, F.coalesce("taken", F.lit("NONE"))).otherwise("NONE")).drop("taken")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import flows, learning, lookups, market
+from tidemark.plans import flows, learning, lookups, market, tables
 
-QUERIES: dict = {**market.QUERIES, **learning.QUERIES, **lookups.QUERIES, **flows.QUERIES}
-ORACLE_SQL: dict = {**market.ORACLE_SQL, **learning.ORACLE_SQL, **lookups.ORACLE_SQL, **flows.ORACLE_SQL}
+QUERIES: dict = {**market.QUERIES, **learning.QUERIES, **lookups.QUERIES, **flows.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict = {**market.ORACLE_SQL, **learning.ORACLE_SQL, **lookups.ORACLE_SQL, **flows.ORACLE_SQL, **tables.ORACLE_SQL}

@@ -37,7 +37,7 @@ m AS (SELECT p.series_id, p.pivot_idx, p.confirm_idx, e.type AS level_type, e.id
 {nearest_sql('series_id, pivot_idx, confirm_idx, level_type, level_idx', 'level_idx, level_type')}""")
 def _(bars):
     p = P.leg_pivots(bars)
-    out = K.nearest_equal_level(p, P.equal_levels(p, R.atr(bars)))
+    out = K.nearest_equal_level(p, P.equal_levels(P.leg_pivots(bars, 3), R.atr(bars)))
     return M.rounded(out, *out.columns)
 
 
@@ -58,23 +58,25 @@ def _(bars):
 
 
 @query("side_distances", f"""WITH {_ATR}, lv AS ({M.ORACLE_SQL['liquidity_lifecycle']}),
-d AS (SELECT b.series_id, b.bar_idx, min(CASE WHEN l.type = 'BSL' AND l.price >= b.close THEN (l.price - b.close) / b.atr END) AS up, min(CASE WHEN l.type = 'SSL' AND l.price <= b.close THEN -((l.price - b.close) / b.atr) END) AS down
-FROM ba b LEFT JOIN lv l ON l.series_id = b.series_id AND b.bar_idx BETWEEN l.created_idx AND least(coalesce(l.resolved_idx, l.created_idx + 500), l.created_idx + 500) WHERE b.atr > 0 GROUP BY 1, 2)
-SELECT series_id, bar_idx, round(coalesce(up, -1), 6) + 0.0 AS up, round(coalesce(down, -1), 6) + 0.0 AS down FROM d""")
+d AS (SELECT b.series_id, b.bar_idx, min(CASE WHEN l.type = 'BSL' AND l.price >= b.close THEN (l.price - b.close) / b.atr END) AS up, min(CASE WHEN l.type = 'SSL' AND l.price <= b.close THEN -((l.price - b.close) / b.atr) END) AS down,
+  count(CASE WHEN l.type = 'BSL' AND l.price >= b.close THEN 1 END) AS up_count, count(CASE WHEN l.type = 'SSL' AND l.price <= b.close THEN 1 END) AS down_count
+FROM ba b LEFT JOIN lv l ON l.series_id = b.series_id AND l.created_idx <= b.bar_idx AND coalesce(l.resolved_idx, l.swept_idx, b.bar_idx) >= b.bar_idx WHERE b.atr > 0 GROUP BY 1, 2)
+SELECT series_id, bar_idx, round(coalesce(up, -1), 6) + 0.0 AS up, round(coalesce(down, -1), 6) + 0.0 AS down, up_count, down_count FROM d""")
 def _(bars):
     out = K.side_distances(R.atr(bars), S.liquidity(P.leg_pivots(bars), bars))
     return M.rounded(out, *out.columns)
 
 
-@query("regression_channel", f"""WITH tb AS ({M.ORACLE_SQL['trailing_blocks']}), x AS (SELECT *, CAST(max(block) OVER w - block AS DOUBLE) AS x, count(*) OVER w AS n FROM tb WINDOW w AS (PARTITION BY series_id, event_idx)),
-l AS (SELECT series_id, event_idx, regr_slope(close, x) AS slope, regr_intercept(close, x) AS base, avg(high - low) AS span FROM x GROUP BY 1, 2),
-f AS (SELECT x.*, l.slope, l.span, l.base + l.slope * x.x AS fit, x.close - (l.base + l.slope * x.x) AS e FROM x JOIN l USING (series_id, event_idx)),
-s AS (SELECT *, greatest(sqrt(avg(e * e) OVER (PARTITION BY series_id, event_idx)), 0.15 * span) AS spread FROM f),
-g AS (SELECT series_id, event_idx, max(slope) AS slope, max(spread) AS spread, count(CASE WHEN abs(low - (fit - spread)) <= greatest(0.3 * span, 0.25) THEN 1 END) AS low_touches, count(CASE WHEN abs(high - (fit + spread)) <= greatest(0.3 * span, 0.25) THEN 1 END) AS high_touches, max(n) AS n FROM s GROUP BY 1, 2)
-SELECT series_id, event_idx, round(slope, 6) + 0.0 AS slope, round(spread, 6) + 0.0 AS spread, low_touches, high_touches, n, greatest(low_touches, high_touches) >= 3 AND n >= 12 AS is_channel FROM g WHERE n >= 3""")
+@query("regression_channel", f"""WITH tb AS ({M.ORACLE_SQL['trailing_blocks']}), x AS (SELECT *, CAST(max(block) OVER w - block AS DOUBLE) AS x, count(*) OVER w AS n, greatest(high - low, coalesce(abs(high - lag(close) OVER o), 0), coalesce(abs(low - lag(close) OVER o), 0)) AS tr
+  FROM tb WINDOW w AS (PARTITION BY series_id, event_idx), o AS (PARTITION BY series_id, event_idx ORDER BY block DESC)),
+l AS (SELECT series_id, event_idx, regr_slope(close, x) AS slope, regr_intercept(close, x) AS base, avg(CASE WHEN block < 14 THEN tr END) AS unit FROM x GROUP BY 1, 2),
+f AS (SELECT x.*, l.slope, l.unit, l.base + l.slope * x.x AS fit, x.close - (l.base + l.slope * x.x) AS e FROM x JOIN l USING (series_id, event_idx)),
+s AS (SELECT *, greatest(sqrt(avg(e * e) OVER (PARTITION BY series_id, event_idx)), 0.15 * unit) AS spread FROM f),
+g AS (SELECT series_id, event_idx, max(slope) AS slope, max(spread) AS spread, max(CASE WHEN block = 0 THEN fit END) AS centre, count(CASE WHEN abs(low - (fit - spread)) <= greatest(0.3 * unit, 0.25) THEN 1 END) AS low_touches, count(CASE WHEN abs(high - (fit + spread)) <= greatest(0.3 * unit, 0.25) THEN 1 END) AS high_touches, max(n) AS n FROM s GROUP BY 1, 2)
+SELECT series_id, event_idx, round(CASE WHEN n < 3 THEN 0 ELSE slope END, 6) + 0.0 AS slope, round(CASE WHEN n < 3 THEN 0 ELSE spread END, 6) + 0.0 AS spread, round(CASE WHEN n < 3 THEN 0 ELSE centre END, 6) + 0.0 AS centre,
+  CASE WHEN n < 3 THEN 0 ELSE low_touches END AS low_touches, CASE WHEN n < 3 THEN 0 ELSE high_touches END AS high_touches, n, greatest(low_touches, high_touches) >= 3 AND n >= 12 AS is_channel FROM g""")
 def _(bars):
-    events = bars.where("bar_idx % 50 = 49").select("series_id", F.col("bar_idx").alias("event_idx"))
-    out = K.regression_channel(B.trailing_blocks(bars, events, 3))
+    out = K.regression_channel(B.trailing_blocks(bars, M.confirmations(bars), 3))
     return M.rounded(out, *out.columns)
 
 
@@ -83,6 +85,6 @@ def _(bars):
     return K.crossings(bars, F.lit(50.0))
 
 
-@query("latest_bars", f"WITH {M.BARS} SELECT series_id, bar_idx, close FROM bars QUALIFY bar_idx > max(bar_idx) OVER (PARTITION BY series_id) - 100")
+@query("latest_bars", f"WITH {M.BARS} SELECT series_id, bar_idx, close FROM bars QUALIFY bar_idx > max(bar_idx) OVER (PARTITION BY series_id) - 500")
 def _(bars):
-    return K.latest_bars(bars, 100).select("series_id", "bar_idx", "close")
+    return K.latest_bars(bars).select("series_id", "bar_idx", "close")

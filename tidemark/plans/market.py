@@ -32,7 +32,11 @@ seed AS (SELECT series_id, sum(tr) / 14 AS atr FROM trs WHERE bar_idx < 14 GROUP
 wilder AS (SELECT series_id, CAST(13 AS BIGINT) AS bar_idx, atr FROM seed
   UNION ALL SELECT w.series_id, t.bar_idx, (w.atr * 13 + t.tr) / 14 FROM wilder w JOIN trs t ON t.series_id = w.series_id AND t.bar_idx = w.bar_idx + 1),
 barsatr AS (SELECT t.*, w.atr FROM trs t LEFT JOIN wilder w USING (series_id, bar_idx))"""
-LEGS = """,
+def legs(n: int) -> str:
+    return _LEGS.replace("bar_idx - 5", f"bar_idx - {n}").replace(", 5)", f", {n})").replace("4 PRECEDING", f"{n - 1} PRECEDING")
+
+
+_LEGS = """,
 sig AS (SELECT series_id, bar_idx, lag(high, 5) OVER w AS h, lag(low, 5) OVER w AS l,
   CASE WHEN lag(high, 5) OVER w > max(high) OVER f THEN 0 WHEN lag(low, 5) OVER w < min(low) OVER f THEN 1 END AS signal
   FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY bar_idx), f AS (PARTITION BY series_id ORDER BY bar_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
@@ -40,6 +44,7 @@ legs AS (SELECT *, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY s
 flips AS (SELECT *, lag(leg, 1, 0) OVER (PARTITION BY series_id ORDER BY bar_idx) AS was FROM legs WHERE h IS NOT NULL),
 pivots AS (SELECT series_id, bar_idx - 5 AS pivot_idx, bar_idx AS confirm_idx, CASE WHEN leg = 1 THEN 'LOW' ELSE 'HIGH' END AS type,
   CASE WHEN leg = 1 THEN l ELSE h END AS price FROM flips WHERE leg <> was)"""
+LEGS = legs(5)
 BREAKS = LEGS + """,
 closes AS (SELECT series_id, bar_idx, close, lag(close) OVER (PARTITION BY series_id ORDER BY bar_idx) AS before FROM bars),
 live AS (SELECT *, lead(confirm_idx) OVER (PARTITION BY series_id, type ORDER BY confirm_idx) AS until FROM pivots),
@@ -72,6 +77,11 @@ def bars_of(spark: SparkSession, sf_dir: str, seconds: int = 3600) -> DataFrame:
     return B.from_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"), series="event_type", ts="ts", price="value", tie="event_id", seconds=seconds)
 
 
+def confirmations(bars: DataFrame) -> DataFrame:
+    """(series_id, event_idx): the bars at which a pivot is confirmed."""
+    return P.leg_pivots(bars).select("series_id", F.col("confirm_idx").alias("event_idx")).distinct()
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles to six places, so that the order of additions does not show."""
     return df.select(*((F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c).cast("long") if t == "int" else F.col(c) for c, t in df.select(*columns).dtypes))
@@ -137,10 +147,9 @@ def _(bars, spark, d):
     return B.time_anchors(bars).select("series_id", "bar_idx", "new_day")
 
 
-@query("trailing_blocks", f"WITH {BARS}, ev AS (SELECT series_id, bar_idx AS event_idx FROM bars WHERE bar_idx % 50 = 49), n AS (SELECT e.series_id, e.event_idx, CAST(floor((e.event_idx - b.bar_idx) / 3.0) AS BIGINT) AS block, b.bar_idx, b.open, b.high, b.low, b.close, b.volume FROM ev e JOIN bars b ON b.series_id = e.series_id AND b.bar_idx BETWEEN e.event_idx - 59 AND e.event_idx) SELECT series_id, event_idx, block, arg_min(open, bar_idx) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_idx) AS close, sum(volume) AS volume FROM n GROUP BY series_id, event_idx, block")
+@query("trailing_blocks", f"WITH {BARS}{LEGS}, ev AS (SELECT DISTINCT series_id, confirm_idx AS event_idx FROM pivots), n AS (SELECT e.series_id, e.event_idx, CAST(floor((e.event_idx - b.bar_idx) / 3.0) AS BIGINT) AS block, b.bar_idx, b.open, b.high, b.low, b.close, b.volume FROM ev e JOIN bars b ON b.series_id = e.series_id AND b.bar_idx BETWEEN e.event_idx - 59 AND e.event_idx) SELECT series_id, event_idx, block, arg_min(open, bar_idx) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_idx) AS close, sum(volume) AS volume FROM n GROUP BY series_id, event_idx, block")
 def _(bars, spark, d):
-    events = bars.where("bar_idx % 50 = 49").select("series_id", F.col("bar_idx").alias("event_idx"))
-    return B.trailing_blocks(bars, events, 3).select("series_id", "event_idx", "block", *OHLCV)
+    return B.trailing_blocks(bars, confirmations(bars), 3).select("series_id", "event_idx", "block", *OHLCV)
 
 
 @query("true_range", f"WITH {TR} SELECT series_id, bar_idx, {r6('tr')} FROM trs")
@@ -284,9 +293,9 @@ def _(bars, spark, d):
     return rounded(P.fibonacci(P.leg_pivots(bars)), "series_id", "ratio", "price")
 
 
-@query("equal_levels", f"WITH RECURSIVE {ATR}{LEGS}, a AS (SELECT p.*, b.atr FROM pivots p JOIN barsatr b ON b.series_id = p.series_id AND b.bar_idx = p.confirm_idx WHERE b.atr > 0), l AS (SELECT *, lag(pivot_idx) OVER w AS idx1, lag(price) OVER w AS price1 FROM a WINDOW w AS (PARTITION BY series_id, type ORDER BY confirm_idx)) SELECT series_id, CASE WHEN type = 'HIGH' THEN 'EQH' ELSE 'EQL' END AS type, idx1, pivot_idx AS idx2, confirm_idx AS confirm2, price1, price AS price2 FROM l WHERE abs(price - price1) < atr * 0.1")
+@query("equal_levels", f"WITH RECURSIVE {ATR}{legs(3)}, a AS (SELECT p.*, b.atr FROM pivots p JOIN barsatr b ON b.series_id = p.series_id AND b.bar_idx = p.confirm_idx WHERE b.atr > 0), l AS (SELECT *, lag(pivot_idx) OVER w AS idx1, lag(price) OVER w AS price1 FROM a WINDOW w AS (PARTITION BY series_id, type ORDER BY confirm_idx)) SELECT series_id, CASE WHEN type = 'HIGH' THEN 'EQH' ELSE 'EQL' END AS type, idx1, pivot_idx AS idx2, confirm_idx AS confirm2, price1, price AS price2 FROM l WHERE abs(price - price1) < atr * 0.1")
 def _(bars, spark, d):
-    return P.equal_levels(P.leg_pivots(bars), R.atr(bars))
+    return P.equal_levels(P.leg_pivots(bars, 3), R.atr(bars))
 
 
 @query("fvg", f"WITH {BARS}{GAPS} SELECT * FROM gaps")
@@ -335,11 +344,6 @@ def _(bars, spark, d):
     return S.outcomes(R.atr(bars), bars)
 
 
-@query("event_target", f"WITH {BARS}, t AS (SELECT series_id, bar_idx, coalesce(max(high) OVER {_POST} > high, false) AS h, coalesce(min(low) OVER {_POST} < low, false) AS l FROM bars) SELECT series_id, bar_idx, CASE WHEN h AND l THEN 'SWEEP' WHEN h OR l THEN 'GRAB' ELSE 'NONE' END AS event_target FROM t")
-def _(bars, spark, d):
-    return S.event_targets(bars)
-
-
 @query("asof_last_event", f"WITH {BARS}{BREAKS}, j AS (SELECT b.series_id, b.bar_idx, e.event, e.break_idx, row_number() OVER (PARTITION BY b.series_id, b.bar_idx ORDER BY e.event_no DESC) AS n FROM bars b LEFT JOIN smc e ON e.series_id = b.series_id AND e.break_idx <= b.bar_idx) SELECT series_id, bar_idx, coalesce(event, 'NONE') AS event, coalesce(bar_idx - break_idx, -1) AS bars_since FROM j WHERE n = 1")
 def _(bars, spark, d):
     e = S.breaks(P.leg_pivots(bars), bars)
@@ -377,27 +381,6 @@ def _(bars, spark, d):
     return rounded(out, *out.columns)
 
 
-@query("candle_state_labels", f"WITH RECURSIVE {ATR}{GAPS}, {_RETS.replace('FROM bars', 'FROM barsatr')}, z AS (SELECT r.series_id, r.bar_idx, r.return_1, (r.high - r.low) / r.atr AS range_atr, min(greatest(g.bottom - r.close, r.close - g.top, 0)) / r.atr AS nearest FROM rets r LEFT JOIN gaps g ON g.series_id = r.series_id AND g.gap_idx BETWEEN r.bar_idx - 50 AND r.bar_idx WHERE r.bar_idx >= 20 AND r.atr > 0 GROUP BY r.series_id, r.bar_idx, r.return_1, r.high, r.low, r.atr) SELECT series_id, bar_idx, CASE WHEN nearest = 0 THEN 'INTERACTION' WHEN abs(return_1) >= 0.0015 AND range_atr >= 1 THEN 'EXPANSION' WHEN nearest <= 1 THEN 'APPROACH' ELSE 'IDLE' END AS state_label FROM z")
-def _(bars, spark, d):
-    return S.state_labels(candle_rows(bars)).select("series_id", "bar_idx", "state_label")
-
-
-def candle_rows(bars: DataFrame, reach: int = 50) -> DataFrame:
-    """Candle features at bars from 20 on with an ATR: returns, range, volatility, slopes, volume, and the nearest gap of the last bars."""
-    a = W.slopes(W.realized_volatility(W.candle_stats(R.atr(bars))))
-    a = W.returns(a.drop("return_1")).where("bar_idx >= 20 and atr > 0")
-    g = S.gaps(bars).select("series_id", F.explode(F.sequence("gap_idx", F.col("gap_idx") + reach)).alias("bar_idx"), "top", "bottom")
-    met = a.select("series_id", "bar_idx", "close").join(g, ["series_id", "bar_idx"])
-    near = met.groupBy("series_id", "bar_idx").agg(F.min(F.greatest(F.col("bottom") - F.col("close"), F.col("close") - F.col("top"), F.lit(0.0))).alias("gap"))
-    out = a.join(near, ["series_id", "bar_idx"], "left")
-    return out.select("series_id", "bar_idx", "return_1", "return_3", "return_5", ((F.col("high") - F.col("low")) / F.col("atr")).alias("range_atr"), "volatility_10", "volatility_20", (F.col("slope_10") / F.col("atr")).alias("slope_10"), (F.col("slope_20") / F.col("atr")).alias("slope_20"), W.ratio(F.col("volume") - F.col("volume_mean"), F.col("volume_std")).alias("volume_zscore"), ((F.col("close") - F.col("close_mean")) / F.col("atr")).alias("price_vs_mean_20_atr"), (F.col("gap") / F.col("atr")).alias("nearest"), (F.col("gap") == 0).cast("int").alias("inside_zone"))
-
-
-@query("candle_features")
-def _(bars, spark, d):
-    return candle_rows(bars)
-
-
 _BINS = "x AS (SELECT series_id, low, high, close, volume, min(low) OVER (PARTITION BY series_id) AS fl, (max(high) OVER (PARTITION BY series_id) - min(low) OVER (PARTITION BY series_id)) / {n} AS step FROM bars), q AS (SELECT CAST(unnest(range({n})) AS BIGINT) AS bin)"
 
 
