@@ -43,9 +43,10 @@ def knn_vote(near: DataFrame, label: str) -> DataFrame:
 
 
 def idw_projection(near: DataFrame, columns: list[str]) -> DataFrame:
-    """Means of the neighbours' columns weighted by 1 / (distance + 1e-9); an exact hit is copied."""
-    w = F.when(F.col("d2") < 1e-16, F.lit(1e18)).otherwise(1 / (F.sqrt("d2") + 1e-9))
-    return near.withColumn("w", w).groupBy("query_id").agg(*((F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns))
+    """Means of the neighbours' columns weighted by 1 / (distance + 1e-9); the nearest exact hit is copied."""
+    hit = F.when(F.col("d2") < 1e-16, F.col("rank"))
+    w = 1 / (F.sqrt("d2") + 1e-9)
+    return near.withColumn("w", w).withColumn("hit", hit).groupBy("query_id").agg(*(F.coalesce(F.min_by(c, "hit").cast("double"), F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in columns))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -62,6 +63,71 @@ def class_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return g.withColumn("f1", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).select("label", "precision", "recall", "f1", "support")
 
 
+def scores(df: DataFrame, actual: str, predicted: str, labels: list[str]) -> DataFrame:
+    """One row: accuracy, and macro-F1 over the declared labels; one that never occurs counts as 0."""
+    m = class_metrics(df, actual, predicted)
+    macro = m.where(F.col("label").isin(labels)).agg((F.coalesce(F.sum("f1"), F.lit(0.0)) / len(labels)).alias("macro_f1"))
+    return df.agg(F.coalesce(F.avg((F.col(actual) == F.col(predicted)).cast("double")), F.lit(0.0)).alias("accuracy")).crossJoin(F.broadcast(macro))
+
+
+def random_baseline(df: DataFrame, label: str, seeds: int = 30) -> DataFrame:
+    """(seed, accuracy) of labels drawn from the label shares, by a hash of row and seed: the same for every layout."""
+    shares = df.groupBy(label).agg(F.count("*").alias("n"))
+    total = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
+    cuts = shares.withColumn("upto", F.sum("n").over(total) / F.sum("n").over(Window.partitionBy())).agg(F.array_sort(F.collect_list(F.struct("upto", F.col(label).alias("drawn")))).alias("cuts"))
+    row = df.crossJoin(F.broadcast(cuts)).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
+    u = F.pmod(F.xxhash64("seed", *df.columns), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.filter("cuts", lambda c: c["upto"] > u)[0]["drawn"]
+    return row.groupBy(F.col("seed").cast("long").alias("seed")).agg(F.avg((drawn == F.col(label)).cast("double")).alias("accuracy"))
+
+
+def cluster_labels(df: DataFrame, cluster: str, label: str, order: list[str] | None = None, fallback: str | None = None) -> DataFrame:
+    """(cluster, label): each cluster's commonest label; ties by place in `order`, else by the alphabet; null labels become the fallback."""
+    n = df.where(F.col(label).isNotNull()).groupBy(cluster, label).agg(F.count("*").alias("n"))
+    place = F.coalesce(F.array_position(F.array(*(F.lit(x) for x in order)), F.col(label)), F.lit(0)) if order else F.lit(0)
+    best = n.groupBy(cluster).agg(F.min_by(label, F.struct(-F.col("n"), place, F.col(label))).alias("mapped"))
+    every = df.select(cluster).distinct().join(best, cluster, "left")
+    return every.select(cluster, F.coalesce("mapped", F.lit(fallback)).alias("label"))
+
+
+def ranked_configurations(results: DataFrame) -> DataFrame:
+    """Configurations with their place: macro-F1, then accuracy, downwards, then BIC and k upwards."""
+    return results.withColumn("place", F.row_number().over(Window.orderBy(F.desc("macro_f1"), F.desc("accuracy"), "bic", "k")).cast("long"))
+
+
+def rank_penalty(near_a: DataFrame, near_b: DataFrame, ranks_b: DataFrame, k: int, n: int) -> DataFrame:
+    """1 less the summed ranks, beyond k, that neighbours in space a have in space b: trustworthiness with a the map, continuity with a the data.
+
+    near_a, near_b: (query_id, id) of the k nearest; ranks_b: (query_id, id, rank) of all.
+    """
+    if 2 * n - 3 * k - 1 <= 0:
+        raise ValueError("too few rows for so many neighbours")
+    lost = near_a.select("query_id", "id").join(near_b.select("query_id", "id"), ["query_id", "id"], "left_anti").join(ranks_b, ["query_id", "id"])
+    score = 1 - 2.0 / (n * k * (2 * n - 3 * k - 1)) * F.coalesce(F.sum(F.col("rank") - k), F.lit(0))
+    return lost.agg(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)).alias("score"))
+
+
+def embedding_verdict(trust: Column, continuity: Column) -> Column:
+    low = F.least(trust, continuity)
+    return F.when(low >= 0.95, "EXCELLENT").when(low >= 0.90, "GOOD").when(low >= 0.80, "FAIR").otherwise("POOR")
+
+
+def nearest_rank(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """(share, value): the value at place floor(share * (n - 1)) in order, not interpolated; equal values are counted first."""
+    v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("value")
+    v = v.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(v.agg(F.sum("n").alias("total"))))
+    asked = v.withColumn("share", F.explode(F.array(*(F.lit(s) for s in shares)))).where(F.col("upto") > F.floor(F.col("share") * (F.col("total") - 1)))
+    return asked.groupBy("share").agg(F.min("value").alias("value"))
+
+
+def minmax_scale(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns to 0 to 1 by their extremes; 0 where they are equal."""
+    fit = df.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("l", F.min), ("h", F.max))))
+    z = {c: F.when(F.col(f"h_{c}") > F.col(f"l_{c}"), (F.col(c) - F.col(f"l_{c}")) / (F.col(f"h_{c}") - F.col(f"l_{c}"))).otherwise(0.0) for c in columns}
+    return df.crossJoin(F.broadcast(fit)).select(*(z[c].alias(c) if c in z else F.col(c) for c in df.columns))
+
+
 def zero_rule(df: DataFrame, label: str) -> DataFrame:
     """The commonest label; ties to the smallest."""
     return df.groupBy(label).agg(F.count("*").alias("count")).orderBy(F.desc("count"), label).limit(1)
@@ -85,13 +151,23 @@ def log_sum_exp(x: Column) -> Column:
     return F.array_max(x) + F.ln(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - F.array_max(x))))
 
 
+def with_densities(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """rows (vector, ...) with `parts`, (component, l) by component, and `total`, the log of the mixture's density: one expression a row, no shuffle."""
+    packed = components.agg(F.array_sort(F.collect_list(F.struct("component", "weight", "mean", "var"))).alias("_c"))  # few components
+    each = rows.crossJoin(F.broadcast(packed)).withColumn("parts", F.transform("_c", lambda c: F.struct(c["component"].alias("component"), (F.ln(c["weight"]) + log_density(F.col("vector"), c["mean"], c["var"])).alias("l"))))
+    return each.withColumn("total", log_sum_exp(F.transform("parts", lambda p: p["l"]))).drop("_c")
+
+
 def responsibilities(rows: DataFrame, components: DataFrame) -> DataFrame:
-    """(id, component, r) of rows (id, vector) under components (component, weight, mean, var): one E-step, with few components broadcast."""
-    each = rows.crossJoin(F.broadcast(components)).withColumn("l", F.ln("weight") + log_density(F.col("vector"), F.col("mean"), F.col("var")))
-    top = F.max("l").over(Window.partitionBy("id"))
-    each = each.withColumn("top", top)
-    total = F.sum(F.exp(F.col("l") - F.col("top"))).over(Window.partitionBy("id"))
-    return each.withColumn("total", total).select("id", "component", (F.exp(F.col("l") - F.col("top")) / F.col("total")).alias("r"))
+    """rows with a row per component: component and r, its share of the row; components: (component, weight, mean, var)."""
+    return with_densities(rows, components).withColumn("p", F.explode("parts")).select(*rows.columns, F.col("p.component").alias("component"), F.exp(F.col("p.l") - F.col("total")).alias("r"))
+
+
+def mixture_score(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """One row: log-likelihood, BIC with (k - 1) + 2 k d parameters, and the number of rows."""
+    size = components.agg(F.count("*").alias("k"), F.max(F.size("mean")).alias("d"))
+    total = with_densities(rows, components).agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("log_likelihood"), F.count("*").alias("n"))
+    return total.crossJoin(F.broadcast(size)).select("log_likelihood", ((F.col("k") - 1 + 2 * F.col("k") * F.col("d")) * F.ln(F.greatest("n", F.lit(1))) - 2 * F.col("log_likelihood")).alias("bic"), "n")
 
 
 def neighbour_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

@@ -6,12 +6,14 @@ driver; rows never do, but for the bounded anchors of tsne().
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.learning import responsibilities
+from tidemark.functions.learning import squared_distance, with_densities
 
 #: Rows that tree_grid() fits on and anchors that tsne() lays out, at most.
 MAX_TREE_ROWS, MAX_ANCHORS = 20_000, 2_000
@@ -26,31 +28,52 @@ def class_components(rows: DataFrame, label: str, floor: float) -> DataFrame:
     return packed.crossJoin(F.broadcast(total)).select(F.col(label).alias("component"), (F.col("n") / F.col("t")).alias("weight"), F.col("p.m").alias("mean"), F.col("p.v").alias("var"))
 
 
-def gmm_fit(rows: DataFrame, k: int, *, iterations: int = 20, floor: float = 1e-6) -> DataFrame:
-    """(component, weight, mean, var) of a diagonal mixture over rows (id, vector): each EM step is one aggregation.
+def gmm_fit(rows: DataFrame, k: int, *, iterations: int = 20, floor: float = 1e-6, tolerance: float = 1e-5, seed: int = 42) -> DataFrame:
+    """(component, weight, mean, var) of a diagonal mixture over rows (id, vector): each EM step is one aggregation of k times dimensions sums.
 
-    Starts from the k rows that a hash of the id puts first, with the global variance.
+    Starts from the row at place `seed` (modulo the rows, by id) and then always the
+    row farthest from those taken, with equal weights and the global variance.  A
+    component that gets almost nothing starts anew at another row.  Ends when the
+    log-likelihood changes by no more than the tolerance.  Fewer rows than k make as
+    many components; no rows make none.
     """
     spark = rows.sparkSession
     kind = "component int, weight double, mean array<double>, var array<double>"
-    flat = rows.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg((F.var_pop("x") + floor).alias("v")).orderBy("i").collect()  # a row per dimension
-    start = rows.orderBy(F.xxhash64("id")).limit(k).collect()
-    params = [(c, 1.0 / k, list(r["vector"]), [v["v"] for v in flat]) for c, r in enumerate(start)]
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], kind)
+    k = min(k, n)
+    wide = [r["v"] for r in rows.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg((F.var_pop("x") + floor).alias("v")).orderBy("i").collect()]  # a row per dimension
+    row_at = lambda place: list(rows.orderBy("id").offset(place % n).limit(1).first()["vector"])
+    starts = [row_at(seed)]
+    while len(starts) < k:
+        far = F.array_min(F.array(*(squared_distance(F.col("vector"), F.array(*(F.lit(float(x)) for x in c))) for c in starts)))
+        starts.append(list(rows.select("vector", F.struct(far, -F.xxhash64("id")).alias("far")).agg(F.max_by("vector", "far").alias("v")).first()["v"]))
+    params = [(c, 1.0 / k, m, wide) for c, m in enumerate(starts)]
+    before = None
     for _ in range(iterations):
-        each = responsibilities(rows, spark.createDataFrame(params, kind)).join(rows, "id")
-        sums = each.select("component", "r", F.posexplode("vector").alias("i", "x")).groupBy("component", "i").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("s"), F.sum(F.col("r") * F.col("x") ** 2).alias("q")).collect()  # k times dimensions
-        total = sum(r["n"] for r in sums if r["i"] == 0)
+        dense = with_densities(rows.select("vector"), spark.createDataFrame(params, kind))
+        each = dense.select("vector", "total", F.posexplode("parts").alias("c", "p")).select("c", "total", F.exp(F.col("p.l") - F.col("total")).alias("r"), F.posexplode("vector").alias("i", "x"))
+        sums = each.groupBy("c", "i").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("s"), F.sum(F.col("r") * F.col("x") ** 2).alias("q"), F.sum("total").alias("t")).collect()  # k times dimensions
+        likelihood = next(r["t"] for r in sums if r["c"] == 0 and r["i"] == 0)
         params = []
         for c in range(k):
-            own = sorted((r for r in sums if r["component"] == c), key=lambda r: r["i"])
-            params.append((c, own[0]["n"] / total, [r["s"] / max(r["n"], 1e-8) for r in own], [max(r["q"] / max(r["n"], 1e-8) - (r["s"] / max(r["n"], 1e-8)) ** 2, 0.0) + floor for r in own]))
+            own = sorted((r for r in sums if r["c"] == c), key=lambda r: r["i"])
+            if own[0]["n"] < 1e-8:
+                params.append((c, 1.0 / n, row_at(c * 997 + seed), wide))
+            else:
+                params.append((c, own[0]["n"] / n, [r["s"] / r["n"] for r in own], [max(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2, 0.0) + floor for r in own]))
+        if before is not None and abs(likelihood - before) <= tolerance * (1 + abs(likelihood)):
+            break
+        before = likelihood
     return spark.createDataFrame(params, kind)
 
 
 def hmm_fit(rows: DataFrame, smoothing: float = 1.0, floor: float = 1e-6) -> dict:
-    """Initial and transition probabilities and Gaussians per state from labelled rows (sequence, step, state, vector)."""
+    """Initial and transition probabilities and Gaussians per state from labelled rows (sequence, step, state, vector); rows without a state do not count."""
     from pyspark.sql import Window
 
+    rows = rows.where("state is not null")
     w = Window.partitionBy("sequence").orderBy("step")
     seen = rows.withColumn("next", F.lead("state").over(w)).withColumn("first", F.row_number().over(w) == 1)
     states = sorted(r["state"] for r in rows.select("state").distinct().collect())  # the declared label set
@@ -121,28 +144,101 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int, min_split: int = 10, min_leaf
     return best[1], best[2], grow(x[low], y[low], depth - 1, min_split, min_leaf), grow(x[~low], y[~low], depth - 1, min_split, min_leaf)
 
 
+def hmm_score(rows: DataFrame, model: dict) -> DataFrame:
+    """(sequence, log_likelihood) of rows (sequence, step, vector): one ordered fold per sequence."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("step")
+        x = np.stack(part["vector"].to_numpy())
+        density = -0.5 * (np.log(2 * np.pi * model["var"]) + (x[:, None, :] - model["mean"]) ** 2 / model["var"]).sum(axis=2)
+        alpha = model["initial"] + density[0]
+        for d in density[1:]:
+            step = alpha[:, None] + model["moves"]
+            top = step.max(axis=0)
+            alpha = top + np.log(np.exp(step - top).sum(axis=0)) + d
+        top = alpha.max()
+        return pd.DataFrame({"sequence": part["sequence"].iloc[:1].to_numpy(), "log_likelihood": [float(top + np.log(np.exp(alpha - top).sum()))]})
+
+    return rows.groupBy("sequence").applyInPandas(fold, f"sequence {rows.schema['sequence'].dataType.simpleString()}, log_likelihood double")
+
+
+def calibrated(rows: DataFrame, *, threshold: float, guard: bool, demoted: str = "EXPANSION", needed: str = "INTERACTION") -> DataFrame:
+    """(sequence, step, decided) of rows (sequence, step, posterior map<string, double>).
+
+    The likeliest state, ties to the alphabet; `demoted` gives way to the next one if
+    its probability is below the threshold, or if guarded and the state decided before
+    is not `needed`.  It depends on its own output: one ordered fold per sequence.
+    """
+    kind = f"sequence {rows.schema['sequence'].dataType.simpleString()}, step {rows.schema['step'].dataType.simpleString()}, decided string"
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part, before, out = part.sort_values("step"), None, []
+        for own in part["posterior"]:
+            best = sorted(dict(own).items(), key=lambda x: (-x[1], x[0]))
+            if best[0][0] == demoted and len(best) > 1 and (best[0][1] < threshold or (guard and before != needed)):
+                best = best[1:]
+            before = best[0][0]
+            out.append(before)
+        return pd.DataFrame({"sequence": part["sequence"].to_numpy(), "step": part["step"].to_numpy(), "decided": out})
+
+    return rows.groupBy("sequence").applyInPandas(fold, kind)
+
+
 def tree_grid(rows: DataFrame, depths: tuple[int, ...], folds: int = 3, sample: int = MAX_TREE_ROWS) -> DataFrame:
-    """(depth, fold, accuracy, rows): every configuration and fold is fitted by a task of its own on the same bounded rows."""
-    few = rows.withColumn("h", F.xxhash64("vector", "label")).orderBy("h", "label").limit(sample)
-    grid = few.select("*", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.lit(f).alias("fold")) for d in depths for f in range(folds)))).alias("c")).select("label", "vector", "h", "c.*")
+    """(depth, fold, accuracy, rows): trees fitted on a bounded sample of the other folds, a task per configuration, and held against every row of their fold.
+
+    A row's fold follows from a hash of the row.
+    """
+    spark = rows.sparkSession
+    dealt = rows.select("label", "vector").withColumn("h", F.xxhash64("vector", "label")).withColumn("held", F.pmod("h", F.lit(folds)).cast("int"))
+    few = dealt.orderBy("h", "label").limit(sample)
+    grid = few.select("*", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.lit(f).alias("fold")) for d in depths for f in range(folds)))).alias("c")).select("label", "vector", "h", "held", "c.*").where("held <> fold")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["h", "label"])
-        depth, fold = int(part["depth"].iloc[0]), int(part["fold"].iloc[0])
         names, y = np.unique(part["label"].to_numpy(), return_inverse=True)
-        x = np.stack(part["vector"].to_numpy())
-        held = np.arange(len(y)) % folds == fold
-        tree = grow(x[~held], y[~held], depth)
-
-        def say(node, v):
-            while isinstance(node, tuple):
-                node = node[2] if v[node[0]] <= node[1] else node[3]
-            return node
+        tree = grow(np.stack(part["vector"].to_numpy()), y, int(part["depth"].iloc[0]))
+        return pd.DataFrame({"depth": part["depth"].iloc[:1], "fold": part["fold"].iloc[:1], "tree": [json.dumps([names.tolist(), tree])]})
 
-        right = np.mean([say(tree, v) == c for v, c in zip(x[held], y[held], strict=True)]) if held.any() else 0.0
-        return pd.DataFrame({"depth": [depth], "fold": [fold], "accuracy": [float(right)], "rows": [int(held.sum())]})
+    trees = [(r["depth"], r["fold"], *json.loads(r["tree"])) for r in grid.groupBy("depth", "fold").applyInPandas(fit, "depth int, fold int, tree string").collect()]  # a row per configuration
+    at = spark.sparkContext.broadcast(trees)
 
-    return grid.groupBy("depth", "fold").applyInPandas(fit, "depth int, fold int, accuracy double, rows long")
+    def judge(batches):
+        for pdf in batches:
+            v, label, held = (np.stack(pdf["vector"].to_numpy()) if len(pdf) else None), pdf["label"].to_numpy(), pdf["held"].to_numpy()
+            out = []
+            for depth, fold, names, tree in at.value:
+                own = np.flatnonzero(held == fold)
+                if len(own):
+                    out.append((depth, fold, int((np.asarray(names, object)[said(tree, v[own])] == label[own]).sum()), len(own)))
+            yield pd.DataFrame(out, columns=["depth", "fold", "right", "rows"])
+
+    told = dealt.select("label", "vector", "held").mapInPandas(judge, "depth int, fold int, right long, rows long")
+    return told.groupBy("depth", "fold").agg((F.sum("right") / F.sum("rows")).alias("accuracy"), F.sum("rows").alias("rows"))
+
+
+def said(tree, x: np.ndarray) -> np.ndarray:
+    """Class numbers that a tree of grow() gives the rows of x."""
+    if not isinstance(tree, (tuple, list)):
+        return np.full(len(x), tree, np.int64)
+    low = x[:, tree[0]] <= tree[1]
+    out = np.empty(len(x), np.int64)
+    out[low], out[~low] = said(tree[2], x[low]), said(tree[3], x[~low])
+    return out
+
+
+def evenly_spaced(rows: DataFrame, m: int, key: str = "id") -> DataFrame:
+    """Rows at places round(j (n - 1) / (m - 1)) in the order of the key; counted per range, so nothing is sorted in one task."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftright("_m", 33)
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row per range
+    n, before, starts = sum(counts.values()), 0, {}
+    for p in sorted(counts):
+        starts[p], before = before, before + counts[p]
+    places = sorted({int(np.floor(j * (n - 1) / max(1, m - 1) + 0.5)) for j in range(min(m, n))}) if n else []
+    wanted = [(int(p) << 33) + x - s for p, s in starts.items() for x in places if s <= x < s + counts[p]]
+    return placed.where(F.col("_m").isin(wanted) if wanted else F.lit(False)).drop("_m")
 
 
 def affinities(d2: np.ndarray, perplexity: float) -> np.ndarray:
@@ -190,8 +286,9 @@ def tsne(rows: DataFrame, *, anchors: int = 90, perplexity: float = 25, iteratio
     of all rows with the broadcast anchors.
     """
     spark = rows.sparkSession
-    anchors = min(anchors, MAX_ANCHORS)
-    few = rows.orderBy(F.xxhash64("id"), "id").limit(anchors).orderBy("id").collect()
+    if anchors > MAX_ANCHORS:
+        raise ValueError(f"at most {MAX_ANCHORS} anchors are laid out")
+    few = evenly_spaced(rows, anchors).orderBy("id").collect()
     if len(few) < 3:
         return rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     x = np.array([r["vector"] for r in few])

@@ -217,7 +217,7 @@ def _(load):
     return near(M.procrustes(load("embeddings").select(at(1).alias("ax"), at(2).alias("ay"), at(3).alias("bx"), at(4).alias("by"))))
 
 
-_GMM = """e AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 9)) AS i)),
+_GMM = """e AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
 c AS (SELECT label, i, avg(x) AS m, var_pop(x) + 1e-6 AS v, count(*) AS n FROM e GROUP BY label, i),
 w AS (SELECT label, n * 1.0 / sum(n) OVER () AS w FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)),
 l AS (SELECT e.vec_id AS id, c.label AS component, any_value(ln(w.w)) + sum(-0.5 * (ln(2 * pi()) + ln(c.v) + (e.x - c.m) * (e.x - c.m) / c.v)) AS l FROM e JOIN c ON c.i = e.i JOIN w ON w.label = c.label GROUP BY 1, 2)"""
@@ -225,8 +225,8 @@ l AS (SELECT e.vec_id AS id, c.label AS component, any_value(ln(w.w)) + sum(-0.5
 
 @query("gmm_estep", f"WITH {_GMM}, t AS (SELECT *, max(l) OVER (PARTITION BY id) AS top FROM l) SELECT id, CAST(component AS BIGINT) AS component, {r('exp(l - top) / sum(exp(l - top)) OVER (PARTITION BY id)', 'r')} FROM t")
 def _(load):
-    rows = load("embeddings").select(F.col("vec_id").alias("id"), "label", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("vector"))
-    return near(M.responsibilities(rows.drop("label"), models.class_components(rows, "label", 1e-6)))
+    rows = load("embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
+    return near(M.responsibilities(rows.drop("label"), models.class_components(rows, "label", 1e-6)).select("id", F.col("component").cast("long").alias("component"), "r"))
 
 
 @query("mean_baseline", f"SELECT event_type, {r('avg(value)', 'prediction')} FROM events WHERE extract(day FROM ts) <= 20 GROUP BY event_type")
@@ -236,7 +236,7 @@ def _(load):
 
 @query("gmm_fit")
 def _(load):
-    rows = load("embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("vector"))
+    rows = load("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
     return models.gmm_fit(rows, k=3, iterations=5)
 
 
@@ -254,7 +254,7 @@ def _(load):
 
 @query("decision_tree")
 def _(load):
-    rows = load("embeddings").select(F.col("label").cast("string").alias("label"), F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double")).alias("vector"))
+    rows = load("embeddings").select(F.col("label").cast("string").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
     return models.tree_grid(rows, depths=(2, 3, 4))
 
 
