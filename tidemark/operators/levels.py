@@ -24,7 +24,10 @@ def first_beyond(levels: DataFrame, bars: DataFrame, *, start: str, price: str,
     blocks = bars.groupBy("series_id", block.alias("blk")).agg(F.max(up).alias("top"), F.min(down).alias("bottom"))
     hit = F.when(F.col("is_up"), beyond(F.col("top"), F.col("p"))).otherwise(under(F.col("bottom"), F.col("p")))
     own = F.floor(F.col("s") / BLOCK)
-    met = lv.join(blocks, "series_id").where((F.col("blk") >= own) & hit)
+    if until:  # the blocks between start and end are few and known: no range join
+        met = lv.withColumn("blk", F.explode(F.sequence(own, F.floor(F.greatest("u", "s") / BLOCK)))).join(blocks, ["series_id", "blk"]).where(hit)
+    else:
+        met = lv.join(blocks, "series_id").where((F.col("blk") >= own) & hit)
     two = met.groupBy("series_id", "level_id", "s", "p", "is_up", *(["u"] if until else [])).agg(F.min(F.when(F.col("blk") == own, F.col("blk"))).alias("a"), F.min(F.when(F.col("blk") > own, F.col("blk"))).alias("b"))
     opened = two.withColumn("blk", F.explode(F.array("a", "b"))).where("blk is not null")
     inside = bars.select("series_id", block.alias("blk"), "bar_idx", F.col(up).alias("hi"), F.col(down).alias("lo"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import series_window
-from tidemark.operators.levels import first_beyond
+from tidemark.operators.levels import as_of, first_beyond
 from tidemark.operators.windows import over
 
 
@@ -15,15 +15,14 @@ def breaks(pivots: DataFrame, bars: DataFrame) -> DataFrame:
     """BOS and CHoCH events: the first close that crosses a pivot's level while it is the latest of its type.
 
     Up breaks come before down breaks of the same bar.  A break against the trend of
-    the break before is a CHOCH, any other a BOS.
+    the break before is a CHOCH, any other a BOS.  A bar meets one pivot of each type,
+    the latest confirmed one, by an as-of lookup.
     """
-    w = Window.partitionBy("series_id", "type").orderBy("confirm_idx")
-    live = pivots.withColumn("until", F.lead("confirm_idx").over(w))
     b = bars.select("series_id", "bar_idx", "close", F.lag("close").over(series_window()).alias("before"))
     up = F.col("type") == "HIGH"
     crossed = F.when(up, (F.col("before") <= F.col("price")) & (F.col("close") > F.col("price"))).otherwise((F.col("before") >= F.col("price")) & (F.col("close") < F.col("price")))
-    during = (F.col("bar_idx") >= F.col("confirm_idx")) & (F.col("until").isNull() | (F.col("bar_idx") < F.col("until")))
-    met = live.join(b, "series_id").where(during & crossed)
+    live = lambda t: as_of(b, pivots.where(F.col("type") == t), ["type", "pivot_idx", "confirm_idx", "price"], at="bar_idx", when="confirm_idx")
+    met = live("HIGH").unionByName(live("LOW")).where(F.col("type").isNotNull() & crossed)
     first = met.groupBy("series_id", "type", "pivot_idx", "confirm_idx", "price").agg(F.min("bar_idx").alias("break_idx"))
     e = first.withColumn("direction", F.when(up, 1).otherwise(-1).cast("long"))
     order = Window.partitionBy("series_id").orderBy("break_idx", F.desc("direction"), "pivot_idx")
