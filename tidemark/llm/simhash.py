@@ -259,6 +259,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 #: similar(): fingerprint numbers, shingle and resemblance; bits of the number met in, and of the lower half of the next one, that may differ.
 WORDS, LONG_SHINGLE, SIMILARITY = 6, 5, 0.8
 OWN_BITS, NEXT_BITS, CLOSE_BITS = 13, 10, 5
+#: Ids (32 MB) that may be broadcast to pick texts; more are met by a shuffle of the texts.
+BROADCAST_IDS = 4_000_000
 #: Members of an anchor up to which all their pairs are looked at.
 ALL_PAIRS = 12
 #: A bit of each of four counters in a number; the bits of a number that halves cover, and that the lower half covers.
@@ -460,7 +462,8 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size
     different = written(found.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = written(meet(different.select(F.col("least").alias("id"), "fps"), parts, own=own, following=following))
-    asked = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = written(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
     roots = joined(met, written(shingle_sets(known.join(asked, "id", "left_semi"), size)), similarity)
     rooted = different.select("d1", "d2", "n", "least").join(roots, F.col("least") == F.col("node"), "left")
     moved = rooted.where("n > 1 or root is not null").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("root", "least").alias("to"))
