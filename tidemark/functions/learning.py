@@ -78,7 +78,7 @@ def random_baseline(df: DataFrame, label: str, seeds: int = 30) -> DataFrame:
     row = df.crossJoin(F.broadcast(cuts)).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
     u = F.pmod(F.xxhash64("seed", *df.columns), F.lit(1 << 30)) / float(1 << 30)
     drawn = F.filter("cuts", lambda c: c["upto"] > u)[0]["drawn"]
-    return row.groupBy(F.col("seed").cast("long").alias("seed")).agg(F.avg((drawn == F.col(label)).cast("double")).alias("accuracy"))
+    return row.withColumn("hit", (drawn == F.col(label)).cast("double")).groupBy("seed").agg(F.avg("hit").alias("accuracy")).withColumn("seed", F.col("seed").cast("long"))
 
 
 def cluster_labels(df: DataFrame, cluster: str, label: str, order: list[str] | None = None, fallback: str | None = None) -> DataFrame:
