@@ -109,3 +109,29 @@ def test_side_distances_hold_levels_until_they_are_resolved(spark):
             want[s, i] = (up, down)
     found = got.collect()
     assert len(found) == len(want) and {(x["series_id"], x["bar_idx"]): (x["up"], x["down"]) for x in found} == want
+
+
+def test_first_beyond_at_every_depth(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import levels
+
+    monkeypatch.setattr(levels, "FAN", 3)
+    r = random.Random(11)
+    bars = []
+    for s, n in (("a", 400), ("b", 1), ("c", 90)):
+        x = 100.0
+        for i in range(n):
+            x += r.choice([-1.0, 0.0, 1.0, 3.0, -3.0])
+            bars.append((s, i, x + r.randint(0, 2), x - r.randint(0, 2)))
+    rows = [(r.choice("abcd"), k, r.randint(0, 410), 100.0 + r.randint(-60, 60), r.random() < 0.5) for k in range(150)] + [("a", 150, 0, None, True), ("a", 151, 0, 1e9, True), ("a", 152, 399, -1e9, True)]
+    table = spark.createDataFrame(bars, "series_id string, bar_idx long, high double, low double")
+    asked = spark.createDataFrame(rows, "series_id string, level_id long, s long, p double, up boolean")
+    for equal in (False, True):
+        got = levels.first_beyond(asked, table, start="s", price="p", above=F.col("up"), equal=equal).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            hits = [i for s, i, high, low in bars if s == x["series_id"] and i >= x["s"] and x["p"] is not None and ((high - x["p"]) * (1 if x["up"] else 0) + (x["p"] - low) * (0 if x["up"] else 1) > (-1e-12 if equal else 0))]
+            assert x["first_idx"] == (min(hits) if hits else None), x
