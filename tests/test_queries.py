@@ -135,3 +135,53 @@ def test_first_beyond_at_every_depth(spark, monkeypatch):
         for x in got:
             hits = [i for s, i, high, low in bars if s == x["series_id"] and i >= x["s"] and x["p"] is not None and ((high - x["p"]) * (1 if x["up"] else 0) + (x["p"] - low) * (0 if x["up"] else 1) > (-1e-12 if equal else 0))]
             assert x["first_idx"] == (min(hits) if hits else None), x
+
+
+def test_supply_demand_zones_against_a_loop(spark):
+    import random
+
+    from tidemark.operators import structure
+
+    r = random.Random(5)
+    bars, pivots, series = [], [], {}
+    for s, n in (("a", 500), ("b", 60)):
+        x, own = 100.0, []
+        for i in range(n):
+            x += r.choice([-2.0, -0.5, 0.5, 2.0]) + (r.choice([-9.0, 9.0]) if r.random() < 0.03 else 0)
+            own.append((x + r.random(), x - r.random(), x, r.choice([0.0, 1.0, 1.5])))
+        series[s] = own
+        bars += [(s, i, *b) for i, b in enumerate(own)]
+        for i in range(3, n - 5, 4):
+            kind = r.choice(["HIGH", "LOW"])
+            pivots.append((s, i, i + r.randint(2, 4), kind, own[i][0] if kind == "HIGH" else own[i][1]))
+    want = set()
+    for s, own in series.items():
+        held = {"SUPPLY": [], "DEMAND": []}
+        for _, i, c, kind, price in sorted((p for p in pivots if p[0] == s), key=lambda p: (p[2], p[1])):
+            atr = own[c][3]
+            if atr <= 0:
+                continue
+            t = "SUPPLY" if kind == "HIGH" else "DEMAND"
+            top, bottom = (price, price - atr * 0.25) if t == "SUPPLY" else (price + atr * 0.25, price)
+            poi = (top + bottom) / 2
+            if any(z[5] is None and abs(z[2] - poi) <= 2 * atr for z in held[t]):
+                continue
+            touch = broken = None
+            for k in range(c + 1, len(own)):
+                high, low, close, _ = own[k]
+                if touch is None and k > c + 1 and high >= bottom and low <= top:
+                    touch = k
+                if close >= top if t == "SUPPLY" else close <= bottom:
+                    broken = k
+                    break
+            held[t].append((i, c, poi, t, touch, broken))
+            held[t] = held[t][-20:]
+        for zones in held.values():
+            for z in [z for z in zones if z[5] is None] + sorted((z for z in zones if z[5] is not None), key=lambda z: z[5])[-5:]:
+                want.add((s, z[0], z[1], z[3], z[4], z[5], "BROKEN" if z[5] is not None else "MITIGATED" if z[4] is not None else "ACTIVE"))
+    b = spark.createDataFrame(bars, "series_id string, bar_idx long, high double, low double, close double, atr double")
+    p = spark.createDataFrame(pivots, "series_id string, pivot_idx long, confirm_idx long, type string, price double")
+    got = structure.supply_demand_zones(p, b.select("series_id", "bar_idx", "atr"), b)
+    assert {(x["series_id"], x["pivot_idx"], x["confirm_idx"], x["type"], x["mitigated_idx"], x["broken_idx"], x["state"]) for x in got.collect()} == want
+    assert len(want) > 20
+    assert structure.supply_demand_zones(p.where("false"), b.select("series_id", "bar_idx", "atr"), b).count() == 0

@@ -91,36 +91,53 @@ def liquidity(pivots: DataFrame, bars: DataFrame, run_bars: int = 3) -> DataFram
     return out.withColumn("class", F.coalesce("class", F.lit("NONE"))).withColumn("state", F.when(F.col("resolved_idx").isNotNull(), "Resolved").when(F.col("swept_idx").isNotNull(), "Swept").otherwise("Detected"))
 
 
-def supply_demand_zones(pivots: DataFrame, bars_with_atr: DataFrame, bars: DataFrame, *, height: float = 0.25, apart: float = 2.0, keep: int = 20) -> DataFrame:
-    """Zones at fractal pivots, admitted in order of confirmation.
-
-    A zone is rejected if one of its type that is not broken yet has its middle
-    within `apart` ATRs; at most `keep` per type are held, the oldest leaves first.
-    Which zones are admitted depends on those before, so this is a fold over pivots;
-    touches and breaks of all candidates are found beforehand by lookups.
+def supply_demand_zones(pivots: DataFrame, bars_with_atr: DataFrame, bars: DataFrame, *, height: float = 0.25, apart: float = 2.0, keep: int = 20, keep_broken: int = 5) -> DataFrame:
+    """Zones at fractal pivots as of the last bar, admitted in order of confirmation.
+
+    A zone is MITIGATED by the first bar that overlaps it from the second bar after
+    its confirmation on, and BROKEN, for good, by the first close at or beyond its
+    far side.  A pivot is rejected if a held zone of its type that is not broken as
+    of the last bar has its middle within `apart` ATRs.  At most `keep` zones a type
+    are held, the oldest leaves first; of the broken ones among them the last
+    `keep_broken` to break stay.  Pivots without a positive ATR give no zone.  What is
+    admitted depends on what was before, so that is a fold over pivots; touches and
+    breaks of all candidates are found beforehand by lookups.
     """
     a = bars_with_atr.select("series_id", F.col("bar_idx").alias("confirm_idx"), "atr")
-    p = pivots.join(a, ["series_id", "confirm_idx"]).withColumn("level_id", F.col("pivot_idx"))
+    p = pivots.join(a, ["series_id", "confirm_idx"]).where("atr > 0").withColumn("level_id", F.col("pivot_idx"))
     h = F.col("atr") * height
     supply = F.col("type") == "HIGH"
     z = p.select("series_id", "level_id", "pivot_idx", "confirm_idx", "atr", F.when(supply, "SUPPLY").otherwise("DEMAND").alias("type"), F.when(supply, F.col("price")).otherwise(F.col("price") + h).alias("top"), F.when(supply, F.col("price") - h).otherwise(F.col("price")).alias("bottom"))
-    z = z.withColumn("poi", (F.col("top") + F.col("bottom")) / 2).withColumn("s", F.col("confirm_idx") + 1).withColumn("far", F.when(F.col("type") == "SUPPLY", F.col("top")).otherwise(F.col("bottom")))
-    z = first_beyond(z, bars, start="s", price="far", above=F.col("type") == "SUPPLY", up="close", down="close", equal=True, out="broken_idx")
+    supply = F.col("type") == "SUPPLY"
+    z = z.withColumn("poi", (F.col("top") + F.col("bottom")) / 2).withColumn("s", F.col("confirm_idx") + 1).withColumn("s2", F.col("confirm_idx") + 2)
+    z = z.withColumn("far", F.when(supply, F.col("top")).otherwise(F.col("bottom"))).withColumn("near", F.when(supply, F.col("bottom")).otherwise(F.col("top")))
+    z = first_beyond(z, bars, start="s", price="far", above=supply, up="close", down="close", equal=True, out="broken_idx")
+    z = first_beyond(z, bars, start="s2", price="near", above=supply, equal=True, out="reached_idx")
+    # Until a zone breaks its closes are on the near side, so reaching it is overlapping it; the breaking bar may leap over it.
+    breaking = bars.select("series_id", F.col("bar_idx").alias("broken_idx"), F.col("high").alias("b_high"), F.col("low").alias("b_low"))
+    z = z.join(breaking, ["series_id", "broken_idx"], "left")
+    overlaps = (F.col("b_high") >= F.col("bottom")) & (F.col("b_low") <= F.col("top"))
+    before = F.col("broken_idx").isNull() | (F.col("reached_idx") < F.col("broken_idx")) | ((F.col("reached_idx") == F.col("broken_idx")) & overlaps)
+    z = z.withColumn("mitigated_idx", F.when(before, F.col("reached_idx")))
+    kept = ["series_id", "type", "pivot_idx", "confirm_idx", "top", "bottom", "poi", "mitigated_idx", "broken_idx"]
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["confirm_idx", "pivot_idx"])
         held: dict[str, list[dict]] = {"SUPPLY": [], "DEMAND": []}
-        out = []
         for r in part.to_dict("records"):
             own = held[r["type"]]
-            clash = any((pd.isna(x["broken_idx"]) or x["broken_idx"] > r["confirm_idx"]) and abs(x["poi"] - r["poi"]) < apart * r["atr"] for x in own)
-            if not clash and not pd.isna(r["atr"]):
+            if not any(pd.isna(x["broken_idx"]) and abs(x["poi"] - r["poi"]) <= apart * r["atr"] for x in own):
                 own.append(r)
                 del own[:-keep]
-                out.append(r)
-        return pd.DataFrame(out, columns=part.columns)[["series_id", "type", "pivot_idx", "confirm_idx", "top", "bottom", "poi", "broken_idx"]].astype({"broken_idx": "Int64"})
-
-    return z.groupBy("series_id").applyInPandas(fold, "series_id string, type string, pivot_idx long, confirm_idx long, top double, bottom double, poi double, broken_idx long")
+        out = []
+        for own in held.values():
+            broken = sorted((x for x in own if not pd.isna(x["broken_idx"])), key=lambda x: x["broken_idx"])
+            out += [x for x in own if pd.isna(x["broken_idx"])] + broken[-keep_broken:]
+        return pd.DataFrame(out, columns=part.columns)[kept].astype({"mitigated_idx": "Int64", "broken_idx": "Int64"})
+
+    found = z.groupBy("series_id").applyInPandas(fold, "series_id string, type string, pivot_idx long, confirm_idx long, top double, bottom double, poi double, mitigated_idx long, broken_idx long")
+    state = F.when(F.col("broken_idx").isNotNull(), "BROKEN").when(F.col("mitigated_idx").isNotNull(), "MITIGATED").otherwise("ACTIVE")
+    return found.withColumn("state", state)
 
 
 def state_labels(rows: DataFrame) -> DataFrame:
