@@ -69,12 +69,30 @@ def slopes(bars: DataFrame, spans: tuple[int, ...] = (10, 20)) -> DataFrame:
     return bars.select("*", *(F.coalesce(F.regr_slope("close", x).over(over(-(n - 1), 0)), F.lit(0.0)).alias(f"slope_{n}") for n in spans))
 
 
-def anchored_vwap(bars: DataFrame, period: int = DAY) -> DataFrame:
-    """Volume-weighted typical price since the period began, with deviation and bands; null before the first volume."""
+def month_start(epoch: Column) -> Column:
+    """Epoch of the first second of the month, whatever the session's time zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(epoch / DAY).cast("int"))
+    return F.datediff(F.trunc(day, "month"), F.lit("1970-01-01").cast("date")).cast("long") * DAY
+
+
+def anchored_vwap(bars: DataFrame, period: int | str = DAY) -> DataFrame:
+    """Volume-weighted typical price since the period (seconds, or "month") began, with deviation and bands; null before the first volume."""
+    anchor = month_start(F.col("epoch")) if period == "month" else bucket(F.col("epoch"), period)
+    return vwap_since(bars.withColumn("anchor", anchor))
+
+
+def vwap_from(bars: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The same from chosen bars on: anchors has series_id and anchor_idx (one before the first bar means the first, a null or later one gives no rows)."""
+    chosen = anchors.where("anchor_idx is not null").select("series_id", F.greatest("anchor_idx", F.lit(0)).cast("long").alias("anchor")).distinct()
+    return vwap_since(bars.join(chosen, "series_id").where(F.col("bar_idx") >= F.col("anchor")))
+
+
+def vwap_since(bars: DataFrame) -> DataFrame:
+    """VWAP, deviation and bands of each series and anchor, bar by bar."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     volume = F.greatest(F.col("volume"), F.lit(0.0))
     w = Window.partitionBy("series_id", "anchor").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    base = bars.withColumn("anchor", bucket(F.col("epoch"), period)).withColumn("typical", typical).withColumn("v", volume)
+    base = bars.withColumn("typical", typical).withColumn("v", volume)
     total = F.sum("v").over(w)
     out = base.select("*", (F.sum(F.col("typical") * F.col("v")).over(w) / F.nullif(total, F.lit(0.0))).alias("vwap"), (F.sum(F.col("typical") ** 2 * F.col("v")).over(w) / F.nullif(total, F.lit(0.0))).alias("square"))
     out = out.withColumn("stdev", F.sqrt(F.greatest(F.col("square") - F.col("vwap") ** 2, F.lit(0.0))))

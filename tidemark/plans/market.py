@@ -208,27 +208,37 @@ def _(bars, spark, d):
     return rounded(W.slopes(bars), "series_id", "bar_idx", "slope_10", "slope_20")
 
 
-def _vwap(period: int, shift: int) -> str:
+def _vwap(anchor: str, start: str = "") -> str:
     w = "(PARTITION BY series_id, anchor ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"""WITH {BARS}, a AS (SELECT *, {_FLOOR.format(s=period, shift=shift)} AS anchor, (high + low + close) / 3 AS t FROM bars),
+    return f"""WITH {BARS}, a AS (SELECT bars.*, {anchor} AS anchor, (high + low + close) / 3 AS t FROM bars {start}),
 s AS (SELECT series_id, bar_idx, anchor, sum(t * volume) OVER {w} / nullif(sum(volume) OVER {w}, 0) AS vwap, sum(t * t * volume) OVER {w} / nullif(sum(volume) OVER {w}, 0) AS sq FROM a),
 v AS (SELECT series_id, bar_idx, anchor, vwap, sqrt(greatest(sq - vwap * vwap, 0)) AS stdev FROM s)
 SELECT series_id, bar_idx, anchor, round(vwap + 1e-8, 6) + 0.0 AS vwap, round(stdev, 4) + 0.0 AS stdev, round(vwap + 2 * stdev, 4) + 0.0 AS upper_2, round(vwap - 2 * stdev, 4) + 0.0 AS lower_2 FROM v"""
 
 
-def _vwap_rows(bars, period):
-    out = W.anchored_vwap(bars, period)
+def _vwap_rows(out):
     return out.select("series_id", "bar_idx", "anchor", (F.round(F.col("vwap") + 1e-8, 6) + 0.0).alias("vwap"), *((F.round(c, 4) + 0.0).alias(c) for c in ("stdev", "upper_2", "lower_2")))
 
 
-@query("anchored_vwap_day", _vwap(86400, 0))
+@query("anchored_vwap_day", _vwap(_FLOOR.format(s=86400, shift=0)))
 def _(bars, spark, d):
-    return _vwap_rows(bars, B.DAY)
+    return _vwap_rows(W.anchored_vwap(bars, B.DAY))
 
 
-@query("anchored_vwap_week", _vwap(604800, 345600))
+@query("anchored_vwap_week", _vwap(_FLOOR.format(s=604800, shift=345600)))
 def _(bars, spark, d):
-    return _vwap_rows(bars, B.WEEK)
+    return _vwap_rows(W.anchored_vwap(bars, B.WEEK))
+
+
+@query("anchored_vwap_month", _vwap("CAST(epoch(date_trunc('month', TIMESTAMP '1970-01-01' + to_seconds(epoch))) AS BIGINT)"))
+def _(bars, spark, d):
+    return _vwap_rows(W.anchored_vwap(bars, "month"))
+
+
+@query("anchored_vwap_manual", _vwap("t.at", "JOIN (SELECT series_id, min(bar_idx) AS at FROM bars b WHERE high = (SELECT max(high) FROM bars c WHERE c.series_id = b.series_id) GROUP BY series_id) t ON t.series_id = bars.series_id AND bars.bar_idx >= t.at"))
+def _(bars, spark, d):
+    highest = bars.groupBy("series_id").agg(F.min_by("bar_idx", F.struct(-F.col("high"), "bar_idx")).alias("anchor_idx"))
+    return _vwap_rows(W.vwap_from(bars, highest))
 
 
 @query("rolling_vwap", f"WITH {BARS}, v AS (SELECT series_id, bar_idx, close - coalesce(sum((high + low + close) / 3 * volume) OVER {_last(60)} / nullif(sum(volume) OVER {_last(60)}, 0), (high + low) / 2) AS vwap_distance FROM bars) SELECT series_id, bar_idx, round(vwap_distance + 1e-8, 6) + 0.0 AS vwap_distance FROM v")
