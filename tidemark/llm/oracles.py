@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express: whole-text word windows, and diagonal voting on plain word triples."""
+"""DuckDB SQL of the queries that SQL can express."""
 
 from __future__ import annotations
 
@@ -57,4 +57,29 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
 CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE least(coalesce(cover, 0), 1)::DOUBLE END AS score
 FROM d LEFT JOIN told USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN every USING (doc_id)"""
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op4_licenses": OP4}
+OP11 = """WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, r.id, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM r a JOIN r ON a.id <> r.id WHERE a.id % 100 = 0),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+w AS (SELECT p.anchor, p.id AS positive, n.id AS negative, p.score AS top, n.score FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(row_number() OVER (PARTITION BY anchor, positive ORDER BY score DESC, negative) AS INTEGER) AS rank, negative AS negative_id, top AS positive_score, score AS negative_score
+FROM w QUALIFY rank <= 5"""
+
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, {words_of('text')} AS w FROM documents),
+c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({words_of('text')}) AS t FROM benchmark WHERE item_id IS NOT NULL),
+e AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d),
+tf AS (SELECT row, doc_id, n, t, count(*) AS tf FROM e GROUP BY row, doc_id, n, t),
+df AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY t, docs),
+s AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total))))) AS BIGINT) AS score FROM q JOIN tf USING (t) JOIN df USING (t), c GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
+
+#: Base32 from the hash's bits, five at a time.
+OP13 = """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, coalesce(html, '') AS html, CAST(unhex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits FROM pages),
+g AS (SELECT html, max(page_id) AS largest FROM p GROUP BY html)
+SELECT page_id, payload_bytes,
+list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, CAST(5 * i + k + 1 AS INTEGER), 1) AS INTEGER) * CAST(pow(2, 4 - k) AS INTEGER)))::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+CASE WHEN page_id IS DISTINCT FROM largest AND largest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM p JOIN g USING (html)"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op4_licenses": OP4, "op11_hard_negatives": OP11, "op12_search": OP12, "op13_warc": OP13}

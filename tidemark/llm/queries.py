@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from corpus_pipeline import run as pipeline
 from tidemark.llm.decontaminate import op1
+from tidemark.llm.hard_negatives import op11
+from tidemark.llm.lexical import op12
 from tidemark.llm.license_scan import op4
 from tidemark.llm.neighbours import op9
 from tidemark.llm.oracles import ORACLE_SQL  # noqa: F401
@@ -14,6 +16,7 @@ from tidemark.llm.simhash import op7
 from tidemark.llm.suffix_dedup import op6
 from tidemark.llm.token_output import op8
 from tidemark.llm.toxicity import op10
+from tidemark.llm.warc import op13
 
 QUERIES = {
     "pipeline": pipeline,
@@ -27,4 +30,7 @@ QUERIES = {
     "op8_training_order": op8,
     "op9_neighbours": op9,
     "op10_toxicity": op10,
+    "op11_hard_negatives": op11,
+    "op12_search": op12,
+    "op13_warc": op13,
 }
