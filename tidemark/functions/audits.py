@@ -219,19 +219,6 @@ def mitigated_share(top: Column, bottom: Column, deepest: Column, bullish: Colum
     return 100 * F.greatest(F.least(F.coalesce(gone, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
 
 
-def confluent(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """Events whose bar has the longer wick on the side that they break: upper for up, lower for down."""
-    wick = bars.select("series_id", F.col("bar_idx").alias("break_idx"), (F.col("high") - F.greatest("open", "close")).alias("_u"), (F.least("open", "close") - F.col("low")).alias("_l"))
-    met = events.join(wick, ["series_id", "break_idx"])
-    return met.where(F.when(F.col("direction") == 1, F.col("_u") > F.col("_l")).otherwise(F.col("_l") > F.col("_u"))).drop("_u", "_l")
-
-
-def without_external(events: DataFrame, external: DataFrame) -> DataFrame:
-    """Events whose price is not that of an external pivot, to seven places."""
-    ext = external.select("series_id", F.round("price", 7).alias("_p")).distinct()
-    return events.withColumn("_p", F.round("price", 7)).join(ext, ["series_id", "_p"], "left_anti").drop("_p")
-
-
 def events_of_pivots(pivots: DataFrame, events: DataFrame) -> DataFrame:
     """pivots with the names of the events that broke them, in order; empty if none did."""
     named = events.groupBy("series_id", "pivot_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_no", "event"))), lambda e: e["event"]), ",").alias("events"))

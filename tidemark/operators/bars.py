@@ -59,16 +59,6 @@ def timeframes(bars: DataFrame, which: dict[str, int] | None = None) -> DataFram
     return made.withColumnRenamed("start", "epoch").withColumn("bar_idx", (F.row_number().over(order) - 1).cast("long"))
 
 
-def trailing_blocks(bars: DataFrame, events: DataFrame, size: int, count: int = 20) -> DataFrame:
-    """For each event (series_id, event_idx): `count` blocks of `size` bars that end at it, block 0 the latest; the oldest may be short."""
-    reach = size * count - 1
-    near = events.withColumn("bar_idx", F.explode(F.sequence(F.greatest(F.col("event_idx") - reach, F.lit(0)), F.col("event_idx"))))
-    block = F.floor((F.col("event_idx") - F.col("bar_idx")) / size).cast("long")
-    return near.join(bars, ["series_id", "bar_idx"]).groupBy("series_id", "event_idx", block.alias("block")).agg(
-        F.min_by("open", "bar_idx").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bar_idx").alias("close"), F.sum("volume").alias("volume")
-    )
-
-
 def upsert_last(bars: DataFrame, delta: DataFrame) -> DataFrame:
     """bars with delta's rows; for the same series and time the later arrival (column arrival) wins."""
     both = bars.unionByName(delta)

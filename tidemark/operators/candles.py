@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import levels as L
 from tidemark.operators import lookups as K
+from tidemark.operators import profile as V
 from tidemark.operators import structure as S
 from tidemark.operators import windows as W
 
@@ -89,17 +90,15 @@ def pips(rows: DataFrame, columns: list[str], pip: float = 0.25) -> DataFrame:
     return rows.select("*", *(F.when((atr > 0) & F.col(c).isNotNull(), F.col(c) * atr / pip).otherwise(0.0).alias(c.removesuffix("_atr") + "_pips") for c in columns), F.when(atr > 0, atr / pip).otherwise(0.0).alias("atr_pips"))
 
 
-def frame_context(bars: DataFrame, events: DataFrame, size: int, *, pip: float = 0.25, blocks: int = 20) -> DataFrame:
-    """Per event (series_id, event_idx): range, return, volume, VWAP, Fibonacci and channel distances in pips over the trailing bars and blocks of `size` bars."""
-    from tidemark.operators.bars import trailing_blocks
-
+def frame_context(bars: DataFrame, events: DataFrame, size: int, *, pip: float = 0.25, blocks: int = 20, bins: int = 24) -> DataFrame:
+    """Per event (series_id, event_idx): range, return, volume, VWAP, volume profile, Fibonacci and channel distances in pips over the trailing bars and blocks of `size` bars."""
     key = ["series_id", "event_idx"]
     span = max(blocks * size, 60)
+    ranges = events.select(*key, F.greatest(F.col("event_idx") - (span - 1), F.lit(0)).alias("first_idx"), F.col("event_idx").alias("last_idx"))
     now = events.join(bars.select("series_id", F.col("bar_idx").alias("event_idx"), ((F.col("high") + F.col("low")) / 2).alias("mid"), F.col("close").alias("now")), key)
-    days = events.withColumn("bar_idx", F.explode(F.sequence(F.greatest(F.col("event_idx") - (span - 1), F.lit(0)), "event_idx"))).join(bars, ["series_id", "bar_idx"])
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    whole = days.groupBy(*key).agg(F.max("high").alias("hi"), F.min("low").alias("lo"), (F.sum(typical * F.col("volume")) / F.nullif(F.sum("volume"), F.lit(0.0))).alias("vwap"))
-    b = trailing_blocks(bars, events, size)
+    whole = V.range_sums(bars, ranges, key).select(*key, "hi", "lo", (F.col("turnover") / F.nullif(F.col("volume"), F.lit(0.0))).alias("vwap"))
+    area = V.range_areas(V.range_profiles(bars, ranges, key, bins).join(now, key), key, F.col("mid"))
+    b = W.trailing_blocks(bars, events, size, blocks)
     w = Window.partitionBy(*key)
     before = F.lag("close").over(w.orderBy(F.desc("block")))
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
@@ -107,8 +106,9 @@ def frame_context(bars: DataFrame, events: DataFrame, size: int, *, pip: float =
     weight = F.when(k == 0, F.pow(F.lit(0.8), F.max("block").over(w))).otherwise(0.2 * F.pow(F.lit(0.8), F.col("block")))
     parts = b.withColumn("tr", tr).withColumn("weight", weight).withColumn("k", k)
     told = parts.groupBy(*key).agg(F.avg(F.when(F.col("block") < 14, F.col("tr"))).alias("atr"), F.sum(F.col("weight") * F.col("volume")).alias("ema"), F.max(F.when(F.col("block") == 0, F.col("volume"))).alias("volume"), F.max(F.when(F.col("k") == 0, F.col("open"))).alias("first_open"))
-    t = now.join(whole, key).join(told, key).join(K.regression_channel(b, pip), key)
+    t = now.join(whole, key).join(told, key).join(K.regression_channel(b, pip), key).join(area, key)
     mid, reach = F.col("mid"), F.col("hi") - F.col("lo")
     made = {"atr": F.col("atr"), "range": reach, "return": F.col("now") - F.col("first_open"), "vwap_distance": mid - F.coalesce("vwap", "mid"), "resistance_distance": F.col("hi") - mid, "support_distance": mid - F.col("lo"), "trend_distance": F.when(F.col("n") < 3, 0.0).otherwise(mid - F.col("centre")), "channel_halfwidth": F.col("spread")}
+    made |= {f"{c}_distance": mid - F.col(c) for c in ("poc", "vah", "val")}
     made |= {f"fib{int(r * 1000)}_distance": mid - (F.col("lo") + r * reach) for r in (0.382, 0.5, 0.618)}
     return t.select(*key, *((v / pip).alias(f"{c}_pips") for c, v in made.items()), "volume", F.col("ema").alias("volume_ema9"), F.when(F.col("ema") > 0, F.col("volume") / F.col("ema")).otherwise(1.0).alias("volume_ratio_ema9"), F.col("low_touches").alias("channel_lower_touches"), F.col("high_touches").alias("channel_upper_touches"), F.col("is_channel").cast("long").alias("channel_valid_3_touches"))

@@ -2,39 +2,53 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import series_window
+from tidemark.operators.live import live_count, nearest_box, nearest_level, nearest_live
+from tidemark.sources.files import kept
 
 
-def nearest(points: DataFrame, zones: DataFrame, *, known: str, distance: Column, order: Column, keep: list[str]) -> DataFrame:
-    """points (series_id, pivot_idx, confirm_idx, price) with `keep` of the nearest zone known by then, and its distance.
-
-    Ties go to the least `order`.  Points without a zone are left out.  Zones of a
-    series meet only that series' points, and each pair is folded at once.
-    """
-    met = points.join(zones, "series_id").where(F.col(known) <= F.col("confirm_idx")).withColumn("distance", distance)
-    best = met.groupBy("series_id", "pivot_idx", "confirm_idx").agg(F.min_by(F.struct(*keep, "distance"), F.struct(F.col("distance"), order)).alias("z"))
-    return best.select("series_id", "pivot_idx", "confirm_idx", "z.*")
+KEY = ["series_id", "pivot_idx", "confirm_idx"]
 
 
 def nearest_equal_level(pivots: DataFrame, equal: DataFrame) -> DataFrame:
     """The equal high or low, confirmed by then, whose mean price is nearest; ties to the earliest."""
-    e = equal.select("series_id", F.col("type").alias("level_type"), F.col("idx2").alias("level_idx"), F.col("confirm2").alias("known"), ((F.col("price1") + F.col("price2")) / 2).alias("level"))
-    return nearest(pivots, e, known="known", distance=F.abs(F.col("price") - F.col("level")), order=F.struct("level_idx", "level_type"), keep=["level_type", "level_idx"])
+    low = F.when(F.col("type") == "EQL", 1).otherwise(0)
+    e = equal.select("series_id", F.col("type").alias("level_type"), F.col("idx2").alias("level_idx"), F.col("confirm2").alias("known"), ((F.col("price1") + F.col("price2")) / 2).alias("level"), (-(F.col("idx2") * 2 + low)).alias("prefer"))
+    near = nearest_level(pivots, e, KEY, at="confirm_idx", price="price", known="known", value=F.col("level"), prefer=F.col("prefer"), keep=["level_type", "level_idx", "known"])
+    return near.select(*KEY, "level.level_type", "level.level_idx", "distance", F.col("level.known").alias("known_idx"))
+
+
+def nearest_gap(pivots: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The gap, published by then, whose box is nearest (0 inside); ties to the latest; its size, and whether it was mitigated by then."""
+    g = gaps.select("series_id", F.col("type").alias("zone_type"), "gap_idx", "top", "bottom", "mitigated_idx")
+    near = nearest_box(pivots, g, KEY, at="confirm_idx", price="price", known="gap_idx", top="top", bottom="bottom", prefer=F.col("gap_idx"), keep=["zone_type", "gap_idx", "top", "bottom", "mitigated_idx"])
+    done = F.coalesce(F.col("box.mitigated_idx") <= F.col("confirm_idx"), F.lit(False))
+    return near.select(*KEY, "box.zone_type", "box.gap_idx", "distance", F.abs(F.col("box.top") - F.col("box.bottom")).alias("size"), done.alias("mitigated"))
 
 
 def nearest_order_block(pivots: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The order block, broken by then, whose box is nearest (0 inside); ties to the latest break; whether it was invalid by then."""
+    """The order block, broken by then, whose box is nearest (0 inside); ties to the latest break; its size, and whether it was invalid by then."""
     b = blocks.select("series_id", F.col("type").alias("block_type"), "break_idx", "event_no", "top", "bottom", "invalid_idx")
-    d = F.greatest(F.col("bottom") - F.col("price"), F.col("price") - F.col("top"), F.lit(0.0))
-    out = nearest(pivots, b, known="break_idx", distance=d, order=-F.col("event_no"), keep=["block_type", "event_no", "invalid_idx"])
-    return out.withColumn("invalidated", F.coalesce(F.col("invalid_idx") <= F.col("confirm_idx"), F.lit(False))).drop("invalid_idx")
+    near = nearest_box(pivots, b, KEY, at="confirm_idx", price="price", known="break_idx", top="top", bottom="bottom", prefer=F.col("event_no"), keep=["block_type", "event_no", "break_idx", "top", "bottom", "invalid_idx"])
+    done = F.coalesce(F.col("box.invalid_idx") <= F.col("confirm_idx"), F.lit(False))
+    return near.select(*KEY, "box.block_type", "box.event_no", "box.break_idx", "distance", F.abs(F.col("box.top") - F.col("box.bottom")).alias("size"), done.alias("invalidated"))
+
+
+def liquidity_density(pivots: DataFrame, levels: DataFrame, recent: int = 100) -> DataFrame:
+    """Per pivot and side: levels created in the last `recent` bars, levels not resolved yet, and the distance to the nearest of these (null: none)."""
+    pivots, levels = kept(pivots), kept(levels)
+    out = pivots.select(*KEY, "price")
+    for side in ("BSL", "SSL"):
+        own, name = levels.where(F.col("type") == side), side.lower()
+        new = live_count(pivots, own, KEY, at="confirm_idx", since=F.col("created_idx"), until=F.col("created_idx") + recent, name=f"{name}_{recent}")
+        near = nearest_live(pivots, own, KEY, at="confirm_idx", price="price", since=F.col("created_idx"), until=F.col("resolved_idx") - 1, value=F.col("price"), prefer=F.lit(0), keep=[], equal_above=False)
+        near = near.select(*KEY, (F.col("n_below") + F.col("n_above")).alias(f"active_{name}"), F.col("below.v").alias("_b"), F.col("above.v").alias("_a"))
+        out = out.join(new, KEY, "left").join(near, KEY, "left").withColumn(f"near_{name}", F.least(F.col("price") - F.col("_b"), F.col("_a") - F.col("price"))).drop("_a", "_b")
+    counts = [f"bsl_{recent}", f"ssl_{recent}", "active_bsl", "active_ssl"]
+    return out.select(*KEY, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), "near_bsl", "near_ssl")
 
 
 def swings(pivots: DataFrame, bars_with_atr: DataFrame) -> DataFrame:
@@ -46,93 +60,38 @@ def swings(pivots: DataFrame, bars_with_atr: DataFrame) -> DataFrame:
     return p.select("series_id", "pivot_idx", "confirm_idx", move.alias("move"), (F.col("pivot_idx") - F.lag("pivot_idx").over(w)).alias("bars"), (move / F.when(F.col("atr") > 0, F.col("atr"))).alias("move_atr"))
 
 
-def _by_series(bars_with_atr: DataFrame, parts: DataFrame, kinds: dict[str, str], made: dict[str, str], fold) -> DataFrame:
-    """One fold per series over its bars with an ATR, by bar_idx, and its other rows: fold(bars, rows) gives a column per entry of `made`."""
-    own = {"bar_idx": "long", "close": "double", "atr": "double"}
-    rows = lambda df, have: df.select("series_id", *((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in (own | kinds).items()))
-
-    def run(table: pa.Table) -> pa.Table:
-        is_bar = pc.is_valid(table["bar_idx"])
-        bars = table.filter(is_bar).sort_by("bar_idx")
-        found = fold(bars, table.filter(pc.invert(is_bar)).select(list(kinds)).to_pylist())
-        return pa.table({"series_id": bars["series_id"], "bar_idx": bars["bar_idx"]} | {c: pa.array(found[c], pa.int64() if t == "long" else pa.float64()) for c, t in made.items()})
-
-    kind = bars_with_atr.schema
-    both = rows(parts, kinds).unionByName(rows(bars_with_atr.where("atr > 0"), own))
-    out = both.groupBy("series_id").applyInArrow(run, ", ".join([f"series_id {kind['series_id'].dataType.simpleString()}, bar_idx long", *(f"{c} {t}" for c, t in made.items())]))
-    return out.withColumn("bar_idx", F.col("bar_idx").cast(kind["bar_idx"].dataType))
-
-
-def _live(rows: list[dict], at: list[int]):
-    """Yields for each bar the rows that begin by then, and those that ended before it."""
-    rows = [r for r in rows if r["ended"] is None or r["ended"] >= r["created"]]
-    begins, ends = sorted(rows, key=lambda r: r["created"]), sorted((r for r in rows if r["ended"] is not None), key=lambda r: r["ended"])
-    i = j = 0
-    for t in at:
-        p, q = i, j
-        while i < len(begins) and begins[i]["created"] <= t:
-            i += 1
-        while j < len(ends) and ends[j]["ended"] < t:
-            j += 1
-        yield begins[p:i], ends[q:j]
-
-
 def side_distances(bars_with_atr: DataFrame, levels: DataFrame) -> DataFrame:
     """Distance in ATRs from each close up to the nearest live buy-side level and down to the nearest live sell-side one, -1 if none, and how many there are.
 
     A level is live from its creation until it is resolved (swept, if it was never
-    resolved), both bars included, and for ever if neither came.  One fold over a
-    series holds its live levels by price.
+    resolved), both bars included, and for ever if neither came.
     """
     ended = F.coalesce("resolved_idx", "swept_idx") if "swept_idx" in levels.columns else F.col("resolved_idx")
-    lv = levels.where(F.col("type").isin("BSL", "SSL") & F.col("price").isNotNull()).select("series_id", F.col("created_idx").alias("created"), ended.alias("ended"), (F.col("type") == "BSL").alias("buy"), "price")
-
-    def fold(bars, known):
-        live: dict[bool, list[float]] = {True: [], False: []}
-        out: dict[str, list] = {"up": [], "down": [], "up_count": [], "down_count": []}
-        for (new, old), close, atr in zip(_live(known, bars["bar_idx"].to_pylist()), bars["close"].to_pylist(), bars["atr"].to_pylist(), strict=True):
-            for r in new:
-                insort(live[r["buy"]], r["price"])
-            for r in old:
-                del live[r["buy"]][bisect_left(live[r["buy"]], r["price"])]
-            k, n = bisect_left(live[True], close), bisect_right(live[False], close)
-            out["up"].append((live[True][k] - close) / atr if k < len(live[True]) else -1.0)
-            out["down"].append(-((live[False][n - 1] - close) / atr) if n else -1.0)
-            out["up_count"].append(len(live[True]) - k)
-            out["down_count"].append(n)
-        return out
-
-    return _by_series(bars_with_atr, lv, {"created": "long", "ended": "long", "buy": "boolean", "price": "double"}, {"up": "double", "down": "double", "up_count": "long", "down_count": "long"}, fold)
+    key = ["series_id", "bar_idx"]
+    bars, levels = kept(bars_with_atr.where("atr > 0").select(*key, "close", "atr")), kept(levels)
+    near = lambda side: nearest_live(bars, levels.where(F.col("type") == side), key, at="bar_idx", price="close", since=F.col("created_idx"), until=ended, value=F.col("price"), prefer=F.lit(0), keep=[])
+    buy = near("BSL").select(*key, F.col("above.v").alias("_up"), F.col("n_above").alias("up_count"))
+    sell = near("SSL").select(*key, F.col("below.v").alias("_down"), F.col("n_below").alias("down_count"))
+    met = bars.join(buy, key, "left").join(sell, key, "left")
+    return met.select(*key, F.coalesce((F.col("_up") - F.col("close")) / F.col("atr"), F.lit(-1.0)).alias("up"), F.coalesce((F.col("close") - F.col("_down")) / F.col("atr"), F.lit(-1.0)).alias("down"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("up_count", "down_count")))
 
 
 def box_distances(bars_with_atr: DataFrame, boxes: DataFrame) -> DataFrame:
     """Whether each close is inside (1) a live box, and the distance in ATRs to the nearest one; 0 inside, -1 if none is live.
 
     boxes: series_id, created, ended (null: never), top, bottom; live from created to
-    ended, both included.  One fold over a series holds the live tops and bottoms in order.
+    ended, both included.  A close is inside as many boxes as have begun below it or at
+    it, less those that end below it.
     """
-
-    def fold(bars, known):
-        bottoms, tops = [], []
-        out: dict[str, list] = {"inside": [], "distance": []}
-        for (new, old), close, atr in zip(_live(known, bars["bar_idx"].to_pylist()), bars["close"].to_pylist(), bars["atr"].to_pylist(), strict=True):
-            for r in new:
-                insort(bottoms, min(r["bottom"], r["top"]))
-                insort(tops, max(r["bottom"], r["top"]))
-            for r in old:
-                del bottoms[bisect_left(bottoms, min(r["bottom"], r["top"]))]
-                del tops[bisect_left(tops, max(r["bottom"], r["top"]))]
-            begun, left = bisect_right(bottoms, close), bisect_left(tops, close)
-            inside = begun > left
-            above = bottoms[begun] - close if begun < len(bottoms) else None
-            below = close - tops[left - 1] if left else None
-            near = [x for x in (above, below) if x is not None]
-            out["inside"].append(int(inside))
-            out["distance"].append(0.0 if inside else min(near) / atr if near else -1.0)
-        return out
-
-    kinds = {"created": "long", "ended": "long", "top": "double", "bottom": "double"}
-    return _by_series(bars_with_atr, boxes.where("top is not null and bottom is not null").select("series_id", *kinds), kinds, {"inside": "long", "distance": "double"}, fold)
+    key = ["series_id", "bar_idx"]
+    bars, b = kept(bars_with_atr.where("atr > 0").select(*key, "close", "atr")), kept(boxes.where("top is not null and bottom is not null"))
+    near = lambda edge, **how: nearest_live(bars, b, key, at="bar_idx", price="close", since=F.col("created"), until=F.col("ended"), value=edge, prefer=F.lit(0), keep=[], **how)
+    begun = near(F.least("top", "bottom"), equal_above=False).select(*key, F.col("n_below").alias("_begun"), F.col("above.v").alias("_above"))
+    left = near(F.greatest("top", "bottom"), equal_below=False).select(*key, F.col("n_below").alias("_left"), F.col("below.v").alias("_below"))
+    met = bars.join(begun, key, "left").join(left, key, "left")
+    inside = F.coalesce(F.col("_begun") > F.col("_left"), F.lit(False))
+    away = F.least(F.col("_above") - F.col("close"), F.col("close") - F.col("_below")) / F.col("atr")
+    return met.select(*key, inside.cast("long").alias("inside"), F.when(inside, 0.0).otherwise(F.coalesce(away, F.lit(-1.0))).alias("distance"))
 
 
 def regression_channel(blocks: DataFrame, tick: float = 0.25) -> DataFrame:

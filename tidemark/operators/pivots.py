@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,20 +104,21 @@ def swing_pivots(bars: DataFrame, length: int = 150) -> DataFrame:
     legs = b.groupBy("series_id", "island", "bull").agg(*(f(c, "bar_idx").alias(f"{n}_{c}") for f, n in ((F.min_by, "first"), (F.max_by, "last")) for c in ("h", "l")))
     flat = legs.select("series_id", "island", "bull", *(F.col(f"{n}_{c}.{x}").alias(f"{n}_{c}_{x}") for n in ("first", "last") for c in ("h", "l") for x in ("i", "p")))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    def fold(part: pa.Table) -> pa.Table:
         points: list[tuple[int, str, float]] = []
-        for k, r in enumerate(part.sort_values("island").to_dict("records")):
-            at = lambda n, c, r=r: (int(r[f"{n}_{c}_i"]), "HIGH" if c == "h" else "LOW", float(r[f"{n}_{c}_p"]))
-            emits = k > 0 and not (pd.isna(r["first_h_i"]) or pd.isna(r["first_l_i"]))
+        for k, r in enumerate(part.sort_by("island").to_pylist()):
+            at = lambda n, c, r=r: (r[f"{n}_{c}_i"], "HIGH" if c == "h" else "LOW", r[f"{n}_{c}_p"])
+            emits = k > 0 and r["first_h_i"] is not None and r["first_l_i"] is not None
             side = "h" if r["bull"] == 1 else "l"
             if emits:
                 points += [at("first", "l" if side == "h" else "h"), at("last", side)]
-            elif points and points[-1][1] == ("HIGH" if side == "h" else "LOW") and not pd.isna(r[f"last_{side}_i"]):
+            elif points and points[-1][1] == ("HIGH" if side == "h" else "LOW") and r[f"last_{side}_i"] is not None:
                 points[-1] = at("last", side)
         rows = fold_swings(points)
-        return pd.DataFrame({"series_id": [part["series_id"].iloc[0]] * len(rows), "pivot_idx": [p[0] for p in rows], "confirm_idx": [p[0] for p in rows], "type": [p[1] for p in rows], "price": [p[2] for p in rows]})
+        where = pa.array([p[0] for p in rows], pa.int64())
+        return pa.table({"series_id": pa.array([part["series_id"][0].as_py()] * len(rows), part.schema.field("series_id").type), "pivot_idx": where, "confirm_idx": where, "type": pa.array([p[1] for p in rows], pa.string()), "price": pa.array([p[2] for p in rows], pa.float64())})
 
-    return flat.groupBy("series_id").applyInPandas(fold, "series_id string, pivot_idx long, confirm_idx long, type string, price double")
+    return flat.groupBy("series_id").applyInArrow(fold, f"series_id {bars.schema['series_id'].dataType.simpleString()}, pivot_idx long, confirm_idx long, type string, price double")
 
 
 def labels(pivots: DataFrame) -> DataFrame:

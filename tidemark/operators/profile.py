@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import live
+from tidemark.operators.bars import DAY, bucket
+
 
 def overlap_bins(bars: DataFrame, bins: int = 48) -> DataFrame:
     """Volume per price bin of each series; a bar's volume is spread over the bins that its range overlaps, a flat bar's goes to its close's bin."""
@@ -50,3 +53,91 @@ def value_area(profile: DataFrame, bins: int = 48, share: float = 0.7, *, ties:
 
     area = F.aggregate(F.sequence(F.lit(1), F.lit(bins)), start, step)
     return full.withColumn("area", area).select("series_id", F.col("poc").cast("long"), F.col("area.lo").cast("long").alias("val"), F.col("area.hi").cast("long").alias("vah"))
+
+
+def area_of(volumes: Column, share: float, *, ties: str) -> Column:
+    """Struct poc, lo, hi over an array of volumes: the fullest bin and the bins around it, the larger neighbour first (up on ties), until they hold the share."""
+    last = F.size(volumes) - 1
+    at = lambda i: F.when((i >= 0) & (i <= last), F.get(volumes, i)).otherwise(F.lit(-1.0))
+    top = F.array_max(volumes)
+    poc = (F.array_position(volumes, top) - 1) if ties == "first" else last - (F.array_position(F.reverse(volumes), top) - 1)
+    poc = poc.cast("int")
+    total = F.aggregate(volumes, F.lit(0.0), lambda a, v: a + v)
+    total = F.when(total == 0, F.lit(1.0)).otherwise(total)
+
+    def step(a, _):
+        up, down = at(a["hi"] + 1), at(a["lo"] - 1)
+        done = (a["acc"] / total >= share) | ((up < 0) & (down < 0))
+        right = up >= down
+        return F.struct(a["poc"].alias("poc"), F.when(done | right, a["lo"]).otherwise(a["lo"] - 1).alias("lo"), F.when(done | ~right, a["hi"]).otherwise(a["hi"] + 1).alias("hi"), F.when(done, a["acc"]).when(right, a["acc"] + up).otherwise(a["acc"] + down).alias("acc"))
+
+    return F.aggregate(F.sequence(F.lit(1), last), F.struct(poc.alias("poc"), poc.alias("lo"), poc.alias("hi"), at(poc).alias("acc")), step)
+
+
+def range_sums(bars: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
+    """key, lo, hi, volume and turnover (typical price times volume) over the bars first_idx to last_idx of each range.
+
+    Bars are summed up once per dyadic block; a range reads the blocks that make it up.
+    """
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    top = bars.groupBy("series_id").agg(F.max("bar_idx").alias("_last"))
+    b = bars.select("series_id", "bar_idx", "low", "high", "volume", (typical * F.col("volume")).alias("pv")).join(F.broadcast(top), "series_id")
+    nodes = b.withColumn("b", F.explode(live.ancestors(F.col("bar_idx"), F.col("_last")))).groupBy("series_id", F.col("b.scale").alias("scale"), F.col("b.node").alias("node"))
+    nodes = nodes.agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.sum("volume").alias("volume"), F.sum("pv").alias("turnover"))
+    asked = ranges.select(*dict.fromkeys(["series_id", *key]), F.explode(live.cover(F.col("first_idx"), F.col("last_idx"))).alias("b")).select("*", "b.scale", "b.node").drop("b")
+    return asked.join(nodes, live.NODE).groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("volume").alias("volume"), F.sum("turnover").alias("turnover"))
+
+
+def range_profiles(bars: DataFrame, ranges: DataFrame, key: list[str], bins: int = 24) -> DataFrame:
+    """key, lo, step and volumes (an array, a number per bin) of the typical prices of the bars first_idx to last_idx of each range, by `bins` equal bins from its lowest low to its highest high.
+
+    ranges: series_id, key, first_idx, last_idx.  Ranges have other edges each, so a
+    bar is dealt to its dyadic blocks, a range's inner edges to the blocks that make it
+    up, and in each block one running sum by price tells an edge the volume below it;
+    bins are differences.  n log n for any number and length of ranges.  A typical
+    price falls into bin floor((price - lo) / step), the last one at most: an edge is
+    the least double that this takes over it.  Ranges without height have no volumes.
+    """
+    sized = range_sums(bars, ranges, key).select(*key, "lo", ((F.col("hi") - F.col("lo")) / bins).alias("step"))
+    told = ranges.join(sized, key).where("step > 0")
+    guess = lambda k: F.col("lo") + k * F.col("step")
+    half = F.abs(F.greatest(F.abs(F.col("lo")), F.abs(F.col("lo") + F.col("step") * bins))) * float(2.0**-53)  # steps of at most one unit in the last place
+    near = lambda k: F.transform(F.sequence(F.lit(-6), F.lit(6)), lambda i: guess(k) + i * half)
+    edge = lambda k: F.coalesce(F.array_min(F.filter(near(k), lambda x: F.floor((x - F.col("lo")) / F.col("step")) >= k)), guess(k))
+    edges = F.array(*(F.struct(F.lit(k).alias("k"), edge(F.lit(k)).alias("p")) for k in range(1, bins)))
+    asked = told.select(*dict.fromkeys(["series_id", *key]), F.explode(live.cover(F.col("first_idx"), F.col("last_idx"))).alias("b"), edges.alias("edges")).select("*", "b.scale", "b.node").drop("b")
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    top = bars.groupBy("series_id").agg(F.max("bar_idx").alias("_last"))
+    b = bars.select("series_id", "bar_idx", typical.alias("p"), "volume").join(F.broadcast(top), "series_id").withColumn("b", F.explode(live.ancestors(F.col("bar_idx"), F.col("_last"))))
+    b = b.select("series_id", F.col("b.scale").alias("scale"), F.col("b.node").alias("node"), "p", "volume", F.lit(1).alias("side")).join(asked.select(*live.NODE).distinct(), live.NODE, "left_semi")
+    names = [f"_key_{n}" for n in range(len(key))]
+    points = asked.select(*live.NODE, *(F.col(c).alias(n) for n, c in zip(names, key, strict=True)), F.explode("edges").alias("e")).select(*live.NODE, *names, "e.k", "e.p", F.lit(0).alias("side"))
+    run = Window.partitionBy(*live.NODE).orderBy("p", "side").rowsBetween(*live.RUN)
+    below = b.unionByName(points, allowMissingColumns=True).withColumn("below", F.coalesce(F.sum("volume").over(run), F.lit(0.0))).where("side = 0")
+    whole = asked.join(b.groupBy(*live.NODE).agg(F.sum("volume").alias("below")), live.NODE).select(*(F.col(c).alias(n) for n, c in zip(names, key, strict=True)), F.lit(bins).alias("k"), "below")
+    sums = below.select(*names, "k", "below").unionByName(whole).groupBy(*names, "k").agg(F.sum("below").alias("below")).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("k", "below"))).alias("s"))
+    volumes = F.transform("s", lambda x, i: x["below"] - F.coalesce(F.get("s", i - 1)["below"], F.lit(0.0)))
+    back = sums.select(*(F.col(n).alias(c) for n, c in zip(names, key, strict=True)), volumes.alias("volumes"))
+    return sized.join(back, key, "left")
+
+
+def range_areas(profiles: DataFrame, key: list[str], fallback: Column, share: float = 0.7) -> DataFrame:
+    """key, poc, vah and val as the middles of bins; the fallback price where a range has no height.  The first fullest bin is the point of control."""
+    area = area_of(F.col("volumes"), share, ties="first")
+    middle = lambda c: F.when(F.col("area").isNull(), fallback).otherwise(F.col("lo") + (F.col(f"area.{c}") + 0.5) * F.col("step"))
+    return profiles.withColumn("area", F.when(F.col("volumes").isNotNull(), area)).select(*key, middle("poc").alias("poc"), middle("hi").alias("vah"), middle("lo").alias("val"))
+
+
+def in_range(bars: DataFrame, mode: str, *, first: int | None = None, last: int | None = None, events: DataFrame | None = None, until: int | None = None, recent: int = 500, session: int = DAY) -> DataFrame:
+    """The bars of a profile's range, which ends at `until` (the last bar): VISIBLE (first to last), SESSION (the period of the last bar), BOS_CHOCH (from the last structure event on; HISTORICAL where there is none), HISTORICAL (the last `recent` bars).  Other modes count as VISIBLE."""
+    b = bars if until is None else bars.where(F.col("bar_idx") <= until)
+    top = b.groupBy("series_id").agg(F.max("bar_idx").alias("_top"), F.max(bucket(F.col("epoch"), session)).alias("_day"))
+    if mode == "SESSION":
+        return b.join(top, "series_id").where(bucket(F.col("epoch"), session) == F.col("_day")).drop("_top", "_day")
+    if mode == "HISTORICAL":
+        return b.join(top, "series_id").where(F.col("bar_idx") > F.col("_top") - max(recent, 1)).drop("_top", "_day")
+    if mode == "BOS_CHOCH":
+        seen = events if until is None else events.where(F.col("break_idx") <= until)
+        anchor = seen.groupBy("series_id").agg(F.max("break_idx").alias("_at"))
+        return b.join(top, "series_id").join(anchor, "series_id", "left").where(F.col("bar_idx") >= F.coalesce("_at", F.col("_top") - max(recent, 1) + 1)).drop("_top", "_day", "_at")
+    return b.where(F.col("bar_idx").between(max(first or 0, 0), F.lit(last) if last is not None else F.col("bar_idx")))

@@ -11,18 +11,35 @@ from tidemark.operators.levels import as_of, first_beyond
 from tidemark.operators.windows import over
 
 
-def breaks(pivots: DataFrame, bars: DataFrame) -> DataFrame:
+def shadowed(pivots: DataFrame, external: DataFrame, apart: float = 1e-7) -> DataFrame:
+    """pivots with `shadowed`: whether an external pivot of the type has the same price, to less than `apart`."""
+    key = ["series_id", "type", "pivot_idx", "confirm_idx"]
+    cell = F.floor(F.col("price") / apart)  # prices so close lie in one cell or in neighbouring ones
+    ext = external.select("series_id", "type", F.col("price").alias("_e"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+    met = pivots.withColumn("_cell", cell).join(ext, ["series_id", "type", "_cell"]).where(F.abs(F.col("price") - F.col("_e")) < apart)
+    return pivots.join(met.select(*key, F.lit(True).alias("shadowed")).distinct(), key, "left").withColumn("shadowed", F.coalesce("shadowed", F.lit(False)))
+
+
+def breaks(pivots: DataFrame, bars: DataFrame, *, confluence: bool = False, external: DataFrame | None = None) -> DataFrame:
     """BOS and CHoCH events: the first close that crosses a pivot's level while it is the latest of its type.
 
     Up breaks come before down breaks of the same bar.  A break against the trend of
     the break before is a CHOCH, any other a BOS.  A bar meets one pivot of each type,
     the latest confirmed one, by an as-of lookup.
+    confluence: a crossing counts only on a bar whose longer wick is on the side that it
+    breaks (upper for up); a pivot that fails stays open for a later crossing.
+    external: pivots at the price of an external pivot of their type never break, but
+    still take the place of the one before.  What does not count moves no trend.
     """
-    b = bars.select("series_id", "bar_idx", "close", F.lag("close").over(series_window()).alias("before"))
+    upper, lower = F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low")
+    leans = F.when(upper > lower, 1).when(upper < lower, -1).otherwise(0) if confluence else F.lit(None).cast("int")
+    b = bars.select("series_id", "bar_idx", "close", F.lag("close").over(series_window()).alias("before"), leans.alias("leans"))
+    p = pivots.withColumn("shadowed", F.lit(False)) if external is None else shadowed(pivots, external)
     up = F.col("type") == "HIGH"
     crossed = F.when(up, (F.col("before") <= F.col("price")) & (F.col("close") > F.col("price"))).otherwise((F.col("before") >= F.col("price")) & (F.col("close") < F.col("price")))
-    live = lambda t: as_of(b, pivots.where(F.col("type") == t), ["type", "pivot_idx", "confirm_idx", "price"], at="bar_idx", when="confirm_idx")
-    met = live("HIGH").unionByName(live("LOW")).where(F.col("type").isNotNull() & crossed)
+    passes = F.col("leans") == F.when(up, 1).otherwise(-1) if confluence else F.lit(True)
+    live = lambda t: as_of(b, p.where(F.col("type") == t), ["type", "pivot_idx", "confirm_idx", "price", "shadowed"], at="bar_idx", when="confirm_idx")
+    met = live("HIGH").unionByName(live("LOW")).where(F.col("type").isNotNull() & crossed & passes & ~F.col("shadowed"))
     first = met.groupBy("series_id", "type", "pivot_idx", "confirm_idx", "price").agg(F.min("bar_idx").alias("break_idx"))
     e = first.withColumn("direction", F.when(up, 1).otherwise(-1).cast("long"))
     order = Window.partitionBy("series_id").orderBy("break_idx", F.desc("direction"), "pivot_idx")
@@ -49,21 +66,30 @@ def mitigated_gaps(bars: DataFrame) -> DataFrame:
     return out.drop("level_id", "near")
 
 
-def order_blocks(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """Per break: the last opposite candle of [pivot, break - 1], else the first extreme one; then first touch and invalidation."""
+def order_blocks(events: DataFrame, bars: DataFrame, *, source: str = "highlow") -> DataFrame:
+    """Per break: the last opposite candle of [pivot, break - 1], else the first extreme one; then first touch and invalidation.
+
+    The last opposite candle before a bar is carried along by a window; only ranges
+    without one are looked through.  source: what goes beyond the far side makes the
+    block invalid, a high or low ("highlow") or a close ("close").
+    """
+    if source not in ("highlow", "close"):
+        raise ValueError(f"unknown source {source!r}")
     e = events.where("break_idx > pivot_idx").select("series_id", "event_no", "event", "direction", "pivot_idx", "break_idx")
-    span = e.withColumn("bar_idx", F.explode(F.sequence("pivot_idx", F.col("break_idx") - 1)))
-    met = span.join(bars.select("series_id", "bar_idx", "open", "high", "low", "close"), ["series_id", "bar_idx"])
     up = F.col("direction") == 1
-    opposite = F.when(up, F.col("close") < F.col("open")).otherwise(F.col("close") > F.col("open"))
-    extreme = F.when(up, -F.col("low")).otherwise(F.col("high"))
-    rank = F.struct(opposite.cast("int").alias("a"), F.when(opposite, F.col("bar_idx").cast("double")).otherwise(extreme).alias("b"), (-F.col("bar_idx")).alias("c"))
     box = F.struct("bar_idx", "high", "low")
-    b = met.groupBy(*e.columns).agg(F.max_by(box, rank).alias("box"))
+    before = series_window().rowsBetween(Window.unboundedPreceding, -1)
+    carried = bars.select("series_id", F.col("bar_idx").alias("break_idx"), F.last(F.when(F.col("close") < F.col("open"), box), ignorenulls=True).over(before).alias("_fall"), F.last(F.when(F.col("close") > F.col("open"), box), ignorenulls=True).over(before).alias("_rise"))
+    met = e.join(carried, ["series_id", "break_idx"]).withColumn("box", F.when(up, F.col("_fall")).otherwise(F.col("_rise"))).drop("_fall", "_rise")
+    found = F.coalesce(F.col("box.bar_idx") >= F.col("pivot_idx"), F.lit(False))
+    span = met.where(~found).drop("box").withColumn("bar_idx", F.explode(F.sequence("pivot_idx", F.col("break_idx") - 1))).join(bars.select("series_id", "bar_idx", "high", "low"), ["series_id", "bar_idx"])
+    rank = F.struct(F.when(up, -F.col("low")).otherwise(F.col("high")), -F.col("bar_idx"))
+    b = met.where(found).unionByName(span.groupBy(*e.columns).agg(F.max_by(box, rank).alias("box")))
     b = b.select("series_id", F.col("event_no").alias("level_id"), F.when(up, "BULLISH_OB").otherwise("BEARISH_OB").alias("type"), F.col("box.bar_idx").alias("ob_idx"), "break_idx", F.col("box.high").alias("top"), F.col("box.low").alias("bottom"), (F.col("break_idx") + 1).alias("s"), "direction")
     b = b.withColumn("near", F.when(up, F.col("top")).otherwise(F.col("bottom"))).withColumn("far", F.when(up, F.col("bottom")).otherwise(F.col("top")))
     b = first_beyond(b, bars, start="s", price="near", above=~up, equal=True, out="touch_idx")
-    b = first_beyond(b, bars, start="s", price="far", above=~up, out="invalid_idx")
+    by_close = {"up": "close", "down": "close"} if source == "close" else {}
+    b = first_beyond(b, bars, start="s", price="far", above=~up, out="invalid_idx", **by_close)
     return b.select("series_id", F.col("level_id").alias("event_no"), "type", "ob_idx", "break_idx", "top", "bottom", "touch_idx", "invalid_idx")
 
 

@@ -100,21 +100,63 @@ def vwap_since(bars: DataFrame) -> DataFrame:
     return out.drop("square", "typical", "v").select("*", *bands)
 
 
+def _block_runs(value: Column, n: int, best, skip: int) -> tuple[Column, Column]:
+    """best of the value from the beginning of the bar's block of n bars to the bar, and from the bar to the block's end."""
+    v = value if not skip else F.when(F.col("bar_idx") >= skip, value)
+    block = F.floor(F.col("bar_idx") / F.lit(n))
+    own = Window.partitionBy("series_id", block)
+    begun = best(v).over(own.orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0))
+    rest = best(v).over(own.orderBy(F.desc("bar_idx")).rowsBetween(Window.unboundedPreceding, 0))
+    return begun, rest
+
+
+def trailing_extremes(bars: DataFrame, n: int, made: dict[str, tuple[Column, object]], *, skip: int = 0) -> DataFrame:
+    """bars with columns over the last n bars, name: (value, F.max, F.min or F.sum); null where no value counts.
+
+    The last n bars are the end of one block of n bars and the beginning of the next,
+    so two running windows do, whatever n is.  Bars before `skip` do not count.
+    """
+    parts = {c: _block_runs(v, n, best, skip) for c, (v, best) in made.items()}
+    own = bars.select("*", *(p[0].alias(f"_b_{c}") for c, p in parts.items()), *(p[1].alias(f"_r_{c}") for c, p in parts.items()))
+    # n - 1 bars back begins the end of the block before; on a block's last bar the block is the whole, and the first n bars have none before.
+    back = {c: F.lag(f"_r_{c}", n - 1).over(series_window()) for c in made}
+    whole = F.col("bar_idx") % n == n - 1
+    picked = own.select("*", *(F.when(whole, F.lit(None)).otherwise(v).alias(f"_l_{c}") for c, v in back.items()))
+    both = {F.max: F.greatest, F.min: F.least, F.sum: lambda a, b: F.coalesce(F.col(a) + F.col(b), a, b)}
+    join = {c: both[best](f"_b_{c}", f"_l_{c}") for c, (_, best) in made.items()}
+    return picked.select(*bars.columns, *(v.alias(c) for c, v in join.items()))
+
+
+def trailing_blocks(bars: DataFrame, events: DataFrame, size: int, count: int = 20) -> DataFrame:
+    """For each event (series_id, event_idx): `count` blocks of `size` bars that end at it, block 0 the latest; the oldest may be short.
+
+    Every bar carries what the `size` bars up to it hold; an event reads the bars that end its blocks.
+    """
+    w = series_window()
+    held = trailing_extremes(bars.select("series_id", "bar_idx", "open", "high", "low", "close", "volume"), size, {"_high": (F.col("high"), F.max), "_low": (F.col("low"), F.min), "_volume": (F.col("volume"), F.sum)})
+    first = F.first("open").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = held.select("series_id", "bar_idx", F.coalesce(F.lag("open", size - 1).over(w), first).alias("open"), F.col("_high").alias("high"), F.col("_low").alias("low"), "close", F.col("_volume").alias("volume"))
+    ends = events.select("series_id", "event_idx", F.explode(F.sequence(F.lit(0), F.least(F.lit(count - 1), F.floor(F.col("event_idx") / F.lit(size)).cast("int")))).alias("n")).where("event_idx >= 0").select("series_id", "event_idx", F.col("n").cast("long").alias("block"))
+    return ends.withColumn("bar_idx", F.col("event_idx") - F.col("block") * size).join(held, ["series_id", "bar_idx"]).drop("bar_idx")
+
+
 def support_resistance(bars: DataFrame, spans: tuple[int, ...] = (240, 1440, 10080)) -> DataFrame:
+    """Distance from the mid price up to the highest high and down to the lowest low of the last n bars."""
     mid = (F.col("high") + F.col("low")) / 2
-    cols = []
+    out = bars
     for n in spans:
-        cols += [(F.max("high").over(over(-(n - 1), 0)) - mid).alias(f"resistance_{n}"), (mid - F.min("low").over(over(-(n - 1), 0))).alias(f"support_{n}")]
-    return bars.select("*", *cols)
+        out = trailing_extremes(out, n, {f"resistance_{n}": (F.col("high"), F.max), f"support_{n}": (F.col("low"), F.min)})
+    return out.select(*bars.columns, *(x for n in spans for x in ((F.col(f"resistance_{n}") - mid).alias(f"resistance_{n}"), (mid - F.col(f"support_{n}")).alias(f"support_{n}"))))
 
 
 def supply_demand_score(bars: DataFrame, n: int = 240, pip: float = 0.25) -> DataFrame:
-    """Distance to the low of the strongest up bar and the high of the strongest down bar of the last n + 1; the earliest wins ties."""
+    """demand: the low of the strongest up bar, supply: the high of the strongest down bar of the last n + 1, never bar 0; the earliest wins ties, the mid price stands in where there is none."""
     body = F.col("close") - F.col("open")
-    base = bars.withColumn("score", F.abs(body) / F.greatest(F.col("high") - F.col("low"), F.lit(pip)) * F.col("volume"))
-    rank = F.struct(F.col("score"), -F.col("bar_idx"))
-    w = over(-n, 0)
-    return base.select("*", F.max_by(F.when(body > 0, F.col("low")), F.when(body > 0, rank)).over(w).alias("demand"), F.max_by(F.when(body < 0, F.col("high")), F.when(body < 0, rank)).over(w).alias("supply"))
+    score = F.abs(body) / F.greatest(F.col("high") - F.col("low"), F.lit(pip)) * F.col("volume")
+    mid = (F.col("high") + F.col("low")) / 2
+    strongest = lambda sign, price: F.when(F.signum(body) == sign, F.struct(score.alias("score"), (-F.col("bar_idx")).alias("first"), F.col(price).alias("price")))
+    out = trailing_extremes(bars, n + 1, {"demand": (strongest(1, "low"), F.max), "supply": (strongest(-1, "high"), F.max)}, skip=1)
+    return out.select(*bars.columns, *(F.coalesce(F.col(c)["price"], mid).alias(c) for c in ("demand", "supply")))
 
 
 def rolling_vwap(bars: DataFrame, n: int = 60) -> DataFrame:

@@ -19,10 +19,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None):
     def keep(f):
         QUERIES[name] = lambda spark, sf_dir: f(M.bars_of(spark, sf_dir), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        ORACLE_SQL[name] = sql
+        if sql:
+            ORACLE_SQL[name] = sql
         return f
 
     return keep
@@ -193,14 +194,14 @@ def _(bars, load):
     return bars.select("series_id", "bar_idx", B.day_label(F.col("epoch")).alias("day"), B.thousands(F.col("volume") * 100).alias("told"))
 
 
-@query("confluent_events", f"WITH {_EV}, {_MB} SELECT e.series_id, e.event_no, e.event FROM ev e JOIN mb b ON b.series_id = e.series_id AND b.bar_idx = e.break_idx WHERE CASE WHEN direction = 1 THEN b.high - greatest(b.open, b.close) > least(b.open, b.close) - b.low ELSE least(b.open, b.close) - b.low > b.high - greatest(b.open, b.close) END")
+@query("confluent_events", f"WITH {M.BARS}{M.breaks_sql('c.upper > c.lower', 'c.upper < c.lower')} SELECT series_id, event_no, event, break_idx FROM smc")
 def _(bars, load):
-    return A.confluent(S.breaks(P.leg_pivots(bars), bars), bars).select("series_id", "event_no", "event")
+    return S.breaks(P.leg_pivots(bars), bars, confluence=True).select("series_id", "event_no", "event", "break_idx")
 
 
-@query("internal_events", f"WITH {_EV}, ext AS (WITH {M.BARS}{M.legs(20)} SELECT * FROM pivots) SELECT series_id, event_no, event FROM ev e WHERE NOT EXISTS (SELECT 1 FROM ext x WHERE x.series_id = e.series_id AND round(x.price, 7) = round(e.price, 7))")
+@query("internal_events", None)
 def _(bars, load):
-    return A.without_external(S.breaks(P.leg_pivots(bars), bars), P.leg_pivots(bars, 20)).select("series_id", "event_no", "event")
+    return S.breaks(P.leg_pivots(bars), bars, external=P.swing_pivots(bars)).select("series_id", "event_no", "event", "break_idx")
 
 
 @query("events_of_pivots", f"WITH {_EV}, {_PIV} SELECT p.series_id, p.pivot_idx, p.type, coalesce((SELECT string_agg(event, ',' ORDER BY event_no) FROM ev e WHERE e.series_id = p.series_id AND e.pivot_idx = p.pivot_idx), '') AS events FROM piv p")
@@ -209,9 +210,24 @@ def _(bars, load):
     return A.events_of_pivots(p, S.breaks(p, bars)).select("series_id", "pivot_idx", "type", "events")
 
 
-@query("external_fibonacci", f"WITH ext AS (WITH {M.BARS}{M.legs(20)} SELECT * FROM pivots), t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY confirm_idx DESC, pivot_idx DESC) AS n FROM ext), e AS (SELECT a.series_id, a.price AS p1, b.price AS p2, a.type AS t1 FROM t a JOIN t b ON b.series_id = a.series_id AND a.n = 1 AND b.n = 2 WHERE a.type <> b.type) SELECT series_id, CASE WHEN t1 = 'HIGH' THEN 'UP' ELSE 'DOWN' END AS direction, CAST(x AS DOUBLE) AS ratio, round(CASE WHEN t1 = 'HIGH' THEN p1 - abs(p1 - p2) * x ELSE p1 + abs(p1 - p2) * x END, 6) + 0.0 AS price FROM e, (SELECT unnest([0.382, 0.5, 0.618, 0.705, 0.786]) AS x)")
+@query("external_fibonacci", None)
 def _(bars, load):
-    return M.rounded(A.external_fibonacci(P.leg_pivots(bars, 20)), "series_id", "direction", "ratio", "price")
+    return M.rounded(A.external_fibonacci(P.swing_pivots(bars)), "series_id", "direction", "ratio", "price")
+
+
+@query("external_levels", None)
+def _(bars, load):
+    return S.liquidity(P.swing_pivots(bars), bars)
+
+
+@query("external_events", None)
+def _(bars, load):
+    return S.breaks(P.swing_pivots(bars), bars)
+
+
+@query("external_order_blocks", None)
+def _(bars, load):
+    return S.order_blocks(S.breaks(P.swing_pivots(bars), bars), bars, source="close")
 
 
 @query("levels_around", f"WITH {_LV}, {_MB} SELECT l.series_id, l.level_id, b.bar_idx, b.high, b.low, b.close, CASE WHEN l.type = 'BSL' THEN b.high > l.price ELSE b.low < l.price END AS breaks FROM lv l JOIN mb b ON b.series_id = l.series_id AND b.bar_idx BETWEEN coalesce(l.swept_idx, l.created_idx) - 5 AND coalesce(l.swept_idx, l.created_idx) + 5")

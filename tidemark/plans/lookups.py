@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bars as B
 from tidemark.operators import lookups as K
 from tidemark.operators import pivots as P
 from tidemark.operators import recursive as R
 from tidemark.operators import structure as S
+from tidemark.operators import windows as W
 from tidemark.plans import market as M
 
 QUERIES: dict = {}
@@ -38,7 +38,7 @@ m AS (SELECT p.series_id, p.pivot_idx, p.confirm_idx, e.type AS level_type, e.id
 def _(bars):
     p = P.leg_pivots(bars)
     out = K.nearest_equal_level(p, P.equal_levels(P.leg_pivots(bars, 3), R.atr(bars)))
-    return M.rounded(out, *out.columns)
+    return M.rounded(out, *K.KEY, "level_type", "level_idx", "distance")
 
 
 @query("nearest_order_block", f"""WITH {_PIVOTS}, ob AS ({M.ORACLE_SQL['order_blocks']}),
@@ -47,7 +47,7 @@ m AS (SELECT p.series_id, p.pivot_idx, p.confirm_idx, o.type AS block_type, o.ev
 def _(bars):
     p = P.leg_pivots(bars)
     out = K.nearest_order_block(p, S.order_blocks(S.breaks(p, bars), bars))
-    return M.rounded(out, *out.columns)
+    return M.rounded(out, *K.KEY, "block_type", "event_no", "invalidated", "distance")
 
 
 @query("swing_moves", f"""WITH {_PIVOTS}, {_ATR}, s AS (SELECT p.*, b.atr, abs(p.price - lag(p.price) OVER w) AS move, p.pivot_idx - lag(p.pivot_idx) OVER w AS bars FROM piv p LEFT JOIN ba b ON b.series_id = p.series_id AND b.bar_idx = p.confirm_idx WINDOW w AS (PARTITION BY p.series_id ORDER BY p.pivot_idx, p.confirm_idx))
@@ -76,7 +76,7 @@ g AS (SELECT series_id, event_idx, max(slope) AS slope, max(spread) AS spread, m
 SELECT series_id, event_idx, round(CASE WHEN n < 3 THEN 0 ELSE slope END, 6) + 0.0 AS slope, round(CASE WHEN n < 3 THEN 0 ELSE spread END, 6) + 0.0 AS spread, round(CASE WHEN n < 3 THEN 0 ELSE centre END, 6) + 0.0 AS centre,
   CASE WHEN n < 3 THEN 0 ELSE low_touches END AS low_touches, CASE WHEN n < 3 THEN 0 ELSE high_touches END AS high_touches, n, greatest(low_touches, high_touches) >= 3 AND n >= 12 AS is_channel FROM g""")
 def _(bars):
-    out = K.regression_channel(B.trailing_blocks(bars, M.confirmations(bars), 3))
+    out = K.regression_channel(W.trailing_blocks(bars, M.confirmations(bars), 3))
     return M.rounded(out, *out.columns)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
 from tidemark.operators import levels as L
+from tidemark.operators import live
+from tidemark.operators import lookups as K
 from tidemark.operators import pivots as P
 from tidemark.operators import profile as V
 from tidemark.operators import recursive as R
@@ -45,16 +47,20 @@ flips AS (SELECT *, lag(leg, 1, 0) OVER (PARTITION BY series_id ORDER BY bar_idx
 pivots AS (SELECT series_id, bar_idx - 5 AS pivot_idx, bar_idx AS confirm_idx, CASE WHEN leg = 1 THEN 'LOW' ELSE 'HIGH' END AS type,
   CASE WHEN leg = 1 THEN l ELSE h END AS price FROM flips WHERE leg <> was)"""
 LEGS = legs(5)
-BREAKS = LEGS + """,
-closes AS (SELECT series_id, bar_idx, close, lag(close) OVER (PARTITION BY series_id ORDER BY bar_idx) AS before FROM bars),
+def breaks_sql(up: str = "true", down: str = "true") -> str:
+    return LEGS + f""",
+closes AS (SELECT series_id, bar_idx, close, lag(close) OVER (PARTITION BY series_id ORDER BY bar_idx) AS before, high - greatest(open, close) AS upper, least(open, close) - low AS lower FROM bars),
 live AS (SELECT *, lead(confirm_idx) OVER (PARTITION BY series_id, type ORDER BY confirm_idx) AS until FROM pivots),
 firsts AS (SELECT p.series_id, p.type, p.pivot_idx, p.confirm_idx, p.price, min(c.bar_idx) AS break_idx FROM live p JOIN closes c ON c.series_id = p.series_id
   AND c.bar_idx >= p.confirm_idx AND (p.until IS NULL OR c.bar_idx < p.until)
-  AND CASE WHEN p.type = 'HIGH' THEN c.before <= p.price AND c.close > p.price ELSE c.before >= p.price AND c.close < p.price END GROUP BY ALL),
+  AND CASE WHEN p.type = 'HIGH' THEN c.before <= p.price AND c.close > p.price AND {up} ELSE c.before >= p.price AND c.close < p.price AND {down} END GROUP BY ALL),
 directed AS (SELECT *, CASE WHEN type = 'HIGH' THEN 1 ELSE -1 END AS direction FROM firsts),
 smc AS (SELECT series_id, CASE WHEN lag(direction) OVER w <> direction THEN 'CHOCH' ELSE 'BOS' END || CASE WHEN direction = 1 THEN '_UP' ELSE '_DOWN' END AS event,
   CAST(direction AS BIGINT) AS direction, break_idx, pivot_idx, price, row_number() OVER w AS event_no
   FROM directed WINDOW w AS (PARTITION BY series_id ORDER BY break_idx, direction DESC, pivot_idx))"""
+
+
+BREAKS = breaks_sql()
 GAPS = """,
 lagged AS (SELECT series_id, bar_idx, lag(high, 3) OVER w AS h3, lag(low, 3) OVER w AS l3, lag(high) OVER w AS h1, lag(low) OVER w AS l1
   FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY bar_idx)),
@@ -149,7 +155,7 @@ def _(bars, spark, d):
 
 @query("trailing_blocks", f"WITH {BARS}{LEGS}, ev AS (SELECT DISTINCT series_id, confirm_idx AS event_idx FROM pivots), n AS (SELECT e.series_id, e.event_idx, CAST(floor((e.event_idx - b.bar_idx) / 3.0) AS BIGINT) AS block, b.bar_idx, b.open, b.high, b.low, b.close, b.volume FROM ev e JOIN bars b ON b.series_id = e.series_id AND b.bar_idx BETWEEN e.event_idx - 59 AND e.event_idx) SELECT series_id, event_idx, block, arg_min(open, bar_idx) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_idx) AS close, sum(volume) AS volume FROM n GROUP BY series_id, event_idx, block")
 def _(bars, spark, d):
-    return B.trailing_blocks(bars, confirmations(bars), 3).select("series_id", "event_idx", "block", *OHLCV)
+    return W.trailing_blocks(bars, confirmations(bars), 3).select("series_id", "event_idx", "block", *OHLCV)
 
 
 @query("true_range", f"WITH {TR} SELECT series_id, bar_idx, {r6('tr')} FROM trs")
@@ -251,14 +257,14 @@ def _(bars, spark, d):
     return rounded(W.fib_distances(bars), "series_id", "bar_idx", "fib_382", "fib_500", "fib_618")
 
 
-@query("sr_windows", f"WITH {BARS} SELECT series_id, bar_idx, " + ", ".join(f"round(max(high) OVER {_last(n)} - (high + low) / 2, 6) + 0.0 AS resistance_{n}, round((high + low) / 2 - min(low) OVER {_last(n)}, 6) + 0.0 AS support_{n}" for n in (24, 240)) + " FROM bars")
+@query("sr_windows", f"WITH {BARS} SELECT series_id, bar_idx, " + ", ".join(f"round(max(high) OVER {_last(n)} - (high + low) / 2, 6) + 0.0 AS resistance_{n}, round((high + low) / 2 - min(low) OVER {_last(n)}, 6) + 0.0 AS support_{n}" for n in (240, 1440, 10080)) + " FROM bars")
 def _(bars, spark, d):
-    return rounded(W.support_resistance(bars, (24, 240)), "series_id", "bar_idx", "resistance_24", "support_24", "resistance_240", "support_240")
+    return rounded(W.support_resistance(bars), "series_id", "bar_idx", *(f"{c}_{n}" for n in (240, 1440, 10080) for c in ("resistance", "support")))
 
 
-@query("supply_demand_score", f"WITH {BARS}, s AS (SELECT *, abs(close - open) / greatest(high - low, 0.25) * volume AS score FROM bars), p AS (SELECT a.series_id, a.bar_idx, b.low, b.high, b.close > b.open AS up, row_number() OVER (PARTITION BY a.series_id, a.bar_idx, b.close > b.open ORDER BY b.score DESC, b.bar_idx) AS n FROM s a JOIN s b ON b.series_id = a.series_id AND b.bar_idx BETWEEN a.bar_idx - 48 AND a.bar_idx AND b.close <> b.open), f AS (SELECT series_id, bar_idx, max(CASE WHEN up THEN low END) AS demand, max(CASE WHEN NOT up THEN high END) AS supply FROM p WHERE n = 1 GROUP BY series_id, bar_idx) SELECT b.series_id, b.bar_idx, f.demand, f.supply FROM bars b LEFT JOIN f USING (series_id, bar_idx)")
+@query("supply_demand_score", f"WITH {BARS}, s AS (SELECT *, abs(close - open) / greatest(high - low, 0.25) * volume AS score FROM bars), p AS (SELECT a.series_id, a.bar_idx, b.low, b.high, b.close > b.open AS up, row_number() OVER (PARTITION BY a.series_id, a.bar_idx, b.close > b.open ORDER BY b.score DESC, b.bar_idx) AS n FROM s a JOIN s b ON b.series_id = a.series_id AND b.bar_idx BETWEEN greatest(a.bar_idx - 240, 1) AND a.bar_idx AND b.close <> b.open), f AS (SELECT series_id, bar_idx, max(CASE WHEN up THEN low END) AS demand, max(CASE WHEN NOT up THEN high END) AS supply FROM p WHERE n = 1 GROUP BY series_id, bar_idx) SELECT b.series_id, b.bar_idx, coalesce(f.demand, (b.high + b.low) / 2) AS demand, coalesce(f.supply, (b.high + b.low) / 2) AS supply FROM bars b LEFT JOIN f USING (series_id, bar_idx)")
 def _(bars, spark, d):
-    return W.supply_demand_score(bars, 48).select("series_id", "bar_idx", "demand", "supply")
+    return W.supply_demand_score(bars).select("series_id", "bar_idx", "demand", "supply")
 
 
 _TRACE = " ".join(f", CAST(sum(CASE WHEN k <= {h} THEN nh + nl ELSE 0 END) AS BIGINT) AS trace_{h}" for h in (3, 5, 10, 15))
@@ -295,7 +301,7 @@ def _(bars, spark, d):
 
 @query("external_zigzag")
 def _(bars, spark, d):
-    return P.swing_pivots(bars, 50)
+    return P.swing_pivots(bars)
 
 
 @query("fib_levels", f"WITH {BARS}{LEGS}, t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pivot_idx DESC) AS n FROM pivots), e AS (SELECT series_id, max(CASE WHEN n = 2 THEN price END) AS a, max(CASE WHEN n = 1 THEN price END) AS b FROM t WHERE n <= 2 GROUP BY series_id), q AS (SELECT unnest([0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0]) AS x) SELECT series_id, CAST(x AS DOUBLE) AS ratio, round(b + (a - b) * CAST(x AS DOUBLE), 6) + 0.0 AS price FROM e, q WHERE a IS NOT NULL")
@@ -364,31 +370,22 @@ def _(bars, spark, d):
 @query("event_counts_20", f"WITH {BARS}{BREAKS} SELECT p.series_id, p.pivot_idx, p.confirm_idx, count(CASE WHEN e.event LIKE 'BOS%' THEN 1 END) AS bos_20, count(CASE WHEN e.event LIKE 'CHOCH%' THEN 1 END) AS choch_20 FROM pivots p LEFT JOIN smc e ON e.series_id = p.series_id AND e.break_idx BETWEEN p.confirm_idx - 19 AND p.confirm_idx GROUP BY p.series_id, p.pivot_idx, p.confirm_idx")
 def _(bars, spark, d):
     p = P.leg_pivots(bars)
-    e = S.breaks(p, bars).select("series_id", F.explode(F.sequence("break_idx", F.col("break_idx") + 19)).alias("confirm_idx"), "event")
-    near = e.groupBy("series_id", "confirm_idx").agg(F.count(F.when(F.col("event").startswith("BOS"), 1)).alias("bos_20"), F.count(F.when(F.col("event").startswith("CHOCH"), 1)).alias("choch_20"))
-    return p.join(near, ["series_id", "confirm_idx"], "left").select("series_id", "pivot_idx", "confirm_idx", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bos_20", "choch_20")))
+    e, key = S.breaks(p, bars), K.KEY
+    count = lambda name, kind: live.live_count(p, e.where(F.col("event").startswith(kind)), key, at="confirm_idx", since=F.col("break_idx"), until=F.col("break_idx") + 20, name=name)
+    return count("bos_20", "BOS").join(count("choch_20", "CHOCH"), key)
 
 
 @query("nearest_zone", f"WITH {BARS}{LEGS}{GAPS}, m AS (SELECT p.series_id, p.pivot_idx, p.confirm_idx, g.type AS zone_type, g.gap_idx, greatest(g.bottom - p.price, p.price - g.top, 0) AS distance FROM pivots p JOIN gaps g ON g.series_id = p.series_id AND g.gap_idx <= p.confirm_idx), r AS (SELECT *, row_number() OVER (PARTITION BY series_id, pivot_idx, confirm_idx ORDER BY distance, gap_idx DESC) AS n FROM m) SELECT series_id, pivot_idx, confirm_idx, zone_type, gap_idx, {r6('distance')} FROM r WHERE n = 1")
 def _(bars, spark, d):
-    p, g = P.leg_pivots(bars), S.gaps(bars).withColumnRenamed("type", "zone_type")
-    met = p.join(g, "series_id").where("gap_idx <= confirm_idx")
-    met = met.withColumn("distance", F.greatest(F.col("bottom") - F.col("price"), F.col("price") - F.col("top"), F.lit(0.0)))
-    best = met.groupBy("series_id", "pivot_idx", "confirm_idx").agg(F.min_by(F.struct("zone_type", "gap_idx", "distance"), F.struct(F.col("distance"), -F.col("gap_idx"))).alias("z"))
-    return rounded(best.select("series_id", "pivot_idx", "confirm_idx", "z.*"), "series_id", "pivot_idx", "confirm_idx", "zone_type", "gap_idx", "distance")
+    near = K.nearest_gap(P.leg_pivots(bars), S.mitigated_gaps(bars))
+    return rounded(near, "series_id", "pivot_idx", "confirm_idx", "zone_type", "gap_idx", "distance")
 
 
 @query("liquidity_density", f"WITH {BARS}{LEVELS}, m AS (SELECT p.series_id, p.pivot_idx, p.confirm_idx, p.price AS own, l.type AS side, l.price, l.created_idx > p.confirm_idx - 100 AS recent, l.resolved_idx IS NULL OR l.resolved_idx > p.confirm_idx AS active FROM pivots p JOIN lifecycle l ON l.series_id = p.series_id AND l.created_idx <= p.confirm_idx) SELECT series_id, pivot_idx, confirm_idx, count(CASE WHEN side = 'BSL' AND recent THEN 1 END) AS bsl_100, count(CASE WHEN side = 'SSL' AND recent THEN 1 END) AS ssl_100, count(CASE WHEN side = 'BSL' AND active THEN 1 END) AS active_bsl, count(CASE WHEN side = 'SSL' AND active THEN 1 END) AS active_ssl, round(min(CASE WHEN side = 'BSL' AND active THEN abs(price - own) END), 6) + 0.0 AS near_bsl, round(min(CASE WHEN side = 'SSL' AND active THEN abs(price - own) END), 6) + 0.0 AS near_ssl FROM m GROUP BY series_id, pivot_idx, confirm_idx")
 def _(bars, spark, d):
     p = P.leg_pivots(bars)
-    lv = S.liquidity(p, bars).select("series_id", F.col("type").alias("side"), F.col("price").alias("level"), "created_idx", "resolved_idx")
-    m = p.join(lv, "series_id").where("created_idx <= confirm_idx")
-    recent = F.col("created_idx") > F.col("confirm_idx") - 100
-    active = F.col("resolved_idx").isNull() | (F.col("resolved_idx") > F.col("confirm_idx"))
-    count = lambda side, c, name: F.count(F.when((F.col("side") == side) & c, 1)).alias(name)
-    near = lambda side, name: F.min(F.when((F.col("side") == side) & active, F.abs(F.col("level") - F.col("price")))).alias(name)
-    out = m.groupBy("series_id", "pivot_idx", "confirm_idx").agg(count("BSL", recent, "bsl_100"), count("SSL", recent, "ssl_100"), count("BSL", active, "active_bsl"), count("SSL", active, "active_ssl"), near("BSL", "near_bsl"), near("SSL", "near_ssl"))
-    return rounded(out, *out.columns)
+    out = K.liquidity_density(p, S.liquidity(p, bars)).where("active_bsl + active_ssl + bsl_100 + ssl_100 > 0 or near_bsl is not null")
+    return rounded(out, "series_id", "pivot_idx", "confirm_idx", "bsl_100", "ssl_100", "active_bsl", "active_ssl", "near_bsl", "near_ssl")
 
 
 _BINS = "x AS (SELECT series_id, low, high, close, volume, min(low) OVER (PARTITION BY series_id) AS fl, (max(high) OVER (PARTITION BY series_id) - min(low) OVER (PARTITION BY series_id)) / {n} AS step FROM bars), q AS (SELECT CAST(unnest(range({n})) AS BIGINT) AS bin)"

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import candles as C
+from tidemark.operators import features as X
 from tidemark.operators import pivots as P
+from tidemark.operators import profile as V
 from tidemark.operators import recursive as R
 from tidemark.operators import structure as S
 from tidemark.plans import market as M
+from tidemark.sources.files import kept
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -25,8 +28,9 @@ def query(name: str, sql: str | None = None):
 
 
 def candles(bars):
-    p = P.leg_pivots(bars)
-    events = S.breaks(p, bars)
+    bars = kept(bars)
+    p = kept(P.leg_pivots(bars))
+    events = kept(S.breaks(p, bars))
     return C.candle_table(R.atr(bars), S.liquidity(p, bars), S.mitigated_gaps(bars), S.order_blocks(events, bars), events)
 
 
@@ -128,3 +132,65 @@ def _(bars):
     t = C.frame_context(bars, M.confirmations(bars), _TF)
     real = ("atr_pips", "range_pips", "return_pips", "vwap_distance_pips", "resistance_distance_pips", "fib618_distance_pips", "volume_ema9")
     return t.select("series_id", "event_idx", "volume", *((F.round(c, 4) + 0.0).alias(c) for c in real))
+
+
+def external_features(bars):
+    """The full pivot table at external swings, from everything known by them."""
+    bars = kept(bars)
+    atr, swings = kept(R.atr(bars)), kept(P.swing_pivots(bars))
+    events = S.breaks(swings, bars)
+    return X.pivot_features(swings, atr, S.liquidity(swings, bars), P.equal_levels(P.leg_pivots(bars, 3), atr), S.mitigated_gaps(bars), S.order_blocks(events, bars), events)
+
+
+@query("pivot_table")
+def _(bars):
+    return external_features(bars)
+
+
+@query("ghost_table")
+def _(bars):
+    return X.ghost_table(external_features(bars), bars)
+
+
+def _areas(frame: int) -> str:
+    """Value areas of the bars before each confirmation, bin by bin, by recursion."""
+    span = max(20 * frame, 60)
+    return f"""(WITH RECURSIVE r{frame} AS (SELECT e.series_id, e.event_idx, min(b.low) OVER w AS lo, (max(b.high) OVER w - min(b.low) OVER w) / 24 AS step, (b.high + b.low + b.close) / 3 AS p, b.volume FROM events_ e JOIN mb b ON b.series_id = e.series_id AND b.bar_idx BETWEEN e.event_idx - {span - 1} AND e.event_idx WINDOW w AS (PARTITION BY e.series_id, e.event_idx)),
+v AS (SELECT e.series_id, e.event_idx, q.bin, coalesce(sum(r.volume), 0) AS v, any_value(t.lo) AS lo, any_value(t.step) AS step FROM events_ e JOIN (SELECT DISTINCT series_id, event_idx, lo, step FROM r{frame} WHERE step > 0) t USING (series_id, event_idx) CROSS JOIN (SELECT unnest(range(24)) AS bin) q LEFT JOIN r{frame} r ON r.series_id = e.series_id AND r.event_idx = e.event_idx AND least(floor((r.p - r.lo) / r.step), 23) = q.bin GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY series_id, event_idx ORDER BY v DESC, bin) AS n, sum(v) OVER (PARTITION BY series_id, event_idx) AS total FROM v),
+a AS (SELECT series_id, event_idx, bin AS poc, bin AS l, bin AS r, v AS acc, total, lo, step, 0 AS i FROM k WHERE n = 1
+UNION ALL SELECT a.series_id, a.event_idx, a.poc, CASE WHEN coalesce(u.v, -1) >= coalesce(d.v, -1) THEN a.l ELSE a.l - 1 END, CASE WHEN coalesce(u.v, -1) >= coalesce(d.v, -1) THEN a.r + 1 ELSE a.r END, a.acc + CASE WHEN coalesce(u.v, -1) >= coalesce(d.v, -1) THEN u.v ELSE d.v END, a.total, a.lo, a.step, a.i + 1
+FROM a LEFT JOIN v u ON u.series_id = a.series_id AND u.event_idx = a.event_idx AND u.bin = a.r + 1 LEFT JOIN v d ON d.series_id = a.series_id AND d.event_idx = a.event_idx AND d.bin = a.l - 1 WHERE a.acc / a.total < 0.7 AND (u.v IS NOT NULL OR d.v IS NOT NULL)),
+z AS (SELECT *, row_number() OVER (PARTITION BY series_id, event_idx ORDER BY i DESC) AS n FROM a)
+SELECT series_id, event_idx, CAST({frame} AS BIGINT) AS frame, round(lo + (poc + 0.5) * step, 6) + 0.0 AS poc, round(lo + (r + 0.5) * step, 6) + 0.0 AS vah, round(lo + (l + 0.5) * step, 6) + 0.0 AS val FROM z WHERE n = 1)"""
+
+
+@query("event_value_areas", f"WITH {_EVENTS} SELECT * FROM ({' UNION ALL '.join(f'SELECT * FROM {_areas(n)}' for n in X.FRAMES)})")
+def _(bars):
+    bars = kept(bars)
+    events, key, out = kept(M.confirmations(bars)), ["series_id", "event_idx"], None
+    for frame in X.FRAMES:
+        first = F.greatest(F.col("event_idx") - (max(20 * frame, 60) - 1), F.lit(0))
+        ranges = events.select(*key, first.alias("first_idx"), F.col("event_idx").alias("last_idx"))
+        got = V.range_areas(V.range_profiles(bars, ranges, key).where("volumes is not null"), key, F.lit(None).cast("double")).withColumn("frame", F.lit(frame).cast("long"))
+        out = got if out is None else out.unionByName(got)
+    return M.rounded(out, *key, "frame", "poc", "vah", "val")
+
+
+_MODES = {
+    "VISIBLE": "bar_idx BETWEEN 40 AND 260", "HISTORICAL": "bar_idx > last - 500", "SESSION": "CAST(floor(epoch / 86400) AS BIGINT) = CAST(floor(last_epoch / 86400) AS BIGINT)",
+    "BOS_CHOCH": "bar_idx >= coalesce((SELECT max(break_idx) FROM smc WHERE smc.series_id = y.series_id), last - 499)",
+}
+
+
+@query("profile_ranges", f"""WITH {M.BARS}{M.BREAKS}, y AS (SELECT *, max(bar_idx) OVER (PARTITION BY series_id) AS last, max(epoch) OVER (PARTITION BY series_id) AS last_epoch FROM bars),
+m AS ({' UNION ALL '.join(f"SELECT '{m}' AS mode, * FROM y WHERE {c}" for m, c in _MODES.items())}),
+x AS (SELECT mode, series_id, low, high, close, volume, min(low) OVER w AS fl, (max(high) OVER w - min(low) OVER w) / 48 AS step FROM m WINDOW w AS (PARTITION BY mode, series_id)), q AS (SELECT CAST(unnest(range(48)) AS BIGINT) AS bin),
+p AS (SELECT mode, series_id, bin, CASE WHEN x.high > x.low THEN volume * greatest((least(x.high, fl + bin * step + step) - greatest(x.low, fl + bin * step)) / (x.high - x.low), 0) ELSE volume END AS v FROM x, q WHERE step > 0 AND CASE WHEN x.high > x.low THEN bin BETWEEN least(floor((x.low - fl) / step), 47) AND least(floor((x.high - fl) / step), 47) ELSE bin = least(floor((x.close - fl) / step), 47) END)
+SELECT mode, series_id, bin, round(sum(v), 6) + 0.0 AS volume FROM p GROUP BY mode, series_id, bin""")
+def _(bars):
+    events, out = S.breaks(P.leg_pivots(bars), bars), None
+    for mode in _MODES:
+        got = V.overlap_bins(V.in_range(bars, mode, first=40, last=260, events=events)).withColumn("mode", F.lit(mode))
+        out = got if out is None else out.unionByName(got)
+    return M.rounded(out, "mode", "series_id", "bin", "volume")

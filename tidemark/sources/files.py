@@ -24,6 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what is read several times; what is such a table already stays."""
+    if getattr(df, "_tidemark_kept", False):
+        return df
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidemark_kept = True
+    return out
+
+
 def date_of(path: Column) -> Column:
     """yyyy-mm or yyyy-mm-dd from a file name with yyyy_mm or yyyy_mm_dd in it, else UNKNOWN."""
     part = lambda i: F.regexp_extract(path, r"(\d{4})_(\d{2})(?:_(\d{2}))?", i)
