@@ -9,7 +9,7 @@ Kinds `assign`, `access` and `hex` are the base; matches are leftmost and do not
 overlap within a kind, and those that are too short are dropped after matching.
 Kinds of our own are kept only when a check inside the token holds: `github` and
 `npm` (the last six base-62 digits are the CRC-32 of the body), `jwt` (the header
-is at most HEADER characters and decodes to a JSON object with "alg"), `card` (Luhn
+decodes to a JSON object with "alg"), `card` (Luhn
 and a known issuer's prefix and length, after a card keyword) and `iban` (mod 97).
 `pem` (a private-key block's first line) holds no checksum; the whole line must match.
 
@@ -62,8 +62,8 @@ BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: Card issuers: first and last prefix, lengths.
 ISSUERS = [("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("3528", "3589", (16, 19)), ("300", "305", (14, 16, 19)), ("36", "36", (14,)), ("38", "39", (14, 16)), ("50", "50", (12, 16, 19)), ("56", "58", (16, 19)), ("62", "62", (16, 19))]
 MARK = "[REDACTED]"
-#: Characters of a token's header that are decoded; keyword hits that are held at once.
-HEADER, HITS = 4096, 1 << 16
+#: Keyword hits that are held at once.
+HITS = 1 << 16
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 _HEX = np.zeros(256, bool)
@@ -80,13 +80,51 @@ def base62_crc(token: bytes) -> bool:
     return n == zlib.crc32(body)
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity))')
+
+
+def top_keys(text: str) -> set[str] | None:
+    """The keys of a JSON object, None for any other JSON; ValueError where it is none.  Any depth: nothing recurs."""
+    keys: set[str] = set()
+    open_: list[str] = []  # brackets that are open
+    want, at = "value", 0  # value, key, colon, next (comma or end); "or end" right after a bracket
+    while at < len(text.rstrip(" \t\n\r")):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        mark, string, at = m[1], m[2], m.end()
+        if want == "next" and mark == "," and open_:
+            want = "key" if open_[-1] == "{" else "value"
+        elif mark in ("}", "]") and open_ and open_[-1] == {"}": "{", "]": "["}[mark] and (want == "next" or want == {"}": "key or end", "]": "value or end"}[mark]):
+            open_.pop()
+            want = "next"
+        elif want == "colon" and mark == ":":
+            want = "value"
+        elif want.startswith("key") and string:
+            if len(open_) == 1:
+                keys.add(json.loads(string))
+            want = "colon"
+        elif want.startswith("value") and mark in ("{", "["):
+            open_.append(mark)
+            want = "key or end" if mark == "{" else "value or end"
+        elif want.startswith("value") and not mark:
+            want = "next"
+        else:
+            raise ValueError(f"unexpected JSON at {at}")
+    if open_ or want != "next":
+        raise ValueError("JSON is cut off")
+    return keys if text.lstrip(" \t\n\r").startswith("{") else None
+
+
 def json_header(m: re.Match) -> bool:
-    if len(m[1]) > HEADER:
-        return False
     try:
-        told = json.loads(base64.urlsafe_b64decode(m[1] + b"=" * (-len(m[1]) % 4)))
-        return isinstance(told, dict) and "alg" in told
-    except (ValueError, binascii.Error, RecursionError):
+        raw = base64.urlsafe_b64decode(m[1] + b"=" * (-len(m[1]) % 4))
+        try:
+            told = json.loads(raw)
+        except RecursionError:  # deeper than the reader goes
+            told = top_keys(raw.decode())
+        return isinstance(told, dict | set) and "alg" in told
+    except (ValueError, binascii.Error):
         return False
 
 
