@@ -44,6 +44,8 @@ LENGTH, GRAM = 50, 20
 WINDOWS = LENGTH - GRAM + 1
 #: Bytes of text, anchors and asked runs that one numpy step works on.
 BLOCK, FLUSH, POOL = 1 << 18, 1_500_000, 60_000
+#: Bytes of text whose anchors a task judges and resolves at once.
+PART_BYTES = 32 << 20
 #: Asked runs of one anchor beyond which its windows are aggregated.
 HOT = 20_000
 
@@ -411,12 +413,13 @@ def cut(batches):
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256) for each document; ids are integers."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     known = both.where("doc is not null")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))  # a task holds its part: parts grow in number, not in size
     blobs = known.mapInArrow(deal(4 * n), "part int, kind int, width int, ids binary, h binary, c binary, at binary")
     found = written(blobs.repartition(n, "part").mapInArrow(judge(hot), "doc long, status int, digests binary"))
-    texts = known.repartition(n, "doc")  # dealt once, read twice
+    texts = known.repartition(n, "doc")
     lists = [F.filter(F.collect_list(F.when(F.col("status") == s, F.col("digests"))), lambda x: x.isNotNull()).alias(name) for s, name in ((0, "fulls"), (1, "asks"), (2, "hots"))]
     by_doc = found.groupBy("doc").agg(*lists[1:]).where("size(asks) > 0 or size(hots) > 0")
     asked = written(texts.join(by_doc, "doc").select("doc", "text", "asks", "hots").mapInArrow(answer_asked, "kind int, h long, doc long, digest long, bytes binary"))
