@@ -18,7 +18,8 @@ forest of its links, so output does not grow with the square of a dense group.
 Only different fingerprints are compared; copies fold into one beforehand.  An
 anchor with more than LIMIT members is dealt again by parts of the bits outside
 its half: of four parts at least one is equal in a linked pair, so this loses
-nothing, and a part that is still large is compared in blocks by its task.
+nothing.  A part that is still too large is dealt again by parts of the bits that
+are left, and so on until fewer than four are, when there are few values.
 
 similar() links by resemblance instead: five-word shingles with a Jaccard index of 0.8
 or more.  Such texts may differ in ten of 64 bits, too many for any covering, so its
@@ -116,11 +117,22 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys, axis=1), np.concatenate(homes, axis=1)
 
 
-def outside(fp: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """Four parts, as keys, of the 33 bits that are not in the half; a linked pair has an equal one."""
-    rest = np.where(half == 0, fp >> np.uint64(31), (fp & np.uint64((1 << 31) - 1)) | (fp >> np.uint64(62) << np.uint64(31)))
-    parts = [(rest >> np.uint64(at)) & np.uint64((1 << n) - 1) for at, n in ((0, 8), (8, 8), (16, 8), (24, 9))]
-    return np.stack([p | np.uint64(k << 9) for k, p in enumerate(parts)], axis=1).astype(np.int64)
+#: Bits outside each half.
+_OUTSIDE = [((1 << 64) - 1) ^ ((1 << 31) - 1), ((1 << 31) - 1) | (3 << 62)]
+
+
+def dealt_again(fp: np.ndarray, key: np.ndarray, sub: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    """key, sub, fp and mask of each fingerprint four times: by each quarter of the bits that its mask leaves (0: those outside its half); a linked pair agrees in one."""
+    out: list[tuple[np.ndarray, ...]] = []
+    mask = np.where(mask == 0, np.asarray(_OUTSIDE, np.uint64)[key >> 32], mask)
+    for m in np.unique(mask).tolist():
+        own = mask == m
+        places = [i for i in range(64) if m >> i & 1]
+        for k, part in enumerate(np.array_split(places, BITS + 1)):
+            bits = np.uint64(sum(1 << int(i) for i in part))
+            new = mix(sub[own] * np.uint64(_ODD) + mix((fp[own] & bits) + np.uint64(k + 1)))
+            out.append((key[own], new, fp[own], np.full(int(own.sum()), np.uint64(m) & ~bits)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def forest(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,18 +149,22 @@ def forest(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (x[:0], x[:0])
 
 
-def compare(bits: int, limit: int | None):
-    """mapInArrow function over (key, sub, home, fp) sorted by (key, sub): edges, and the members of runs above the limit."""
+def compare(bits: int, limit: int):
+    """mapInArrow function over (key, sub, home, fp, mask) sorted by (key, sub): edges, and the members of runs above the limit that can be dealt again."""
 
-    def out(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
+    def out(kind, a, b, sub=None, mask=None):
+        none = np.zeros(len(a), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(none if c is None else c.view(np.int64)) for c in (a, b, sub, mask))], names=["kind", "a", "b", "sub", "mask"])
+
+    def splits(mask) -> bool:
+        return mask == 0 or int(mask).bit_count() > BITS
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         size, over, last = 0, False, None
 
         def settle(parts):
-            key, sub, home, fp = (np.concatenate(c) for c in zip(*parts, strict=True))
+            key, sub, home, fp, mask = (np.concatenate(c) for c in zip(*parts, strict=True))
             edge = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1])) + 1
             first = np.concatenate([[0], edge])
             length = np.diff(np.concatenate([first, [len(key)]]))
@@ -163,44 +179,45 @@ def compare(bits: int, limit: int | None):
                     yield out(0, f[:-s][near], f[s:][near])
             for k in np.flatnonzero(length > SHORT):
                 own = slice(first[k], first[k] + length[k])
-                if limit is not None and length[k] > limit:
-                    yield out(1, fp[own], key[own])
+                if length[k] > limit and splits(mask[first[k]]):
+                    yield out(1, fp[own], key[own], sub[own], mask[own])
                 elif home[own].any():
                     a, b = forest(np.unique(fp[own]), bits)
                     if len(a):
                         yield out(0, a, b)
 
         for batch in batches:
-            key, sub, home, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, sub, home, fp, mask = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(key):
                 continue
-            fp = fp.view(np.uint64)
+            fp, sub, mask = fp.view(np.uint64), sub.view(np.uint64), mask.view(np.uint64)
             if over:  # the rest of a run that is already too long
                 same = (key == last[0]) & (sub == last[1])
                 n = len(key) if same.all() else int(np.argmin(same))
-                yield out(1, fp[:n], key[:n])
-                key, sub, home, fp = key[n:], sub[n:], home[n:], fp[n:]
+                yield out(1, fp[:n], key[:n], sub[:n], mask[:n])
+                key, sub, home, fp, mask = (c[n:] for c in (key, sub, home, fp, mask))
                 over = not len(key)
                 if over:
                     continue
             same = (key == key[-1]) & (sub == sub[-1])
             tail = len(key) - int(np.argmin(same[::-1])) if not same.all() else 0
             joins = held and (held[0][0][0], held[0][1][0]) == (key[0], sub[0])
+            whole, rest = (tuple(c[part] for c in (key, sub, home, fp, mask)) for part in (slice(None, tail), slice(tail, None)))
             if tail or not joins:  # what is held, and all runs that end in this batch, are complete
-                done = [*held, (key[:tail], sub[:tail], home[:tail], fp[:tail])] if joins or not held else None
+                done = [*held, whole] if joins or not held else None
                 if done is None:
                     yield from settle(held)
-                    done = [(key[:tail], sub[:tail], home[:tail], fp[:tail])] if tail else []
+                    done = [whole] if tail else []
                 done = [p for p in done if len(p[0])]
                 if done:
                     yield from settle(done)
                 held, size = [], 0
-            held.append((key[tail:], sub[tail:], home[tail:], fp[tail:]))
+            held.append(rest)
             size += len(key) - tail
             last = (key[-1], sub[-1])
-            if limit is not None and size > 4 * limit:
-                for k, _, _, f in held:
-                    yield out(1, f, k)
+            if size > 4 * limit and splits(mask[-1]):
+                for k, s, _, f, m in held:
+                    yield out(1, f, k, s, m)
                 held, size, over = [], 0, True
         if held:
             yield from settle(held)
@@ -211,31 +228,36 @@ def compare(bits: int, limit: int | None):
 def links(spark: SparkSession, distinct: DataFrame, *, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the different fingerprints fp."""
 
+    def row_of(key, sub, home, fp, mask):
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in (key, sub, home, fp, mask)], names=["key", "sub", "home", "fp", "mask"])
+
     def replicate(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1 << 14):
                 fp = batch.column(0).slice(lo, 1 << 14).to_numpy(zero_copy_only=False)
                 key, home = anchors(fp.view(np.uint64))
                 used = key.ravel() >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()[used]), pa.array(np.zeros(int(used.sum()), np.int64)), pa.array(home.ravel()[used]), pa.array(np.repeat(fp, key.shape[1])[used])], names=["key", "sub", "home", "fp"])
+                none = np.zeros(int(used.sum()), np.int64)
+                yield row_of(key.ravel()[used], none, home.ravel()[used], np.repeat(fp, key.shape[1])[used], none)
 
     def refine(batches):
         for batch in batches:
-            fp, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            sub = outside(fp.view(np.uint64), key >> 32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, 4)), pa.array(sub.ravel()), pa.array(np.ones(4 * len(key), bool)), pa.array(np.repeat(fp, 4))], names=["key", "sub", "home", "fp"])
+            fp, key, sub, mask = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if len(fp):
+                key, sub, fp, mask = dealt_again(fp.view(np.uint64), key, sub.view(np.uint64), mask.view(np.uint64))
+                yield row_of(key, sub, np.ones(len(key), bool), fp, mask)
 
     if bits > 3:
         raise ValueError("two halves with a radius-1 code cover 3 differing bits at most")
-    row, made = "key long, sub long, home boolean, fp long", "kind int, a long, b long"
+    row, made = "key long, sub long, home boolean, fp long, mask long", "kind int, a long, b long, sub long, mask long"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = distinct.select("fp").mapInArrow(replicate, row).repartition(n, "key").sortWithinPartitions("key")
-    first = written(dealt.mapInArrow(compare(bits, limit), made))
-    edges = first.where("kind = 0").select("a", "b")
-    over = first.where("kind = 1")
-    if not over.isEmpty():
-        again = over.select("a", "b").mapInArrow(refine, row).repartition(n, "key", "sub").sortWithinPartitions("key", "sub")
-        edges = edges.union(again.mapInArrow(compare(bits, None), made).select("a", "b"))
+    found = written(dealt.mapInArrow(compare(bits, limit), made))
+    edges = found.where("kind = 0").select("a", "b")
+    while not (over := found.where("kind = 1")).isEmpty():  # each time there are fewer bits left to deal by
+        again = over.select("a", "b", "sub", "mask").mapInArrow(refine, row).repartition(n, "key", "sub").sortWithinPartitions("key", "sub")
+        found = written(again.mapInArrow(compare(bits, limit), made))
+        edges = edges.union(found.where("kind = 0").select("a", "b"))
     return edges
 
 
