@@ -90,6 +90,8 @@ def unpack_ids(raw: bytes, n: int) -> np.ndarray:
 
 #: Ids that one row of the sequence table holds, about, and ids that a task deals out at once.
 ROW_IDS, DEAL_IDS = 1 << 18, 1 << 24
+#: Bytes of shards that a task writes, about.
+TASK_BYTES = 128 << 20
 _TABLE = "first long, n int, docs array<{doc}>, pieces array<int>, counts array<int>, ids binary"
 
 
@@ -208,7 +210,9 @@ def materialise(docs: DataFrame, path: str | None = None, *, id_col: str = "doc_
         if parts:
             yield close()
 
-    dealt = place.mapInArrow(deal, dealt_kind).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard")
+    shards = -(-total // per_shard)
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards * per_shard * stride // TASK_BYTES))
+    dealt = place.mapInArrow(deal, dealt_kind).repartition(tasks, "shard").sortWithinPartitions("shard")
     index = written(dealt.mapInArrow(write, f"doc {doc.simpleString()}, piece int, n_tokens int, slot long, shard int, ids_crc32 long"))
     byte = (F.col("slot") % per_shard * stride).alias("byte")
     return index.select(F.col("doc").alias(id_col), "piece", "n_tokens", "slot", "shard", byte, "ids_crc32"), path
