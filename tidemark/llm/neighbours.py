@@ -17,7 +17,9 @@ rows; so each has k neighbours, or all candidates where there are fewer.
 
 Queries are a stated set that is taken in blocks of at most BLOCK rows: a block's
 probes are loaded by every task, each task looks its rows' buckets up in them and
-keeps the k best of each query, and only these are shuffled.  No bucket is ever
+keeps the k best of each query, and only these are shuffled.  A block's answers are
+written and its probes released before the next block, so what is loaded at once
+does not grow with the queries.  No bucket is ever
 gathered, so one very common vector does no harm.
 
 Rows with a null id or a null, zero or non-finite vector, or one with a null
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import shared_folder, written
 
 NEIGHBOURS, EVERY = 10, 100
 TABLES, PROJECTIONS, PROBES = 16, 8, 64
@@ -158,12 +160,12 @@ def usable(embedding: Column) -> Column:
 def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, block: int = BLOCK, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that is_query marks."""
     spark = vectors.sparkSession
-    kind = "query_id long, vec_id long, score double"
+    kind, told = "query_id long, vec_id long, score double", "query_id long, rank int, vec_id long, score double"
     v = F.col(f"`{vector}`")
     rows = vectors.where(usable(v) & F.col(f"`{id_col}`").isNotNull())
     widest = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
     if widest is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], told)
     rows = rows.where(F.size(v) == widest["n"])
     flat = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<double>").alias("v"), is_query.alias("asks"))
     drawn = flat.orderBy(F.xxhash64("id", "v")).limit(sample).collect()  # at most `sample` rows
@@ -199,7 +201,8 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     def search(asked, hashes):
         """The k nearest rows in the buckets of some of the hashes; of all rows, where there is no hash."""
         blocks = max(1, -(-asked.count() * 5 // (block * 4)))  # so that a block by hash keeps within its size
-        found = None
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        path, empty = shared_folder(spark), True
         for b in range(blocks):
             part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
             for lo in range(0, len(part), block):
@@ -207,11 +210,10 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
                 ids, q = np.asarray([r["id"] for r in some], np.int64), np.asarray([r["v"] for r in some], np.float64)
                 at = spark.sparkContext.broadcast((ids, q, [h.probes(q) for h in hashes]))
                 got = flat.select("id", "v").mapInArrow(look_up(at, hashes), kind)
-                found = got if found is None else found.union(got)
-        if found is None:
-            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        return written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+                got.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select(*(c.split()[0] for c in told.split(", "))).write.mode("append").parquet(path)
+                at.unpersist()  # a block is done with before the next one is loaded
+                empty = False
+        return spark.createDataFrame([], told) if empty else spark.read.schema(told).parquet(path)
 
     asked = flat.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     out = search(asked, [narrow])
