@@ -121,6 +121,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text: str, max_po
     u = ids.orderBy(order, id_col).limit(max_unlabelled).withColumn("positive", F.lit(False))
     chosen = p.unionByName(u)  # at most max_positive + max_unlabelled ids: small enough to broadcast
     joined = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), id_col)
+    joined = joined.groupBy(id_col, "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # one row of an id that is repeated
 
     def run(batches):
         for batch in batches:
