@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.functions.quality import at_places
+from tidemark.sources.files import shared_folder
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,14 +31,73 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
-def neighbours(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, d2, rank) of a stated query set against all rows (id, vector); ties by id; rows with the query's id are left out.
+#: Queries that a task holds at once; rows that it measures against them at once.
+QUERY_BLOCK, STRIP = 1024, 64
+
+
+def neighbours(queries: DataFrame, train: DataFrame, k: int, *, block: int = QUERY_BLOCK) -> DataFrame:
+    """train's and queries' columns, d2 and rank: the k rows (id, vector) nearest to each query (query_id, query_vector); ties by id.
 
-    The query side is broadcast: bound it, or take it in blocks.
+    Rows with the query's id are left out, and so are null ids and vectors.  Queries
+    are a stated set, taken in blocks against all rows: a task keeps its k best of each
+    query and only these are shuffled; a block is written before the next one.
     """
-    pairs = train.join(F.broadcast(queries), F.col("id") != F.col("query_id")).withColumn("d2", squared_distance(F.col("vector"), F.col("query_vector")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id"))
-    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    spark = train.sparkSession
+    asked = queries.where("query_id is not null and query_vector is not null")
+    rows = train.where("id is not null and vector is not null")
+    kind = T.StructType([*train.schema, *queries.schema, T.StructField("d2", T.DoubleType())])
+    names = [f.name for f in kind]
+
+    def search(at):
+        def run(batches):
+            told = at.value
+            own = np.asarray(told["query_id"].to_pylist(), dtype=object)
+            q = np.asarray(told["query_vector"].to_pylist(), np.float64)
+            held = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = np.asarray(batch.column(batch.schema.get_field_index("id")).to_pylist(), dtype=object)
+                x = np.asarray(batch.column(batch.schema.get_field_index("vector")).to_pylist(), np.float64)
+                who, what, far = [], [], []
+                for lo in range(0, len(x), STRIP):
+                    d2 = ((x[lo : lo + STRIP, None] - q[None]) ** 2).sum(axis=2)
+                    d2[ids[lo : lo + STRIP, None] == own[None]] = np.inf
+                    if held is not None:
+                        d2[d2 > held[3]] = np.inf
+                    r, c = np.nonzero(d2 < np.inf)
+                    who.append(c)
+                    what.append(r + lo)
+                    far.append(d2[r, c])
+                new = [np.concatenate(who), np.concatenate(far), pa.Table.from_batches([batch]).take(pa.array(np.concatenate(what)))]
+                if held is not None:
+                    new = [np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]), pa.concat_tables([held[2], new[2]])]
+                name = np.unique(np.asarray(new[2]["id"].to_pylist(), dtype=object), return_inverse=True)[1] if len(new[0]) else new[0]
+                order = np.lexsort((name, new[1], new[0]))
+                first = np.searchsorted(new[0][order], np.arange(len(own)))
+                keep = order[np.arange(len(order)) - first[new[0][order]] < k]
+                worst = np.full(len(own), np.inf)
+                some = np.bincount(new[0][keep], minlength=len(own)) == k
+                worst[some] = [new[1][keep][new[0][keep] == c].max() for c in np.flatnonzero(some)]
+                held = [new[0][keep], new[1][keep], new[2].take(pa.array(keep)), worst]
+            if held is not None and len(held[0]):
+                side = told.take(pa.array(held[0]))
+                yield from pa.table([*held[2].columns, *side.columns, pa.array(held[1])], names=names).combine_chunks().to_batches()
+
+        return run
+
+    path, empty = shared_folder(spark), True
+    blocks = max(1, -(-asked.count() * 5 // (block * 4)))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "id")).cast("long")
+    for b in range(blocks):
+        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        for lo in range(0, part.num_rows, block):
+            at = spark.sparkContext.broadcast(part.slice(lo, block).combine_chunks())
+            rows.mapInArrow(search(at), kind).withColumn("rank", rank).where(F.col("rank") <= k).write.mode("append").parquet(path)
+            at.unpersist()
+            empty = False
+    final = T.StructType([*kind, T.StructField("rank", T.LongType())])
+    return spark.createDataFrame([], final) if empty else spark.read.schema(final).parquet(path)
 
 
 def knn_vote(near: DataFrame, label: str) -> DataFrame:
@@ -114,11 +179,9 @@ def embedding_verdict(trust: Column, continuity: Column) -> Column:
 
 def nearest_rank(df: DataFrame, column: str, shares: tuple[float, ...]) -> DataFrame:
     """(share, value): the value at place floor(share * (n - 1)) in order, not interpolated; equal values are counted first."""
-    v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("value")
-    v = v.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(v.agg(F.sum("n").alias("total"))))
-    asked = v.withColumn("share", F.explode(F.array(*(F.lit(s) for s in shares)))).where(F.col("upto") > F.floor(F.col("share") * (F.col("total") - 1)))
-    return asked.groupBy("share").agg(F.min("value").alias("value"))
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("feature", F.lit(column))
+    found = at_places(counted, {f"v{i}": F.floor(F.lit(s) * (F.col("total") - 1)) for i, s in enumerate(shares)})
+    return found.select(F.explode(F.array(*(F.struct(F.lit(s).alias("share"), F.col(f"v{i}").alias("value")) for i, s in enumerate(shares)))).alias("x")).select("x.*")
 
 
 def minmax_scale(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,15 +10,19 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.learning import squared_distance, with_densities
 
 #: Rows that tree_grid() fits on and anchors that tsne() lays out, at most.
 MAX_TREE_ROWS, MAX_ANCHORS = 20_000, 2_000
 
 
+#: States in the order that breaks ties.
+STATES = ["IDLE", "APPROACH", "INTERACTION", "EXPANSION"]
+
+
 def class_components(rows: DataFrame, label: str, floor: float) -> DataFrame:
     """(component, weight, mean, var): one Gaussian per label of rows (label, vector)."""
     flat = rows.select(label, F.posexplode("vector").alias("i", "x"))
@@ -28,45 +32,144 @@ def class_components(rows: DataFrame, label: str, floor: float) -> DataFrame:
     return packed.crossJoin(F.broadcast(total)).select(F.col(label).alias("component"), (F.col("n") / F.col("t")).alias("weight"), F.col("p.m").alias("mean"), F.col("p.v").alias("var"))
 
 
-def gmm_fit(rows: DataFrame, k: int, *, iterations: int = 20, floor: float = 1e-6, tolerance: float = 1e-5, seed: int = 42) -> DataFrame:
-    """(component, weight, mean, var) of a diagonal mixture over rows (id, vector): each EM step is one aggregation of k times dimensions sums.
+def _logs(x: np.ndarray, model: dict) -> np.ndarray:
+    """rows x components: log of weight times density."""
+    out = np.empty((len(x), len(model["weight"])))
+    for c in range(out.shape[1]):
+        out[:, c] = np.log(model["weight"][c]) - 0.5 * (np.log(2 * np.pi * model["var"][c]) + (x - model["mean"][c]) ** 2 / model["var"][c]).sum(axis=1)
+    return out
+
 
-    Starts from the row at place `seed` (modulo the rows, by id) and then always the
-    row farthest from those taken, with equal weights and the global variance.  A
-    component that gets almost nothing starts anew at another row.  Ends when the
-    log-likelihood changes by no more than the tolerance.  Fewer rows than k make as
-    many components; no rows make none.
+def gmm_fit_many(rows: DataFrame, specs: list[dict], *, iterations: int = 20, floor: float = 1e-6, tolerance: float = 1e-5) -> list[dict]:
+    """Diagonal mixtures, one per spec, over rows (id, part, vector), all fitted by the same passes: a step is one aggregation for all of them.
+
+    spec: k, seed, `below`: only rows with part < below count (None: all), and `centre`
+    and `scale`: vectors are taken less the centre and over the scale.  A task
+    sums up responsibilities, values and squares of its rows for every component, so
+    what is shuffled is a number per component and dimension, never rows.  Starts are
+    the row whose hash with the seed is least and then always the row farthest from
+    those taken, with equal weights and the global variance; a component that gets
+    almost nothing starts anew at another row.  A model rests when its log-likelihood
+    changes by no more than the tolerance.  Fewer rows than k make as many components.
+    A model: k, n, weight, mean, var, log_likelihood, iterations, converged.
     """
     spark = rows.sparkSession
-    kind = "component int, weight double, mean array<double>, var array<double>"
-    n = rows.count()
-    if not n:
-        return spark.createDataFrame([], kind)
-    k = min(k, n)
-    wide = [r["v"] for r in rows.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg((F.var_pop("x") + floor).alias("v")).orderBy("i").collect()]  # a row per dimension
-    row_at = lambda place: list(rows.orderBy("id").offset(place % n).limit(1).first()["vector"])
-    starts = [row_at(seed)]
-    while len(starts) < k:
-        far = F.array_min(F.array(*(squared_distance(F.col("vector"), F.array(*(F.lit(float(x)) for x in c))) for c in starts)))
-        starts.append(list(rows.select("vector", F.struct(far, -F.xxhash64("id")).alias("far")).agg(F.max_by("vector", "far").alias("v")).first()["v"]))
-    params = [(c, 1.0 / k, m, wide) for c, m in enumerate(starts)]
-    before = None
+    data = rows.select("id", "part", F.transform("vector", lambda v: v.cast("double")).alias("vector"))
+
+    def passed(work: dict, emit, kind: str) -> DataFrame:
+        """One pass over the rows: emit(model number, ids, x, held state) adds up, for each model of `work`."""
+        at = spark.sparkContext.broadcast(work)
+
+        def run(batches):
+            held: dict = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                parts = batch.column(1).to_numpy(zero_copy_only=False)
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for m, model in at.value.items():
+                    own = np.ones(len(x), bool) if model["below"] is None else parts < model["below"]
+                    if own.any():
+                        emit(held, m, model, (x[own] - model["centre"]) / model["scale"])
+            for m, values in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), m)), pa.array(np.arange(len(values))), pa.array(values, pa.float64())], names=["m", "slot", "value"])
+
+        return data.mapInArrow(run, kind)
+
+    def added(held, m, values):
+        held[m] = held[m] + values if m in held else values
+
+    def summed(work: dict, emit) -> dict[int, np.ndarray]:
+        got: dict[int, dict] = {}
+        for r in passed(work, emit, "m long, slot long, value double").groupBy("m", "slot").agg(F.sum("value").alias("v")).collect():  # components times dimensions
+            got.setdefault(r["m"], {})[r["slot"]] = r["v"]
+        return {m: np.asarray([v[i] for i in range(len(v))]) for m, v in got.items()}
+
+    def moments(held, m, model, x):
+        added(held, m, np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)]))
+
+    models = {m: {"k": s["k"], "seed": s.get("seed", 42), "below": s.get("below"), "centre": np.asarray(s.get("centre", 0.0)), "scale": np.asarray(s.get("scale", 1.0))} for m, s in enumerate(specs)}
+    told = summed(models, moments)
+    for m, model in models.items():
+        if m not in told:
+            model |= {"n": 0, "weight": np.zeros(0), "mean": np.zeros((0, 0)), "var": np.zeros((0, 0)), "log_likelihood": None, "iterations": 0, "converged": True}
+            continue
+        n, d = int(told[m][0]), (len(told[m]) - 1) // 2
+        centre = told[m][1 : 1 + d] / n
+        model |= {"n": n, "k": min(model["k"], n), "wide": np.maximum(told[m][1 + d :] / n - centre**2, 0) + floor, "starts": [], "log_likelihood": None, "iterations": 0, "converged": False}
+    live = {m: model for m, model in models.items() if model["n"]}
+
+    def row_at(m: int, seed: int) -> np.ndarray:
+        own = data if models[m]["below"] is None else data.where(F.col("part") < models[m]["below"])
+        row = own.agg(F.min_by("vector", F.struct(F.xxhash64(F.lit(seed), "id"), "id")).alias("v")).first()["v"]
+        return (np.asarray(row) - models[m]["centre"]) / models[m]["scale"]
+
+    for m, model in live.items():
+        model["starts"] = [row_at(m, model["seed"])]
+
+    def farthest(held, m, model, x):
+        d2 = np.min([((x - s) ** 2).sum(axis=1) for s in model["starts"]], axis=0)
+        best = np.flatnonzero(d2 == d2.max())
+        k = best[np.lexsort(x[best].T[::-1])[0]]
+        new = np.concatenate([[d2[k]], x[k]])
+        old = held.get(m)
+        if old is None or (new[0], *(-new[1:])) > (old[0], *(-old[1:])):
+            held[m] = new
+
+    while open_ := {m: model for m, model in live.items() if len(model["starts"]) < model["k"]}:
+        best: dict[int, dict] = {}
+        got = passed(open_, farthest, "m long, slot long, value double").groupBy("m", F.spark_partition_id().alias("task"))
+        for r in got.agg(F.sort_array(F.collect_list(F.struct("slot", "value"))).alias("v")).collect():  # a row per model and task
+            new = [v["value"] for v in r["v"]]
+            key = (new[0], *(-v for v in new[1:]))
+            if r["m"] not in best or key > best[r["m"]]["key"]:
+                best[r["m"]] = {"key": key, "row": np.asarray(new[1:])}
+        for m in open_:
+            models[m]["starts"].append(best[m]["row"])
+    for model in live.values():
+        k = model["k"]
+        model |= {"weight": np.full(k, 1.0 / k), "mean": np.asarray(model.pop("starts")), "var": np.tile(model["wide"], (k, 1))}
+
+    def expected(held, m, model, x):
+        for lo in range(0, len(x), 4096):
+            part = x[lo : lo + 4096]
+            logs = _logs(part, model)
+            top = logs.max(axis=1)
+            total = top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
+            r = np.exp(logs - total[:, None])
+            added(held, m, np.concatenate([[total.sum()], r.sum(axis=0), (r.T @ part).ravel(), (r.T @ part**2).ravel()]))
+
     for _ in range(iterations):
-        dense = with_densities(rows.select("vector"), spark.createDataFrame(params, kind))
-        each = dense.select("vector", "total", F.posexplode("parts").alias("c", "p")).select("c", "total", F.exp(F.col("p.l") - F.col("total")).alias("r"), F.posexplode("vector").alias("i", "x"))
-        sums = each.groupBy("c", "i").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("x")).alias("s"), F.sum(F.col("r") * F.col("x") ** 2).alias("q"), F.sum("total").alias("t")).collect()  # k times dimensions
-        likelihood = next(r["t"] for r in sums if r["c"] == 0 and r["i"] == 0)
-        params = []
-        for c in range(k):
-            own = sorted((r for r in sums if r["c"] == c), key=lambda r: r["i"])
-            if own[0]["n"] < 1e-8:
-                params.append((c, 1.0 / n, row_at(c * 997 + seed), wide))
-            else:
-                params.append((c, own[0]["n"] / n, [r["s"] / r["n"] for r in own], [max(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2, 0.0) + floor for r in own]))
-        if before is not None and abs(likelihood - before) <= tolerance * (1 + abs(likelihood)):
+        open_ = {m: model for m, model in live.items() if not model["converged"]}
+        if not open_:
             break
-        before = likelihood
-    return spark.createDataFrame(params, kind)
+        for m, sums in summed({m: {c: model[c] for c in ("below", "centre", "scale", "weight", "mean", "var")} for m, model in open_.items()}, expected).items():
+            model, k, d = models[m], models[m]["k"], models[m]["mean"].shape[1]
+            before, model["log_likelihood"] = model["log_likelihood"], float(sums[0])
+            model["iterations"] += 1
+            each, s, q = sums[1 : 1 + k], sums[1 + k : 1 + k + k * d].reshape(k, d), sums[1 + k + k * d :].reshape(k, d)
+            for c in range(k):
+                if each[c] < 1e-8:
+                    model["weight"][c], model["mean"][c], model["var"][c] = 1.0 / model["n"], row_at(m, model["seed"] + 997 * (c + 1)), model["wide"]
+                else:
+                    mean = s[c] / each[c]
+                    model["weight"][c], model["mean"][c], model["var"][c] = each[c] / model["n"], mean, np.maximum(q[c] / each[c] - mean**2, 0) + floor
+            if before is not None and abs(model["log_likelihood"] - before) <= tolerance * (1 + abs(model["log_likelihood"])):
+                model["converged"] = True
+    return [models[m] for m in range(len(specs))]
+
+
+def gmm_fit(rows: DataFrame, k: int, *, iterations: int = 20, floor: float = 1e-6, tolerance: float = 1e-5, seed: int = 42) -> DataFrame:
+    """(component, weight, mean, var) of one mixture over rows (id, vector): gmm_fit_many() with one spec; no rows make no components."""
+    kind = "component int, weight double, mean array<double>, var array<double>"
+    (model,) = gmm_fit_many(rows.select("id", F.lit(0).alias("part"), "vector"), [{"k": k, "seed": seed}], iterations=iterations, floor=floor, tolerance=tolerance)
+    return rows.sparkSession.createDataFrame([(c, float(model["weight"][c]), model["mean"][c].tolist(), model["var"][c].tolist()) for c in range(len(model["weight"]))], kind)
+
+
+def bic(model: dict, log_likelihood: float, n: int) -> float:
+    """Of a diagonal mixture: fewer is better."""
+    k, d = model["mean"].shape
+    return (k - 1 + 2 * k * d) * float(np.log(n)) - 2 * log_likelihood
 
 
 def hmm_fit(rows: DataFrame, smoothing: float = 1.0, floor: float = 1e-6) -> dict:
@@ -119,6 +222,24 @@ def decode(rows: DataFrame, model: dict, *, how: str) -> DataFrame:
     return rows.groupBy("sequence").applyInPandas(fold, kind)
 
 
+def posteriors(rows: DataFrame, model: dict) -> DataFrame:
+    """(sequence, step, posterior): the filtered probabilities of the model's states, an array in their order; one ordered fold per sequence."""
+    kind = f"sequence {rows.schema['sequence'].dataType.simpleString()}, step {rows.schema['step'].dataType.simpleString()}, posterior array<double>"
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("step")
+        x = np.stack(part["vector"].to_numpy()).astype(float)
+        density = -0.5 * (np.log(2 * np.pi * model["var"]) + (x[:, None, :] - model["mean"]) ** 2 / model["var"]).sum(axis=2)
+        alpha, out = None, []
+        for d in density:
+            alpha = model["initial"] + d if alpha is None else np.logaddexp.reduce(alpha[:, None] + model["moves"], axis=0) + d
+            alpha = alpha - np.logaddexp.reduce(alpha)
+            out.append(np.exp(alpha).tolist())
+        return pd.DataFrame({"sequence": part["sequence"].to_numpy(), "step": part["step"].to_numpy(), "posterior": out})
+
+    return rows.groupBy("sequence").applyInPandas(fold, kind)
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int, min_split: int = 10, min_leaf: int = 5):
     """A Gini tree as nested tuples (feature, threshold, low, high) with class numbers as leaves; ties to the smaller feature, then threshold."""
     counts = np.bincount(y)
@@ -165,7 +286,7 @@ def hmm_score(rows: DataFrame, model: dict) -> DataFrame:
 def calibrated(rows: DataFrame, *, threshold: float, guard: bool, demoted: str = "EXPANSION", needed: str = "INTERACTION") -> DataFrame:
     """(sequence, step, decided) of rows (sequence, step, posterior map<string, double>).
 
-    The likeliest state, ties to the alphabet; `demoted` gives way to the next one if
+    The likeliest state, ties to the order of STATES; `demoted` gives way to the next one if
     its probability is below the threshold, or if guarded and the state decided before
     is not `needed`.  It depends on its own output: one ordered fold per sequence.
     """
@@ -174,7 +295,7 @@ def calibrated(rows: DataFrame, *, threshold: float, guard: bool, demoted: str =
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part, before, out = part.sort_values("step"), None, []
         for own in part["posterior"]:
-            best = sorted(dict(own).items(), key=lambda x: (-x[1], x[0]))
+            best = sorted(dict(own).items(), key=lambda x: (-x[1], STATES.index(x[0]) if x[0] in STATES else len(STATES), x[0]))
             if best[0][0] == demoted and len(best) > 1 and (best[0][1] < threshold or (guard and before != needed)):
                 best = best[1:]
             before = best[0][0]
@@ -261,52 +382,85 @@ def affinities(d2: np.ndarray, perplexity: float) -> np.ndarray:
     return p / p.sum()
 
 
-def layout(p: np.ndarray, iterations: int, rate: float, seed: int = 42) -> tuple[np.ndarray, float]:
-    """2-D coordinates by gradient descent with gains and early exaggeration, and the final divergence."""
-    y = np.random.default_rng(seed).standard_normal((len(p), 2)) * 1e-4
-    velocity, gains = np.zeros_like(y), np.ones_like(y)
-    early = iterations // 3
+def normals(n: int, seed: int) -> np.ndarray:
+    """n normal numbers by Box-Muller (the cosine half) from a linear congruential generator of 31 bits."""
+    state, out = int(seed) & 0x7FFFFFFF or 1, []
+    for _ in range(2 * n):
+        state = (1103515245 * state + 12345) % 2147483648  # fixed values of the generator
+        out.append(state / 2147483648.0)
+    u1, u2 = np.asarray(out[::2]), np.asarray(out[1::2])
+    return np.sqrt(-2 * np.log(np.maximum(u1, 1e-12))) * np.cos(2 * 3.141592653589793 * u2)
+
+
+def layout(p: np.ndarray, iterations: int, rate: float = 200.0, seed: int = 42, *, early: int = 250, exaggeration: float = 12.0, calm: int = 50) -> tuple[np.ndarray, float]:
+    """2-D coordinates by gradient descent with gains, and the divergence before the last step.
+
+    The first `early` steps exaggerate the affinities.  As they end, velocities fall to
+    a quarter; momentum is 0.5 for `calm` steps more, then 0.8.  A gain shrinks where
+    gradient and velocity agree in sign, and grows otherwise.
+    """
+    n = len(p)
+    y = normals(2 * n, seed).reshape(n, 2) * 1e-4
+    velocity, gains, divergence = np.zeros_like(y), np.ones_like(y), 0.0
     for t in range(iterations):
         num = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
         np.fill_diagonal(num, 0)
-        q = np.maximum(num / num.sum(), 1e-12)
-        w = ((12 if t < early else 1) * p - q) * num
+        q = np.maximum(num / max(num.sum(), 1e-12), 1e-12)
+        w = ((exaggeration if t < early else 1.0) * p - q) * num
         gradient = 4 * (w.sum(axis=1)[:, None] * y - w @ y)
-        gains = np.maximum(np.where(np.sign(gradient) == np.sign(velocity), gains * 0.8, gains + 0.2), 0.01)
-        velocity = (0.5 if t < early else 0.8) * velocity - rate * gains * gradient
+        if t == early:
+            velocity *= 0.25
+        gains = np.maximum(np.where(gradient * velocity > 0, gains * 0.8, gains + 0.2), 0.01)
+        velocity = (0.5 if t < early + calm else 0.8) * velocity - rate * gains * gradient
         y = y + velocity
         y = y - y.mean(axis=0)
-    return y, float((p * np.log(p / q)).sum())
+        if t == iterations - 1:
+            off = ~np.eye(n, dtype=bool) & (p > 0)
+            divergence = float((p[off] * np.log(p[off] / q[off])).sum())
+    return y, divergence
 
 
-def tsne(rows: DataFrame, *, anchors: int = 90, perplexity: float = 25, iterations: int = 300) -> DataFrame:
-    """(id, x, y): a map of few anchors (evenly spaced by id), with all other rows placed by their nearest anchors.
+def fit_map(rows: DataFrame, *, anchors: int = 90, perplexity: float = 25, iterations: int = 300, seed: int = 42) -> dict | None:
+    """Anchors x, their places y, the perplexity that was used and the divergence; None for fewer than three rows (id, vector).
 
-    The anchors are a bounded sample that one process lays out; placing is a join
-    of all rows with the broadcast anchors.
+    The anchors, evenly spaced by id, are a bounded sample that one process lays out.
     """
-    spark = rows.sparkSession
     if anchors > MAX_ANCHORS:
         raise ValueError(f"at most {MAX_ANCHORS} anchors are laid out")
     few = evenly_spaced(rows, anchors).orderBy("id").collect()
     if len(few) < 3:
-        return rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    x = np.array([r["vector"] for r in few])
+        return None
+    x = np.array([r["vector"] for r in few], np.float64)
     d2 = np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0)
-    y, _ = layout(affinities(d2, min(perplexity, (len(few) - 1) / 3)), iterations, max(len(few) / 48, 50))
-    at = spark.sparkContext.broadcast((x, y))
+    used = max(2.0, min(perplexity, int((len(few) - 1) / 3)))
+    y, divergence = layout(affinities(d2, used), iterations, seed=seed)
+    return {"x": x, "y": y, "perplexity": used, "divergence": divergence}
+
+
+def placed(rows: DataFrame, fitted: dict | None, k: int = 8) -> DataFrame:
+    """(id, x, y): every row by its k nearest anchors, weighted by 1 / distance; the place of an anchor that it equals."""
     kind = f"id {rows.schema['id'].dataType.simpleString()}, x double, y double"
+    if fitted is None:
+        return rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    at = rows.sparkSession.sparkContext.broadcast((fitted["x"], fitted["y"]))
 
     def place(batches):
         ax, ay = at.value
-        k = min(8, len(ax))
+        m = min(k, len(ax))
         for pdf in batches:
-            v = np.stack(pdf["vector"].to_numpy()) if len(pdf) else np.zeros((0, ax.shape[1]))
-            far = np.maximum((v**2).sum(1)[:, None] + (ax**2).sum(1)[None] - 2 * v @ ax.T, 0)
-            near = np.argsort(far, axis=1, kind="stable")[:, :k]
-            d = np.take_along_axis(far, near, axis=1)
-            w = np.where(d[:, :1] < 1e-12, np.arange(k) == 0, 1 / (np.sqrt(d) + 1e-9))
-            out = (w[:, :, None] * ay[near]).sum(axis=1) / w.sum(axis=1, keepdims=True)
+            v = np.stack(pdf["vector"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, ax.shape[1]))
+            out = np.zeros((len(v), 2))
+            for lo in range(0, len(v), 256):
+                far = ((v[lo : lo + 256, None] - ax[None]) ** 2).sum(axis=2)
+                near = np.argsort(far, axis=1, kind="stable")[:, :m]
+                d = np.take_along_axis(far, near, axis=1)
+                w = np.where(d[:, :1] < 1e-16, np.arange(m) == 0, 1 / (np.sqrt(d) + 1e-9))
+                out[lo : lo + 256] = (w[:, :, None] * ay[near]).sum(axis=1) / w.sum(axis=1, keepdims=True)
             yield pd.DataFrame({"id": pdf["id"], "x": out[:, 0], "y": out[:, 1]})
 
     return rows.select("id", "vector").mapInPandas(place, kind)
+
+
+def tsne(rows: DataFrame, *, anchors: int = 90, perplexity: float = 25, iterations: int = 300) -> DataFrame:
+    """(id, x, y): a map of few anchors, with all other rows placed by their nearest anchors."""
+    return placed(rows, fit_map(rows, anchors=anchors, perplexity=perplexity, iterations=iterations))

@@ -13,6 +13,38 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.feature", "x.value")
 
 
+#: Ranges of values that order statistics are looked for in.
+RANGES = 256
+
+
+def at_places(counted: DataFrame, places: dict[str, Column]) -> DataFrame:
+    """feature, total and, per name of `places`, the value at that place (from 0, of the column `total`) in the order of the values.
+
+    counted: (feature, value, n) with each value once.  Values are dealt to RANGES by
+    a sketch of the distinct ones; ranges are summed, and only within a range are
+    values put in order, so no task holds a whole column.
+    """
+    c = counted.where("value is not null")
+    shares = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    cuts = c.groupBy("feature").agg(F.percentile_approx("value", shares, F.lit(20 * RANGES)).alias("cuts"), F.sum("n").alias("total"))
+    b = c.join(F.broadcast(cuts), "feature").select("feature", "value", "n", "total", F.size(F.filter("cuts", lambda x: x <= F.col("value"))).alias("range"))  # a row per feature
+    sums = b.groupBy("feature", "range").agg(F.sum("n").alias("s"))
+    before = F.sum("s").over(Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("feature", "range", F.coalesce(before, F.lit(0)).alias("before"))  # RANGES rows per feature at most
+    run = Window.partitionBy("feature", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = b.join(F.broadcast(sums), ["feature", "range"]).withColumn("upto", F.col("before") + F.sum("n").over(run))
+    holds = lambda place: (place >= F.col("upto") - F.col("n")) & (place < F.col("upto"))
+    return placed.groupBy("feature", "total").agg(*(F.max(F.when(holds(place), F.col("value"))).alias(name) for name, place in places.items()))
+
+
+def percentiles(counted: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """feature, total and, per name, the interpolated value at share * (total - 1)."""
+    at = {name: (F.col("total") - 1).cast("double") * p for name, p in shares.items()}
+    found = at_places(counted, {f"{side}_{name}": f(place) for name, place in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))})
+    between = lambda name: F.col(f"lo_{name}") + (F.col(f"hi_{name}") - F.col(f"lo_{name}")) * (at[name] - F.floor(at[name]))
+    return found.select("feature", "total", *(between(name).alias(name) for name in shares))
+
+
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: count, missing, unique, extremes, mean, median, sample deviation, and moments over the sample deviation and n.
 
@@ -23,21 +55,24 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     known = F.when(F.col("value").isNotNull(), F.col("n"))
     base = x.groupBy("feature").agg(
         F.coalesce(F.sum(known), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("unique"),
-        F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("n")) / F.nullif(F.sum(known), F.lit(0))).alias("mean"), F.percentile("value", F.lit(0.5), F.col("n")).alias("median"),
+        F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("n")) / F.nullif(F.sum(known), F.lit(0))).alias("mean"),
     )
     d = F.col("value") - F.col("mean")
     sums = x.join(F.broadcast(base.select("feature", "mean", "count")), "feature").groupBy("feature").agg(*(F.sum(d**k * F.col("n")).alias(f"s{k}") for k in (2, 3, 4)), F.max("count").alias("rows"))
     stddev = F.sqrt(F.col("s2") / F.nullif(F.col("rows") - 1, F.lit(0)))
     scale = F.nullif(stddev, F.lit(0.0))
     moments = sums.select("feature", F.coalesce(stddev, F.lit(0.0)).alias("stddev"), (F.col("s3") / F.col("rows") / scale**3).alias("skewness"), (F.col("s4") / F.col("rows") / scale**4 - 3).alias("kurtosis"))
-    out = base.join(moments, "feature")
+    median = percentiles(x, {"median": 0.5}).drop("total")
+    order = ["feature", "count", "missing", "unique", "min", "max", "mean", "median", "stddev", "skewness", "kurtosis"]
+    out = base.join(moments, "feature").join(median, "feature", "left").select(*order)
     return out.withColumn("constant", F.col("unique") <= 1).withColumn("near_constant", (F.col("unique") > 1) & (F.col("unique") <= F.col("count") * 0.01))
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR], counted per column with at least four values and a positive IQR."""
     x = long_form(df, columns).where("value is not null")
-    q = x.groupBy("feature").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3")).where("n >= 4 and q3 > q1")
+    counted = x.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    q = percentiles(counted, {"q1": 0.25, "q3": 0.75}).where("total >= 4 and q3 > q1").drop("total")
     far = (F.col("value") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col("value") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return x.join(F.broadcast(q), "feature").groupBy("feature", "q1", "q3").agg(F.count(F.when(far, 1)).alias("outliers"))
 
@@ -85,7 +120,8 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def quartile_bins(df: DataFrame, column: str) -> DataFrame:
     """df with column `bin`: Q1 to Q4 by the column's own quartiles."""
-    q = df.agg(*(F.percentile(column, F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))))
+    counted = df.groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n")).withColumn("feature", F.lit(column))
+    q = percentiles(counted, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select("q1", "q2", "q3")
     v = F.col(column)
     return df.crossJoin(F.broadcast(q)).withColumn("bin", F.when(v <= F.col("q1"), "Q1").when(v <= F.col("q2"), "Q2").when(v <= F.col("q3"), "Q3").otherwise("Q4")).drop("q1", "q2", "q3")
 

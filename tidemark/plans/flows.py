@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import models
 from tidemark.plans.market import BARS, bars_of
+from tidemark.plans.market import ORACLE_SQL as SQL
 from tidemark.sources import files
-from tidemark.streaming import streams
+from tidemark.streaming import lifecycle, streams
 
 _OHLCV = "series_id, epoch, open, high, low, close, volume"
 
@@ -23,12 +24,26 @@ def candle_files(spark, sf_dir):
 
 
 def hmm_stream(spark, sf_dir):
-    """The state filter over a stream of events, under a model fitted on the table."""
+    """The state filter over a stream of events in several micro-batches, under a model fitted on the table."""
     shape = lambda e: e.select(F.col("user_id").alias("sequence"), F.col("event_id").alias("step"), F.col("event_type").alias("state"), F.array(F.ln(F.col("value") + 1)).alias("vector"))
-    model = models.hmm_fit(shape(spark.read.parquet(f"{sf_dir}/events.parquet")))
-    told = streams.filtered_states(shape(streams.events_stream(spark, sf_dir)).drop("state"), model)
+    rows = shape(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    model = models.hmm_fit(rows)
+    told = streams.filtered_states(streams.in_order(rows.drop("state"), "step", 4), model)
     return streams.drain(told, files.shared_folder(spark), mode="append").drop("batch")
 
 
-QUERIES = {"candle_files": candle_files, "stream_bars": streams.streamed_bars, "stream_hmm_filter": hmm_stream}
-ORACLE_SQL = {name: f"WITH {BARS} SELECT {_OHLCV} FROM bars" for name in ("candle_files", "stream_bars")}
+def liquidity_stream(spark, sf_dir):
+    """The levels of hourly bars as a stream of micro-batches."""
+    bars = files.kept(bars_of(spark, sf_dir).select("series_id", "bar_idx", "high", "low", "close"))
+    before = spark.conf.get(lifecycle.PROVIDER, None)
+    spark.conf.set(lifecycle.PROVIDER, lifecycle.ROCKS)
+    try:
+        changes = lifecycle.liquidity_changes(streams.in_order(bars, "bar_idx", 4))
+        told = streams.drain(changes, files.shared_folder(spark), mode="append")
+    finally:
+        spark.conf.unset(lifecycle.PROVIDER) if before is None else spark.conf.set(lifecycle.PROVIDER, before)
+    return lifecycle.last_change(told)
+
+
+QUERIES = {"candle_files": candle_files, "stream_bars": streams.streamed_bars, "stream_hmm_filter": hmm_stream, "stream_liquidity": liquidity_stream}
+ORACLE_SQL = {name: f"WITH {BARS} SELECT {_OHLCV} FROM bars" for name in ("candle_files", "stream_bars")} | {"stream_liquidity": SQL["liquidity_lifecycle"]}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.sources.files import shared_folder
+from tidemark.sources.files import kept, shared_folder
 
 
 def bars(ticks: DataFrame, *, series: str, ts: str, price: str, tie: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -36,6 +36,24 @@ def drain(stream: DataFrame, path: str, *, mode: str = "update") -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of a file that in_order() writes, about.
+FILE_ROWS = 1_000_000
+
+
+def in_order(df: DataFrame, by: str, parts: int) -> DataFrame:
+    """df as a stream of `parts` micro-batches: written in ranges of `by`, one after the other, each in as many files as it needs and all of these read at a time."""
+    spark, df = df.sparkSession, kept(df)
+    low, high, rows = df.agg(F.min(by), F.max(by), F.count(F.lit(1))).first()
+    path = shared_folder(spark)
+    files = max(1, -(-rows // (parts * FILE_ROWS)))
+    edges = [low + (high - low) * k / parts for k in range(1, parts)] if rows else []
+    for a, b in zip([None, *edges], [*edges, None], strict=True):
+        some = df if a is None else df.where(F.col(by) > a)
+        some = some if b is None else some.where(F.col(by) <= b)
+        (some.repartition(files) if files > 1 else some.coalesce(1)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:
     """The row of each key's last batch: updates replace what was told before."""
     rest = [c for c in table.columns if c not in (*keys, "batch")]
@@ -70,13 +88,8 @@ def filtered_states(rows: DataFrame, model: dict) -> DataFrame:
     return rows.groupBy("sequence").applyInPandasWithState(advance, kind, "alpha array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/event*.parquet")
-
-
-def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ticks = events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    made = bars(ticks, series="event_type", ts="ts", price="value", tie="event_id", late="365 days")
+def streamed_bars(spark: SparkSession, sf_dir: str, batches: int = 5) -> DataFrame:
+    """Bars of the events in order of time, `batches` micro-batches of them; state goes as the watermark passes."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    made = bars(in_order(ticks, "ts", batches), series="event_type", ts="ts", price="value", tie="event_id")
     return latest(drain(made, shared_folder(spark)), ["series_id", "epoch"])
