@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import learning, models, trees
+from tidemark.sources.files import kept
 
 THRESHOLDS = tuple(x / 100 for x in (50, 55, 60, 65, 70, 75, 80, 85, 90, 92, 94, 95, 96, 97, 98, 99))
 #: A result must be that much better to count as better.
@@ -149,12 +150,13 @@ def nearest_neighbours(rows: DataFrame, folds: list[int], ks: list[int], scales:
 
 
 def grown_trees(rows: DataFrame, folds: list[int], depths: list[int], labels: list[str], width: int) -> list[DataFrame]:
-    """Counts for every depth from one tree a fold: a shallower tree is the beginning of a deeper one."""
+    """Counts for every depth from one tree a fold, grown side by side: a shallower tree is the beginning of a deeper one."""
     names = [f"x{i}" for i in range(width)]
-    flat = rows.select("part", "label", *(F.get("vector", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    flat = kept(rows.select("part", "label", *(F.get("vector", F.lit(i)).alias(n) for i, n in enumerate(names))))
+    number = F.explode(F.array(*(F.when(F.col("part") < f, F.lit(t)) for t, f in enumerate(folds)))).alias("_tree")
+    grown = trees.grow_many(flat.select("*", number).where("_tree is not null"), len(folds), label="label", labels=labels, numeric=names, max_depth=max(depths))
     out = []
-    for f in folds:
-        tree = trees.grow(flat.where(F.col("part") < f), label="label", labels=labels, numeric=names, max_depth=max(depths))
+    for f, tree in zip(folds, grown, strict=True):
         said = F.array(*(F.struct(F.lit(d).alias("depth"), tree.predicted(d).alias("predicted")) for d in depths))
         judged = flat.where(F.col("part") == f).select("label", F.explode(said).alias("s")).select("label", "s.depth", "s.predicted")
         out.append(_counted(judged, "tree", F.col("depth"), f))

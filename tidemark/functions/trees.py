@@ -58,62 +58,95 @@ class Tree:
         return F.when(left, self.predicted(depth, node["left"])).otherwise(self.predicted(depth, node["right"]))
 
 
-def gini(counts: list[Column]) -> Column:
-    n = sum(counts[1:], counts[0])
-    return F.when(n > 0, 1 - sum(((c / n) * (c / n) for c in counts[1:]), (counts[0] / n) * (counts[0] / n))).otherwise(0.0)
-
-
-def splits(df: DataFrame, node: Column, label: str, labels: list[str], numeric: list[str], categorical: list[str], min_leaf: int) -> DataFrame:
-    """The best split of each node: node, counts c0, c1, ... and, where there is one, feature, kind, value (a string) and gain."""
-    names = [f"c{i}" for i in range(len(labels))]
-    is_class = [(F.col("label") == value).cast("long") for value in labels]
-    told = [F.struct(F.lit(f).alias("feature"), F.lit("numeric").alias("kind"), F.col(f"`{f}`").cast("double").alias("x"), F.lit(None).cast("string").alias("s")) for f in numeric]
-    told += [F.struct(F.lit(f).alias("feature"), F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("x"), F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")).alias("s")) for f in categorical]
-    flat = df.select(node.alias("node"), F.upper(F.col(f"`{label}`").cast("string")).alias("label"), F.explode(F.array(*told)).alias("t")).select("node", "label", "t.*")
-    each = flat.groupBy("node", "feature", "kind", "x", "s").agg(*(F.sum(c).alias(n) for c, n in zip(is_class, names, strict=True)))
+def splits(df: DataFrame, label: str, numeric: list[str], categorical: list[str], min_leaf: int) -> DataFrame:
+    """The best split of each node of rows with a column _node: node, feature, kind, value (a string) and gain; nodes without one are left out.
+
+    Going along the values, a class count that grows from l to l + n adds
+    (l + n)^2 - l^2 to the squares on the left, and takes as much as it should from
+    those on the right: running sums tell both sides' impurity, however many classes
+    there are.
+    """
+    kind = "array<struct<feature:int,is_number:boolean,x:double,seen:boolean,s:string>>"
+    numbers = F.transform(F.array(*(F.col(f"`{f}`").cast("double") for f in numeric)), lambda x, i: F.struct(i.alias("feature"), F.lit(True).alias("is_number"), F.coalesce(x, F.lit(0.0)).alias("x"), x.isNotNull().alias("seen"), F.lit("").alias("s")))
+    words = F.transform(F.array(*(F.col(f"`{f}`").cast("string") for f in categorical)), lambda x, i: F.struct((i + len(numeric)).alias("feature"), F.lit(False).alias("is_number"), F.lit(0.0).alias("x"), F.lit(True).alias("seen"), F.coalesce(x, F.lit("")).alias("s")))
+    parts = [p.cast(kind) for p, own in ((numbers, numeric), (words, categorical)) if own]
+    flat = df.select(F.col("_node").alias("node"), F.col(f"`{label}`").alias("label"), F.explode(F.concat(*parts)).alias("t")).select("node", "label", "t.*")
+    each = flat.groupBy("node", "feature", "is_number", "x", "s", "label").agg(F.count(F.lit(1)).alias("n"), F.max("seen").alias("seen"))
+    of_class = Window.partitionBy("node", "feature", "label")
+    run = of_class.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("all", F.sum("n").over(of_class)).withColumn("l", F.when(F.col("is_number"), F.coalesce(F.sum("n").over(run), F.lit(0))).otherwise(0))
+    square = lambda c: c * c
+    left = square(F.col("l") + F.col("n")) - square(F.col("l"))
+    right = square(F.col("all") - F.col("l") - F.col("n")) - square(F.col("all") - F.col("l"))
+    first = F.row_number().over(of_class.orderBy("x", "s")) == 1  # each class's total once
+    each = each.withColumn("squares", F.when(first, square(F.col("all"))).otherwise(0)).withColumn("total", F.when(first, F.col("all")).otherwise(0))
+    value = each.groupBy("node", "feature", "is_number", "x", "s").agg(F.sum("n").alias("n"), F.max("seen").alias("seen"), F.sum(left).alias("left"), F.sum(right).alias("right"), F.sum("squares").alias("squares"), F.sum("total").alias("total"))
     by = Window.partitionBy("node", "feature")
-    each = each.select("*", *(F.sum(c).over(by).alias(f"t{c}") for c in names), *(F.coalesce(F.sum(F.when((F.col("kind") == "numeric") & F.col("x").isNull(), F.col(c))).over(by), F.lit(0)).alias(f"m{c}") for c in names))
-    order = by.orderBy("x")
-    seen = each.where("kind = 'numeric' and x is not null").select("*", *(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"l{c}") for c in names), F.lead("x").over(order).alias("after"))
-    middle = (F.col("x") + F.col("after")) / 2
-    seen = seen.where("after is not null").withColumn("at", middle)
-    seen = seen.select("node", "feature", "kind", F.when(F.col("at") == F.floor("at"), F.floor("at").cast("string")).otherwise(F.col("at").cast("string")).alias("told"), F.col("at").cast("string").alias("value"), *(F.col(f"t{c}") for c in names), *((F.col(f"l{c}") + F.when(F.col("at") >= 0, F.col(f"m{c}")).otherwise(0)).alias(f"l{c}") for c in names))
-    one = each.where("kind = 'categorical'").select("node", "feature", "kind", F.col("s").alias("told"), F.col("s").alias("value"), *(F.col(f"t{c}") for c in names), *(F.col(c).alias(f"l{c}") for c in names))
-    both = seen.unionByName(one)
-    total, left = [F.col(f"t{c}") for c in names], [F.col(f"l{c}") for c in names]
-    right = [t - x for t, x in zip(total, left, strict=True)]
-    n, n_left, n_right = (sum(v[1:], v[0]) for v in (total, left, right))
-    gained = both.where((n_left >= min_leaf) & (n_right >= min_leaf)).withColumn("gain", gini(total) - (n_left / n * gini(left) + n_right / n * gini(right)))
+    order = by.orderBy("x", "s")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = lambda c: F.when(F.col("is_number"), F.sum(c).over(upto)).otherwise(F.col(c))
+    v = value.select("node", "feature", "is_number", "x", "s", "seen", so_far("n").alias("n"), so_far("left").alias("left"), so_far("right").alias("right"), F.sum("squares").over(by).alias("squares"), F.sum("total").over(by).alias("total"))
+    ahead = {f"{c}{k}": F.lead(c, k).over(order) for c in ("x", "seen", "n", "left", "right") for k in (1, 2)}
+    v = v.select("*", *(c.alias(name) for name, c in ahead.items()))
+    # Missing numbers stand at 0, where there may be no number: then the neighbour is one further on, and they go left if the threshold is not below 0.
+    skips = ~F.col("seen1")
+    after = F.when(skips, F.col("x2")).otherwise(F.col("x1"))
+    v = v.withColumn("at", (F.col("x") + after) / 2)
+    takes = skips & (F.col("at") >= 0)
+    picked = lambda c: F.when(F.col("is_number") & takes, F.col(f"{c}1")).otherwise(F.col(c))
+    v = v.where(~F.col("is_number") | (F.col("seen") & F.col("at").isNotNull()))
+    v = v.select("node", "feature", "is_number", "at", "s", "squares", F.col("total").cast("double").alias("total"), picked("n").cast("double").alias("nl"), picked("left").alias("left"), (picked("right") + F.col("squares")).alias("right")).withColumn("nr", F.col("total") - F.col("nl"))
+    told = F.when(F.col("is_number"), F.when(F.col("at") == F.floor("at"), F.floor("at").cast("string")).otherwise(F.col("at").cast("string"))).otherwise(F.col("s"))
+    impurity = lambda squares, n: 1 - F.col(squares) / (F.col(n) * F.col(n))
+    gain = impurity("squares", "total") - (F.col("nl") / F.col("total") * impurity("left", "nl") + F.col("nr") / F.col("total") * impurity("right", "nr"))
+    name = F.element_at(F.array(*(F.lit(f) for f in [*numeric, *categorical])), F.col("feature") + 1)
+    gained = v.where((F.col("nl") >= min_leaf) & (F.col("nr") >= min_leaf)).select("node", name.alias("feature"), F.when(F.col("is_number"), "numeric").otherwise("categorical").alias("kind"), F.when(F.col("is_number"), F.col("at").cast("string")).otherwise(F.col("s")).alias("value"), told.alias("told"), gain.alias("gain"))
     near = gained.withColumn("most", F.max("gain").over(Window.partitionBy("node"))).where(F.col("gain") >= F.col("most") - 1e-12)
-    best = near.groupBy("node").agg(F.min_by(F.struct("feature", "kind", "value", "gain"), F.concat_ws("|", "feature", "told")).alias("b")).select("node", "b.*")
-    counts = flat.where(F.col("feature") == (numeric + categorical)[0]).groupBy("node").agg(*(F.sum(c).alias(x) for c, x in zip(is_class, names, strict=True)))
-    return counts.join(best, "node", "left")
+    return near.groupBy("node").agg(F.min_by(F.struct("feature", "kind", "value", "gain"), F.concat_ws("|", "feature", "told")).alias("b")).select("node", "b.*")
+
+
+#: Nodes of a tree, at most: a node's number among several trees is the tree's number times this, plus its own.
+STRIDE = 1 << 20
 
 
 def grow(df: DataFrame, *, label: str, labels: list[str], numeric: list[str], categorical: list[str] | None = None, max_depth: int = 3, min_split: int = 10, min_leaf: int = 5, min_gain: float = 1e-9) -> Tree:
     """A tree over all rows whose label is one of `labels`; a shallower one is its beginning: place() and predicted() take a depth."""
+    (tree,) = grow_many(df.withColumn("_tree", F.lit(0)), 1, label=label, labels=labels, numeric=numeric, categorical=categorical, max_depth=max_depth, min_split=min_split, min_leaf=min_leaf, min_gain=min_gain)
+    return tree
+
+
+def grow_many(df: DataFrame, n: int, *, label: str, labels: list[str], numeric: list[str], categorical: list[str] | None = None, max_depth: int = 3, min_split: int = 10, min_leaf: int = 5, min_gain: float = 1e-9) -> list[Tree]:
+    """n trees, each over the rows whose column _tree has its number: a level of all trees is one search for splits."""
     categorical = categorical or []
     if not numeric and not categorical:
         raise ValueError("a tree needs features")
-    tree = Tree(list(labels), {0: {"depth": 0}})
-    rows = df.where(F.upper(F.col(f"`{label}`").cast("string")).isin(labels))
-    open_ = [0]
+    grown = [Tree(list(labels), {0: {"depth": 0}}) for _ in range(n)]
+    own = F.upper(F.col(f"`{label}`").cast("string"))
+    rows = df.withColumn(label, own).where(F.col(f"`{label}`").isin(labels))
+    open_ = [(t, 0) for t in range(n)]
     while open_:
-        place = tree.place() if len(tree.nodes) > 1 else F.lit(0)
-        last = tree.nodes[open_[0]]["depth"] >= max_depth
-        at = rows.withColumn("_node", place).where(F.col("_node").isin(open_))
-        found = {r["node"]: r for r in splits(at, F.col("_node"), label, labels, numeric, categorical, min_leaf).collect()}  # a row per open node
-        following = []
-        for k in open_:
-            node = tree.nodes[k]
-            r = found.get(k)
-            counts = [int(r[f"c{i}"]) if r else 0 for i in range(len(labels))]
-            node |= {"n": sum(counts), "counts": dict(zip(labels, counts, strict=True)), "prediction": labels[counts.index(max(counts))]}
-            if last or r is None or r["feature"] is None or sum(c > 0 for c in counts) <= 1 or node["n"] < min_split or r["gain"] <= min_gain:
-                continue
-            a, b = len(tree.nodes), len(tree.nodes) + 1
-            node |= {"feature": r["feature"], "kind": r["kind"], "value": float(r["value"]) if r["kind"] == "numeric" else r["value"], "gain": r["gain"], "left": a, "right": b}
-            tree.nodes[a], tree.nodes[b] = {"depth": node["depth"] + 1}, {"depth": node["depth"] + 1}
-            following += [a, b]
-        open_ = following
-    return tree
+        place = F.lit(None).cast("long")
+        for t in sorted({t for t, _ in open_}):
+            place = F.when(F.col("_tree") == t, grown[t].place() + F.lit(t * STRIDE)).otherwise(place)
+        at = rows.withColumn("_node", place).where(F.col("_node").isin([t * STRIDE + k for t, k in open_]))
+        counts = {t * STRIDE + k: dict.fromkeys(labels, 0) for t, k in open_}
+        for r in at.groupBy("_node", label).agg(F.count(F.lit(1)).alias("n")).collect():  # labels by open nodes
+            counts[r["_node"]][r[label]] = r["n"]
+        wide = []
+        for t, k in open_:
+            node, told = grown[t].nodes[k], counts[t * STRIDE + k]
+            node |= {"n": sum(told.values()), "counts": told, "prediction": max(labels, key=lambda c, told=told: (told[c], -labels.index(c)))}
+            if node["depth"] < max_depth and node["n"] >= min_split and sum(c > 0 for c in told.values()) > 1:
+                wide.append(t * STRIDE + k)
+        open_ = []
+        if not wide:
+            continue
+        for r in splits(at.where(F.col("_node").isin(wide)), label, numeric, categorical, min_leaf).orderBy("node").collect():  # a row per open node
+            if r["gain"] > min_gain:
+                t, k = divmod(r["node"], STRIDE)
+                nodes = grown[t].nodes
+                a, b = len(nodes), len(nodes) + 1
+                nodes[k] |= {"feature": r["feature"], "kind": r["kind"], "value": float(r["value"]) if r["kind"] == "numeric" else r["value"], "gain": r["gain"], "left": a, "right": b}
+                nodes[a], nodes[b] = {"depth": nodes[k]["depth"] + 1}, {"depth": nodes[k]["depth"] + 1}
+                open_ += [(t, a), (t, b)]
+    return grown
