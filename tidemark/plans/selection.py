@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import forecast, models, selection, trees
+from tidemark.functions import forecast, models, pairs, selection, trees, validation
 from tidemark.operators import features as X
 from tidemark.plans import market as M
 from tidemark.plans import tables as T
@@ -32,6 +32,22 @@ def _(spark, sf_dir):
     return selection.select_models(rows, labels)
 
 
+@query("seed_stability")
+def _(spark, sf_dir):
+    """How much the map of the vectors owes to its seed."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return pairs.seed_stability(e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("vector")))
+
+
+@query("dataset_issues")
+def _(spark, sf_dir):
+    """What the validator and the auditor find in the pivot table, by level and code."""
+    table = kept(T.external_features(kept(M.bars_of(spark, sf_dir))))
+    order = ["series_id", "pivot_id"]
+    found = validation.validator_issues(table, order).unionByName(validation.causality_issues(table, order))
+    return validation.issue_summary(found, order)
+
+
 @query("calibration_trials")
 def _(spark, sf_dir):
     """All thresholds and guards over the filtered states of the candle table."""

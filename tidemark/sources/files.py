@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,9 +72,46 @@ def read_strict(spark: SparkSession, path: str, required: list[str]) -> DataFram
     return read_quoted(spark, path, ", ".join(f"`{c}` string" for c in header), mode="FAILFAST")
 
 
-def with_provenance(df: DataFrame) -> DataFrame:
-    """df of a file scan with its rows' file and the byte where the row's split begins."""
-    return df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("source_offset"))
+#: Splits of files whose offsets may be broadcast.
+BROADCAST_SPLITS = 1_000_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, source_file, line) of every line of text files, counted from 1 within its file.
+
+    A task counts on within each split that it reads; the lines of the splits before
+    come from one count a split, so nothing is shuffled or sorted to number lines.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("begin"))
+
+    def number(batches):
+        at, n = None, 0
+        for batch in batches:
+            places = []
+            for own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = n + 1 if own == at else 1
+                at = own
+                places.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], names=["value", "source_file", "begin", "place"])
+
+    sizes = kept(raw.groupBy("source_file", "begin").agg(F.count(F.lit(1)).alias("n")))  # a row per split
+    before = F.sum("n").over(Window.partitionBy("source_file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("source_file", "begin", F.coalesce(before, F.lit(0)).alias("before"))
+    offsets = F.broadcast(offsets) if sizes.count() <= BROADCAST_SPLITS else offsets
+    placed = raw.mapInArrow(number, "value string, source_file string, begin long, place long")
+    return placed.join(offsets, ["source_file", "begin"]).select("value", "source_file", (F.col("before") + F.col("place")).alias("line"))
+
+
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings, with source_file and the line of each row; the first line of a file is its header, blank lines count but give no row.
+
+    All files share one header.  A row is a line: quoted fields hold no line ends.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    kind = ", ".join(f"`{c}` string" for c in header)
+    rows = numbered_lines(spark, path).where((F.col("line") > 1) & (F.trim("value") != ""))
+    fields = F.from_csv("value", kind, {"quote": '"', "escape": '"'})
+    return rows.select(fields.alias("f"), "source_file", "line").select("f.*", "source_file", "line")
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> str:
