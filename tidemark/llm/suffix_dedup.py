@@ -45,7 +45,7 @@ WINDOWS = LENGTH - GRAM + 1
 #: Bytes of text, anchors and asked runs that one numpy step works on.
 BLOCK, FLUSH, POOL = 1 << 18, 1_500_000, 60_000
 #: Bytes of text whose anchors a task judges and resolves at once.
-PART_BYTES = 32 << 20
+PART_BYTES = 64 << 20
 #: Asked runs of one anchor beyond which its windows are aggregated.
 HOT = 20_000
 
