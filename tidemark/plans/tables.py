@@ -31,7 +31,7 @@ def candles(bars):
     bars = kept(bars)
     p = kept(P.leg_pivots(bars))
     events = kept(S.breaks(p, bars))
-    return C.candle_table(R.atr(bars), S.liquidity(p, bars), S.mitigated_gaps(bars), S.order_blocks(events, bars), events)
+    return kept(C.candle_table(kept(R.atr(bars)), kept(S.liquidity(p, bars)), kept(S.mitigated_gaps(bars)), kept(S.order_blocks(events, bars)), events))
 
 
 _W = "(PARTITION BY series_id ORDER BY bar_idx)"
@@ -85,8 +85,10 @@ def _(bars):
 
 
 def pivot_rows(bars):
-    p = P.leg_pivots(bars)
-    return C.pivot_table(p, R.atr(bars), S.liquidity(p, bars), S.breaks(p, bars), S.mitigated_gaps(bars))
+    """The short pivot table at leg pivots; its parts are written once, as their plans are long and read several times."""
+    bars = kept(bars)
+    p = kept(P.leg_pivots(bars))
+    return kept(C.pivot_table(p, kept(R.atr(bars)), kept(S.liquidity(p, bars)), kept(S.breaks(p, bars)), kept(S.mitigated_gaps(bars))))
 
 
 PIVOTS = f"""{PARTS}, piv AS (WITH {M.BARS}{M.LEGS} SELECT * FROM pivots),
