@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import kept
+
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, value) with doubles."""
@@ -51,7 +53,7 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     A column is near-constant if its distinct values are at most 1 % of its rows.
     """
     # Equal values are counted first: what is shuffled and ranked is distinct values with their counts.
-    x = long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n"))
+    x = kept(long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n")))
     known = F.when(F.col("value").isNotNull(), F.col("n"))
     base = x.groupBy("feature").agg(
         F.coalesce(F.sum(known), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.count("value").alias("unique"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.bars import series_window
 from tidemark.operators.levels import as_of, first_beyond
 from tidemark.operators.windows import over
+from tidemark.sources.files import kept
 
 
 def shadowed(pivots: DataFrame, external: DataFrame, apart: float = 1e-7) -> DataFrame:
@@ -80,7 +81,7 @@ def order_blocks(events: DataFrame, bars: DataFrame, *, source: str = "highlow")
     box = F.struct("bar_idx", "high", "low")
     before = series_window().rowsBetween(Window.unboundedPreceding, -1)
     carried = bars.select("series_id", F.col("bar_idx").alias("break_idx"), F.last(F.when(F.col("close") < F.col("open"), box), ignorenulls=True).over(before).alias("_fall"), F.last(F.when(F.col("close") > F.col("open"), box), ignorenulls=True).over(before).alias("_rise"))
-    met = e.join(carried, ["series_id", "break_idx"]).withColumn("box", F.when(up, F.col("_fall")).otherwise(F.col("_rise"))).drop("_fall", "_rise")
+    met = kept(e.join(carried, ["series_id", "break_idx"]).withColumn("box", F.when(up, F.col("_fall")).otherwise(F.col("_rise"))).drop("_fall", "_rise"))
     found = F.coalesce(F.col("box.bar_idx") >= F.col("pivot_idx"), F.lit(False))
     span = met.where(~found).drop("box").withColumn("bar_idx", F.explode(F.sequence("pivot_idx", F.col("break_idx") - 1))).join(bars.select("series_id", "bar_idx", "high", "low"), ["series_id", "bar_idx"])
     rank = F.struct(F.when(up, -F.col("low")).otherwise(F.col("high")), -F.col("bar_idx"))
