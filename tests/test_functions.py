@@ -3,9 +3,12 @@
 import itertools
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +161,24 @@ def test_results_as_of_a_bar_are_those_of_the_whole_series_up_to_it(spark, until
     for make, at in ((lambda b: P.leg_pivots(b), "confirm_idx"), (lambda b: S.gaps(b), "gap_idx"), (lambda b: S.breaks(P.leg_pivots(b), b), "break_idx"), (lambda b: P.fractal_pivots(b), "confirm_idx")):
         early = make(seen)
         assert told(early) == told(make(bars).where(F.col(at) <= until)) and A.beyond(early, at, until).count() == 0
+
+
+def test_nearest_rows_hold_few_candidates():
+    """All pairs of queries and rows of a batch were held at once, with both vectors."""
+    r = np.random.default_rng(4)
+    x = np.round(r.standard_normal((4000, 16)), 1)
+    x[1000:2000] = x[0]  # copies: ties by id
+    x[7] = 1e200
+    table = pa.table({"id": np.arange(4000), "vector": list(x)})
+    told = pa.table({"query_id": np.arange(0, 4000, 8), "query_vector": list(x[::8])})
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    got = pa.Table.from_batches(list(G.nearest(told, table.to_batches(1500), 3, ["id", "vector", "query_id", "query_vector", "d2"])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20 and pa.total_allocated_bytes() - before < 20 << 20
+    for q in (0, 8, 1000, 2800):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(4000), d)) if i != q][:3]
+        own = got.filter(pc.equal(got["query_id"], q)).sort_by([("d2", "ascending"), ("id", "ascending")])
+        assert own["id"].to_pylist() == want and own["d2"].to_pylist() == d[want].tolist()
