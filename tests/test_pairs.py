@@ -23,6 +23,22 @@ def test_correlation_of_all_distances(spark, tile):
     assert (m["mean_a"], m["square_b"]) == pytest.approx((da.mean(), ((db - db.mean()) ** 2).sum()))
 
 
+def test_moments_of_several_spaces_in_one_pass(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((500, 3, 2)) + 50
+    x[:, 1] = x[:, 0] + 0.3 * x[:, 1]
+    df = spark.createDataFrame([(i, *v.tolist()) for i, v in enumerate(x)], "id long, a array<double>, b array<double>, c array<double>").repartition(4)
+    i, j = np.triu_indices(500, 1)
+    d = [np.sqrt(((x[i, s] - x[j, s]) ** 2).sum(axis=1)) for s in range(3)]
+    for tile in (None, 97):
+        got = pairs.space_moments(df, ["a", "b", "c"], tile=tile).first()
+        assert got["n"] == len(i)
+        for k, s in enumerate("abc"):
+            assert (got[f"mean_{s}"], got[f"square_{s}"]) == pytest.approx((d[k].mean(), ((d[k] - d[k].mean()) ** 2).sum()))
+        for p, q in ((0, 1), (0, 2), (1, 2)):
+            assert got[f"product_{'abc'[p]}_{'abc'[q]}"] == pytest.approx(((d[p] - d[p].mean()) * (d[q] - d[q].mean())).sum())
+
+
 def test_distances_without_spread(spark):
     one = spark.createDataFrame([(1, [0.0], [0.0])], "id long, a array<double>, b array<double>")
     assert tuple(pairs.distance_correlation(one).first()) == (0, 0.0) and tuple(pairs.distance_correlation(one.where("id < 0")).first()) == (0, 0.0)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,54 +13,81 @@ from pyspark.sql import functions as F
 from tidemark.functions import learning, models
 from tidemark.sources.files import kept
 
-#: Rows of a block; a tile holds two blocks.
-TILE = 1024
+#: Rows of a block at most, and of a block where there are few; a tile holds two blocks.
+TILE, SMALL = 8192, 1024
+#: Distances that a task holds at once in a space.
+CELLS = 1 << 17
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x to each of y, summed dimension by dimension."""
+    out = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        out += (x[:, i, None] - y[None, :, i]) ** 2
+    return np.sqrt(out)
 
 
-def distance_moments(points: DataFrame, *, tile: int = TILE) -> DataFrame:
-    """Co-moments of the distances of all pairs in two spaces, of rows (id, a, b) with vectors a and b: n, mean_a, mean_b, square_a, square_b and product, about the means.
+def space_moments(points: DataFrame, names: list[str], *, tile: int | None = None) -> DataFrame:
+    """Moments of the distances of all pairs in each of several spaces, of rows (id, a vector per name): n, mean_x and square_x per space x, and product_x_y per two, about the means.
 
     Rows are dealt to blocks by a hash of the id, and every two blocks meet in one
     tile: a row goes to as many tiles as there are blocks, and a tile gives one row.
-    Rows with a null vector are left out; fewer than two rows give n = 0.
+    Blocks are small while there are few, so that all cores have tiles.  Rows with a
+    null vector are left out; fewer than two rows give n = 0.
     """
-    rows = kept(points.where("a is not null and b is not null").select("id", F.transform("a", lambda v: v.cast("double")).alias("a"), F.transform("b", lambda v: v.cast("double")).alias("b")))
-    blocks = max(1, -(-rows.count() // tile))
+    rows = kept(points.where(" and ".join(f"`{c}` is not null" for c in names)).select("id", *(F.transform(c, lambda v: v.cast("double")).alias(c) for c in names)))
+    n = rows.count()
+    blocks = max(1, -(-n // tile) if tile else max(-(-n // TILE), min(-(-n // SMALL), 16)))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     tiles = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = tiles.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "a", "b")
+    tiles = tiles.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *names)
+    both = list(itertools.combinations(range(len(names)), 2))
+    out = ["n", *(f"{m}_{c}" for m in ("mean", "square") for c in names), *(f"product_{names[a]}_{names[b]}" for a, b in both)]
 
     def sums(key, table):
         side = table["own"].to_numpy()
-        space = [np.asarray(table[c].to_pylist(), np.float64).reshape(len(side), -1) for c in ("a", "b")]
+        space = [np.asarray(table[c].to_pylist(), np.float64).reshape(len(side), -1) for c in names]
         i, j = key[0].as_py(), key[1].as_py()
         first, second = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        n, mean, square, product = 0, np.zeros(2), np.zeros(2), 0.0
-        for lo in range(0, len(first), 256):
-            rows_ = first[lo : lo + 256]
-            use = np.ones((len(rows_), len(second)), bool) if i != j else np.arange(len(second))[None] > np.arange(lo, lo + len(rows_))[:, None]
-            d = [np.sqrt(((x[rows_, None] - x[None, second]) ** 2).sum(axis=2))[use] for x in space]
-            m = len(d[0])
-            if not m:
-                continue
-            own_mean = np.asarray([v.mean() for v in d])
-            shift, total = own_mean - mean, n + m
-            square = square + np.asarray([((v - c) ** 2).sum() for v, c in zip(d, own_mean, strict=True)]) + shift**2 * n * m / total
-            product += float(((d[0] - own_mean[0]) * (d[1] - own_mean[1])).sum() + shift[0] * shift[1] * n * m / total)
-            mean, n = mean + shift * m / total, total
-        return pa.table({"n": [n], "mean_a": [mean[0]], "mean_b": [mean[1]], "square_a": [square[0]], "square_b": [square[1]], "product": [product]})
-
-    each = kept(tiles.groupBy("i", "j").applyInArrow(sums, "n long, mean_a double, mean_b double, square_a double, square_b double, product double"))
+        n, mean, square, product = 0, np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(both))
+        wide = min(max(1, len(second)), 2048)
+        step = max(1, CELLS // wide)
+        for lo in range(0, len(first), step):
+            for at in range(lo + 1 if i == j else 0, len(second), wide):
+                x, y = first[lo : lo + step], second[at : at + wide]
+                d = [_distances(v[x], v[y]).ravel() for v in space]
+                if i == j and at < lo + step:  # each pair once
+                    use = (np.arange(at, at + len(y))[None] > np.arange(lo, lo + len(x))[:, None]).ravel()
+                    d = [v[use] for v in d]
+                m = len(d[0])
+                if not m:
+                    continue
+                own_mean = np.asarray([v.mean() for v in d])
+                for v, c in zip(d, own_mean, strict=True):
+                    v -= c
+                shift, total = own_mean - mean, n + m
+                square = square + np.asarray([v @ v for v in d]) + shift**2 * n * m / total
+                product = product + np.asarray([d[a] @ d[b] + shift[a] * shift[b] * n * m / total for a, b in both])
+                mean, n = mean + shift * m / total, total
+        return pa.table({c: [v] for c, v in zip(out, [n, *mean, *square, *product], strict=True)})
+
+    each = kept(tiles.groupBy("i", "j").applyInArrow(sums, ", ".join(f"`{c}` {'long' if c == 'n' else 'double'}" for c in out)))
     n = F.sum("n")
-    whole = each.agg(F.coalesce(n, F.lit(0)).alias("total"), *((F.sum(F.col(c) * F.col("n")) / F.nullif(n, F.lit(0))).alias(f"all_{c}") for c in ("mean_a", "mean_b")))
-    a, b = (F.col(f"mean_{s}") - F.col(f"all_mean_{s}") for s in "ab")
+    whole = each.agg(F.coalesce(n, F.lit(0)).alias("total"), *((F.sum(F.col(f"mean_{c}") * F.col("n")) / F.nullif(n, F.lit(0))).alias(f"all_{c}") for c in names))
+    off = {c: F.col(f"mean_{c}") - F.col(f"all_{c}") for c in names}
     return each.crossJoin(F.broadcast(whole)).agg(
-        F.coalesce(F.max("total"), F.lit(0)).alias("n"), F.max("all_mean_a").alias("mean_a"), F.max("all_mean_b").alias("mean_b"),
-        F.sum(F.col("square_a") + F.col("n") * a * a).alias("square_a"), F.sum(F.col("square_b") + F.col("n") * b * b).alias("square_b"), F.sum(F.col("product") + F.col("n") * a * b).alias("product"),
+        F.coalesce(F.max("total"), F.lit(0)).alias("n"), *(F.max(f"all_{c}").alias(f"mean_{c}") for c in names),
+        *(F.sum(F.col(f"square_{c}") + F.col("n") * off[c] * off[c]).alias(f"square_{c}") for c in names),
+        *(F.sum(F.col(f"product_{a}_{b}") + F.col("n") * off[a] * off[b]).alias(f"product_{a}_{b}") for a, b in itertools.combinations(names, 2)),
     )
 
 
-def distance_correlation(points: DataFrame, *, tile: int = TILE) -> DataFrame:
+def distance_moments(points: DataFrame, *, tile: int | None = None) -> DataFrame:
+    """space_moments() of rows (id, a, b): n, mean_a, mean_b, square_a, square_b and product."""
+    return space_moments(points, ["a", "b"], tile=tile).withColumnRenamed("product_a_b", "product")
+
+
+def distance_correlation(points: DataFrame, *, tile: int | None = None) -> DataFrame:
     """One row: n and the Pearson correlation of the pairs' distances in the two spaces, 0 where one has no spread."""
     m = distance_moments(points, tile=tile)
     spread = F.sqrt(F.col("square_a") * F.col("square_b"))
@@ -75,19 +105,24 @@ def seed_stability(rows: DataFrame, seeds: tuple[int, ...] = (7, 42, 123), *, k:
     correlation: of all pairs' distances; overlap: mean share of the k nearest rows.
     """
     spark = rows.sparkSession
+    rows = kept(rows.repartition(max(2, spark.sparkContext.defaultParallelism)))
     maps, near, kl = {}, {}, {}
-    for s in seeds:
+    for s in dict.fromkeys(seeds):
         fitted = models.fit_map(rows, anchors=anchors, perplexity=perplexity, iterations=iterations, seed=s)
         place = models.placed(rows, fitted)
         maps[s] = kept(place.select("id", F.array("x", "y").alias("vector")))
         kl[s] = fitted["divergence"] if fitted else 0.0
         asked = maps[s].select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
         near[s] = learning.neighbours(asked, maps[s], k)
+    names = {s: f"m{i}" for i, s in enumerate(maps)}
+    every = functools.reduce(lambda a, b: a.join(b, "id"), (maps[s].withColumnRenamed("vector", c) for s, c in names.items()))
+    told = space_moments(every, list(names.values())).first()  # all spaces in one pass over the pairs
     out = []
     for x, a in enumerate(seeds):
         for b in seeds[x + 1 :]:
-            both = maps[a].withColumnRenamed("vector", "a").join(maps[b].withColumnRenamed("vector", "b"), "id")
-            c = distance_correlation(both).first()["correlation"]
+            spread = np.sqrt((told[f"square_{names[a]}"] or 0.0) * (told[f"square_{names[b]}"] or 0.0))
+            product = told[f"square_{names[a]}"] if a == b else told["product_{}_{}".format(*sorted((names[a], names[b])))]
+            c = product / spread if spread > 0 else 0.0
             o = learning.neighbour_overlap(near[a].select("query_id", "id"), near[b].select("query_id", "id"), k).first()[0] or 0.0
             out.append((a, b, float(c), float(o), abs(kl[a] - kl[b])))
     mean = [float(np.mean([r[i] for r in out])) if out else 0.0 for i in (2, 3, 4)]
