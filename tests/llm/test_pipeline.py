@@ -74,6 +74,40 @@ def test_near_duplicates_of_planted_copies(spark):
     assert sum(found[d] != d for d in gone) >= 0.97 * len(gone) and len({found[d] for d in texts if d >= 420}) == 1
 
 
+@pytest.mark.parametrize("many", [8, 0])
+def test_a_centre_that_is_not_alike_hides_no_link(spark, monkeypatch, many):
+    """A crowded anchor: all resemble the first text, but only siblings are alike to 0.8; forests around the first one lost them."""
+    from tidemark.llm import simhash
+
+    monkeypatch.setattr(simhash, "MANY", many)
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    base = [r.choice(vocabulary) for _ in range(300)]
+    texts = {0: " ".join(base)}
+    own = [list(base) for _ in range(40)]
+    for w in own:
+        for k in r.sample(range(len(w)), 12):
+            w[k] = r.choice(vocabulary)
+    for w in own * 2:  # siblings are far apart in the order of ids
+        w[r.randrange(len(w))] = r.choice(vocabulary)
+        texts[len(texts)] = " ".join(w)
+    want = groups(texts)
+    found = {x["doc_id"]: x["component_id"] for x in simhash.similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == want and len(set(want.values())) == 41
+
+
+def test_all_pairs_of_a_crowded_anchor_are_told(spark):
+    from tidemark.llm import simhash
+
+    rows = [(i, [5 + (1 << (i % 3))] * 6, i // 2 if i < 30 else 15) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, fps array<long>, root long")
+    keys = {tuple(x) for x in simhash.meet(df, 4, own=13, following=10).where("kind = 1").select("a", "kind").collect()}
+    assert keys  # more than eight pairs a member
+    only = spark.createDataFrame([(k,) for k, _ in keys], "key long")
+    got = {(x["b"], x["a"]) for x in simhash.meet(df, 4, own=13, following=10, only=only).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][2] != rows[j][2]}
+
+
 def test_stages_one_by_one(spark, put, corpus):
     bench = [(0, "one"), (1, " ".join(next(t for _, t, *_ in corpus if t and len(t.split()) > 30).split()[5:20]))]
     sf = put(documents=(corpus, DOCS), benchmark=(bench, BENCH), labels=([(i, 1, 0) for i in range(40)], LABELS))

@@ -25,7 +25,9 @@ similar() links by resemblance instead: five-word shingles with a Jaccard index
 or more.  Such texts may differ in ten of 64 bits, too many for any covering, so its
 fingerprint is longer (WORDS numbers of 62 bits, from word pairs, of which a changed
 word takes two and not five), it asks for one differing bit in one of its halves,
-and what meets is then held against the texts' own shingles.
+and what meets is then held against the texts' own shingles.  Texts with an equal half
+are linked first; of all that meets after that, only pairs between different
+components are told, and each of them is looked at: none stands for another.
 
 Null texts count as empty.  Null ids take no part in a minimum: a component of
 null ids only has a null id.  Repeated rows are each answered; extra columns are
@@ -37,7 +39,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import _ODD, LOWER, mix, rolling, row_chunks, text_buffer, words, written
@@ -280,11 +282,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
 
 #: similar(): fingerprint numbers, shingle and resemblance; bits of the number met in, and of the lower half of the next one, that may differ.
 WORDS, LONG_SHINGLE, SIMILARITY = 6, 5, 0.8
-OWN_BITS, NEXT_BITS, CLOSE_BITS = 13, 10, 5
+OWN_BITS, NEXT_BITS = 13, 10
 #: Ids (32 MB) that may be broadcast to pick texts; more are met by a shuffle of the texts.
 BROADCAST_IDS = 4_000_000
-#: Members of an anchor up to which all their pairs are looked at.
-ALL_PAIRS = 12
+#: Members of an anchor that are compared by shifting; pairs a member of a larger one that are given at once; tasks of a frequent half.
+ALL_PAIRS, MANY, SALTS = 12, 8, 16
+#: Members compared with so many others at once.
+_ROWS, _WIDE = 256, 4096
 #: A bit of each of four counters in a number; the bits of a number that halves cover, and that the lower half covers.
 _LANES, _USED, _HALF = np.uint64(0x0001000100010001), np.uint64((1 << 62) - 1), np.uint64((1 << 31) - 1)
 
@@ -357,13 +361,37 @@ def folded(x: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(_ODD))
 
 
-def meet(distinct: DataFrame, parts: int, *, own: int, following: int) -> DataFrame:
-    """Pairs (a, b, bits) of ids that meet in an anchor and differ in few enough bits: all of a small anchor, two spanning forests of a large one."""
+def same_halves(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids that share a whole half of a number: each id with the one before it in the order of that number."""
 
-    def replicate(batches):
+    def halves(batches):
         for batch in batches:
             ids, fps = batch.column(0).to_numpy(), batch.column(1)
             every = fps.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            for w in range(every.shape[1]):
+                for half in range(2):
+                    key = (every[:, w] >> np.uint64(31 * half)) & _HALF | np.uint64((2 * w + half) << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), pa.array((every[:, w] & _USED).view(np.int64))], names=["key", "id", "fp"])
+
+    before = F.lag("id").over(Window.partitionBy("key", F.pmod(F.xxhash64("key", "id"), F.lit(SALTS))).orderBy("fp", "id"))  # a frequent half goes to several tasks
+    found = distinct.select("id", "fps").mapInArrow(halves, "key long, id long, fp long").select("id", before.alias("other")).where("other is not null")
+    return found.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+
+
+def meet(distinct: DataFrame, parts: int, *, own: int, following: int, only: DataFrame | None = None) -> DataFrame:
+    """(kind, a, b, bits) of rows (id, fps, root): pairs of ids with different roots that meet in an anchor and differ in few enough bits (kind 0).
+
+    An anchor with more than MANY such pairs a member gives the nearest one of each
+    member and its own key as a (kind 1), to be dealt again when links are known.  With
+    `only`, the keys to deal, all pairs are given.
+    """
+
+    whole_runs = only is not None
+
+    def replicate(batches):
+        for batch in batches:
+            ids, fps, roots = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            every = fps.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
             for w in range(every.shape[1]):
                 fp, nxt = every[:, w], every[:, (w + 1) % every.shape[1]]
                 key, home = anchors(fp)
@@ -372,25 +400,40 @@ def meet(distinct: DataFrame, parts: int, *, own: int, following: int) -> DataFr
                 row = np.repeat(np.arange(len(ids)), home.shape[1])[used]
                 for lo in range(0, len(row), 1 << 16):
                     r = row[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[lo : lo + (1 << 16)], ids[r], fp[r].view(np.int64), (nxt[r] & _HALF).astype(np.int32))], names=["key", "id", "fp", "following"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[lo : lo + (1 << 16)], ids[r], fp[r].view(np.int64), (nxt[r] & _HALF).astype(np.int32), roots[r])], names=["key", "id", "fp", "following", "root"])
 
-    def settle(key, ids, fp, nxt):
+    def settle(key, ids, fp, nxt, root):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(first, len(key)))
+        differ = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
         run_of = np.repeat(np.arange(len(first)), length)
-        small = np.flatnonzero((length[run_of] > 1) & (length[run_of] <= ALL_PAIRS))
-        r, i, x, y = run_of[small], ids[small], fp[small], nxt[small]
+        small = np.flatnonzero((differ & (length <= ALL_PAIRS))[run_of])
+        r, i, x, y, c = run_of[small], ids[small], fp[small], nxt[small], root[small]
         for s in range(1, ALL_PAIRS):
             if len(r) <= s or not (same := r[s:] == r[:-s]).any():
                 break
             bits = np.bitwise_count(x[s:] ^ x[:-s])
-            ok = same & (bits <= own) & (np.bitwise_count(y[s:] ^ y[:-s]) <= following)
-            yield i[s:][ok], i[:-s][ok], bits[ok]
-        for k in np.flatnonzero(length > ALL_PAIRS):
+            ok = same & (c[s:] != c[:-s]) & (bits <= own) & (np.bitwise_count(y[s:] ^ y[:-s]) <= following)
+            if ok.any():
+                yield 0, i[s:][ok], i[:-s][ok], bits[ok]
+        for k in np.flatnonzero(differ & (length > ALL_PAIRS)):
             at = slice(first[k], first[k] + length[k])
-            order = np.argsort(ids[at])
-            for limit in (CLOSE_BITS, own):
-                yield spanning(ids[at][order], fp[at][order], nxt[at][order], limit, following)
+            run = ids[at], fp[at], nxt[at], root[at]
+            if not whole_runs:
+                held, n = [], 0
+                for p in between(*run, own, following):
+                    held.append(p)
+                    n += len(p[0])
+                    if n > MANY * length[k]:
+                        break
+                else:
+                    yield from ((0, run[0][i], run[0][j], bits) for i, j, bits in held)
+                    continue
+                held = None
+                yield 0, *nearest_between(*run, own, following)
+                yield 1, key[at][:1], np.zeros(1, np.int64), np.zeros(1, np.int64)
+            else:
+                yield from ((0, run[0][i], run[0][j], bits) for i, j, bits in between(*run, own, following))
 
     def compare(batches):
         held = None
@@ -398,36 +441,59 @@ def meet(distinct: DataFrame, parts: int, *, own: int, following: int) -> DataFr
             new = [c.to_numpy() for c in batch.columns]
             new[2] = new[2].view(np.uint64) & _USED
             held = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
+            if not len(held[0]):
+                continue
             whole = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
             if whole:
-                yield from pairs([c[:whole] for c in held])
+                yield from told([c[:whole] for c in held])
                 held = [c[whole:] for c in held]
         if held is not None and len(held[0]):
-            yield from pairs(held)
-
-    def pairs(columns):
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        a, b, bits = (np.concatenate(p) for p in zip(none, *settle(*columns), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])
-
-    dealt = distinct.select("id", "fps").mapInArrow(replicate, "key long, id long, fp long, following int").repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "a long, b long, bits int").where("a <> b").groupBy("a", "b").agg(F.min("bits").alias("bits"))
-
-
-def spanning(ids: np.ndarray, fp: np.ndarray, nxt: np.ndarray, own: int, following: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs that join all that links of at most so many bits join, and their bits; the first ids become the centres."""
-    left, out = np.arange(len(ids)), [(ids[:0], ids[:0], ids[:0])]
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            x = front.pop(0)
-            bits = np.bitwise_count(fp[left] ^ fp[x])
-            ok = (bits <= own) & (np.bitwise_count(nxt[left] ^ nxt[x]) <= following)
-            new, left = left[ok], left[~ok]
-            out.append((np.full(len(new), ids[x]), ids[new], bits[ok]))
-            front.extend(new.tolist())
-    a, b, bits = (np.concatenate(p) for p in zip(*out, strict=True))
-    return a, b, bits
+            yield from told(held)
+
+    def told(columns):
+        for kind, a, b, bits in settle(*columns):
+            a, b = (np.maximum(a, b), np.minimum(a, b)) if kind == 0 else (a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], names=["kind", "a", "b", "bits"])
+
+    dealt = distinct.select("id", "fps", "root").mapInArrow(replicate, "key long, id long, fp long, following int, root long")
+    if only is not None:
+        dealt = dealt.join(only, "key", "left_semi").select("key", "id", "fp", "following", "root")
+    dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(compare, "kind int, a long, b long, bits int").groupBy("kind", "a", "b").agg(F.min("bits").alias("bits"))
+
+
+def between(ids: np.ndarray, fp: np.ndarray, nxt: np.ndarray, root: np.ndarray, own: int, following: int):
+    """Blocks (i, j, bits) of all places whose roots differ and whose numbers are near enough; the members of the largest root are not compared with each other."""
+    _, which, count = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((ids, which, -count[which]))
+    fp, nxt, root = fp[order], nxt[order], root[order]
+    n, most = len(order), int(count.max())
+    for lo in range(0, n, _ROWS):
+        hi = min(n, lo + _ROWS)
+        for at in range(most if hi <= most else lo, n, _WIDE):
+            to = min(n, at + _WIDE)
+            bits = np.bitwise_count(fp[lo:hi, None] ^ fp[None, at:to])
+            ok = (bits <= own) & (root[lo:hi, None] != root[None, at:to]) & (np.arange(lo, hi)[:, None] < np.arange(at, to)[None])
+            i, j = np.nonzero(ok)
+            near = np.bitwise_count(nxt[lo + i] ^ nxt[at + j]) <= following
+            i, j = i[near], j[near]
+            if len(i):
+                yield order[lo + i], order[at + j], bits[i, j]
+
+
+def nearest_between(ids: np.ndarray, fp: np.ndarray, nxt: np.ndarray, root: np.ndarray, own: int, following: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of those pairs the nearest one of each member, the smaller id if several are: ids and bits."""
+    best = np.full(len(ids), 1 << 20)
+    other = np.zeros(len(ids), np.int64)
+    for i, j, bits in between(ids, fp, nxt, root, own, following):
+        x, y, b = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([bits, bits]).astype(np.int64)
+        first = np.lexsort((ids[y], b, x))
+        first = first[np.concatenate([[True], x[first][1:] != x[first][:-1]])]
+        x, y, b = x[first], ids[y[first]], b[first]
+        less = (b < best[x]) | ((b == best[x]) & (y < other[x]))
+        best[x[less]], other[x[less]] = b[less], y[less]
+    some = best < 1 << 20
+    return ids[some], other[some], best[some]
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -454,8 +520,8 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where((F.col("every") > 0) & (F.col("common") >= similarity * F.col("every"))).select("a", "b")
 
 
-def joined(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) by the true links among the pairs that met.
+def joined(met: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b): the known ones and the true ones among the pairs that met, but for what those join already.
 
     First each id is held against the id that it differs least from and the smallest
     one that it met.  What that joins is settled; of the other pairs only those
@@ -464,12 +530,12 @@ def joined(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = met.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(met.select("b", "a", "bits"))
     best = both.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("near"), F.min("y").alias("least"))
     first = best.select("x", F.explode(F.array(F.col("near")["y"], F.col("least"))).alias("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    sure = written(alike(first, sets, similarity))
+    sure = written(known.union(alike(first, sets, similarity)))
     roots = components(sure)
     of_a, of_b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
     labelled = met.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left")
     open_ = labelled.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    return components(sure.union(alike(written(open_), sets, similarity)))
+    return written(sure.union(alike(written(open_), sets, similarity)))
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = LONG_SHINGLE, similarity: float = SIMILARITY, own: int = OWN_BITS, following: int = NEXT_BITS) -> DataFrame:
@@ -483,10 +549,27 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size
     found = written(sketches(known, id_col="id", text="text"))
     different = written(found.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = written(meet(different.select(F.col("least").alias("id"), "fps"), parts, own=own, following=following))
-    asked = written(met.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
-    roots = joined(met, written(shingle_sets(known.join(asked, "id", "left_semi"), size)), similarity)
+    numbers = different.select(F.col("least").alias("id"), "fps")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        asked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+        return written(shingle_sets(known.join(asked, "id", "left_semi"), size))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        roots = components(links)
+        return numbers.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "fps", F.coalesce("root", "id").alias("root"))
+
+    easy = written(same_halves(numbers))
+    links_ = written(alike(easy, sets_of(easy), similarity))
+    met = written(meet(labelled(links_), parts, own=own, following=following))
+    pairs = met.where("kind = 0").select("a", "b", "bits")
+    links_ = joined(pairs, links_, sets_of(pairs), similarity)
+    left = met.where("kind = 1").select(F.col("a").alias("key")).distinct()
+    if not left.isEmpty():  # anchors with many pairs: those that are still between components
+        pairs = written(meet(labelled(links_), parts, own=own, following=following, only=left)).select("a", "b", "bits")
+        links_ = joined(pairs, links_, sets_of(pairs), similarity)
+    roots = components(links_)
     rooted = different.select("d1", "d2", "n", "least").join(roots, F.col("least") == F.col("node"), "left")
     moved = rooted.where("n > 1 or root is not null").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("root", "least").alias("to"))
     return found.join(moved, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(F.col("id").alias(id_col), F.coalesce("to", "id").alias("component_id"))
