@@ -417,3 +417,13 @@ def test_bars_stream_with_a_watermark_that_passes(spark):
     got = streams.streamed_bars(spark, "/root/testdata/sf0.001", batches=6)
     want = catalogue.QUERIES["ohlcv_resample"](spark, "/root/testdata/sf0.001").select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_values_of_a_feature_are_put_in_order_by_ranges(spark):
+    """One task ordered all values of a feature at a node."""
+    from tidemark.functions import trees
+
+    df = spark.createDataFrame([(0, "AB"[i % 7 > 3], float(i * i % 97)) for i in range(200)], "_node long, c string, x double")
+    plan = trees.splits(df, "c", ["x"], [], 5)._jdf.queryExecution().optimizedPlan().toString()
+    ordered = [line for line in plan.splitlines() if "Window" in line and "x#" in line.split("],")[-2] + line.split("],")[-1]]
+    assert ordered and all("range#" in line for line in ordered)

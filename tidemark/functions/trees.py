@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import kept
+
 
 @dataclass
 class Tree:
@@ -58,6 +60,10 @@ class Tree:
         return F.when(left, self.predicted(depth, node["left"])).otherwise(self.predicted(depth, node["right"]))
 
 
+#: Ranges of a number's values; each is put in order by itself.
+RANGES = 64
+
+
 def splits(df: DataFrame, label: str, numeric: list[str], categorical: list[str], min_leaf: int) -> DataFrame:
     """The best split of each node of rows with a column _node: node, feature, kind, value (a string) and gain; nodes without one are left out.
 
@@ -72,22 +78,38 @@ def splits(df: DataFrame, label: str, numeric: list[str], categorical: list[str]
     parts = [p.cast(kind) for p, own in ((numbers, numeric), (words, categorical)) if own]
     flat = df.select(F.col("_node").alias("node"), F.col(f"`{label}`").alias("label"), F.explode(F.concat(*parts)).alias("t")).select("node", "label", "t.*")
     each = flat.groupBy("node", "feature", "is_number", "x", "s", "label").agg(F.count(F.lit(1)).alias("n"), F.max("seen").alias("seen"))
-    of_class = Window.partitionBy("node", "feature", "label")
-    run = of_class.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("all", F.sum("n").over(of_class)).withColumn("l", F.when(F.col("is_number"), F.coalesce(F.sum("n").over(run), F.lit(0))).otherwise(0))
+    # Values go to ranges, so that no task orders a whole feature; few sums of ranges tell what lies before each.
+    cuts = df.agg(*(F.percentile_approx(F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)), [k / RANGES for k in range(1, RANGES)], 1000).alias(f"c{i}") for i, f in enumerate(numeric))).first() if numeric else []
+    bounds = F.array(*(F.array(*(F.lit(float(c)) for c in sorted(set(own or [])))).cast("array<double>") for own in cuts)) if numeric else F.array().cast("array<array<double>>")
+    each = kept(each.withColumn("range", F.when(F.col("is_number"), F.size(F.filter(F.get(bounds, F.col("feature")), lambda c: c < F.col("x")))).otherwise(0)))
+    before = lambda by: Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    of_class = ["node", "feature", "label"]
+    ranges = each.groupBy(*of_class, "range").agg(F.sum("n").alias("m"))
+    ranges = ranges.select(*of_class, "range", F.coalesce(F.sum("m").over(before(of_class)), F.lit(0)).alias("lower"), F.sum("m").over(Window.partitionBy(*of_class)).alias("all"))
+    run = Window.partitionBy(*of_class, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.join(F.broadcast(ranges), [*of_class, "range"]).withColumn("l", F.when(F.col("is_number"), F.col("lower") + F.coalesce(F.sum("n").over(run), F.lit(0))).otherwise(0))
     square = lambda c: c * c
     left = square(F.col("l") + F.col("n")) - square(F.col("l"))
     right = square(F.col("all") - F.col("l") - F.col("n")) - square(F.col("all") - F.col("l"))
-    first = F.row_number().over(of_class.orderBy("x", "s")) == 1  # each class's total once
-    each = each.withColumn("squares", F.when(first, square(F.col("all"))).otherwise(0)).withColumn("total", F.when(first, F.col("all")).otherwise(0))
-    value = each.groupBy("node", "feature", "is_number", "x", "s").agg(F.sum("n").alias("n"), F.max("seen").alias("seen"), F.sum(left).alias("left"), F.sum(right).alias("right"), F.sum("squares").alias("squares"), F.sum("total").alias("total"))
-    by = Window.partitionBy("node", "feature")
-    order = by.orderBy("x", "s")
+    value = kept(each.groupBy("node", "feature", "is_number", "range", "x", "s").agg(F.sum("n").alias("n"), F.max("seen").alias("seen"), F.sum(left).alias("left"), F.sum(right).alias("right")))
+    totals = ranges.select(*of_class, "all").distinct().groupBy("node", "feature").agg(F.sum(square(F.col("all"))).alias("squares"), F.sum("all").alias("total"))
+    of_feature, sums = ["node", "feature"], ("n", "left", "right")
+    lower = value.groupBy(*of_feature, "range").agg(*(F.sum(c).alias(c) for c in sums))
+    lower = lower.select(*of_feature, "range", *(F.coalesce(F.sum(c).over(before(of_feature)), F.lit(0)).alias(f"lower_{c}") for c in sums))
+    order = Window.partitionBy(*of_feature, "range").orderBy("x", "s")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    so_far = lambda c: F.when(F.col("is_number"), F.sum(c).over(upto)).otherwise(F.col(c))
-    v = value.select("node", "feature", "is_number", "x", "s", "seen", so_far("n").alias("n"), so_far("left").alias("left"), so_far("right").alias("right"), F.sum("squares").over(by).alias("squares"), F.sum("total").over(by).alias("total"))
-    ahead = {f"{c}{k}": F.lead(c, k).over(order) for c in ("x", "seen", "n", "left", "right") for k in (1, 2)}
-    v = v.select("*", *(c.alias(name) for name, c in ahead.items()))
+    so_far = lambda c: F.when(F.col("is_number"), F.col(f"lower_{c}") + F.sum(c).over(upto)).otherwise(F.col(c))
+    v = value.join(F.broadcast(lower), [*of_feature, "range"]).join(F.broadcast(totals), of_feature)
+    v = v.select("node", "feature", "is_number", "range", "x", "s", "seen", *(so_far(c).alias(c) for c in sums), "squares", "total", F.row_number().over(order).alias("_k"))
+    row = F.struct("x", "seen", *sums)
+    # The two values after a range's last ones are among the first two of the ranges after it.
+    heads = v.where("_k <= 2").groupBy(*of_feature).agg(F.sort_array(F.collect_list(F.struct("range", "_k", row.alias("row")))).alias("heads"))
+    v = v.join(F.broadcast(heads), of_feature).withColumn("after", F.filter("heads", lambda h: h["range"] > F.col("range")))
+    one, two = (F.lead(row, k).over(order) for k in (1, 2))
+    v = v.withColumns({"one": one, "two": two})
+    later = lambda k: F.get("after", F.lit(k))["row"]
+    v = v.withColumns({"two": F.coalesce("two", F.when(F.col("one").isNotNull(), later(0)).otherwise(later(1))), "one": F.coalesce("one", later(0))})
+    v = v.select("node", "feature", "is_number", "x", "s", "seen", *sums, "squares", "total", *(F.col(f"{name}.{c}").alias(f"{c}{k}") for k, name in ((1, "one"), (2, "two")) for c in ("x", "seen", *sums)))
     # Missing numbers stand at 0, where there may be no number: then the neighbour is one further on, and they go left if the threshold is not below 0.
     skips = ~F.col("seen1")
     after = F.when(skips, F.col("x2")).otherwise(F.col("x1"))
