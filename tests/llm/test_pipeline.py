@@ -76,7 +76,7 @@ def test_near_duplicates_of_planted_copies(spark):
 
 @pytest.mark.parametrize("many", [8, 0])
 def test_a_centre_that_is_not_alike_hides_no_link(spark, monkeypatch, many):
-    """A crowded anchor: all resemble the first text, but only siblings are alike to 0.8; forests around the first one lost them."""
+    """A crowded anchor: all resemble the first text, but only siblings are alike to 0.8 and must be linked."""
     from tidemark.llm import simhash
 
     monkeypatch.setattr(simhash, "MANY", many)
