@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -427,3 +428,51 @@ def test_values_of_a_feature_are_put_in_order_by_ranges(spark):
     plan = trees.splits(df, "c", ["x"], [], 5)._jdf.queryExecution().optimizedPlan().toString()
     ordered = [line for line in plan.splitlines() if "Window" in line and "x#" in line.split("],")[-2] + line.split("],")[-1]]
     assert ordered and all("range#" in line for line in ordered)
+
+
+def test_state_models_take_a_sequence_in_pieces(spark):
+    """Sequences longer than a batch: no piece holds a whole one, and paths, states and likelihoods are those of a loop over all rows."""
+    r = np.random.default_rng(8)
+    rows = [(s, t, [float(v) for v in r.normal(size=2)]) for s in ("a", "b", None) for t in range(230)]
+    model = {"states": ["u", "v", "w"], "initial": np.log([0.5, 0.3, 0.2]), "moves": np.log([[0.8, 0.1, 0.1], [0.2, 0.6, 0.2], [0.1, 0.3, 0.6]]), "mean": np.array([[0.0, 0.0], [1.0, -1.0], [-1.0, 1.0]]), "var": np.array([[1.0, 0.5], [0.5, 1.0], [1.0, 1.0]])}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.createDataFrame(r.permutation(np.array(rows, object)).tolist(), "sequence string, step int, vector array<double>").repartition(4)
+
+        class Sizes:
+            def __init__(self):
+                self.most = self.n = 0
+
+            def feed(self, batch, x):
+                self.most, self.n, self.own = max(self.most, len(x)), self.n + len(x), batch.column(0).slice(0, 1)
+                return ()
+
+            def end(self):
+                yield pa.RecordBatch.from_arrays([self.own, pa.array([self.most]), pa.array([self.n])], names=["sequence", "most", "n"])
+
+        assert {(x["n"], x["most"] <= 50) for x in models._in_order(df, "most long, n long", Sizes).collect()} == {(230, True)}
+        path = {(x["sequence"], x["step"]): x["decoded"] for x in models.decode(df, model, how="viterbi").collect()}
+        state = {(x["sequence"], x["step"]): x["decoded"] for x in models.decode(df, model, how="filter").collect()}
+        post = {(x["sequence"], x["step"]): x["posterior"] for x in models.posteriors(df, model).collect()}
+        score = {x["sequence"]: x["log_likelihood"] for x in models.hmm_score(df, model).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(path) == len(state) == len(post) == 690
+    for s in ("a", "b", None):
+        x = np.array([v for q, _, v in rows if q == s])
+        d = np.array([[-0.5 * sum(np.log(2 * np.pi * q) + (a - m) ** 2 / q for a, m, q in zip(v, mean, var, strict=True)) for mean, var in zip(model["mean"], model["var"], strict=True)] for v in x])
+        best, back, alpha = model["initial"] + d[0], [], model["initial"] + d[0]
+        filtered = [alpha]
+        for e in d[1:]:
+            back.append((best[:, None] + model["moves"]).argmax(axis=0))
+            best = (best[:, None] + model["moves"]).max(axis=0) + e
+            alpha = np.logaddexp.reduce(alpha[:, None] + model["moves"], axis=0) + e
+            filtered.append(alpha)
+        want = [int(best.argmax())]
+        for b in reversed(back):
+            want.append(int(b[want[-1]]))
+        assert [path[s, t] for t in range(230)] == [model["states"][k] for k in want[::-1]]
+        assert [state[s, t] for t in range(230)] == [model["states"][int(a.argmax())] for a in filtered]
+        assert np.allclose([post[s, t] for t in range(230)], [np.exp(a - np.logaddexp.reduce(a)) for a in filtered])
+        assert np.isclose(score[s], np.logaddexp.reduce(filtered[-1]))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import learning
+
 
 #: Rows that tree_grid() fits on and anchors that tsne() lays out, at most.
 MAX_TREE_ROWS, MAX_ANCHORS = 20_000, 2_000
@@ -189,55 +191,148 @@ def hmm_fit(rows: DataFrame, smoothing: float = 1.0, floor: float = 1e-6) -> dic
     return {"states": states, "initial": np.log(p / p.sum()), "moves": np.log(a / a.sum(axis=1, keepdims=True)), "mean": np.array([at[x]["mean"] for x in states]), "var": np.array([at[x]["var"] for x in states])}
 
 
-def decode(rows: DataFrame, model: dict, *, how: str) -> DataFrame:
-    """(sequence, step, decoded): Viterbi path, or the filtered state of each step; one ordered fold per sequence.
+def _densities(x: np.ndarray, model: dict) -> np.ndarray:
+    """rows x states: log densities."""
+    out = np.empty((len(x), len(model["mean"])))
+    for s, (mean, var) in enumerate(zip(model["mean"], model["var"], strict=True)):
+        out[:, s] = -0.5 * (np.log(2 * np.pi * var) + (x - mean) ** 2 / var).sum(axis=1)
+    return out
 
-    Ties go to the earlier state of the model's order.
-    """
-    kind = f"sequence {rows.schema['sequence'].dataType.simpleString()}, step {rows.schema['step'].dataType.simpleString()}, decoded string"
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("step")
-        x = np.stack(part["vector"].to_numpy())
-        density = -0.5 * (np.log(2 * np.pi * model["var"]) + (x[:, None, :] - model["mean"]) ** 2 / model["var"]).sum(axis=2)
-        alpha, back = model["initial"] + density[0], []
-        best = [int(alpha.argmax())]
-        for d in density[1:]:
-            step = alpha[:, None] + model["moves"]
-            if how == "viterbi":
-                back.append(step.argmax(axis=0))
-                alpha = step.max(axis=0) + d
+def _in_order(rows: DataFrame, more: str, make) -> DataFrame:
+    """What folds give of rows (sequence, step, vector): make() begins one per sequence, feed(batch, x) takes its rows piece by piece in order of step, end() closes it.
+
+    A sequence is one task's, but never held whole: a task holds a batch and what its fold keeps.
+    """
+    kind = f"sequence {rows.schema['sequence'].dataType.simpleString()}, {more}"
+
+    def run(batches):
+        at, fold = None, None
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if fold is None or names[lo] != at:
+                    if fold is not None:
+                        yield from fold.end()
+                    at, fold = names[lo], make()
+                part = batch.slice(lo, hi - lo)
+                yield from fold.feed(part, learning._matrix(part.column(2)))
+        if fold is not None:
+            yield from fold.end()
+
+    vector = F.transform("vector", lambda v: v.cast("double")).alias("vector")
+    return rows.select("sequence", "step", vector).repartition("sequence").sortWithinPartitions("sequence", F.asc_nulls_last("step")).mapInArrow(run, kind)
+
+
+class _Path:
+    """The likeliest path: keeps a small number per step and state, and the steps."""
+
+    def __init__(self, model: dict):
+        self.model, self.alpha, self.back, self.rows = model, None, [], []
+
+    def feed(self, batch: pa.RecordBatch, x: np.ndarray):
+        density = _densities(x, self.model)
+        back = np.zeros(density.shape, np.int16)
+        for t, d in enumerate(density):
+            if self.alpha is None:
+                self.alpha = self.model["initial"] + d
+                continue
+            step = self.alpha[:, None] + self.model["moves"]
+            back[t] = step.argmax(axis=0)
+            self.alpha = step.max(axis=0) + d
+        self.back.append(back)
+        self.rows.append(batch.select([0, 1]))
+        return ()
+
+    def end(self):
+        state, said = int(self.alpha.argmax()), []
+        for back in reversed(self.back):
+            own = np.empty(len(back), np.int64)
+            for t in range(len(back) - 1, -1, -1):
+                own[t], state = state, int(back[t, state])
+            said.append(own)
+        for rows, own in zip(self.rows, reversed(said), strict=True):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([self.model["states"][s] for s in own], pa.string())], names=["sequence", "step", "decoded"])
+
+
+class _Filtered:
+    """The filtered state of each step."""
+
+    def __init__(self, model: dict):
+        self.model, self.alpha = model, None
+
+    def feed(self, batch: pa.RecordBatch, x: np.ndarray):
+        best = []
+        for d in _densities(x, self.model):
+            if self.alpha is None:
+                self.alpha = self.model["initial"] + d
             else:
+                step = self.alpha[:, None] + self.model["moves"]
                 top = step.max(axis=0)
                 alpha = top + np.log(np.exp(step - top).sum(axis=0)) + d
-                alpha = alpha - (alpha.max() + np.log(np.exp(alpha - alpha.max()).sum()))
-                best.append(int(alpha.argmax()))
-        if how == "viterbi":
-            path = [int(alpha.argmax())]
-            for b in reversed(back):
-                path.append(int(b[path[-1]]))
-            best = path[::-1]
-        return pd.DataFrame({"sequence": part["sequence"].to_numpy(), "step": part["step"].to_numpy(), "decoded": [model["states"][s] for s in best]})
+                self.alpha = alpha - (alpha.max() + np.log(np.exp(alpha - alpha.max()).sum()))
+            best.append(int(self.alpha.argmax()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([self.model["states"][s] for s in best], pa.string())], names=["sequence", "step", "decoded"])
 
-    return rows.groupBy("sequence").applyInPandas(fold, kind)
+    def end(self):
+        return ()
 
 
-def posteriors(rows: DataFrame, model: dict) -> DataFrame:
-    """(sequence, step, posterior): the filtered probabilities of the model's states, an array in their order; one ordered fold per sequence."""
-    kind = f"sequence {rows.schema['sequence'].dataType.simpleString()}, step {rows.schema['step'].dataType.simpleString()}, posterior array<double>"
+class _Posterior:
+    """The filtered probabilities of each step."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("step")
-        x = np.stack(part["vector"].to_numpy()).astype(float)
-        density = -0.5 * (np.log(2 * np.pi * model["var"]) + (x[:, None, :] - model["mean"]) ** 2 / model["var"]).sum(axis=2)
-        alpha, out = None, []
-        for d in density:
-            alpha = model["initial"] + d if alpha is None else np.logaddexp.reduce(alpha[:, None] + model["moves"], axis=0) + d
-            alpha = alpha - np.logaddexp.reduce(alpha)
-            out.append(np.exp(alpha).tolist())
-        return pd.DataFrame({"sequence": part["sequence"].to_numpy(), "step": part["step"].to_numpy(), "posterior": out})
+    def __init__(self, model: dict):
+        self.model, self.alpha = model, None
 
-    return rows.groupBy("sequence").applyInPandas(fold, kind)
+    def feed(self, batch: pa.RecordBatch, x: np.ndarray):
+        out = np.empty((len(x), len(self.model["states"])))
+        for t, d in enumerate(_densities(x, self.model)):
+            alpha = self.model["initial"] + d if self.alpha is None else np.logaddexp.reduce(self.alpha[:, None] + self.model["moves"], axis=0) + d
+            self.alpha = alpha - np.logaddexp.reduce(alpha)
+            out[t] = np.exp(self.alpha)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(out), pa.list_(pa.float64()))], names=["sequence", "step", "posterior"])
+
+    def end(self):
+        return ()
+
+
+class _Likelihood:
+    """The log-likelihood of a sequence."""
+
+    def __init__(self, model: dict):
+        self.model, self.alpha = model, None
+
+    def feed(self, batch: pa.RecordBatch, x: np.ndarray):
+        self.own = batch.column(0).slice(0, 1)
+        for d in _densities(x, self.model):
+            if self.alpha is None:
+                self.alpha = self.model["initial"] + d
+            else:
+                step = self.alpha[:, None] + self.model["moves"]
+                top = step.max(axis=0)
+                self.alpha = top + np.log(np.exp(step - top).sum(axis=0)) + d
+        return ()
+
+    def end(self):
+        top = self.alpha.max()
+        yield pa.RecordBatch.from_arrays([self.own, pa.array([float(top + np.log(np.exp(self.alpha - top).sum()))])], names=["sequence", "log_likelihood"])
+
+
+def decode(rows: DataFrame, model: dict, *, how: str) -> DataFrame:
+    """(sequence, step, decoded): Viterbi path, or the filtered state of each step; one ordered fold per sequence.
+
+    Ties go to the earlier state of the model's order.
+    """
+    fold = _Path if how == "viterbi" else _Filtered
+    return _in_order(rows, f"step {rows.schema['step'].dataType.simpleString()}, decoded string", lambda: fold(model))
+
+
+def posteriors(rows: DataFrame, model: dict) -> DataFrame:
+    """(sequence, step, posterior): the filtered probabilities of the model's states, an array in their order; one ordered fold per sequence."""
+    return _in_order(rows, f"step {rows.schema['step'].dataType.simpleString()}, posterior array<double>", lambda: _Posterior(model))
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int, min_split: int = 10, min_leaf: int = 5):
@@ -267,20 +362,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int, min_split: int = 10, min_leaf
 
 def hmm_score(rows: DataFrame, model: dict) -> DataFrame:
     """(sequence, log_likelihood) of rows (sequence, step, vector): one ordered fold per sequence."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("step")
-        x = np.stack(part["vector"].to_numpy())
-        density = -0.5 * (np.log(2 * np.pi * model["var"]) + (x[:, None, :] - model["mean"]) ** 2 / model["var"]).sum(axis=2)
-        alpha = model["initial"] + density[0]
-        for d in density[1:]:
-            step = alpha[:, None] + model["moves"]
-            top = step.max(axis=0)
-            alpha = top + np.log(np.exp(step - top).sum(axis=0)) + d
-        top = alpha.max()
-        return pd.DataFrame({"sequence": part["sequence"].iloc[:1].to_numpy(), "log_likelihood": [float(top + np.log(np.exp(alpha - top).sum()))]})
-
-    return rows.groupBy("sequence").applyInPandas(fold, f"sequence {rows.schema['sequence'].dataType.simpleString()}, log_likelihood double")
+    return _in_order(rows, "log_likelihood double", lambda: _Likelihood(model))
 
 
 def calibrated(rows: DataFrame, *, threshold: float, guard: bool, demoted: str = "EXPANSION", needed: str = "INTERACTION") -> DataFrame:

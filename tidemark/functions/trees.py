@@ -87,7 +87,7 @@ def splits(df: DataFrame, label: str, numeric: list[str], categorical: list[str]
     ranges = each.groupBy(*of_class, "range").agg(F.sum("n").alias("m"))
     ranges = ranges.select(*of_class, "range", F.coalesce(F.sum("m").over(before(of_class)), F.lit(0)).alias("lower"), F.sum("m").over(Window.partitionBy(*of_class)).alias("all"))
     run = Window.partitionBy(*of_class, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.join(F.broadcast(ranges), [*of_class, "range"]).withColumn("l", F.when(F.col("is_number"), F.col("lower") + F.coalesce(F.sum("n").over(run), F.lit(0))).otherwise(0))
+    each = each.join(ranges, [*of_class, "range"]).withColumn("l", F.when(F.col("is_number"), F.col("lower") + F.coalesce(F.sum("n").over(run), F.lit(0))).otherwise(0))
     square = lambda c: c * c
     left = square(F.col("l") + F.col("n")) - square(F.col("l"))
     right = square(F.col("all") - F.col("l") - F.col("n")) - square(F.col("all") - F.col("l"))
@@ -99,12 +99,13 @@ def splits(df: DataFrame, label: str, numeric: list[str], categorical: list[str]
     order = Window.partitionBy(*of_feature, "range").orderBy("x", "s")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     so_far = lambda c: F.when(F.col("is_number"), F.col(f"lower_{c}") + F.sum(c).over(upto)).otherwise(F.col(c))
-    v = value.join(F.broadcast(lower), [*of_feature, "range"]).join(F.broadcast(totals), of_feature)
+    v = value.join(lower, [*of_feature, "range"]).join(F.broadcast(totals), of_feature)
     v = v.select("node", "feature", "is_number", "range", "x", "s", "seen", *(so_far(c).alias(c) for c in sums), "squares", "total", F.row_number().over(order).alias("_k"))
     row = F.struct("x", "seen", *sums)
     # The two values after a range's last ones are among the first two of the ranges after it.
     heads = v.where("_k <= 2").groupBy(*of_feature).agg(F.sort_array(F.collect_list(F.struct("range", "_k", row.alias("row")))).alias("heads"))
-    v = v.join(F.broadcast(heads), of_feature).withColumn("after", F.filter("heads", lambda h: h["range"] > F.col("range")))
+    of_range = F.transform(F.array_distinct(F.transform("heads", lambda h: h["range"])), lambda r: F.struct(r.alias("range"), F.slice(F.filter("heads", lambda h: h["range"] > r), 1, 2).alias("after")))
+    v = v.join(heads.select(*of_feature, F.explode(of_range).alias("h")).select(*of_feature, "h.range", "h.after"), [*of_feature, "range"])
     one, two = (F.lead(row, k).over(order) for k in (1, 2))
     v = v.withColumns({"one": one, "two": two})
     later = lambda k: F.get("after", F.lit(k))["row"]
