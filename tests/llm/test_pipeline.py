@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
@@ -108,6 +109,60 @@ def test_all_pairs_of_a_crowded_anchor_are_told(spark):
     assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][2] != rows[j][2]}
 
 
+def test_a_crowded_anchor_gives_fewer_edges_than_members(spark):
+    """Groups are those of all pairs that meet, without the pairs."""
+    from tidemark.llm import simhash
+
+    r = random.Random(4)
+    rows = [(i, [(i % 2) * 0x15555555 + (1 << r.randrange(20))] * 6, i if i < 250 else 250) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, fps array<long>, root long")
+    got = [(x["a"], x["b"]) for x in simhash.gathered(df, 4, own=13, following=10, which=[0]).collect()]
+    assert 0 < len(got) <= 40 * 300  # at most 16 anchors of either half a member; all pairs are 20,000 and more in an anchor
+
+    def parts(edges):
+        root = {i: i for i in range(300)} | {i: 250 for i in range(250, 300)}
+        for a, b in edges:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+        return root
+
+    near = [(a, b) for a, b in itertools.combinations(range(300), 2) if (rows[a][1][0] ^ rows[b][1][0]).bit_count() <= 13 and ((rows[a][1][1] ^ rows[b][1][1]) & (2**31 - 1)).bit_count() <= 10]
+    assert len(near) > 20_000 and parts(got) == parts(near)
+    one = simhash.tied(*(np.array(c) for c in ([*range(300)], [f[0] for _, f, _ in rows], [f[1] for _, f, _ in rows], [c for *_, c in rows])), 13, 10)
+    assert len(one[0]) < 300 and parts(zip(*one, strict=True)) == parts(near)
+
+
+@pytest.mark.parametrize("block", [1 << 21, 3000])
+def test_texts_of_a_group_are_held_against_each_other_block_by_block(spark, block):
+    """Chains of sets in one group, in one block or many: edges join exactly what is alike to 0.8, and are fewer than members times blocks."""
+    from tidemark.llm import simhash
+
+    r = random.Random(9)
+    sets = {}
+    for c in range(12):
+        own = [r.randrange(-(2**31), 2**31) for _ in range(r.choice([4, 20, 100, 300]))]
+        for _ in range(8):
+            sets[len(sets)] = sorted(set(own))
+            for k in r.sample(range(len(own)), max(0, len(own) // (8 + c))):
+                own[k] = r.randrange(-(2**31), 2**31)
+    sets |= {len(sets): [], len(sets) + 1: [5]}
+    shown = spark.createDataFrame([(i, i, x) for i, x in sets.items()], "id long, d1 long, set array<int>")
+    groups = spark.createDataFrame([(i, 0) for i in sets], "id long, root long")
+    edges = [(x["a"], x["b"]) for x in simhash.alike(groups, shown, 4, 0.8, block).collect()]
+    own = {i: set(x) for i, x in sets.items()}
+    true = {(a, b) for a, b in itertools.combinations(sets, 2) if own[a] and own[b] and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+
+    def parts(edges):
+        root = {i: i for i in sets}
+        for a, b in edges:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if v == y else v for k, v in root.items()}
+        return root
+
+    assert all((min(e), max(e)) in true for e in edges) and parts(edges) == parts(true)
+    assert len(set(parts(true).values())) > 12 and len(true) > len(set(edges))
+
+
 def test_stages_one_by_one(spark, put, corpus):
     bench = [(0, "one"), (1, " ".join(next(t for _, t, *_ in corpus if t and len(t.split()) > 30).split()[5:20]))]
     sf = put(documents=(corpus, DOCS), benchmark=(bench, BENCH), labels=([(i, 1, 0) for i in range(40)], LABELS))

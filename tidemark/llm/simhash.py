@@ -25,9 +25,10 @@ similar() links by resemblance instead: five-word shingles with a Jaccard index
 or more.  Such texts may differ in ten of 64 bits, too many for any covering, so its
 fingerprint is longer (WORDS numbers of 62 bits, from word pairs, of which a changed
 word takes two and not five), it asks for one differing bit in one of its halves,
-and what meets is then held against the texts' own shingles.  Texts with an equal half
-are linked first; of all that meets after that, only pairs between different
-components are told, and each of them is looked at: none stands for another.
+and what meets, or has an equal half, falls into groups, of which an anchor tells no more edges than it
+has members.  Within a group all texts are then held against each other by their own
+shingles, block by block, and a block passes on edges that join what is alike: no pair
+is written out, and none stands for another.
 
 Null texts count as empty.  Null ids take no part in a minimum: a component of
 null ids only has a null id.  Repeated rows are each answered; extra columns are
@@ -285,8 +286,10 @@ WORDS, LONG_SHINGLE, SIMILARITY = 6, 5, 0.8
 OWN_BITS, NEXT_BITS = 13, 10
 #: Ids (32 MB) that may be broadcast to pick texts; more are met by a shuffle of the texts.
 BROADCAST_IDS = 4_000_000
-#: Members of an anchor that are compared by shifting; pairs a member of a larger one that are given at once; tasks of a frequent half.
-ALL_PAIRS, MANY, SALTS = 12, 8, 16
+#: Members of an anchor that are compared by shifting; pairs a member of a larger one that are given at once; the former for groups; tasks of a frequent half.
+ALL_PAIRS, MANY, FEW, SALTS = 12, 8, 6, 16
+#: Shingles of a block of texts that a task compares with another (a text counts EACH more); bits of a set's bitmap.
+BLOCK, EACH, BITMAP = 1 << 21, 500, 2048
 #: Members compared with so many others at once.
 _ROWS, _WIDE = 256, 4096
 #: A bit of each of four counters in a number; the bits of a number that halves cover, and that the lower half covers.
@@ -335,7 +338,7 @@ def long_fingerprints(row: np.ndarray, h: np.ndarray, n: int, count: int = WORDS
 
 
 def sketches(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:
-    """(id, d1, d2, fps): two digests that equal word sequences share (equal texts, where there is no word), and the fingerprint."""
+    """(id, d1, d2, fps): two digests that equal word sequences share (equal texts, where there is no word), and the fingerprint (null without words)."""
 
     def run(batches):
         for batch in batches:
@@ -349,7 +352,7 @@ def sketches(docs: DataFrame, *, id_col: str, text: str) -> DataFrame:
                     e1, e2 = (folded(part.astype(np.uint64) + np.uint64(1), at, k) for k in (3, 4))
                     d1, d2 = np.where(bare, e1, d1), np.where(bare, e2, d2)
                 fps = long_fingerprints(*shingles(hashes, bounds, 2), hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], names=["id", "d1", "d2", "fps"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([None if b else f for b, f in zip(bare.tolist(), fps.view(np.int64), strict=True)], pa.list_(pa.int64()))], names=["id", "d1", "d2", "fps"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, "id long, d1 long, d2 long, fps array<long>")
 
@@ -378,21 +381,14 @@ def same_halves(distinct: DataFrame) -> DataFrame:
     return found.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
 
 
-def meet(distinct: DataFrame, parts: int, *, own: int, following: int, only: DataFrame | None = None) -> DataFrame:
-    """(kind, a, b, bits) of rows (id, fps, root): pairs of ids with different roots that meet in an anchor and differ in few enough bits (kind 0).
-
-    An anchor with more than MANY such pairs a member gives the nearest one of each
-    member and its own key as a (kind 1), to be dealt again when links are known.  With
-    `only`, the keys to deal, all pairs are given.
-    """
-
-    whole_runs = only is not None
+def dealt(distinct: DataFrame, which: list[int] | None = None) -> DataFrame:
+    """(key, id, fp, following, root) of rows (id, fps, root): each number (or those of `which`), with the next one's lower half, at its anchors."""
 
     def replicate(batches):
         for batch in batches:
             ids, fps, roots = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
             every = fps.flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-            for w in range(every.shape[1]):
+            for w in range(every.shape[1]) if which is None else which:
                 fp, nxt = every[:, w], every[:, (w + 1) % every.shape[1]]
                 key, home = anchors(fp)
                 used = (key >= 0).ravel()
@@ -402,6 +398,91 @@ def meet(distinct: DataFrame, parts: int, *, own: int, following: int, only: Dat
                     r = row[lo : lo + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[lo : lo + (1 << 16)], ids[r], fp[r].view(np.int64), (nxt[r] & _HALF).astype(np.int32), roots[r])], names=["key", "id", "fp", "following", "root"])
 
+    return distinct.select("id", "fps", "root").mapInArrow(replicate, "key long, id long, fp long, following int, root long")
+
+
+def by_anchor(told):
+    """mapInArrow function over rows of dealt() in order of key: told(columns) of whole anchors at a time."""
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            new = [c.to_numpy() for c in batch.columns]
+            new[2] = new[2].view(np.uint64) & _USED
+            held = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
+            if not len(held[0]):
+                continue
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
+            if whole:
+                yield from told([c[:whole] for c in held])
+                held = [c[whole:] for c in held]
+        if held is not None and len(held[0]):
+            yield from told(held)
+
+    return compare
+
+
+def gathered(distinct: DataFrame, parts: int, *, own: int, following: int, which: list[int]) -> DataFrame:
+    """Edges (a, b) that join, beside equal roots, all rows (id, fps, root) that meet in an anchor of the numbers `which` and differ in few enough bits.
+
+    The groups are those of all such pairs, but a larger anchor gives fewer edges than it has roots.
+    """
+
+    def settle(key, ids, fp, nxt, root):
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(first, len(key)))
+        differ = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        run_of = np.repeat(np.arange(len(first)), length)
+        small = np.flatnonzero((differ & (length <= FEW))[run_of])
+        r, i, x, y, c = run_of[small], ids[small], fp[small], nxt[small], root[small]
+        for s in range(1, FEW):
+            if len(r) <= s or not (same := r[s:] == r[:-s]).any():
+                break
+            ok = same & (c[s:] != c[:-s]) & (np.bitwise_count(x[s:] ^ x[:-s]) <= own) & (np.bitwise_count(y[s:] ^ y[:-s]) <= following)
+            if ok.any():
+                yield i[s:][ok], i[:-s][ok]
+        for k in np.flatnonzero(differ & (length > FEW)):
+            at = slice(first[k], first[k] + length[k])
+            yield tied(ids[at], fp[at], nxt[at], root[at], own, following)
+
+    def told(columns):
+        for a, b in settle(*columns):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return dealt(distinct, which).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(by_anchor(told), "a long, b long")
+
+
+def tied(ids: np.ndarray, fp: np.ndarray, nxt: np.ndarray, root: np.ndarray, own: int, following: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between ids that join what is near enough beside what has the same root already."""
+    label = np.unique(root, return_inverse=True)[1]
+    left, a, b = int(label.max()), [], []
+    for i in range(len(ids) - 1):
+        if not left:
+            break
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        j = j[np.bitwise_count(fp[j] ^ fp[i]) <= own]
+        j = j[np.bitwise_count(nxt[j] ^ nxt[i]) <= following]
+        if len(j):
+            new, at = np.unique(label[j], return_index=True)
+            a.append(np.full(len(at), ids[i]))
+            b.append(ids[j[at]])
+            label[np.isin(label, new)] = label[i]
+            left -= len(new)
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+
+def meet(distinct: DataFrame, parts: int, *, own: int, following: int, only: DataFrame | None = None) -> DataFrame:
+    """(kind, a, b, bits) of rows (id, fps, root): pairs of ids with different roots that meet in an anchor and differ in few enough bits (kind 0).
+
+    An anchor with more than MANY such pairs a member gives the nearest one of each
+    member and its own key as a (kind 1), to be dealt again when links are known.  With
+    `only`, the keys to deal, all pairs are given.  similar() does not ask for pairs; this
+    tells what gathered() must join.
+    """
+
+    whole_runs = only is not None
+
     def settle(key, ids, fp, nxt, root):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(first, len(key)))
@@ -435,31 +516,16 @@ def meet(distinct: DataFrame, parts: int, *, own: int, following: int, only: Dat
             else:
                 yield from ((0, run[0][i], run[0][j], bits) for i, j, bits in between(*run, own, following))
 
-    def compare(batches):
-        held = None
-        for batch in batches:
-            new = [c.to_numpy() for c in batch.columns]
-            new[2] = new[2].view(np.uint64) & _USED
-            held = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
-            if not len(held[0]):
-                continue
-            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
-            if whole:
-                yield from told([c[:whole] for c in held])
-                held = [c[whole:] for c in held]
-        if held is not None and len(held[0]):
-            yield from told(held)
-
     def told(columns):
         for kind, a, b, bits in settle(*columns):
             a, b = (np.maximum(a, b), np.minimum(a, b)) if kind == 0 else (a, b)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], names=["kind", "a", "b", "bits"])
 
-    dealt = distinct.select("id", "fps", "root").mapInArrow(replicate, "key long, id long, fp long, following int, root long")
+    rows = dealt(distinct)
     if only is not None:
-        dealt = dealt.join(only, "key", "left_semi").select("key", "id", "fp", "following", "root")
-    dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, "kind int, a long, b long, bits int").groupBy("kind", "a", "b").agg(F.min("bits").alias("bits"))
+        rows = rows.join(only, "key", "left_semi").select("key", "id", "fp", "following", "root")
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+    return rows.mapInArrow(by_anchor(told), "kind int, a long, b long, bits int").groupBy("kind", "a", "b").agg(F.min("bits").alias("bits"))
 
 
 def between(ids: np.ndarray, fp: np.ndarray, nxt: np.ndarray, root: np.ndarray, own: int, following: int):
@@ -512,30 +578,104 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, d1 long, set array<int>").dropDuplicates(["id", "d1"])
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingles are alike; sets grow with the data and are never broadcast."""
-    left, right = sets.toDF("a", "da", "sa").hint("merge"), sets.toDF("b", "db", "sb").hint("merge")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("every"))
-    return both.where((F.col("every") > 0) & (F.col("common") >= similarity * F.col("every"))).select("a", "b")
+def bitmaps(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """n x BITMAP / 64 numbers: a bit is the parity of the row's hashes that fall on it, so two rows differ in no more bits than hashes."""
+    out = np.zeros((n, BITMAP // 8), np.uint8)
+    for lo in range(0, n, 256):
+        a, b = np.searchsorted(row, [lo, min(n, lo + 256)])
+        size = min(n, lo + 256) - lo
+        count = np.bincount((row[a:b] - lo) * BITMAP + (h[a:b] & np.uint32(BITMAP - 1)), minlength=size * BITMAP)
+        out[lo : lo + size] = np.packbits((count & 1).astype(bool).reshape(size, BITMAP), axis=1)
+    return out.view(np.uint64)
 
 
-def joined(met: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b): the known ones and the true ones among the pairs that met, but for what those join already.
+def linked(ids: np.ndarray, second: np.ndarray, edges: np.ndarray, h: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between ids that join what is alike: sets h[edges[i] : edges[i + 1]] of 32-bit hashes, by row; rows of a second block are compared with the others only, as are those.
 
-    First each id is held against the id that it differs least from and the smallest
-    one that it met.  What that joins is settled; of the other pairs only those
-    between different components are held against each other.
+    Every pair that is not joined yet is looked at, first by sizes and bitmaps, which
+    tell that two sets differ in too much, and then by counting what they share.
     """
-    both = met.select(F.col("a").alias("x"), F.col("b").alias("y"), "bits").union(met.select("b", "a", "bits"))
-    best = both.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("near"), F.min("y").alias("least"))
-    first = best.select("x", F.explode(F.array(F.col("near")["y"], F.col("least"))).alias("y")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    sure = written(known.union(alike(first, sets, similarity)))
-    roots = components(sure)
-    of_a, of_b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    labelled = met.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left")
-    open_ = labelled.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    return written(sure.union(alike(written(open_), sets, similarity)))
+    n, size = len(ids), np.diff(edges)
+    row = np.repeat(np.arange(n), size)
+    code = np.unique(h, return_inverse=True)[1]
+    here = np.zeros(len(code), bool)
+    bits = bitmaps(row, h, n) if n > 16 else None
+    label = np.unique(ids, return_inverse=True)[1]
+    share = (1 - similarity) / (1 + similarity)
+    left, a, b = int(label.max()), [], []
+    others = np.flatnonzero(second)
+    for i in np.flatnonzero(~second):
+        if not left:
+            break
+        j = others if len(others) else np.arange(i + 1, n)
+        j = j[label[j] != label[i]]
+        most = share * (size[j] + size[i]) + 1e-6
+        ok = (np.abs(size[j] - size[i]) <= most) & (size[j] > 0)
+        j, most = j[ok], most[ok]
+        if bits is not None and len(j):
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most]
+        if not len(j) or not size[i]:
+            continue
+        mine = code[edges[i] : edges[i + 1]]
+        here[mine] = True
+        found = []
+        for lo in range(0, len(j), 256):
+            some = j[lo : lo + 256]
+            start = np.cumsum(np.append(0, size[some]))[:-1]
+            shared = np.add.reduceat(here[np.concatenate([code[edges[k] : edges[k + 1]] for k in some])], start, dtype=np.int64)
+            found.append(some[shared >= similarity * (size[some] + size[i] - shared)])
+        here[mine] = False
+        j = np.concatenate(found)
+        if len(j):
+            new, at = np.unique(label[j], return_index=True)
+            a.append(np.full(len(at), ids[i]))
+            b.append(ids[j[at]])
+            label[np.isin(label, new)] = label[i]
+            left -= len(new)
+    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+
+
+def alike(groups: DataFrame, sets: DataFrame, parts: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that join, within each group of rows (id, root), the ids whose sets (id, d1, set) are alike.
+
+    A group's texts are put into blocks by the sizes of their sets, and each pair of blocks
+    that may hold texts alike is one comparison: none holds more than two blocks.
+    """
+    sized = written(groups.join(sets.select("id", "d1", F.size("set").alias("n")), "id"))
+    upto = F.sum(F.col("n") + EACH).over(Window.partitionBy("root").orderBy("n", "id", "d1").rowsBetween(Window.unboundedPreceding, 0))
+    placed = written(sized.withColumn("block", F.floor((upto - 1) / block).cast("int")))
+    ends = placed.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = ends.select("root", F.col("block").alias("p"), "high"), ends.select("root", F.col("block").alias("q"), "low")
+    both = one.join(two, "root").where((F.col("p") <= F.col("q")) & (F.col("high") >= similarity * F.col("low")))
+    sides = F.array(F.struct(F.col("p").alias("block"), F.lit(False).alias("second")), F.struct(F.col("q").alias("block"), F.lit(True).alias("second")))
+    asked = both.select("root", "p", "q", F.explode(sides).alias("s")).select("root", "p", "q", "s.*").where("p < q or not second")
+
+    def compare(batches):
+        key, held = None, []
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if held and tuple(names[lo]) != key:
+                    yield from settle(held)
+                    held = []
+                key = tuple(names[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from settle(held)
+
+    def settle(held):
+        t = pa.Table.from_batches(held).select(["id", "second", "set"]).combine_chunks()
+        sets_ = t["set"].combine_chunks()
+        edges = np.concatenate([[0], np.cumsum(sets_.value_lengths().to_numpy())]).astype(np.int64)
+        a, b = linked(t["id"].to_numpy(), t["second"].to_numpy(), edges, sets_.flatten().to_numpy().view(np.uint32), similarity)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = placed.select("id", "d1", "root", "block").join(asked, ["root", "block"]).join(sets, ["id", "d1"]).select("root", "p", "q", "second", "id", "set")
+    return rows.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(compare, "a long, b long")
 
 
 def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = LONG_SHINGLE, similarity: float = SIMILARITY, own: int = OWN_BITS, following: int = NEXT_BITS) -> DataFrame:
@@ -549,27 +689,19 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size
     found = written(sketches(known, id_col="id", text="text"))
     different = written(found.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("fps").alias("fps")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbers = different.select(F.col("least").alias("id"), "fps")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        asked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
-        return written(shingle_sets(known.join(asked, "id", "left_semi"), size))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        roots = components(links)
-        return numbers.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "fps", F.coalesce("root", "id").alias("root"))
-
-    easy = written(same_halves(numbers))
-    links_ = written(alike(easy, sets_of(easy), similarity))
-    met = written(meet(labelled(links_), parts, own=own, following=following))
-    pairs = met.where("kind = 0").select("a", "b", "bits")
-    links_ = joined(pairs, links_, sets_of(pairs), similarity)
-    left = met.where("kind = 1").select(F.col("a").alias("key")).distinct()
-    if not left.isEmpty():  # anchors with many pairs: those that are still between components
-        pairs = written(meet(labelled(links_), parts, own=own, following=following, only=left)).select("a", "b", "bits")
-        links_ = joined(pairs, links_, sets_of(pairs), similarity)
-    roots = components(links_)
+    numbers = different.where("fps is not null").select(F.col("least").alias("id"), "fps")
+
+    # Groups of all that meets or has an equal half: the first number joins nearly all, the others then tell what that left apart.
+    first = gathered(numbers.withColumn("root", F.col("id")), parts, own=own, following=following, which=[0])
+    edges = written(first.union(same_halves(numbers)))
+    roots = components(edges).withColumnRenamed("node", "id")
+    labelled = numbers.join(roots, "id", "left").select("id", "fps", F.coalesce("root", "id").alias("root"))
+    groups = components(edges.union(gathered(labelled, parts, own=own, following=following, which=list(range(1, WORDS)))))
+    groups = written(groups.select(F.col("node").alias("id"), "root").union(groups.select("root", "root").distinct()))
+    asked = groups.select("id")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+    sets = written(shingle_sets(known.join(asked, "id", "left_semi"), size))
+    roots = components(alike(groups, sets, parts, similarity))
     rooted = different.select("d1", "d2", "n", "least").join(roots, F.col("least") == F.col("node"), "left")
     moved = rooted.where("n > 1 or root is not null").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("root", "least").alias("to"))
     return found.join(moved, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left").select(F.col("id").alias(id_col), F.coalesce("to", "id").alias("component_id"))
