@@ -1,9 +1,12 @@
 """Detectors and lookups against plain loops over random bars: one bar at a time, or all pairs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import candles as C
 from tidemark.operators import features as X
 from tidemark.operators import live
 from tidemark.operators import lookups as K
@@ -416,3 +419,30 @@ def test_ghost_table_by_a_loop(table, bars, series):
             for b in blocks[1:]:
                 ema = 0.2 * b[4] + 0.8 * ema
             assert [r[f"tf_{tf}_{c}"] for c in ("atr_pips", "return_pips", "volume", "volume_ema9")] == pytest.approx([np.mean(ranges[-14:]) * 4, (own[i][5] - blocks[0][0]) * 4, blocks[-1][4], ema])
+
+
+def test_windows_at_events_are_those_of_all_bars(bars):
+    events = kept(bars.where("bar_idx % 7 = 3 or bar_idx in (0, 1, 11)").select("series_id", F.col("bar_idx").alias("event_idx")))
+    at = {(s, i) for s, rows in told(events, "event_idx").items() for (i,) in rows}
+    rows = lambda df, i, *columns: {(r["series_id"], r[i]): tuple(r[c] for c in columns) for r in df.collect() if (r["series_id"], r[i]) in at}
+    sides = [f"{c}_{n}" for n in (1, 5, 12) for c in ("resistance", "support")]
+    wide = W.wide_windows(events, bars, (1, 5, 12), n=30)
+    assert rows(wide, "event_idx", *sides) == rows(W.support_resistance(bars, (1, 5, 12)), "bar_idx", *sides)
+    assert rows(wide, "event_idx", "demand", "supply") == rows(W.supply_demand_score(bars, 30), "bar_idx", "demand", "supply")
+    traces = [f"trace_{h}" for h in (3, 5, 10, 15)]
+    assert rows(W.traces_at(events, bars), "event_idx", *traces) == rows(W.trace_counts(bars), "bar_idx", *traces)
+    for made in (wide, W.traces_at(events, bars), W.trailing_blocks(bars, events, 5)):  # no task puts a whole series in order
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"windowspecdefinition\(series_id#\d+, bar_idx#\d+L? ", plan)
+
+
+def test_frames_together_are_the_frames_one_by_one(bars):
+    events = kept(bars.where("bar_idx % 37 = 5").select("series_id", F.col("bar_idx").alias("event_idx")))
+    both = C.frame_contexts(bars, events, (1, 4)).collect()
+    assert both
+    for size in (1, 4):
+        one = {(r["series_id"], r["event_idx"]): r.asDict() for r in C.frame_context(bars, events, size).collect()}
+        own = {(r["series_id"], r["event_idx"]): r.asDict() for r in both if r["frame"] == size}
+        assert one.keys() == own.keys()
+        for k, r in one.items():
+            assert {c: own[k][c] for c in r} == pytest.approx(r)

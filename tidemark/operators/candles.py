@@ -10,6 +10,7 @@ from tidemark.operators import lookups as K
 from tidemark.operators import profile as V
 from tidemark.operators import structure as S
 from tidemark.operators import windows as W
+from tidemark.sources.files import kept
 
 CANDLE_COLUMNS = ["return_1", "return_3", "return_5", "range_atr", "body_atr", "upper_wick_atr", "lower_wick_atr", "close_position", "volatility_10", "volatility_20", "volume_zscore", "volume_ratio", "slope_10", "slope_20", "price_vs_mean_20_atr", "distance_to_bsl_atr", "distance_to_ssl_atr", "active_bsl_count", "active_ssl_count", "liquidity_imbalance", "inside_fvg", "distance_fvg_atr", "inside_order_block", "distance_ob_atr", "bars_since_structure_event", "last_structure_event"]
 CODES = {"BOS_UP": 1, "BOS_DOWN": -1, "CHOCH_UP": 2, "CHOCH_DOWN": -2}
@@ -91,14 +92,30 @@ def pips(rows: DataFrame, columns: list[str], pip: float = 0.25) -> DataFrame:
 
 
 def frame_context(bars: DataFrame, events: DataFrame, size: int, *, pip: float = 0.25, blocks: int = 20, bins: int = 24) -> DataFrame:
-    """Per event (series_id, event_idx): range, return, volume, VWAP, volume profile, Fibonacci and channel distances in pips over the trailing bars and blocks of `size` bars."""
-    key = ["series_id", "event_idx"]
-    span = max(blocks * size, 60)
-    ranges = events.select(*key, F.greatest(F.col("event_idx") - (span - 1), F.lit(0)).alias("first_idx"), F.col("event_idx").alias("last_idx"))
-    now = events.join(bars.select("series_id", F.col("bar_idx").alias("event_idx"), ((F.col("high") + F.col("low")) / 2).alias("mid"), F.col("close").alias("now")), key)
-    whole = V.range_sums(bars, ranges, key).select(*key, "hi", "lo", (F.col("turnover") / F.nullif(F.col("volume"), F.lit(0.0))).alias("vwap"))
-    area = V.range_areas(V.range_profiles(bars, ranges, key, bins).join(now, key), key, F.col("mid"))
-    b = W.trailing_blocks(bars, events, size, blocks)
+    """frame_contexts() of one frame, without its column."""
+    return frame_contexts(bars, events, (size,), pip=pip, blocks=blocks, bins=bins).drop("frame")
+
+
+def frame_contexts(bars: DataFrame, events: DataFrame, sizes: tuple[int, ...], *, pip: float = 0.25, blocks: int = 20, bins: int = 24) -> DataFrame:
+    """Per event (series_id, event_idx) and frame: range, return, volume, VWAP, volume profile, Fibonacci and channel distances in pips over the trailing bars and blocks of `frame` bars, one of the sizes.
+
+    All frames go through the same passes; what is read twice is written once.
+    """
+    bars, events = kept(bars), kept(events)
+    at, key = ["series_id", "event_idx"], ["series_id", "event_idx", "frame"]
+    span = F.greatest(F.lit(blocks) * F.col("frame"), F.lit(60))
+    framed = events.select(*at, F.explode(F.array(*(F.lit(size).cast("long") for size in sizes))).alias("frame"))
+    ranges = framed.select(*key, F.greatest(F.col("event_idx") - (span - 1), F.lit(0)).alias("first_idx"), F.col("event_idx").alias("last_idx"))
+    now = events.join(bars.select("series_id", F.col("bar_idx").alias("event_idx"), ((F.col("high") + F.col("low")) / 2).alias("mid"), F.col("close").alias("now")), at)
+    sums = kept(V.range_sums(bars, ranges, key))
+    whole = sums.select(*key, "hi", "lo", (F.col("turnover") / F.nullif(F.col("volume"), F.lit(0.0))).alias("vwap"))
+    profiles = kept(V.range_profiles(bars, ranges, key, bins, sums=sums))  # areas look at a profile again and again
+    area = V.range_areas(profiles.join(now, at), key, F.col("mid"))
+    b = None
+    for size in sizes:
+        own = W.trailing_blocks(bars, events, size, blocks).withColumn("frame", F.lit(size).cast("long"))
+        b = own if b is None else b.unionByName(own)
+    b = kept(b)
     w = Window.partitionBy(*key)
     before = F.lag("close").over(w.orderBy(F.desc("block")))
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
@@ -106,7 +123,7 @@ def frame_context(bars: DataFrame, events: DataFrame, size: int, *, pip: float =
     weight = F.when(k == 0, F.pow(F.lit(0.8), F.max("block").over(w))).otherwise(0.2 * F.pow(F.lit(0.8), F.col("block")))
     parts = b.withColumn("tr", tr).withColumn("weight", weight).withColumn("k", k)
     told = parts.groupBy(*key).agg(F.avg(F.when(F.col("block") < 14, F.col("tr"))).alias("atr"), F.sum(F.col("weight") * F.col("volume")).alias("ema"), F.max(F.when(F.col("block") == 0, F.col("volume"))).alias("volume"), F.max(F.when(F.col("k") == 0, F.col("open"))).alias("first_open"))
-    t = now.join(whole, key).join(told, key).join(K.regression_channel(b, pip), key).join(area, key)
+    t = whole.join(now, at).join(told, key).join(K.regression_channel(b, pip, tuple(key)), key).join(area, key)
     mid, reach = F.col("mid"), F.col("hi") - F.col("lo")
     made = {"atr": F.col("atr"), "range": reach, "return": F.col("now") - F.col("first_open"), "vwap_distance": mid - F.coalesce("vwap", "mid"), "resistance_distance": F.col("hi") - mid, "support_distance": mid - F.col("lo"), "trend_distance": F.when(F.col("n") < 3, 0.0).otherwise(mid - F.col("centre")), "channel_halfwidth": F.col("spread")}
     made |= {f"{c}_distance": mid - F.col(c) for c in ("poc", "vah", "val")}

@@ -96,14 +96,15 @@ def ghost_table(features: DataFrame, bars: DataFrame, *, pip: float = 0.25) -> D
     key = ["series_id", "event_idx"]
     g = g.withColumn("event_idx", F.col("confirmation_index"))
     events = kept(g.select(*key).distinct())
-    wide = W.trace_counts(W.supply_demand_score(W.support_resistance(bars), pip=pip), HORIZONS)
+    wide = W.wide_windows(events, bars, tuple(WINDOWS), pip=pip).join(W.traces_at(events, bars, HORIZONS), key)
     mid = (F.col("high") + F.col("low")) / 2
     sides = [(F.col(f"{c}_{n}") / pip).alias(f"sr_{name}_{c}_pips") for n, name in WINDOWS.items() for c in ("resistance", "support")]
-    wide = wide.select("series_id", F.col("bar_idx").alias("event_idx"), mid.alias("ghost_price_mid"), *sides, ((mid - F.col("demand")) / pip).alias("demand_distance_pips"), ((F.col("supply") - mid) / pip).alias("supply_distance_pips"), *(F.col(f"trace_{h}").alias(f"target_trace_{h}") for h in HORIZONS))
-    out = g.join(wide, key)
+    wide = wide.select(*key, mid.alias("ghost_price_mid"), *sides, ((mid - F.col("demand")) / pip).alias("demand_distance_pips"), ((F.col("supply") - mid) / pip).alias("supply_distance_pips"), *(F.col(f"trace_{h}").alias(f"target_trace_{h}") for h in HORIZONS))
+    out = g.join(kept(wide), key)
+    frames = kept(C.frame_contexts(bars, events, FRAMES, pip=pip))
     for size in FRAMES:
-        frame = C.frame_context(bars, events, size, pip=pip)
-        out = out.join(frame.select(*key, *(F.col(c).alias(f"tf_{size}_{c}") for c in frame.columns if c not in key)), key)
+        frame = frames.where(F.col("frame") == size)
+        out = out.join(frame.select(*key, *(F.col(c).alias(f"tf_{size}_{c}") for c in frame.columns if c not in (*key, "frame"))), key)
     atr = F.col("atr_14")
     pips = [F.when(atr > 0, F.col(c) * atr / pip).otherwise(0.0).alias(name) for c, name in PIPS.items()]
     number = F.row_number().over(Window.partitionBy("series_id").orderBy("event_idx", "pivot_id")).cast("long")

@@ -94,28 +94,28 @@ def box_distances(bars_with_atr: DataFrame, boxes: DataFrame) -> DataFrame:
     return met.select(*key, inside.cast("long").alias("inside"), F.when(inside, 0.0).otherwise(F.coalesce(away, F.lit(-1.0))).alias("distance"))
 
 
-def regression_channel(blocks: DataFrame, tick: float = 0.25) -> DataFrame:
+def regression_channel(blocks: DataFrame, tick: float = 0.25, key: tuple[str, ...] = ("series_id", "event_idx")) -> DataFrame:
     """Per event the line through its blocks' closes (oldest first), the spread around it, and how often lows and highs touch the band.
 
     blocks: trailing blocks, block 0 the latest.  The unit is the mean true range of
     the last 14 blocks.  Three touches of 12 blocks make a channel; below three blocks
     all is 0.
     """
-    by = Window.partitionBy("series_id", "event_idx")
+    by = Window.partitionBy(*key)
     before = F.lag("close").over(by.orderBy(F.desc("block")))
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     b = blocks.withColumn("tr", tr).withColumn("x", (F.max("block").over(by) - F.col("block")).cast("double")).withColumn("n", F.count("*").over(by))
-    line = b.groupBy("series_id", "event_idx").agg(F.regr_slope("close", "x").alias("slope"), F.regr_intercept("close", "x").alias("base"), F.avg(F.when(F.col("block") < 14, F.col("tr"))).alias("unit"))
-    off = b.join(line, ["series_id", "event_idx"]).withColumn("fit", F.col("base") + F.col("slope") * F.col("x")).withColumn("e", F.col("close") - F.col("fit"))
+    line = b.groupBy(*key).agg(F.regr_slope("close", "x").alias("slope"), F.regr_intercept("close", "x").alias("base"), F.avg(F.when(F.col("block") < 14, F.col("tr"))).alias("unit"))
+    off = b.join(line, list(key)).withColumn("fit", F.col("base") + F.col("slope") * F.col("x")).withColumn("e", F.col("close") - F.col("fit"))
     off = off.withColumn("spread", F.greatest(F.sqrt(F.avg(F.col("e") * F.col("e")).over(by)), 0.15 * F.col("unit")))
     near = F.greatest(0.3 * F.col("unit"), F.lit(tick))
     low = F.abs(F.col("low") - (F.col("fit") - F.col("spread"))) <= near
     high = F.abs(F.col("high") - (F.col("fit") + F.col("spread"))) <= near
     made = {"slope": F.max("slope"), "spread": F.max("spread"), "centre": F.max(F.when(F.col("block") == 0, F.col("fit")))}
-    out = off.groupBy("series_id", "event_idx").agg(*(f.alias(c) for c, f in made.items()), F.count(F.when(low, 1)).alias("low_touches"), F.count(F.when(high, 1)).alias("high_touches"), F.max("n").alias("n"))
+    out = off.groupBy(*key).agg(*(f.alias(c) for c, f in made.items()), F.count(F.when(low, 1)).alias("low_touches"), F.count(F.when(high, 1)).alias("high_touches"), F.max("n").alias("n"))
     out = out.withColumn("is_channel", (F.greatest("low_touches", "high_touches") >= 3) & (F.col("n") >= 12))
     few = F.col("n") < 3
-    return out.select("series_id", "event_idx", *(F.when(few, 0.0).otherwise(F.col(c)).alias(c) for c in made), *(F.when(few, 0).otherwise(F.col(c)).alias(c) for c in ("low_touches", "high_touches")), "n", "is_channel")
+    return out.select(*key, *(F.when(few, 0.0).otherwise(F.col(c)).alias(c) for c in made), *(F.when(few, 0).otherwise(F.col(c)).alias(c) for c in ("low_touches", "high_touches")), "n", "is_channel")
 
 
 def latest_bars(bars: DataFrame, last: int = 500) -> DataFrame:

@@ -74,51 +74,57 @@ def area_of(volumes: Column, share: float, *, ties: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), F.struct(poc.alias("poc"), poc.alias("lo"), poc.alias("hi"), at(poc).alias("acc")), step)
 
 
+def _longest(ranges: DataFrame) -> DataFrame:
+    """The longest range of each series: no range is made up of longer blocks, so bars are summed up in none."""
+    return F.broadcast(ranges.groupBy("series_id").agg(F.max(F.col("last_idx") - F.col("first_idx")).alias("_long")).where("_long >= 0"))
+
+
 def range_sums(bars: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
     """key, lo, hi, volume and turnover (typical price times volume) over the bars first_idx to last_idx of each range.
 
     Bars are summed up once per dyadic block; a range reads the blocks that make it up.
     """
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    top = bars.groupBy("series_id").agg(F.max("bar_idx").alias("_last"))
-    b = bars.select("series_id", "bar_idx", "low", "high", "volume", (typical * F.col("volume")).alias("pv")).join(F.broadcast(top), "series_id")
-    nodes = b.withColumn("b", F.explode(live.ancestors(F.col("bar_idx"), F.col("_last")))).groupBy("series_id", F.col("b.scale").alias("scale"), F.col("b.node").alias("node"))
+    b = bars.select("series_id", "bar_idx", "low", "high", "volume", (typical * F.col("volume")).alias("pv")).join(_longest(ranges), "series_id")
+    nodes = b.withColumn("b", F.explode(live.ancestors(F.col("bar_idx"), F.col("_long")))).groupBy("series_id", F.col("b.scale").alias("scale"), F.col("b.node").alias("node"))
     nodes = nodes.agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.sum("volume").alias("volume"), F.sum("pv").alias("turnover"))
     asked = ranges.select(*dict.fromkeys(["series_id", *key]), F.explode(live.cover(F.col("first_idx"), F.col("last_idx"))).alias("b")).select("*", "b.scale", "b.node").drop("b")
     return asked.join(nodes, live.NODE).groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("volume").alias("volume"), F.sum("turnover").alias("turnover"))
 
 
-def range_profiles(bars: DataFrame, ranges: DataFrame, key: list[str], bins: int = 24) -> DataFrame:
+def range_profiles(bars: DataFrame, ranges: DataFrame, key: list[str], bins: int = 24, *, sums: DataFrame | None = None) -> DataFrame:
     """key, lo, step and volumes (an array, a number per bin) of the typical prices of the bars first_idx to last_idx of each range, by `bins` equal bins from its lowest low to its highest high.
 
-    ranges: series_id, key, first_idx, last_idx.  Ranges have other edges each, so a
+    ranges: series_id, key, first_idx, last_idx.  sums: key, lo, hi and volume of each
+    range, if they are known (range_sums()).  Ranges have other edges each, so a
     bar is dealt to its dyadic blocks, a range's inner edges to the blocks that make it
     up, and in each block one running sum by price tells an edge the volume below it;
     bins are differences.  n log n for any number and length of ranges.  A typical
     price falls into bin floor((price - lo) / step), the last one at most: an edge is
     the least double that this takes over it.  Ranges without height have no volumes.
     """
-    sized = range_sums(bars, ranges, key).select(*key, "lo", ((F.col("hi") - F.col("lo")) / bins).alias("step"))
+    sums = range_sums(bars, ranges, key) if sums is None else sums
+    sized = sums.select(*key, "lo", ((F.col("hi") - F.col("lo")) / bins).alias("step"), F.col("volume").alias("_whole"))
     told = ranges.join(sized, key).where("step > 0")
     guess = lambda k: F.col("lo") + k * F.col("step")
     half = F.abs(F.greatest(F.abs(F.col("lo")), F.abs(F.col("lo") + F.col("step") * bins))) * float(2.0**-53)  # steps of at most one unit in the last place
     near = lambda k: F.transform(F.sequence(F.lit(-6), F.lit(6)), lambda i: guess(k) + i * half)
     edge = lambda k: F.coalesce(F.array_min(F.filter(near(k), lambda x: F.floor((x - F.col("lo")) / F.col("step")) >= k)), guess(k))
-    edges = F.array(*(F.struct(F.lit(k).alias("k"), edge(F.lit(k)).alias("p")) for k in range(1, bins)))
-    asked = told.select(*dict.fromkeys(["series_id", *key]), F.explode(live.cover(F.col("first_idx"), F.col("last_idx"))).alias("b"), edges.alias("edges")).select("*", "b.scale", "b.node").drop("b")
+    edges = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda k: F.struct(k.alias("k"), edge(k).alias("p")))
+    told = told.withColumn("edges", edges)  # once a range, not once a block of it
+    asked = told.select(*dict.fromkeys(["series_id", *key]), F.explode(live.cover(F.col("first_idx"), F.col("last_idx"))).alias("b"), "edges").select("*", "b.scale", "b.node").drop("b")
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    top = bars.groupBy("series_id").agg(F.max("bar_idx").alias("_last"))
-    b = bars.select("series_id", "bar_idx", typical.alias("p"), "volume").join(F.broadcast(top), "series_id").withColumn("b", F.explode(live.ancestors(F.col("bar_idx"), F.col("_last"))))
+    b = bars.select("series_id", "bar_idx", typical.alias("p"), "volume").join(_longest(ranges), "series_id").withColumn("b", F.explode(live.ancestors(F.col("bar_idx"), F.col("_long"))))
     b = b.select("series_id", F.col("b.scale").alias("scale"), F.col("b.node").alias("node"), "p", "volume", F.lit(1).alias("side")).join(asked.select(*live.NODE).distinct(), live.NODE, "left_semi")
     names = [f"_key_{n}" for n in range(len(key))]
     points = asked.select(*live.NODE, *(F.col(c).alias(n) for n, c in zip(names, key, strict=True)), F.explode("edges").alias("e")).select(*live.NODE, *names, "e.k", "e.p", F.lit(0).alias("side"))
     run = Window.partitionBy(*live.NODE).orderBy("p", "side").rowsBetween(*live.RUN)
     below = b.unionByName(points, allowMissingColumns=True).withColumn("below", F.coalesce(F.sum("volume").over(run), F.lit(0.0))).where("side = 0")
-    whole = asked.join(b.groupBy(*live.NODE).agg(F.sum("volume").alias("below")), live.NODE).select(*(F.col(c).alias(n) for n, c in zip(names, key, strict=True)), F.lit(bins).alias("k"), "below")
-    sums = below.select(*names, "k", "below").unionByName(whole).groupBy(*names, "k").agg(F.sum("below").alias("below")).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("k", "below"))).alias("s"))
+    whole = told.select(*(F.col(c).alias(n) for n, c in zip(names, key, strict=True)), F.lit(bins).alias("k"), F.col("_whole").alias("below"))
+    parts = below.select(*names, "k", "below").unionByName(whole).groupBy(*names, "k").agg(F.sum("below").alias("below")).groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("k", "below"))).alias("s"))
     volumes = F.transform("s", lambda x, i: x["below"] - F.coalesce(F.get("s", i - 1)["below"], F.lit(0.0)))
-    back = sums.select(*(F.col(n).alias(c) for n, c in zip(names, key, strict=True)), volumes.alias("volumes"))
-    return sized.join(back, key, "left")
+    back = parts.select(*(F.col(n).alias(c) for n, c in zip(names, key, strict=True)), volumes.alias("volumes"))
+    return sized.drop("_whole").join(back, key, "left")
 
 
 def range_areas(profiles: DataFrame, key: list[str], fallback: Column, share: float = 0.7) -> DataFrame:

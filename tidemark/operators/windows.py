@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import DAY, bucket, series_window
+from tidemark.sources.files import kept
 
 
 def over(a: int, b: int):
@@ -110,6 +111,10 @@ def _block_runs(value: Column, n: int, best, skip: int) -> tuple[Column, Column]
     return begun, rest
 
 
+#: What joins the parts of a range.
+_BOTH = {F.max: F.greatest, F.min: F.least, F.sum: lambda a, b: F.coalesce(F.col(a) + F.col(b), a, b)}
+
+
 def trailing_extremes(bars: DataFrame, n: int, made: dict[str, tuple[Column, object]], *, skip: int = 0) -> DataFrame:
     """bars with columns over the last n bars, name: (value, F.max, F.min or F.sum); null where no value counts.
 
@@ -122,22 +127,35 @@ def trailing_extremes(bars: DataFrame, n: int, made: dict[str, tuple[Column, obj
     back = {c: F.lag(f"_r_{c}", n - 1).over(series_window()) for c in made}
     whole = F.col("bar_idx") % n == n - 1
     picked = own.select("*", *(F.when(whole, F.lit(None)).otherwise(v).alias(f"_l_{c}") for c, v in back.items()))
-    both = {F.max: F.greatest, F.min: F.least, F.sum: lambda a, b: F.coalesce(F.col(a) + F.col(b), a, b)}
-    join = {c: both[best](f"_b_{c}", f"_l_{c}") for c, (_, best) in made.items()}
+    join = {c: _BOTH[best](f"_b_{c}", f"_l_{c}") for c, (_, best) in made.items()}
     return picked.select(*bars.columns, *(v.alias(c) for c, v in join.items()))
 
 
-def trailing_blocks(bars: DataFrame, events: DataFrame, size: int, count: int = 20) -> DataFrame:
-    """For each event (series_id, event_idx): `count` blocks of `size` bars that end at it, block 0 the latest; the oldest may be short.
+def trailing_at(points: DataFrame, bars: DataFrame, n: int, made: dict[str, tuple[Column, object]], *, at: str = "bar_idx", skip: int = 0) -> DataFrame:
+    """points (series_id, `at`) whose bar there is, with the columns that trailing_extremes() gives that bar.
 
-    Every bar carries what the `size` bars up to it hold; an event reads the bars that end its blocks.
+    A point reads two bars, its own and the one n - 1 bars back, so nothing but blocks
+    of n bars is put in order.
     """
-    w = series_window()
-    held = trailing_extremes(bars.select("series_id", "bar_idx", "open", "high", "low", "close", "volume"), size, {"_high": (F.col("high"), F.max), "_low": (F.col("low"), F.min), "_volume": (F.col("volume"), F.sum)})
-    first = F.first("open").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    held = held.select("series_id", "bar_idx", F.coalesce(F.lag("open", size - 1).over(w), first).alias("open"), F.col("_high").alias("high"), F.col("_low").alias("low"), "close", F.col("_volume").alias("volume"))
+    parts = {c: _block_runs(v, n, best, skip) for c, (v, best) in made.items()}
+    begun = bars.select("series_id", F.col("bar_idx").alias(at), *(p[0].alias(f"_b_{c}") for c, p in parts.items()))
+    rest = bars.select("series_id", (F.col("bar_idx") + (n - 1)).alias(at), *(p[1].alias(f"_r_{c}") for c, p in parts.items()))
+    met = points.join(begun, ["series_id", at])
+    if n == 1:
+        return met.select(*points.columns, *(F.col(f"_b_{c}").alias(c) for c in made))
+    met = met.join(rest.where(F.col(at) % n != n - 1), ["series_id", at], "left")  # on a block's last bar the block is the whole
+    return met.select(*points.columns, *(_BOTH[best](f"_b_{c}", f"_r_{c}").alias(c) for c, (_, best) in made.items()))
+
+
+def trailing_blocks(bars: DataFrame, events: DataFrame, size: int, count: int = 20) -> DataFrame:
+    """For each event (series_id, event_idx): `count` blocks of `size` bars that end at it, block 0 the latest; the oldest may be short."""
+    bars = kept(bars)
     ends = events.select("series_id", "event_idx", F.explode(F.sequence(F.lit(0), F.least(F.lit(count - 1), F.floor(F.col("event_idx") / F.lit(size)).cast("int")))).alias("n")).where("event_idx >= 0").select("series_id", "event_idx", F.col("n").cast("long").alias("block"))
-    return ends.withColumn("bar_idx", F.col("event_idx") - F.col("block") * size).join(held, ["series_id", "bar_idx"]).drop("bar_idx")
+    ends = ends.withColumn("bar_idx", F.col("event_idx") - F.col("block") * size)
+    held = trailing_at(ends, bars, size, {"high": (F.col("high"), F.max), "low": (F.col("low"), F.min), "volume": (F.col("volume"), F.sum)})
+    begin = bars.groupBy("series_id").agg(F.min("bar_idx").alias("_begin"))
+    held = held.join(bars.select("series_id", "bar_idx", "close"), ["series_id", "bar_idx"]).join(begin, "series_id").withColumn("_first", F.greatest(F.col("bar_idx") - (size - 1), F.col("_begin")))
+    return held.join(bars.select("series_id", F.col("bar_idx").alias("_first"), "open"), ["series_id", "_first"]).select("series_id", "event_idx", "block", "open", "high", "low", "close", "volume")
 
 
 def support_resistance(bars: DataFrame, spans: tuple[int, ...] = (240, 1440, 10080)) -> DataFrame:
@@ -149,16 +167,32 @@ def support_resistance(bars: DataFrame, spans: tuple[int, ...] = (240, 1440, 100
     return out.select(*bars.columns, *(x for n in spans for x in ((F.col(f"resistance_{n}") - mid).alias(f"resistance_{n}"), (mid - F.col(f"support_{n}")).alias(f"support_{n}"))))
 
 
-def supply_demand_score(bars: DataFrame, n: int = 240, pip: float = 0.25) -> DataFrame:
-    """demand: the low of the strongest up bar, supply: the high of the strongest down bar of the last n + 1, never bar 0; the earliest wins ties, the mid price stands in where there is none."""
+def _strongest(pip: float) -> dict[str, tuple[Column, object]]:
+    """The strongest up and down bars, as trailing_extremes() takes them; the earliest wins ties."""
     body = F.col("close") - F.col("open")
     score = F.abs(body) / F.greatest(F.col("high") - F.col("low"), F.lit(pip)) * F.col("volume")
+    own = lambda sign, price: F.when(F.signum(body) == sign, F.struct(score.alias("score"), (-F.col("bar_idx")).alias("first"), F.col(price).alias("price")))
+    return {"demand": (own(1, "low"), F.max), "supply": (own(-1, "high"), F.max)}
+
+
+def supply_demand_score(bars: DataFrame, n: int = 240, pip: float = 0.25) -> DataFrame:
+    """demand: the low of the strongest up bar, supply: the high of the strongest down bar of the last n + 1, never bar 0; the earliest wins ties, the mid price stands in where there is none."""
     mid = (F.col("high") + F.col("low")) / 2
-    strongest = lambda sign, price: F.when(F.signum(body) == sign, F.struct(score.alias("score"), (-F.col("bar_idx")).alias("first"), F.col(price).alias("price")))
-    out = trailing_extremes(bars, n + 1, {"demand": (strongest(1, "low"), F.max), "supply": (strongest(-1, "high"), F.max)}, skip=1)
+    out = trailing_extremes(bars, n + 1, _strongest(pip), skip=1)
     return out.select(*bars.columns, *(F.coalesce(F.col(c)["price"], mid).alias(c) for c in ("demand", "supply")))
 
 
+def wide_windows(events: DataFrame, bars: DataFrame, spans: tuple[int, ...] = (240, 1440, 10080), n: int = 240, pip: float = 0.25) -> DataFrame:
+    """events (series_id, event_idx) with the bar's high and low and what support_resistance() and supply_demand_score() give it."""
+    out = events.join(bars.select("series_id", F.col("bar_idx").alias("event_idx"), "high", "low"), ["series_id", "event_idx"])
+    for span in spans:
+        out = trailing_at(out, bars, span, {f"resistance_{span}": (F.col("high"), F.max), f"support_{span}": (F.col("low"), F.min)}, at="event_idx")
+    out = trailing_at(out, bars, n + 1, _strongest(pip), at="event_idx", skip=1)
+    mid = (F.col("high") + F.col("low")) / 2
+    sides = [x for span in spans for x in ((F.col(f"resistance_{span}") - mid).alias(f"resistance_{span}"), (mid - F.col(f"support_{span}")).alias(f"support_{span}"))]
+    return out.select(*events.columns, "high", "low", *sides, *(F.coalesce(F.col(c)["price"], mid).alias(c) for c in ("demand", "supply")))
+
+
 def rolling_vwap(bars: DataFrame, n: int = 60) -> DataFrame:
     """Close less the volume-weighted typical price of the last n bars; the mid price stands in without volume."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
@@ -172,16 +206,27 @@ def fib_distances(bars: DataFrame, n: int = 20, ratios: tuple[float, ...] = (0.3
     return bars.select("*", *((F.col("close") - (lo + (hi - lo) * r)).alias(f"fib_{int(r * 1000)}") for r in ratios))
 
 
-def trace_counts(bars: DataFrame, horizons: tuple[int, ...] = (3, 5, 10, 15)) -> DataFrame:
-    """Per bar: new running highs plus new running lows among the next h bars."""
-    top = max(horizons)
-    highs, lows = F.collect_list("high").over(over(0, top)), F.collect_list("low").over(over(0, top))
+def _traces(horizons: tuple[int, ...]) -> list[Column]:
+    """trace_h of the arrays highs and lows: a bar's own value and those after it."""
 
     def fold(values: str, h: int, beyond) -> Column:
         start = F.struct(F.col(values)[0].alias("edge"), F.lit(0).alias("n"))
         ahead = F.slice(F.col(values), 2, h)
         return F.aggregate(ahead, start, lambda a, v: F.struct(F.when(beyond(v, a["edge"]), v).otherwise(a["edge"]).alias("edge"), (a["n"] + beyond(v, a["edge"]).cast("int")).alias("n")), lambda a: a["n"])
 
-    base = bars.withColumn("highs", highs).withColumn("lows", lows)
-    cols = [(fold("highs", h, lambda v, e: v > e) + fold("lows", h, lambda v, e: v < e)).cast("long").alias(f"trace_{h}") for h in horizons]
-    return base.select("*", *cols).drop("highs", "lows")
+    return [(fold("highs", h, lambda v, e: v > e) + fold("lows", h, lambda v, e: v < e)).cast("long").alias(f"trace_{h}") for h in horizons]
+
+
+def trace_counts(bars: DataFrame, horizons: tuple[int, ...] = (3, 5, 10, 15)) -> DataFrame:
+    """Per bar: new running highs plus new running lows among the next h bars."""
+    top = max(horizons)
+    highs, lows = F.collect_list("high").over(over(0, top)), F.collect_list("low").over(over(0, top))
+    return bars.withColumn("highs", highs).withColumn("lows", lows).select("*", *_traces(horizons)).drop("highs", "lows")
+
+
+def traces_at(events: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = (3, 5, 10, 15)) -> DataFrame:
+    """series_id, event_idx and what trace_counts() gives the bars of events (series_id, event_idx, told apart by both): only bars that follow an event are read."""
+    ahead = events.select("series_id", "event_idx", F.explode(F.sequence(F.lit(0), F.lit(max(horizons)))).alias("n")).withColumn("bar_idx", F.col("event_idx") + F.col("n"))
+    met = ahead.join(bars.select("series_id", "bar_idx", "high", "low"), ["series_id", "bar_idx"])
+    held = met.groupBy("series_id", "event_idx").agg(F.min("n").alias("_n"), F.array_sort(F.collect_list(F.struct("n", "high", "low"))).alias("held")).where("_n = 0")
+    return held.select("series_id", "event_idx", F.transform("held", lambda x: x["high"]).alias("highs"), F.transform("held", lambda x: x["low"]).alias("lows")).select("series_id", "event_idx", *_traces(horizons))
