@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import pairs
+from tidemark.functions import models, pairs, plane
 from tidemark.sources import files
 
 
@@ -71,3 +71,42 @@ def test_lines_keep_their_numbers_over_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_anchors_are_evenly_spaced_whatever_ranges_are_drawn(spark):
+    """Ranges were drawn twice, once to count and once to take, so that tables larger than the draw gave wrong anchors or too few."""
+    rows = spark.range(12000).repartition(5)
+    want = sorted({int(np.floor(j * 11999 / 89 + 0.5)) for j in range(90)})
+    assert sorted(r["id"] for r in models.evenly_spaced(rows, 90).collect()) == want
+
+
+@pytest.mark.parametrize("cell", [2048, 20])
+def test_nearest_places_by_cells_are_those_of_all_pairs(spark, cell):
+    r = np.random.default_rng(5)
+    maps = [np.round(r.standard_normal((400, 2)), 1), np.concatenate([r.standard_normal((390, 2)) * 1e-6, 9 * r.standard_normal((10, 2))])]
+    maps[1][7] = np.nan
+    rows = [(i, [i, i + 1000][: 1 + i % 2], *(p[i].tolist() for p in maps)) for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, ids array<long>, a array<double>, b array<double>").repartition(4)
+    got = {x["key"]: x for x in plane.nearest_ids(df, ["a", "b"], 6, cell=cell).collect()}
+    for c, p in zip("ab", maps, strict=True):
+        for i in range(400):
+            d2 = (p[:, 0] - p[i, 0]) ** 2 + (p[:, 1] - p[i, 1]) ** 2
+            every = sorted((d2[j], n) for j in range(400) if np.isfinite(d2[j]) for n in rows[j][1])
+            assert got[i][c] == ([n for _, n in every[:6]] or None)
+
+
+def test_seeds_are_compared_over_rows_that_repeat(spark):
+    """The whole figure by a loop, where few rows share many places; more rows than draws of ranges see."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.standard_normal((1500, 4)), np.repeat(r.standard_normal((6, 4)), 250, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (9000, None)], "id long, vector array<double>").repartition(4)
+    how = {"anchors": 20, "perplexity": 5, "iterations": 60}
+    fitted = models.fit_maps(df.where("vector is not null"), [7, 42], **how)
+    near, far = [], []
+    for p in models.places(x, fitted[0]["x"], [m["y"] for m in fitted]):
+        d2 = (p[:, None, 0] - p[None, :, 0]) ** 2 + (p[:, None, 1] - p[None, :, 1]) ** 2
+        far.append(np.sqrt(d2[np.triu_indices(len(x), 1)]))
+        np.fill_diagonal(d2, np.inf)
+        near.append(np.argsort(d2, axis=1, kind="stable")[:, :5])
+    got = pairs.seed_stability(df, (7, 42), k=5, **how).first()
+    assert got["correlation"] == pytest.approx(np.corrcoef(*far)[0, 1]) and got["overlap"] == pytest.approx(np.mean([len(set(a) & set(b)) / 5 for a, b in zip(*near, strict=True)]))

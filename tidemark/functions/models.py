@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import learning
+from tidemark.sources.files import kept
 
 
 #: Rows that tree_grid() fits on and anchors that tsne() lays out, at most.
@@ -431,9 +432,12 @@ def said(tree, x: np.ndarray) -> np.ndarray:
 
 
 def evenly_spaced(rows: DataFrame, m: int, key: str = "id") -> DataFrame:
-    """Rows at places round(j (n - 1) / (m - 1)) in the order of the key; counted per range, so nothing is sorted in one task."""
+    """Rows at places round(j (n - 1) / (m - 1)) in the order of the key; counted per range, so nothing is sorted in one task.
+
+    Ranges are sampled anew whenever they are made, so the numbered rows are written once.
+    """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id())
+    placed = kept(rows.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row per range
     n, before, starts = sum(counts.values()), 0, {}
@@ -502,8 +506,8 @@ def layout(p: np.ndarray, iterations: int, rate: float = 200.0, seed: int = 42,
     return y, divergence
 
 
-def fit_map(rows: DataFrame, *, anchors: int = 90, perplexity: float = 25, iterations: int = 300, seed: int = 42) -> dict | None:
-    """Anchors x, their places y, the perplexity that was used and the divergence; None for fewer than three rows (id, vector).
+def fit_maps(rows: DataFrame, seeds: list[int], *, anchors: int = 90, perplexity: float = 25, iterations: int = 300) -> list[dict] | None:
+    """A map per seed of the same anchors: x, their places y, the perplexity that was used and the divergence; None for fewer than three rows (id, vector).
 
     The anchors, evenly spaced by id, are a bounded sample that one process lays out.
     """
@@ -515,12 +519,33 @@ def fit_map(rows: DataFrame, *, anchors: int = 90, perplexity: float = 25, itera
     x = np.array([r["vector"] for r in few], np.float64)
     d2 = np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0)
     used = max(2.0, min(perplexity, int((len(few) - 1) / 3)))
-    y, divergence = layout(affinities(d2, used), iterations, seed=seed)
-    return {"x": x, "y": y, "perplexity": used, "divergence": divergence}
+    p = affinities(d2, used)
+    laid = [layout(p, iterations, seed=seed) for seed in seeds]
+    return [{"x": x, "y": y, "perplexity": used, "divergence": divergence} for y, divergence in laid]
+
+
+def fit_map(rows: DataFrame, *, anchors: int = 90, perplexity: float = 25, iterations: int = 300, seed: int = 42) -> dict | None:
+    """fit_maps() of one seed."""
+    fitted = fit_maps(rows, [seed], anchors=anchors, perplexity=perplexity, iterations=iterations)
+    return fitted[0] if fitted else None
+
+
+def places(v: np.ndarray, x: np.ndarray, maps: list[np.ndarray], k: int = 8) -> list[np.ndarray]:
+    """Of vectors on each map: by the k nearest anchors, weighted by 1 / distance; the place of an anchor that it equals."""
+    m = min(k, len(x))
+    out = [np.zeros((len(v), 2)) for _ in maps]
+    for lo in range(0, len(v), 256):
+        far = ((v[lo : lo + 256, None] - x[None]) ** 2).sum(axis=2)
+        near = np.argsort(far, axis=1, kind="stable")[:, :m]
+        d = np.take_along_axis(far, near, axis=1)
+        w = np.where(d[:, :1] < 1e-16, np.arange(m) == 0, 1 / (np.sqrt(d) + 1e-9))
+        for own, y in zip(out, maps, strict=True):
+            own[lo : lo + 256] = (w[:, :, None] * y[near]).sum(axis=1) / w.sum(axis=1, keepdims=True)
+    return out
 
 
 def placed(rows: DataFrame, fitted: dict | None, k: int = 8) -> DataFrame:
-    """(id, x, y): every row by its k nearest anchors, weighted by 1 / distance; the place of an anchor that it equals."""
+    """(id, x, y): every row at its place on the map, see places()."""
     kind = f"id {rows.schema['id'].dataType.simpleString()}, x double, y double"
     if fitted is None:
         return rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
@@ -528,21 +553,43 @@ def placed(rows: DataFrame, fitted: dict | None, k: int = 8) -> DataFrame:
 
     def place(batches):
         ax, ay = at.value
-        m = min(k, len(ax))
         for pdf in batches:
             v = np.stack(pdf["vector"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, ax.shape[1]))
-            out = np.zeros((len(v), 2))
-            for lo in range(0, len(v), 256):
-                far = ((v[lo : lo + 256, None] - ax[None]) ** 2).sum(axis=2)
-                near = np.argsort(far, axis=1, kind="stable")[:, :m]
-                d = np.take_along_axis(far, near, axis=1)
-                w = np.where(d[:, :1] < 1e-16, np.arange(m) == 0, 1 / (np.sqrt(d) + 1e-9))
-                out[lo : lo + 256] = (w[:, :, None] * ay[near]).sum(axis=1) / w.sum(axis=1, keepdims=True)
+            (out,) = places(v, ax, [ay], k)
             yield pd.DataFrame({"id": pdf["id"], "x": out[:, 0], "y": out[:, 1]})
 
     return rows.select("id", "vector").mapInPandas(place, kind)
 
 
+def placed_together(rows: DataFrame, fitted: list[dict] | None, names: list[str], most: int) -> DataFrame:
+    """(key, ids, weight, an array of x and y per name): the rows that share their places on all maps of the same anchors, with their number and their least ids, `most` at most; key is the least.
+
+    Rows with a null id or vector are left out.  A batch settles its own groups before they are shuffled.
+    """
+    id_ = rows.schema["id"].dataType.simpleString()
+    kind = ", ".join([f"ids array<{id_}>, weight long", *(f"`{c}` array<double>" for c in names)])
+    at = rows.sparkSession.sparkContext.broadcast((fitted[0]["x"], [m["y"] for m in fitted]) if fitted else None)
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, ids = learning._matrix(batch.column(1)), batch.column(0)
+            p = np.concatenate(places(v, *at.value), axis=1) if at.value else np.zeros((len(v), 2 * len(names)))
+            p, who = np.unique(p + 0.0, axis=0, return_inverse=True)
+            who = who.ravel()
+            order = np.lexsort((np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1], who))
+            first = np.searchsorted(who[order], np.arange(len(p) + 1))
+            own = order[np.arange(len(order)) - first[who[order]] < most]
+            upto = np.searchsorted(who[own], np.arange(len(p) + 1))
+            pairs = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(p[:, 2 * i : 2 * i + 2]).ravel()), 2).cast(pa.list_(pa.float64())) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(upto, pa.int32()), ids.take(pa.array(own))), pa.array(np.diff(first)), *pairs], names=["ids", "weight", *names])
+
+    some = rows.where("id is not null and vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(place, kind)
+    ids = F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, most)
+    return some.groupBy(*names).agg(ids.alias("ids"), F.sum("weight").alias("weight")).select(F.col("ids")[0].alias("key"), "ids", "weight", *names)
+
+
 def tsne(rows: DataFrame, *, anchors: int = 90, perplexity: float = 25, iterations: int = 300) -> DataFrame:
     """(id, x, y): a map of few anchors, with all other rows placed by their nearest anchors."""
     return placed(rows, fit_map(rows, anchors=anchors, perplexity=perplexity, iterations=iterations))
