@@ -182,3 +182,29 @@ def test_nearest_rows_hold_few_candidates():
         want = [i for i in np.lexsort((np.arange(4000), d)) if i != q][:3]
         own = got.filter(pc.equal(got["query_id"], q)).sort_by([("d2", "ascending"), ("id", "ascending")])
         assert own["id"].to_pylist() == want and own["d2"].to_pylist() == d[want].tolist()
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 3e5), (1e-15, 0.0), (1e13, 1e14), (1e-3, 1.0)])
+def test_nearest_rows_of_any_size_are_exact(scale, offset):
+    """Bounds in single precision leave none out, and are given up where they tell too little."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((2500, 8)) * scale + offset
+    x[5], x[100:160] = 0.0, x[3]
+    table = pa.table({"id": np.arange(2500), "vector": list(x), "label": [str(i) for i in range(2500)]})
+    told = pa.table({"query_id": np.arange(0, 2500, 10), "query_vector": list(x[::10])})
+    got = pa.Table.from_batches(list(G.nearest(told, table.to_batches(900), 4, ["id", "label", "query_id", "d2"], slim=True)))
+    assert got.num_rows == 4 * 250
+    for q in range(0, 2500, 10):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(2500), d)) if i != q][:4]
+        own = got.filter(pc.equal(got["query_id"], q)).sort_by([("d2", "ascending"), ("id", "ascending")])
+        assert own["id"].to_pylist() == want and own["d2"].to_pylist() == d[want].tolist() and own["label"].to_pylist() == [str(i) for i in want]
+
+
+def test_neighbours_without_vectors_pass_on_none(spark):
+    """Both vectors of every candidate were shuffled and written, where only its label counts."""
+    df = spark.createDataFrame([(i, [float(i * i % 37), float(i % 5)], i % 3) for i in range(120)], "id long, vector array<double>, label int").repartition(3)
+    asked = df.where("id < 30").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    slim, whole = (G.neighbours(asked, df, 4, block=10, slim=s) for s in (True, False))
+    assert slim.columns == ["id", "label", "query_id", "d2", "rank"] and slim.schema == whole.drop("vector", "query_vector").schema
+    assert sorted(slim.collect()) == sorted(whole.drop("vector", "query_vector").collect())

@@ -476,3 +476,33 @@ def test_state_models_take_a_sequence_in_pieces(spark):
         assert [state[s, t] for t in range(230)] == [model["states"][int(a.argmax())] for a in filtered]
         assert np.allclose([post[s, t] for t in range(230)], [np.exp(a - np.logaddexp.reduce(a)) for a in filtered])
         assert np.isclose(score[s], np.logaddexp.reduce(filtered[-1]))
+
+
+@pytest.mark.parametrize("entries", [None, 40])
+def test_splits_by_arrays_are_those_of_rows(spark, entries):
+    """A row per value, node and class was joined, ordered and written several times a level; now a range of a feature is one row."""
+    r = np.random.default_rng(12)
+    labels = ["A", "B", "C"]
+    rows = []
+    for i in range(600):
+        a, b, c = float(r.normal()), float(r.integers(-3, 4)), float(r.integers(1, 40)) * (-1) ** i
+        y = labels[int(a > 0.3) + int(b > 1)] if r.random() < 0.8 else "C"
+        rows.append((int(r.choice([3, 7, 1 << 20])), y, a, None if i % 5 == 0 else b, None if i % 7 == 0 else c, None if i % 3 else -1.5, a))
+    df = spark.createDataFrame(rows, "_node long, y string, a double, b double, c double, d double, e double").repartition(4)
+    numeric = ["a", "b", "c", "d", "e"]
+    for some in (numeric, ["e", "d"], ["b"], ["c"], ["d"]):
+        bounds = trees.range_bounds(df, some, entries)
+        assert bool(len(bounds[0])) == bool(entries)
+        dealt = trees.number_splits(df, [1 << 20, 3, 7], "y", labels, some, 5, bounds)
+        assert "Generate" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+        got, want = ([tuple(x) for x in t.orderBy("node").collect()] for t in (dealt, trees.splits(df, "y", some, [], 5)))
+        assert got == want and (want or some == ["d"])
+
+
+def test_smoothings_share_their_counts(spark):
+    r = np.random.default_rng(13)
+    df = spark.createDataFrame([(i // 20, i, "uvw"[int(r.integers(3))] if i % 9 else None, r.normal(size=2).tolist()) for i in range(100)], "sequence long, step long, state string, vector array<double>")
+    for s, got in zip((0.1, 2.0), models.hmm_fit_many(df, [0.1, 2.0], 1e-2), strict=True):
+        want = models.hmm_fit(df, s, 1e-2)
+        assert got["states"] == want["states"] and all(np.allclose(got[c], want[c]) for c in ("initial", "moves", "mean", "var"))
+        assert np.exp(got["moves"]).sum(axis=1) == pytest.approx(1) and (got["moves"] != models.hmm_fit(df, 1.0, 1e-2)["moves"]).any()

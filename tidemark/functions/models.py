@@ -177,6 +177,11 @@ def bic(model: dict, log_likelihood: float, n: int) -> float:
 
 def hmm_fit(rows: DataFrame, smoothing: float = 1.0, floor: float = 1e-6) -> dict:
     """Initial and transition probabilities and Gaussians per state from labelled rows (sequence, step, state, vector); rows without a state do not count."""
+    return hmm_fit_many(rows, [smoothing], floor)[0]
+
+
+def hmm_fit_many(rows: DataFrame, smoothings: list[float], floor: float = 1e-6) -> list[dict]:
+    """hmm_fit() for each smoothing, from the same counts."""
     from pyspark.sql import Window
 
     rows = rows.where("state is not null")
@@ -187,9 +192,12 @@ def hmm_fit(rows: DataFrame, smoothing: float = 1.0, floor: float = 1e-6) -> dic
     starts = {r["state"]: r["n"] for r in seen.where("first").groupBy("state").agg(F.count("*").alias("n")).collect()}
     dense = class_components(rows.select("state", "vector"), "state", floor).collect()
     at = {r["component"]: r for r in dense}
-    a = np.array([[moves.get((x, y), 0) + smoothing for y in states] for x in states])
-    p = np.array([starts.get(x, 0) + smoothing for x in states], float)
-    return {"states": states, "initial": np.log(p / p.sum()), "moves": np.log(a / a.sum(axis=1, keepdims=True)), "mean": np.array([at[x]["mean"] for x in states]), "var": np.array([at[x]["var"] for x in states])}
+    out = []
+    for smoothing in smoothings:
+        a = np.array([[moves.get((x, y), 0) + smoothing for y in states] for x in states])
+        p = np.array([starts.get(x, 0) + smoothing for x in states], float)
+        out.append({"states": states, "initial": np.log(p / p.sum()), "moves": np.log(a / a.sum(axis=1, keepdims=True)), "mean": np.array([at[x]["mean"] for x in states]), "var": np.array([at[x]["var"] for x in states])})
+    return out
 
 
 def _densities(x: np.ndarray, model: dict) -> np.ndarray:

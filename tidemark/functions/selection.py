@@ -7,6 +7,8 @@ is counts of (actual, predicted), never rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -140,8 +142,8 @@ def nearest_neighbours(rows: DataFrame, folds: list[int], ks: list[int], scales:
     out = []
     for f in folds:
         scaled = _scaled(rows, scales[f])
-        judged = scaled.where(F.col("part") == f).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-        near = learning.neighbours(judged, scaled.where(F.col("part") < f).select("id", "vector", "label"), max(ks))
+        judged = kept(scaled.where(F.col("part") == f).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")))
+        near = learning.neighbours(judged, scaled.where(F.col("part") < f).select("id", "vector", "label"), max(ks), block=2 * learning.QUERY_BLOCK, slim=True)
         every = near.select("query_id", "label", "d2", "rank", F.explode(F.array(*(F.lit(k) for k in ks))).alias("k")).where("rank <= k")
         votes = every.groupBy("k", "query_id", "label").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.sqrt("d2")).alias("far"))
         said = votes.groupBy("k", "query_id").agg(F.min_by("label", F.struct(-F.col("votes"), "far", "label")).alias("predicted"))
@@ -217,16 +219,16 @@ def mixtures(rows: DataFrame, folds: list[int], components: list[int], labels: l
 
 
 def state_models(rows: DataFrame, folds: list[int], smoothings: list[float], scales: dict) -> list[DataFrame]:
-    """Counts of the filtered states for every smoothing."""
+    """Counts of the filtered states for every smoothing: one table, so that all are decoded side by side."""
     out = []
     for f in folds:
         scaled = _scaled(rows, scales[f])
-        train = scaled.where(F.col("part") < f).withColumnRenamed("label", "state")
-        judged = scaled.where(F.col("part") == f)
-        for s in smoothings:
-            said = models.decode(judged.select("sequence", "step", "vector"), models.hmm_fit(train.select("sequence", "step", "state", "vector"), smoothing=s, floor=1e-2), how="filter")
+        train = kept(scaled.where(F.col("part") < f).select("sequence", "step", F.col("label").alias("state"), "vector"))
+        judged = kept(scaled.where(F.col("part") == f).select("sequence", "step", "label", "vector"))
+        for s, model in zip(smoothings, models.hmm_fit_many(train, smoothings, floor=1e-2), strict=True):
+            said = models.decode(judged.select("sequence", "step", "vector"), model, how="filter")
             out.append(_counted(said.join(judged.select("sequence", "step", "label"), ["sequence", "step"]).withColumnRenamed("decoded", "predicted"), "hmm", F.lit(s), f))
-    return out
+    return [functools.reduce(DataFrame.unionByName, out)] if out else []
 
 
 def select_models(rows: DataFrame, labels: list[str], *, ks=(3, 5, 7, 9, 11), depths=(2, 3, 4, 5), components=(2, 3, 4, 5), smoothings=(0.1, 0.5, 1.0, 2.0), runs: int = 30, seed: int = 42, iterations: int = 200) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Gini trees grown level by level: one aggregation of (node, feature, value, class) counts a level, rows never leave their tasks.
+"""Gini trees grown level by level: one aggregation of (node, feature, value, class) counts a level.
 
 A numeric feature splits between neighbouring values (at most the threshold goes
 left), a categorical one off a single category.  A gain more than 1e-12 higher wins,
@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,15 +122,180 @@ def splits(df: DataFrame, label: str, numeric: list[str], categorical: list[str]
     picked = lambda c: F.when(F.col("is_number") & takes, F.col(f"{c}1")).otherwise(F.col(c))
     v = v.where(~F.col("is_number") | (F.col("seen") & F.col("at").isNotNull()))
     v = v.select("node", "feature", "is_number", "at", "s", "squares", F.col("total").cast("double").alias("total"), picked("n").cast("double").alias("nl"), picked("left").alias("left"), (picked("right") + F.col("squares")).alias("right")).withColumn("nr", F.col("total") - F.col("nl"))
-    told = F.when(F.col("is_number"), F.when(F.col("at") == F.floor("at"), F.floor("at").cast("string")).otherwise(F.col("at").cast("string"))).otherwise(F.col("s"))
+    told = F.when(F.col("is_number"), _told("at")).otherwise(F.col("s"))
     impurity = lambda squares, n: 1 - F.col(squares) / (F.col(n) * F.col(n))
     gain = impurity("squares", "total") - (F.col("nl") / F.col("total") * impurity("left", "nl") + F.col("nr") / F.col("total") * impurity("right", "nr"))
     name = F.element_at(F.array(*(F.lit(f) for f in [*numeric, *categorical])), F.col("feature") + 1)
     gained = v.where((F.col("nl") >= min_leaf) & (F.col("nr") >= min_leaf)).select("node", name.alias("feature"), F.when(F.col("is_number"), "numeric").otherwise("categorical").alias("kind"), F.when(F.col("is_number"), F.col("at").cast("string")).otherwise(F.col("s")).alias("value"), told.alias("told"), gain.alias("gain"))
+    return _best(gained)
+
+
+def _told(c: str) -> Column:
+    """A threshold as it stands in a split's name: whole ones without a fraction."""
+    return F.when(F.col(c) == F.floor(c), F.floor(c).cast("string")).otherwise(F.col(c).cast("string"))
+
+
+def _best(gained: DataFrame) -> DataFrame:
     near = gained.withColumn("most", F.max("gain").over(Window.partitionBy("node"))).where(F.col("gain") >= F.col("most") - 1e-12)
     return near.groupBy("node").agg(F.min_by(F.struct("feature", "kind", "value", "gain"), F.concat_ws("|", "feature", "told")).alias("b")).select("node", "b.*")
 
 
+#: How often a class has a value at a node; the node and the class by their numbers, the class as -1 - number where the value is missing.
+ENTRY = np.dtype([("x", "<f8"), ("n", "<i8"), ("node", "<i4"), ("label", "<i4")])
+#: Entries of a range, about, and ranges of a feature at most.
+RANGE_ENTRIES, MOST_RANGES = 1 << 16, 4096
+
+
+def range_bounds(df: DataFrame, numeric: list[str], entries: int | None = None) -> list[np.ndarray]:
+    """Where the values of each feature are cut in ranges of some `entries` rows; none where they are few."""
+    ranges = min(-(-df.count() // (entries or RANGE_ENTRIES)), MOST_RANGES)
+    if ranges < 2:
+        return [np.zeros(0) for _ in numeric]
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = df.agg(*(F.percentile_approx(F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)), shares, max(1000, 10 * ranges)).alias(f"c{i}") for i, f in enumerate(numeric))).first()
+    return [np.unique(np.asarray(c or [], np.float64)) for c in cuts]
+
+
+def _differs(x: np.ndarray) -> np.ndarray:
+    """Whether a number is another one than the number before it."""
+    return (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+
+
+def _merged(e: np.ndarray) -> np.ndarray:
+    """Entries by node, value and class, each once."""
+    e = e[np.lexsort((e["label"], e["x"], e["node"]))]
+    first = np.ones(len(e), bool)
+    if len(e):
+        first[1:] = (e["node"][1:] != e["node"][:-1]) | _differs(e["x"]) | (e["label"][1:] != e["label"][:-1])
+    at = np.flatnonzero(first)
+    if len(at) < len(e):
+        n = np.add.reduceat(e["n"], at)
+        e = e[at]
+        e["n"] = n
+    return e
+
+
+def _running(e: np.ndarray, value: np.ndarray, before: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to each value, of entries in order: rows on the left, and the summed squares of the classes on the left and on the right; before and every: what classes of nodes have to begin with, and in all."""
+    by = np.lexsort((value, e["label"], e["node"]))  # each class of a node along its values
+    node, label, n = e["node"][by], e["label"][by], e["n"][by]
+    new = np.ones(len(by), bool)
+    new[1:] = (node[1:] != node[:-1]) | (label[1:] != label[:-1])
+    begin = np.flatnonzero(new)
+    upto = np.cumsum(n)
+    upto += np.repeat(before[node[begin], label[begin]] - (upto[begin] - n[begin]), np.diff(np.append(begin, len(by))))
+    low, rest = upto - n, every[node, label] - upto
+    more = np.empty((3, len(by)), np.int64)
+    more[:, by] = n, upto * upto - low * low, rest * rest - (rest + n) * (rest + n)
+    first = np.flatnonzero(np.diff(value, prepend=-1))
+    of = e["node"][first]  # the node of each value
+    sums = np.cumsum(np.add.reduceat(more, first, axis=1), axis=1)
+    new = np.flatnonzero(np.diff(of, prepend=-1))
+    start = np.stack([before.sum(axis=1), (before * before).sum(axis=1), ((every - before) ** 2).sum(axis=1)])[:, of[new]]
+    earlier = np.concatenate([np.zeros((3, 1), np.int64), sums], axis=1)[:, new]
+    sums += np.repeat(start - earlier, np.diff(np.append(new, len(first))), axis=1)
+    return sums[0], sums[1], sums[2]
+
+
+def number_splits(df: DataFrame, nodes: list[int], label: str, labels: list[str], numeric: list[str], min_leaf: int, bounds: list[np.ndarray]) -> DataFrame:
+    """splits() of numbers only, for many features: a range of a feature's values is one row, its entries in arrays.
+
+    Rows are dealt as entries to the ranges of every feature; a task puts a range in order and tells
+    its class counts, the ranges of a feature tell each other what lies before and
+    after, and a range then tries its thresholds.  Missing numbers are apart: they go
+    left where the threshold is not below 0.
+    """
+    own, shape = np.sort(np.asarray(nodes, np.int64)), (len(nodes), len(labels))
+    number = F.array_position(F.array(*(F.lit(c) for c in labels)), F.col(f"`{label}`")).cast("int") - 1
+    rows = df.select(F.col("_node").cast("long").alias("node"), number.alias("label"), *(F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(numeric)))
+
+    def pack(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, code = np.searchsorted(own, batch.column(0).to_numpy()), batch.column(1).to_numpy()
+            features, ranges, data = [], [], []
+            for f, cuts in enumerate(bounds):
+                column = batch.column(2 + f)
+                e = np.empty(batch.num_rows, ENTRY)
+                e["x"], e["n"], e["node"] = pc.fill_null(column, 0.0).to_numpy() + 0.0, 1, node
+                e["label"] = np.where(pc.is_valid(column).to_numpy(zero_copy_only=False), code, -1 - code) if column.null_count else code
+                if len(np.unique(e["x"])) * 2 < len(e):
+                    e = _merged(e)
+                at = np.searchsorted(cuts, e["x"])
+                order = np.argsort(at, kind="stable")
+                e, at = e[order], at[order]
+                upto = np.searchsorted(at, np.arange(len(cuts) + 2))
+                for k in np.flatnonzero(np.diff(upto)).tolist():
+                    features.append(f)
+                    ranges.append(k)
+                    data.append(e[upto[k] : upto[k + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(features, pa.int32()), pa.array(ranges, pa.int32()), pa.array(data, pa.binary())], names=["feature", "range", "data"])
+
+    def order(key, table):
+        e = _merged(np.concatenate([np.frombuffer(b.as_buffer(), ENTRY) for chunk in table["data"].chunks for b in chunk]))
+        counts, missing, head = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(len(own))
+        gone = e["label"] < 0
+        np.add.at(missing, (e["node"][gone], -1 - e["label"][gone]), e["n"][gone])
+        e = e[~gone]
+        np.add.at(counts, (e["node"], e["label"]), e["n"])
+        there, first = np.unique(e["node"], return_index=True)
+        head[there] = e["x"][first]
+        return pa.table([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([v.tobytes()], pa.binary()) for v in (e, counts, missing, head)], names=["feature", "range", "data", "counts", "missing", "head"])
+
+    def among(key, table):
+        table = table.sort_by("range")
+        counts, missing = (np.stack([np.frombuffer(b.as_py(), np.int64).reshape(shape) for b in table[c]]) for c in ("counts", "missing"))
+        head = np.stack([np.frombuffer(b.as_py(), np.float64) for b in table["head"]])
+        upto, every, gone = np.cumsum(counts, axis=0), counts.sum(axis=0), missing.sum(axis=0)
+        after, follows, out = np.zeros(len(own)), np.zeros(len(own), bool), []
+        for k in range(len(counts) - 1, -1, -1):
+            out.append([v.tobytes() for v in (upto[k] - counts[k], every, gone, after, follows)])
+            some = counts[k].any(axis=1)
+            after, follows = np.where(some, head[k], after), follows | some
+        out = list(zip(*out[::-1], strict=True))
+        return pa.table([table["feature"], table["range"], *(pa.array(v, pa.binary()) for v in out)], names=["feature", "range", "before", "every", "gone", "after", "follows"])
+
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                e = np.frombuffer(r["data"], ENTRY)
+                if not len(e):
+                    continue
+                before, every, gone = (np.frombuffer(r[c], np.int64).reshape(shape) for c in ("before", "every", "gone"))
+                after, follows = np.frombuffer(r["after"], np.float64), np.frombuffer(r["follows"], bool)
+                new = np.ones(len(e), bool)
+                new[1:] = (e["node"][1:] != e["node"][:-1]) | _differs(e["x"])
+                first = np.flatnonzero(new)
+                node, x = e["node"][first].astype(np.int64), e["x"][first]
+                last = np.append(node[1:] != node[:-1], True)
+                then = np.where(last, after[node], np.append(x[1:], 0.0))
+                at = (x + then) / 2
+                value, both = np.cumsum(new) - 1, every + gone
+                nl, left, right = _running(e, value, before, both)
+                if gone.any():
+                    takes = at >= 0
+                    nl, left, right = (np.where(takes, a, b) for a, b in zip(_running(e, value, before + gone, both), (nl, left, right), strict=True))
+                total = both.sum(axis=1).astype(np.float64)[node]
+                squares, nl = (both * both).sum(axis=1)[node], nl.astype(np.float64)
+                nr = total - nl
+                ok = (~last | follows[node]) & (nl >= min_leaf) & (nr >= min_leaf)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = (1 - squares / (total * total)) - (nl / total * (1 - left / (nl * nl)) + nr / total * (1 - right / (nr * nr)))
+                node, at, gain = node[ok], at[ok], gain[ok]
+                most = np.full(len(own), -np.inf)
+                np.maximum.at(most, node, gain)
+                near = gain >= most[node] - 1e-12
+                yield pa.RecordBatch.from_arrays([pa.array(own[node[near]]), pa.array(np.full(int(near.sum()), r["feature"]), pa.int32()), pa.array(at[near]), pa.array(gain[near])], names=["node", "number", "at", "gain"])
+
+    ordered = kept(rows.mapInArrow(pack, "feature int, range int, data binary").groupBy("feature", "range").applyInArrow(order, "feature int, range int, data binary, counts binary, missing binary, head binary"))
+    context = ordered.drop("data").groupBy("feature").applyInArrow(among, "feature int, range int, before binary, every binary, gone binary, after binary, follows binary")
+    tried = ordered.select("feature", "range", "data").join(context, ["feature", "range"]).mapInArrow(score, "node long, number int, at double, gain double")
+    name = F.element_at(F.array(*(F.lit(f) for f in numeric)), F.col("number") + 1)
+    return _best(tried.select("node", name.alias("feature"), F.lit("numeric").alias("kind"), F.col("at").cast("string").alias("value"), _told("at").alias("told"), "gain"))
+
+
 #: Nodes of a tree, at most: a node's number among several trees is the tree's number times this, plus its own.
 STRIDE = 1 << 20
 
@@ -146,6 +314,7 @@ def grow_many(df: DataFrame, n: int, *, label: str, labels: list[str], numeric:
     grown = [Tree(list(labels), {0: {"depth": 0}}) for _ in range(n)]
     own = F.upper(F.col(f"`{label}`").cast("string"))
     rows = df.withColumn(label, own).where(F.col(f"`{label}`").isin(labels))
+    bounds = None if categorical else range_bounds(rows, numeric)
     open_ = [(t, 0) for t in range(n)]
     while open_:
         place = F.lit(None).cast("long")
@@ -164,7 +333,9 @@ def grow_many(df: DataFrame, n: int, *, label: str, labels: list[str], numeric:
         open_ = []
         if not wide:
             continue
-        for r in splits(at.where(F.col("_node").isin(wide)), label, numeric, categorical, min_leaf).orderBy("node").collect():  # a row per open node
+        own = at.where(F.col("_node").isin(wide))
+        told = splits(own, label, numeric, categorical, min_leaf) if categorical else number_splits(own, wide, label, labels, numeric, min_leaf, bounds)
+        for r in told.orderBy("node").collect():  # a row per open node
             if r["gain"] > min_gain:
                 t, k = divmod(r["node"], STRIDE)
                 nodes = grown[t].nodes
